@@ -39,8 +39,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 _WORD_BASE = _mix_int(12) | 1
 
 _ALL = np.arange(256)
-#: Bytes that end a word made of everything but ASCII white space.
-SPACES = np.isin(_ALL, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+#: Bytes of words made of everything but ASCII white space.
+NO_SPACE = ~np.isin(_ALL, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Bytes of words made of ASCII letters, digits and every non-ASCII character.
 ALNUM = ((_ALL >= 48) & (_ALL <= 57)) | ((_ALL >= 65) & (_ALL <= 90)) | ((_ALL >= 97) & (_ALL <= 122)) | (_ALL >= 128)
 
