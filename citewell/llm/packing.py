@@ -30,11 +30,11 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        cache = PieceCache(path, lambda e: np.array(e.ids, kind).tobytes())
+        cache = PieceCache(path, lambda ids: ids.astype(kind).tobytes())
         for batch in batches:
             places, sizes, ids, waiting, begun = [], [], [], 0, 0
             for i, text in enumerate(texts(batch.column(1))):
-                pieces = text.split()
+                pieces = cache.split(text)
                 table = cache.table(pieces)
                 out = b"".join([table[p] for p in pieces]) + last
                 places.append(place)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, substring_dedup, tokens
+from . import decontamination, packing, secret_ledger, substring_dedup, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark, _read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.digest(secret_ledger.scan(spark, _read(spark, sf_dir, "documents")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(spark, _read(spark, sf_dir, "documents")))
 
@@ -28,7 +36,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_secret_scan": secret_ledger.SQL,
+    "op7_decontamination": decontamination.SQL,
+}

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 from collections import ChainMap, Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from . import kernel
 
 #: A piece is frequent with this share of all pieces, so the table has 1 / SHARE rows at most.
 SHARE = 1e-5
-#: Entries of a worker's cache; it starts anew when full.
-CACHE = 200_000
+#: Entries of each of a worker's two cache generations; a full one becomes the old one, from which used entries return.
+CACHE = 250_000
 #: Longer pieces (unbroken scripts, blobs) are encoded but not kept.
 LONGEST = 48
 
@@ -46,25 +47,50 @@ def default_path() -> str:
 
 
 class PieceCache:
-    """piece -> make(encoding), bounded."""
-
-    def __init__(self, path: str, make: Callable, frequent: dict[bytes, object] | None = None):
-        self.encode = tokenizer(path).encode_batch_fast
-        self.make, self.frequent, self.rest = make, frequent or {}, {}
-
-    def table(self, pieces: list[bytes]) -> dict[bytes, object]:
+    """piece -> value, bounded.  ``value`` turns a run of ids into something that ``+`` joins: their number, their bytes."""
+
+    def __init__(self, path: str, value: Callable[[np.ndarray], object], frequent: dict[bytes, object] | None = None):
+        known = tokenizer(path)
+        self.encode = known.encode_batch_fast
+        marks = {t.content: i for i, t in known.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)}
+        self.mark, self.mark_id = next(iter(marks.items()), (None, -1))
+        self.value, self.frequent, self.rest, self.old = value, frequent or {}, {}, {}
+        self.marks = {p: value(np.array(self.encode([p.decode()], add_special_tokens=False)[0].ids)) for p in (b",", b".")}
+
+    def split(self, text: bytes) -> list[bytes]:
+        """Pieces of a text.  The vocabulary has lower case only; special strings are told by case, so it stays with them."""
+        return (text if b"<|" in text else text.lower()).split()
+
+    def encoded(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece: one call for all, cut at a special token that none of them holds."""
+        words = [p.decode("utf-8", "replace") for p in pieces]
+        if self.mark is None or any("<|" in w for w in words):
+            return [np.array(e.ids) for e in self.encode(words, add_special_tokens=False)]
+        ids = np.array(self.encode([self.mark.join(words)], add_special_tokens=False)[0].ids)
+        at = np.flatnonzero(ids == self.mark_id)
+        return [ids[a:b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
+
+    def table(self, pieces: list[bytes]) -> Mapping[bytes, object]:
         """A mapping that holds every piece outside the frequent ones."""
         rest, frequent = self.rest, self.frequent
         missing = {p for p in pieces if p not in frequent and p not in rest}
         if not missing:
             return rest
         if len(rest) + len(missing) > CACHE:
-            self.rest = rest = {}
+            self.old, self.rest = rest, (rest := {})
             missing = {p for p in pieces if p not in frequent}
-        ordered = list(missing)
-        found = dict(zip(ordered, map(self.make, self.encode([p.decode("utf-8", "replace") for p in ordered], add_special_tokens=False)), strict=True))
+        old = self.old
+        if back := {p: old[p] for p in missing if p in old}:
+            rest.update(back)
+            missing -= back.keys()
+        # a comma or full stop after an ASCII letter is a pre-token of its own
+        tailed = {p: p[:-1] for p in missing if p[-1:] in self.marks and p[-2:-1].isalpha()}
+        bare = [p for p in missing.difference(tailed).union(tailed.values()) if p not in frequent and p not in rest and p not in old]
+        found = dict(zip(bare, map(self.value, self.encoded(bare)), strict=True)) if bare else {}
+        both = ChainMap(found, rest, frequent, old)
+        found |= {p: both[b] + self.marks[p[-1:]] for p, b in tailed.items()}
         rest.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
-        return rest if all(len(p) <= LONGEST for p in ordered) else ChainMap(found, rest)
+        return rest if all(len(p) <= LONGEST for p in found) else ChainMap(found, rest)
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
@@ -85,7 +111,7 @@ def frequent_pieces(docs: DataFrame, share: float = SHARE) -> DataFrame:
         total, cut = 0, 0
         for batch in batches:
             for text in texts(batch.column(0)):
-                pieces = text.split()
+                pieces = (text if b"<|" in text else text.lower()).split()
                 total += len(pieces)
                 seen.update(pieces)
                 if len(seen) > 300_000:
@@ -118,7 +144,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None,
         for batch in batches:
             sizes, counts = [], []
             for text in texts(batch.column(1)):
-                pieces = text.split()
+                pieces = cache.split(text)
                 rest = cache.table(pieces)
                 counts.append(sum([frequent[p] if p in frequent else rest[p] for p in pieces]))
                 sizes.append(len(text))
