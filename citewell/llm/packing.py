@@ -30,7 +30,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        cache = PieceCache(path, lambda ids: ids.astype(kind).tobytes())
+        cache = PieceCache(path, lambda ids: np.array(ids, kind).tobytes())
         for batch in batches:
             places, sizes, ids, waiting, begun = [], [], [], 0, 0
             for i, text in enumerate(texts(batch.column(1))):

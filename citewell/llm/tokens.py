@@ -10,13 +10,14 @@ tokenizer library itself.
 from __future__ import annotations
 
 import os
+import re
 from collections import ChainMap, Counter
 from collections.abc import Callable, Iterator, Mapping
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from . import kernel
 
@@ -46,29 +47,53 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Western letters, then ASCII punctuation: two pre-tokens of which the first needs no normalisation but lower case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
 class PieceCache:
     """piece -> value, bounded.  ``value`` turns a run of ids into something that ``+`` joins: their number, their bytes."""
 
-    def __init__(self, path: str, value: Callable[[np.ndarray], object], frequent: dict[bytes, object] | None = None):
+    def __init__(self, path: str, value: Callable[[list[int]], object], frequent: dict[bytes, object] | None = None):
         known = tokenizer(path)
-        self.encode = known.encode_batch_fast
-        marks = {t.content: i for i, t in known.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)}
-        self.mark, self.mark_id = next(iter(marks.items()), (None, -1))
-        self.value, self.frequent, self.rest, self.old = value, frequent or {}, {}, {}
-        self.marks = {p: value(np.array(self.encode([p.decode()], add_special_tokens=False)[0].ids)) for p in (b",", b".")}
+        self.encode, self.model = known.encode_batch_fast, known.model
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(65, 256)) if _PLAIN.fullmatch(c + "!")]
+        self.spelled = str.maketrans({c: bytewise.pre_tokenize_str(c.lower())[0][0] for c in letters})
+        self.value, self.frequent, self.rest, self.old, self.tails = value, frequent or {}, {}, {}, {}
 
     def split(self, text: bytes) -> list[bytes]:
         """Pieces of a text.  The vocabulary has lower case only; special strings are told by case, so it stays with them."""
         return (text if b"<|" in text else text.lower()).split()
 
-    def encoded(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece: one call for all, cut at a special token that none of them holds."""
-        words = [p.decode("utf-8", "replace") for p in pieces]
-        if self.mark is None or any("<|" in w for w in words):
-            return [np.array(e.ids) for e in self.encode(words, add_special_tokens=False)]
-        ids = np.array(self.encode([self.mark.join(words)], add_special_tokens=False)[0].ids)
-        at = np.flatnonzero(ids == self.mark_id)
-        return [ids[a:b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
+    def _letters(self, word: str) -> object:
+        """Ids of one pre-token of letters, by the library's model alone."""
+        return self.value([t.id for t in self.model.tokenize(word.translate(self.spelled))])
+
+    def _tail(self, tail: str) -> object:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.value(self.encode([tail], add_special_tokens=False)[0].ids)
+        return self.tails[tail]
+
+    def _resolve(self, missing: set[bytes]) -> dict[bytes, object]:
+        found: dict[bytes, object] = {}
+        known, others = ChainMap(found, self.rest, self.old, self.frequent).get, []
+        for p in missing:
+            if m := _PLAIN.fullmatch(word := p.decode("utf-8", "replace")):
+                if m[2]:
+                    bare = m[1].encode()
+                    if (head := known(bare)) is None:
+                        found[bare] = head = self._letters(m[1])
+                    found[p] = head + self._tail(m[2])
+                else:
+                    found[p] = self._letters(word)
+            else:
+                others.append((p, word))
+        if others:
+            found |= {p: self.value(e.ids) for (p, _), e in zip(others, self.encode([w for _, w in others], add_special_tokens=False), strict=True)}
+        return found
 
     def table(self, pieces: list[bytes]) -> Mapping[bytes, object]:
         """A mapping that holds every piece outside the frequent ones."""
@@ -83,14 +108,12 @@ class PieceCache:
         if back := {p: old[p] for p in missing if p in old}:
             rest.update(back)
             missing -= back.keys()
-        # a comma or full stop after an ASCII letter is a pre-token of its own
-        tailed = {p: p[:-1] for p in missing if p[-1:] in self.marks and p[-2:-1].isalpha()}
-        bare = [p for p in missing.difference(tailed).union(tailed.values()) if p not in frequent and p not in rest and p not in old]
-        found = dict(zip(bare, map(self.value, self.encoded(bare)), strict=True)) if bare else {}
-        both = ChainMap(found, rest, frequent, old)
-        found |= {p: both[b] + self.marks[p[-1:]] for p, b in tailed.items()}
+        found = self._resolve(missing)
+        if all(len(p) <= LONGEST for p in found):
+            rest.update(found)
+            return rest
         rest.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
-        return rest if all(len(p) <= LONGEST for p in found) else ChainMap(found, rest)
+        return ChainMap(found, rest)
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
