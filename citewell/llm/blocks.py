@@ -124,10 +124,12 @@ def ranges_for(total: int) -> int:
     return max(1, -(-total // RANGE))
 
 
-def global_counts(made: DataFrame, fingerprints: Callable[[Block], tuple[np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
+def global_counts(made: DataFrame, fingerprints: Callable[[Block], tuple[np.ndarray, np.ndarray]], ranges: int, share: float | None = None) -> DataFrame:
     """block, range, counts: for each range, the global counts of the block's distinct fingerprints in ascending order.
 
-    ``fingerprints`` gives a block's sorted distinct fingerprints and how often the block counts each.
+    ``fingerprints`` gives a block's sorted distinct fingerprints and how often the block counts each.  One row of
+    each range also has its number of counted fingerprints, their total, and, given a share, the fingerprints
+    that make up at least that share of the range.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +157,16 @@ def global_counts(made: DataFrame, fingerprints: Callable[[Block], tuple[np.ndar
         for at, counts in zip(mine, table.column("counts"), strict=True):
             total[at] += unpack_counts(counts.as_buffer())
         answers = [pack_counts(total[at]) for at in mine]
-        return pa.Table.from_arrays([table.column("block"), table.column("range"), pa.array(answers, pa.binary())], ["block", "range", "counts"])
+        others = len(answers) - 1
+        top = np.flatnonzero(total >= max(1, share * float(total.sum()))) if share is not None else []
+        tops = [[{"hash": h, "n": n} for h, n in zip(values[top].view(np.int64).tolist(), total[top].tolist(), strict=True)]]
+        return pa.Table.from_arrays(
+            [table.column("block"), table.column("range"), pa.array(answers, pa.binary()), pa.array([int((total > 0).sum())] + [0] * others, pa.int64()), pa.array([int(total.sum())] + [0] * others, pa.int64()), pa.array(tops + [[]] * others, pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())])))],
+            ["block", "range", "counts", "distinct", "total", "top"],
+        )
 
     sent = made.mapInArrow(send, "range int, block long, found binary, counts binary")
-    return sent.groupBy("range").applyInArrow(add, "block long, range int, counts binary")
+    return sent.groupBy("range").applyInArrow(add, "block long, range int, counts binary, distinct long, total long, top array<struct<hash:long,n:long>>")
 
 
 def joined_counts(table: pa.Table) -> np.ndarray:
@@ -177,4 +185,4 @@ def with_counts(made: DataFrame, counts: DataFrame, apply: Callable[[Block, np.n
         known = joined_counts(right)
         return pa.concat_tables([apply(block, known) for block in each(left)])
 
-    return made.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(both, schema)
+    return made.groupBy("block").cogroup(counts.select("block", "range", "counts").groupBy("block")).applyInArrow(both, schema)
