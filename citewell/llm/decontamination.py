@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Words of a window and of a fingerprint; a span of SIZE shared words is never missed.
 SIZE, K = 13, 7
 #: Words of a text that are worked on as one row; the rest overlaps by a window less one word.
@@ -23,12 +25,15 @@ BROADCAST_ROWS = 200_000
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OTHERS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _POS = 12  # bits for a place in a piece
+_PRINTS = "array<struct<hash:bigint,pos:int>>"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words; null has none."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), _SEPARATORS, -1), "")
+    """Lower-cased words; null has none.  Separators become blanks: splitting at a plain character needs no regex."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + _OTHERS, _LOWER + " " * len(_OTHERS))
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,92 +52,95 @@ def piece() -> Column:
 
 
 def _prints(w: Column) -> Column:
-    """hash, pos (in the piece, from 1) and around (the words that windows over it can reach).
+    """hash, pos (in the piece, from 1) of the smallest of every SIZE - K + 1 consecutive k-grams.
 
-    Kept is the smallest of every SIZE - K + 1 consecutive k-gram hashes, the first on ties: a hash and its place are one long.
+    K-grams are ordered by the hash of their first word, equal ones by place, so a window's words alone decide;
+    only the chosen ones are hashed whole.  A sliding minimum is made by doubling.
     """
-    reach = SIZE - K
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (K - 1)), lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.slice(w, i, K)), _POS), _POS).bitwiseOR(i.cast("long")))
-    chosen = let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (SIZE - 1)), lambda i: F.array_min(F.slice(g, i, reach + 1)))))
-    pos = lambda x: x.bitwiseAND(F.lit((1 << _POS) - 1)).cast("int")
-    return F.transform(
-        chosen,
-        lambda x: F.struct(
-            F.shiftright(x, _POS).alias("hash"),
-            pos(x).alias("pos"),
-            F.slice(w, F.greatest(F.lit(1), pos(x) - reach), K + reach + F.least(F.lit(reach), pos(x) - 1)).alias("around"),
-        ),
-    )
+    place = (1 << _POS) - 1
+    minimum = F.transform(w, lambda x, i: F.shiftleft(F.shiftright(F.xxhash64(x), _POS), _POS).bitwiseOR(i.cast("long")))
+    reach, wide = SIZE - K + 1, 1
+    while wide < reach:
+        step = min(wide, reach - wide)
+        minimum = let(minimum, lambda m, step=step: F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y)))
+        wide += step
+    chosen = F.array_distinct(F.slice(minimum, F.lit(1), F.size(w) - (SIZE - 1)))
+    pos = lambda x: x.bitwiseAND(F.lit(place)).cast("int") + 1
+    return F.transform(chosen, lambda x: F.struct(F.xxhash64(F.slice(w, pos(x), K)).alias("hash"), pos(x).alias("pos")))
 
 
 def fingerprints(cut: DataFrame) -> DataFrame:
-    """Adds prints to the slices of ``pieces``; null for fewer words than a window."""
-    return cut.withColumn("prints", F.when(F.size("words") >= SIZE, let(piece(), _prints)))
+    """Adds prints to the slices of ``pieces``; none for fewer words than a window."""
+    return cut.withColumn("prints", F.when(F.size("words") >= SIZE, let(piece(), _prints)).otherwise(F.array().cast(_PRINTS)))
 
 
-def _sized(spark: SparkSession, small: DataFrame) -> DataFrame:
+def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def _hits(spark: SparkSession, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, sum, n_words, at, item_id, i_at of equal fingerprints, and a row without an item for each row."""
+    prints = fingerprints(pieces(items, SIZE)).select("item_id", "base", F.explode("prints").alias("p"))
+    known = _sized(prints.select(F.col("p.hash").alias("hash"), "item_id", (F.col("base") + F.col("p.pos")).alias("i_at")).distinct())
+    none = F.when(F.col("base") == 0, F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(0).alias("pos")))).otherwise(F.array().cast(_PRINTS))
+    cut = fingerprints(pieces(rows, SIZE)).select("doc_id", "sum", F.size("words").cast("long").alias("n_words"), "base", F.explode(F.concat(none, "prints")).alias("p"))
+    cut = cut.select("doc_id", "sum", "n_words", F.col("p.hash").alias("hash"), (F.col("base") + F.col("p.pos")).alias("at"))
+    found = cut.join(known, "hash", "left").filter(F.col("item_id").isNotNull() | F.col("hash").isNull())
+    return scratch.write(spark, found.drop("hash"), "hits")
+
+
+def _extended(rows: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, sum, item_id, start, len of the windows over a hit whose words are equal on both sides."""
+    hit = hits.filter(F.col("item_id").isNotNull())
+    mine = hit.groupBy("doc_id", "sum").agg(F.collect_set(F.struct("item_id", "at", "i_at")).alias("hits"))
+    keys = _sized(mine.select("doc_id", "sum"))
+    texts = rows.join(keys, ["doc_id", "sum"], "left_semi")
+    both = texts.join(mine, ["doc_id", "sum"]).select("doc_id", "sum", "words", F.explode("hits").alias("hit"))
+    both = both.select("doc_id", "sum", "hit.*", F.slice("words", F.greatest(F.lit(1), F.col("hit.at") - (SIZE - K)), F.lit(2 * SIZE - K)).alias("around"))
+    both = both.join(_sized(items.select("item_id", F.col("words").alias("i_words"))), "item_id")
+    left = F.least(F.lit(SIZE - K), F.col("at") - 1)
+    part = lambda o: F.slice("around", left - o + 1, F.lit(SIZE))
+    same = F.filter(F.sequence(F.lit(0), F.least(left, F.col("i_at") - 1)), lambda o: (F.size(part(o)) == SIZE) & (part(o) == F.slice("i_words", F.col("i_at") - o, F.lit(SIZE))))
+    return both.select("doc_id", "sum", "item_id", "at", F.explode(same).alias("o")).select("doc_id", "sum", "item_id", (F.col("at") - F.col("o")).cast("long").alias("start"), F.lit(SIZE).alias("len"))
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, n_hit, items, contaminated for every row of documents(doc_id, text) against benchmark(item_id, text).
+    """doc_id, sum, n_words, n_hit, items, contaminated for every row of documents(doc_id, text) against benchmark(item_id, text).
 
     n_hit counts the words inside any occurrence of an item's window; items has the ids of items with occurring
-    windows, sorted as strings.  Null and empty texts have no words and no hits.  Rows with the same id and text
-    are alike; rows with the same id and other texts are told apart.  Extra columns are ignored.
+    windows, sorted as strings.  Null and empty texts have no words and no hits; ids are not negative.
+    Rows with the same id and text are alike; rows with the same id and other texts are told apart by ``sum``, the
+    text's hash.  Extra columns are ignored.  Items with the same id and other texts count as that one item.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
-    long_items = fingerprints(pieces(items.filter(F.size("words") >= SIZE), SIZE)).select("item_id", F.explode("prints").alias("p"))
-    windows = _sized(spark, long_items.select(F.col("p.hash").alias("hash"), "item_id", F.col("p.pos").alias("i_pos"), F.col("p.around").alias("i_around")).distinct())
-    short = items.filter(F.size("words") < SIZE)
-    lengths = sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect())  # twelve at most
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("name"), words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
+    items = items.withColumn("item_id", F.xxhash64("name", "words"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("sum"), words(F.col("text")).alias("words"))
-    cut = fingerprints(pieces(rows.withColumn("n_words", F.size("words").cast("long")), SIZE))
-    none = F.struct(F.lit(None).cast("long").alias("hash"), F.lit(0).alias("pos"), F.lit(None).cast("array<string>").alias("around"))
-    listed = F.concat(F.when(F.col("base") == 0, F.array(none)).otherwise(F.array().cast("array<struct<hash:bigint,pos:int,around:array<string>>>")), F.coalesce("prints", F.array().cast("array<struct<hash:bigint,pos:int,around:array<string>>>")))
-    prints = cut.select("doc_id", "sum", "n_words", "base", F.explode(listed).alias("p")).select("doc_id", "sum", "n_words", "base", "p.hash", "p.pos", "p.around")
-    hits = prints.join(windows, "hash", "left").filter(F.col("item_id").isNotNull() | (F.col("pos") == 0))
-
-    # a window starts up to SIZE - K words before the fingerprint, at the same distance on both sides
-    before, i_before = F.least(F.lit(SIZE - K), F.col("pos") - 1), F.least(F.lit(SIZE - K), F.col("i_pos") - 1)
-    at = lambda around, left, o: F.slice(around, left - o + 1, F.lit(SIZE))
-    same = F.filter(
-        F.sequence(F.lit(0), F.least(before, i_before)),
-        lambda o: (F.size(at(F.col("around"), before, o)) == SIZE) & (at(F.col("around"), before, o) == at(F.col("i_around"), i_before, o)),
-    )
-    starts = F.when(F.col("item_id").isNotNull(), F.transform(same, lambda o: (F.col("base") + F.col("pos") - o).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    found = hits.select("doc_id", "sum", "n_words", "item_id", starts.alias("starts")).filter((F.size("starts") > 0) | F.col("item_id").isNull())
-    found = found.select("doc_id", "sum", "n_words", "item_id", F.explode_outer("starts").alias("start"), F.lit(SIZE).alias("len"))
-    for n in lengths:
-        one = _sized(spark, short.filter(F.size("words") == n).select("item_id", F.col("words").alias("gram")))
+    hits = _hits(spark, rows, items.filter(F.size("words") >= SIZE))
+    found = _extended(rows, hits, items)
+
+    short = items.filter(F.size("words") < SIZE)
+    for n in sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect()):  # twelve lengths at most
+        one = _sized(short.filter(F.size("words") == n).select("item_id", F.col("words").alias("gram")))
         grams = let(piece(), lambda w, n=n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.slice(w, i, n).alias("gram"))))
-        parts = pieces(rows.filter(F.size("words") >= n).withColumn("n_words", F.size("words").cast("long")), n)
-        near = parts.select("doc_id", "sum", "n_words", "base", F.explode(grams).alias("g")).select("doc_id", "sum", "n_words", "base", "g.pos", "g.gram")
-        found = found.unionByName(near.join(one, "gram").select("doc_id", "sum", "n_words", "item_id", (F.col("base") + F.col("pos")).cast("long").alias("start"), F.lit(n).alias("len")))
-    return _covered(rows_of=found)
+        near = pieces(rows.filter(F.size("words") >= n), n).select("doc_id", "sum", "base", F.explode(grams).alias("g")).select("doc_id", "sum", "base", "g.pos", "g.gram")
+        found = found.unionByName(near.join(one, "gram").select("doc_id", "sum", "item_id", (F.col("base") + F.col("pos")).cast("long").alias("start"), F.lit(n).alias("len")))
+    return _covered(hits.filter(F.col("item_id").isNull()), found.join(_sized(items.select("item_id", "name")), "item_id"))
 
 
-def _covered(rows_of: DataFrame) -> DataFrame:
-    """Per document the words under the union of its windows: each start's own part up to the furthest end so far."""
+def _covered(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per row the words under the union of its windows: each start's own part beyond the furthest end so far."""
     key = ["doc_id", "sum"]
-    # repeated rows arrive once each as a row without an item
-    copies = rows_of.filter(F.col("item_id").isNull()).groupBy(*key, "n_words").agg(F.count("*").alias("copies"))
-    windows = rows_of.filter(F.col("item_id").isNotNull())
     ordered = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     ends = windows.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
     gain = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(ordered), F.lit(0))))
     hit = ends.withColumn("gain", gain).groupBy(*key).agg(F.sum("gain").cast("long").alias("n_hit"))
-    names = windows.select(*key, "item_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["sum"] == b["sum"])
-    out = copies.join(hit, same(copies, hit), "left").select(copies["*"], hit["n_hit"])
-    out = out.join(names, same(out, names), "left").select(out["*"], names["items"])
+    names = windows.select(*key, "name").distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.col("name").cast("string"))).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("row"), "doc_id", "sum", "n_words", n_hit.alias("n_hit"),
+    return rows.select(*key, "n_words").join(hit.join(names, key, "left"), key, "left").select(
+        F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias("doc_id"), "sum", "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-    )
+    )
 
 
 def digest(found: DataFrame) -> DataFrame:
