@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, tokens, toxicity
+from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, tokens, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(spark, _read(spark, sf_dir, "documents"))
 
 
+def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, _read(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark, _read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_chats(spark, chat.with_probe(spark, _read(spark, sf_dir, "conversations"))))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(spark, _read(spark, sf_dir, "documents")))
 
@@ -49,9 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_adaptive_ann": op4_adaptive_ann,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
@@ -59,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op6_secret_scan": secret_ledger.SQL,
     "op7_decontamination": decontamination.SQL,
+    "op8_chat_format": chat.SQL,
 }
