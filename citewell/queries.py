@@ -1,11 +1,452 @@
-"""The registered queries of the retrieval engine, and their SQL."""
+"""The registered queries of the retrieval engine, and their SQL.
+
+All run over the whole documents, labels, benchmark, pages, embeddings,
+conversations and events tables, from which the catalog is derived.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import query_terms as Q
+from .functions import text as T
+from .operators import evaluation, ingest, quality, retrieval, selection, upsert
+from .plans import catalog as C
+from .sources import documents as D
+from .sqlviews import build, strip
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "r3_relevance"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+POOL, LIMIT = 80, 8
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> C.Catalog:
+    return C.from_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> C.Catalog:
+    return C.from_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), stored=True)
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.questions(_read(spark, sf_dir, "benchmark"))
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL where there is one."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = build(sql)
+        return f
+
+    return keep
+
+
+_E = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_HTML = "html"
+for _p, _r in ((r"(?is)<script.*?>.*?</script>", ""), (r"(?is)<style.*?>.*?</style>", ""), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</p>", "chr(10) || chr(10)"), (r"<[^>]+>", "' '")):
+    _HTML = f"regexp_replace({_HTML}, '{_p}', {_r or repr('')}, 'g')"
+
+
+@query(f"SELECT page_id, url, sha256({strip(f'''regexp_replace({_E.format(_HTML)}, '[ {chr(9)}]+', ' ', 'g')''')}) AS text_sha256 FROM pages")
+def s5_html_to_text(spark, sf_dir):
+    text = T.squeeze_blanks(T.basic_entities(T.html_to_text(F.col("html"))))
+    return _read(spark, sf_dir, "pages").select("page_id", "url", F.sha2(text, 256).alias("text_sha256"))
+
+
+@query()
+def s5_html_unescaped(spark, sf_dir):
+    text = T.squeeze_blanks(T.unescape_html(T.html_to_text(F.col("html"))))
+    return _read(spark, sf_dir, "pages").select("page_id", F.length(text).alias("n_chars"))
+
+
+@query("SELECT source_id, sha256, doc_id, copies, title FROM v_sources")
+def s7_source_dedup(spark, sf_dir):
+    return D.import_sources(_read(spark, sf_dir, "documents")).select("source_id", "sha256", "doc_id", "copies", "title")
+
+
+@query("SELECT source_id, line, section, paragraph, length(text)::BIGINT AS n FROM v_lines")
+def s11_line_anchors(spark, sf_dir):
+    lines = D.anchored_lines(D.import_sources(_read(spark, sf_dir, "documents")))
+    return lines.select("source_id", F.col("line").cast("long").alias("line"), "section", "paragraph", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT claim_id, source_id, claim_text, citation_locator, confidence_status, confidence_status = 'cited' AS formal FROM v_claims")
+def p10_claim_extract(spark, sf_dir):
+    claims = _catalog(spark, sf_dir).claims
+    formal = (F.col("citation_locator") != "") & ~F.col("confidence_status").isin("weak", "uncited")
+    return claims.select("claim_id", "source_id", "claim_text", "citation_locator", "confidence_status", formal.alias("formal"))
+
+
+_HALVES = """SELECT claim_id, confidence_status, 'old' AS batch FROM v_claims WHERE line % 3 <> 0"""
+
+
+@query(f"{_HALVES} UNION ALL SELECT claim_id, confidence_status, 'new' FROM v_claims WHERE line % 3 = 0")
+def s18_claim_insert_ignore(spark, sf_dir):
+    claims = _catalog(spark, sf_dir).claims
+    old = claims.filter(F.col("line") % 3 != 0).select("claim_id", "confidence_status", F.lit("old").alias("batch"))
+    return upsert.insert_ignore(old, claims.select("claim_id", "confidence_status", F.lit("new").alias("batch")), "claim_id")
+
+
+@query("SELECT page_id, CASE WHEN page_type = 'concept' THEN upper(title) ELSE title END AS title FROM v_pages")
+def s20_page_upsert(spark, sf_dir):
+    pages = _catalog(spark, sf_dir).pages.select("page_id", "title", "page_type")
+    return upsert.upsert(pages, pages.filter(F.col("page_type") == "concept").withColumn("title", F.upper("title")), "page_id").select("page_id", "title")
+
+
+@query("""SELECT target_id, normalized_alias, min(alias) AS alias FROM (
+  SELECT target_id, alias, normalized_alias FROM v_aliases UNION ALL SELECT target_id, upper(alias), normalized_alias FROM v_aliases) GROUP BY 1, 2""")
+def s21_child_replace(spark, sf_dir):
+    aliases = _catalog(spark, sf_dir).aliases.select("target_id", "alias", "normalized_alias")
+    new = aliases.unionByName(aliases.withColumn("alias", F.upper("alias")))
+    return upsert.replace_children(aliases, new, "target_id", "normalized_alias", "alias")
+
+
+@query("""SELECT from_page, to_page, link_type FROM (SELECT * FROM v_links UNION ALL SELECT source_id, concept_id || '-gone', 'mentions' FROM v_sources WHERE toxic = 1)
+  WHERE to_page NOT IN (SELECT page_id FROM v_pages UNION ALL SELECT path FROM v_pages)""")
+def j7_broken_links(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    gone = c.sources.filter(F.col("toxic") == 1).select(F.col("source_id").alias("from_page"), F.concat("concept_id", F.lit("-gone")).alias("to_page"), F.lit("mentions").alias("link_type"))
+    return quality.broken_links(c.links.unionByName(gone), c.pages)
+
+
+@query("""SELECT page_id, path FROM v_pages WHERE page_id NOT IN (SELECT from_page FROM v_links l JOIN v_sources s ON s.source_id IN (from_page, to_page) WHERE quality IS NOT NULL
+  UNION ALL SELECT to_page FROM v_links l JOIN v_sources s ON s.source_id IN (from_page, to_page) WHERE quality IS NOT NULL)""")
+def j8_orphan_pages(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    labelled = c.sources.filter(F.col("quality").isNotNull()).select("source_id")
+    ends = [c.links.join(labelled.withColumnRenamed("source_id", side), side, "left_semi").select("from_page", "to_page", "link_type") for side in ("from_page", "to_page")]
+    return quality.orphan_pages(ends[0].unionByName(ends[1]), c.pages)
+
+
+_ALL_ALIASES = "SELECT normalized_alias, target_type, target_id FROM v_aliases UNION ALL SELECT 'x' || replace(concept_id, '-', ''), 'concept', concept_id FROM v_concepts UNION ALL SELECT 'x' || replace(concept_id, '-', ''), 'entity', 'entity:' || substr(concept_id, 9) FROM v_concepts"
+
+
+@query(f"""SELECT normalized_alias, count(*)::BIGINT AS targets, count(DISTINCT target_type) = 2 AND count(DISTINCT split_part(target_id, ':', 2)) = 1 AS shared
+  FROM (SELECT DISTINCT * FROM ({_ALL_ALIASES})) GROUP BY 1 HAVING count(*) > 1""")
+def a2_duplicate_alias(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    concepts = c.sources.select("concept_id").distinct()
+    name = F.concat(F.lit("x"), F.replace("concept_id", F.lit("-"), F.lit(""))).alias("normalized_alias")
+    pair = concepts.select(name, F.lit("concept").alias("target_type"), F.col("concept_id").alias("target_id")).unionByName(concepts.select(name, F.lit("entity").alias("target_type"), F.concat(F.lit("entity:"), F.substring("concept_id", 9, 1000)).alias("target_id")))
+    return quality.ambiguous_aliases(c.aliases.select("normalized_alias", "target_type", "target_id").unionByName(pair))
+
+
+@query("SELECT DISTINCT evidence_claim_id AS claim_id FROM v_relationships JOIN v_claims c ON claim_id = evidence_claim_id WHERE confidence_status = 'weak'")
+def j6_uncited(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    lost = c.claims.withColumn("citation_locator", F.when(F.col("confidence_status") != "weak", F.col("citation_locator")))
+    return quality.uncited_evidence(lost, c.relationships)
+
+
+@query("SELECT claim_id, confidence_status FROM v_claims WHERE citation_locator <> '' AND confidence_status IN ('weak', 'uncited')")
+def p21_uncited_with_locator(spark, sf_dir):
+    return quality.uncited_with_locator(_catalog(spark, sf_dir).claims)
+
+
+@query("SELECT source_id, toxic = 1 AS missing FROM v_sources WHERE toxic = 1 OR (coalesce(toxic, 0) = 0 AND quality = 0)")
+def a14_hash_drift(spark, sf_dir):
+    sources = _catalog(spark, sf_dir).sources
+    now = sources.filter(F.coalesce("toxic", F.lit(0)) != 1).select("source_id", F.when(F.col("quality") == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
+    return quality.hash_drift(sources, now)
+
+
+_ROW = "sha256(concat_ws('|', claim_id, source_id, claim_text, confidence_status))"
+_PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::BIGINT AS p{i}" for i in range(4))
+
+
+@query(f"SELECT n AS rows, sha256(concat_ws(':', n, p0, p1, p2, p3)) AS fingerprint FROM (SELECT count(*) AS n, {_PARTS} FROM (SELECT {_ROW} AS h FROM v_claims))")
+def a13_fingerprint(spark, sf_dir):
+    return quality.fingerprint(_catalog(spark, sf_dir).claims, ["claim_id", "source_id", "claim_text", "confidence_status"])
+
+
+@query("""SELECT 'broken links' AS check, 0::BIGINT AS found, true AS issue UNION ALL SELECT 'orphan pages', 0, true
+  UNION ALL SELECT 'duplicate alias', (SELECT count(*) FROM (SELECT normalized_alias FROM v_aliases GROUP BY 1 HAVING count(DISTINCT target_id) > 1)), true UNION ALL SELECT 'shared concept/entity alias', 0, false
+  UNION ALL SELECT 'uncited claims', 0, true UNION ALL SELECT 'uncited with locator', (SELECT count(*) FROM v_claims WHERE confidence_status <> 'cited'), false
+  UNION ALL SELECT 'source hash drift', 0, true UNION ALL SELECT 'recorded contradicts relationships', (SELECT count(*) FROM v_relationships WHERE relationship_type = 'contradicts'), false""")
+def lint_report(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    return quality.report(c, c.sources.select("source_id", "text"))
+
+
+_TOKENS = "SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{3,}'))) AS token FROM v_pages"
+_COMPACT = "array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), '')"
+
+
+@query(f"""WITH w AS (SELECT page_id, {_COMPACT} AS k FROM v_pages WHERE {_COMPACT} <> ''), t AS ({_TOKENS}), n AS (SELECT page_id, count(*) AS n FROM t GROUP BY 1),
+  m AS (SELECT a.page_id AS wanted_id, b.page_id FROM w a JOIN w b USING (k) JOIN v_concepts ON a.page_id = concept_id),
+  s AS (SELECT a.page_id AS wanted_id, b.page_id, count(*) AS c FROM t a JOIN t b USING (token) JOIN v_concepts ON a.page_id = concept_id GROUP BY 1, 2)
+  SELECT wanted_id, page_id, 'matching' AS how FROM m UNION ALL SELECT wanted_id, s.page_id, 'similar' FROM s JOIN n x ON x.page_id = wanted_id JOIN n y ON y.page_id = s.page_id
+  WHERE c >= 2 AND 2 * c >= least(x.n, y.n) AND NOT EXISTS (SELECT 1 FROM m WHERE m.wanted_id = s.wanted_id AND m.page_id = s.page_id)""".replace("WITH w", "SELECT * FROM (WITH w", 1) + ")")
+def j19_duplicate_titles(spark, sf_dir):
+    pages = _catalog(spark, sf_dir).pages
+    return quality.same_titles(pages, pages.filter(F.col("page_type") == "concept").select(F.col("page_id").alias("wanted_id"), "title"))
+
+
+@query("SELECT query_id, term FROM v_terms")
+def q4_query_terms(spark, sf_dir):
+    return _questions(spark, sf_dir).select("query_id", F.explode(Q.text_terms(F.col("question"), F.array().cast("array<string>"))).alias("term"))
+
+
+@query("""SELECT DISTINCT item_id, r[i:i + n - 1] AS gram FROM (SELECT item_id, r, n, unnest(range(1, length(r) - n + 2)) AS i FROM (
+  SELECT item_id, unnest(regexp_extract_all(text, '[㐀-鿿]+')) AS r FROM (SELECT item_id, regexp_replace(translate(text, 'abcdefgh', '草莓保存怎么冷藏'), '怎么|应该', '', 'g') AS text FROM benchmark)), unnest([2, 3, 4]) AS x(n) WHERE length(r) >= n)""")
+def q6_ngrams(spark, sf_dir):
+    text = F.translate("text", "abcdefgh", "草莓保存怎么冷藏")
+    return _read(spark, sf_dir, "benchmark").select("item_id", F.explode(Q.ngrams(text)).alias("gram"))
+
+
+@query()
+def q1_q7_analyze(spark, sf_dir):
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.substring("text", 1, 40), F.lit("H₂O α/β E=mc² 怎么保存")).alias("question"))
+    names = _catalog(spark, sf_dir).aliases.select(F.col("alias").alias("term"))
+    return Q.analyze(asked, names).select("query_id", *[F.array_join(c, ",").alias(c) for c in ("catalog_terms", "stop_terms", "text_terms", "expanded_terms", "formula_spans", "symbol_spans", "exact_spans")])
+
+
+@query("SELECT query_id, claim_id, bm25, rank FROM v_bm25")
+def r1_bm25(spark, sf_dir):
+    return retrieval.bm25(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL)
+
+
+@query("SELECT query_id, claim_id, round(0.5 + least(1.0::DOUBLE, 0.2::DOUBLE * count(DISTINCT term)), 6) AS raw_score FROM v_like JOIN v_claims USING (claim_id) JOIN v_terms USING (query_id) WHERE contains(lower(claim_text || ' ' || citation_locator), term) GROUP BY 1, 2")
+def r2_like(spark, sf_dir):
+    return retrieval.substring(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL).select("query_id", "claim_id", "raw_score")
+
+
+@query("SELECT query_id, claim_id, source_id, raw_score, base = 1 AS full_text FROM v_text")
+def r3_relevance(spark, sf_dir):
+    c, q = _stored(spark, sf_dir), _questions(spark, sf_dir)
+    rows = retrieval.merged(retrieval.full_text(q, c.claims, 8 * POOL), retrieval.substring(q, c.claims, 8 * POOL))
+    return rows.select("query_id", "claim_id", "source_id", "raw_score", F.array_contains("reasons", "bm25_fts").alias("full_text"))
+
+
+@query("SELECT query_id, claim_id, page_id, raw_score FROM v_alias")
+def r4_alias_title(spark, sf_dir):
+    return retrieval.alias_title(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL).select("query_id", "claim_id", "page_id", "raw_score")
+
+
+@query("SELECT query_id, claim_id, page_id FROM v_span")
+def r5_exact_span(spark, sf_dir):
+    c = _stored(spark, sf_dir)
+    return retrieval.exact_span(_questions(spark, sf_dir), c.claims, c.sources, 8 * POOL, "text_terms").select("query_id", "claim_id", "page_id")
+
+
+@query("SELECT query_id, claim_id, raw_score FROM v_graph")
+def r6_graph_one_hop(spark, sf_dir):
+    c, q = _stored(spark, sf_dir), _questions(spark, sf_dir)
+    seeds = retrieval.fused(retrieval.lexical(q, c, POOL), POOL)
+    return retrieval.graph(seeds, c.claims, c.relationships, POOL).select("query_id", "claim_id", "raw_score")
+
+
+@query("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE score > 0) WHERE rank <= 20""")
+def r7_vector_topk(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    asked = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.vector(asked, rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 20)
+
+
+@query("SELECT query_id, claim_id, page_id, rrf, retriever_rank FROM v_seeds")
+def r8_rrf_fusion(spark, sf_dir):
+    return retrieval.fused(retrieval.lexical(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL), POOL).select("query_id", "claim_id", "page_id", "rrf", "retriever_rank")
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> tuple[C.Catalog, DataFrame]:
+    c = _stored(spark, sf_dir)
+    return c, retrieval.hybrid(_questions(spark, sf_dir), c, POOL, POOL)
+
+
+@query("SELECT query_id, claim_id, source_id, page_id, raw_score, rrf, retriever_rank FROM v_hybrid WHERE confidence_status = 'cited'")
+def r9_hybrid(spark, sf_dir):
+    rows = retrieval.filtered(_pool(spark, sf_dir)[1], confidence="cited")
+    return rows.select("query_id", "claim_id", "source_id", "page_id", "raw_score", "rrf", "retriever_rank")
+
+
+@query("SELECT query_id, claim_id, rerank_score, duplicate_index, candidate_rank FROM v_reranked")
+def r12_rerank(spark, sf_dir):
+    rows = selection.reranked(_pool(spark, sf_dir)[1])
+    return rows.select("query_id", "claim_id", "rerank_score", F.col("duplicate_index").cast("long").alias("duplicate_index"), "candidate_rank")
+
+
+_SIM = "CASE WHEN length(claim_text) % 7 = 0 THEN NULL ELSE (length(claim_text) % 10) / 10.0::DOUBLE END"
+
+
+@query(f"""SELECT query_id, claim_id, score AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retriever_rank, claim_id) AS candidate_rank FROM (
+  SELECT *, round(0.65::DOUBLE * greatest(0, coalesce({_SIM}, 0)) + 0.35::DOUBLE * (rerank_score / max(rerank_score) OVER (PARTITION BY query_id)), 6) AS score FROM v_reranked)""")
+def r13_embed_rerank(spark, sf_dir):
+    rows = selection.reranked(_pool(spark, sf_dir)[1])
+    near = rows.filter(F.length("claim_text") % 7 != 0).select("query_id", "claim_id", (F.length("claim_text") % 10 / F.lit(10.0)).alias("similarity"))
+    return selection.embedding_reranked(rows, near).select("query_id", "claim_id", "rerank_score", "candidate_rank")
+
+
+@query("SELECT query_id, claim_id, subject_id, object_id, relationship_type FROM v_related")
+def j9_relationship_or_join(spark, sf_dir):
+    c, rows = _pool(spark, sf_dir)
+    return selection.related(rows, c.relationships).select("query_id", "claim_id", "subject_id", "object_id", "relationship_type").distinct()
+
+
+@query("""SELECT query_id, claim_id, coalesce(arg_min(relationship_type, CASE relationship_type WHEN 'contradicts' THEN 0 ELSE 1 END + CASE WHEN evidence_claim_id = claim_id THEN 0 ELSE 10 END), 'supports') AS label
+  FROM (SELECT DISTINCT query_id, claim_id FROM v_hybrid) LEFT JOIN v_related USING (query_id, claim_id) GROUP BY 1, 2""")
+def r23_relationship_label(spark, sf_dir):
+    c, rows = _pool(spark, sf_dir)
+    return selection.relationship_label(rows, c.relationships)
+
+
+def _selected(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return _evidence(*_pool(spark, sf_dir), mode)
+
+
+def _evidence(c: C.Catalog, pool: DataFrame, mode: str) -> DataFrame:
+    rows = selection.reranked(pool)
+    against = selection.related(rows, c.relationships).filter((F.col("relationship_type") == "contradicts") & (F.col("evidence_claim_id") == F.col("claim_id"))).select("query_id", "claim_id", F.lit(True).alias("contradiction")).distinct()
+    rows = rows.join(against, ["query_id", "claim_id"], "left").withColumn("contradiction", F.coalesce("contradiction", F.lit(False))).withColumn("mode", F.lit(mode))
+    return selection.select_evidence(rows, LIMIT).select("query_id", "rank", "claim_id", "source_id", "coverage_group", "selection_reason", "claim_text", "citation_locator", "page_id", "rerank_score", "home", "confidence_status")
+
+
+_ONCE = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY candidate_rank) AS o,
+    CASE WHEN starts_with(page_id, 'src_') THEN 'source:' || source_id ELSE page_id END AS coverage_group, confidence_status = 'cited' AS cited,
+    claim_id IN (SELECT evidence_claim_id FROM v_relationships WHERE relationship_type = 'contradicts') AS against
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, redundancy_group ORDER BY candidate_rank) AS r FROM v_reranked) WHERE r = 1),
+  g AS (SELECT *, row_number() OVER (PARTITION BY query_id, coverage_group ORDER BY cited DESC, rerank_score DESC, claim_id) AS gr, min(o) OVER (PARTITION BY query_id, coverage_group) AS gf,
+    first_value(coverage_group) OVER (PARTITION BY query_id ORDER BY o) AS dominant FROM o),
+  h AS (SELECT *, coverage_group = dominant AS home, sum((coverage_group = dominant AND cited)::INT) OVER (PARTITION BY query_id) AS hc FROM g),
+  s AS (SELECT *, {stage} AS stage FROM h), f AS (SELECT *, {forced} AS forced FROM s WHERE stage IS NOT NULL),
+  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, CASE WHEN stage = 2 THEN gf ELSE o END, o) AS pick FROM f),
+  c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY pick) AS n FROM p),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pick) AS rank FROM c WHERE forced OR n <= 3)
+  SELECT query_id, rank, claim_id, coverage_group FROM k WHERE rank <= 8"""
+_BROAD = _ONCE.format(stage="CASE WHEN gr = 1 THEN 2 ELSE 3 END", forced="false")
+_FOCUSED = _ONCE.format(stage="CASE WHEN home AND (hc = 0 OR cited) THEN 0 WHEN NOT home AND hc < 3 THEN 1 END", forced="home AND hc >= 3")
+_CONFLICT = _ONCE.format(stage="CASE WHEN o = 1 THEN 0 WHEN against THEN 1 WHEN gr = 1 THEN 2 ELSE 3 END", forced="stage <= 1")
+
+
+def _inner(sql: str) -> str:
+    return f"SELECT * FROM ({sql})"
+
+
+@query(_inner(_BROAD))
+def r17_select_broad(spark, sf_dir):
+    return _selected(spark, sf_dir, "broad").select("query_id", "rank", "claim_id", "coverage_group")
+
+
+@query(_inner(_FOCUSED))
+def r18_select_focused(spark, sf_dir):
+    return _selected(spark, sf_dir, "focused").select("query_id", "rank", "claim_id", "coverage_group")
+
+
+@query(_inner(_CONFLICT))
+def r20_select_conflict(spark, sf_dir):
+    return _selected(spark, sf_dir, "conflict").select("query_id", "rank", "claim_id", "coverage_group")
+
+
+@query(f"SELECT query_id, count(*)::BIGINT AS n, count(DISTINCT claim_source)::BIGINT AS source_diversity, count(DISTINCT coverage_group)::BIGINT AS coverage_groups FROM (SELECT b.*, c.source_id AS claim_source FROM ({_BROAD}) b JOIN v_claims c USING (claim_id)) GROUP BY 1")
+def r22_diagnostics(spark, sf_dir):
+    return selection.diagnostics(_selected(spark, sf_dir, "broad")).drop("outside_dominant")
+
+
+_PLANS = "SELECT query_id % 10 AS plan_id, query_id, query_id // 10 AS subquery, rank, claim_id, rerank_score FROM (SELECT b.*, r.rerank_score FROM ({0}) b JOIN v_reranked r USING (query_id, claim_id))".format(_BROAD)
+
+
+@query(f"""SELECT plan_id, merged_rank, claim_id, subquery_index, score FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY r, subquery_index, claim_id) AS merged_rank FROM (
+  SELECT plan_id, claim_id, arg_min(subquery, (rank, subquery)) AS subquery_index, min(rank) AS r, max(rerank_score) AS score FROM ({_PLANS}) GROUP BY 1, 2)) WHERE merged_rank <= 32""")
+def m5_planned_merge(spark, sf_dir):
+    rows = _selected(spark, sf_dir, "broad")
+    plans = rows.select((F.col("query_id") % 10).alias("plan_id"), F.floor(F.col("query_id") / 10).alias("subquery"), F.lit(4).alias("subqueries"), "rank", "claim_id", F.col("rerank_score").alias("score"), F.col("query_id").cast("string").alias("query"))
+    return selection.merge_planned(plans, LIMIT).select("plan_id", "merged_rank", "claim_id", "subquery_index", "score")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected: the sources of documents that the question's full-text retrieval ranks first; found: what is selected."""
+    c, pool = _pool(spark, sf_dir)
+    expected = retrieval.bm25(_questions(spark, sf_dir), c.claims, 3).join(c.claims.select("claim_id", "source_id"), "claim_id").select(F.col("query_id").alias("case_id"), "source_id")
+    results = _evidence(c, pool, "broad").select(F.col("query_id").alias("case_id"), "rank", "source_id")
+    return evaluation.case_metrics(results, expected)
+
+
+_CASES = f"""WITH e AS (SELECT DISTINCT query_id, source_id FROM v_bm25 JOIN v_claims USING (claim_id) WHERE rank <= 3), t AS (SELECT query_id, count(*) AS expected FROM e GROUP BY 1),
+  r AS (SELECT b.query_id, b.rank, c.source_id, e.source_id IS NOT NULL AS rel FROM ({_BROAD}) b JOIN v_claims c USING (claim_id) LEFT JOIN e ON e.query_id = b.query_id AND e.source_id = c.source_id),
+  w AS (SELECT *, sum(rel::INT) OVER (PARTITION BY query_id ORDER BY rank) AS sf FROM r),
+  m AS (SELECT query_id, count(*) AS n, sum(rel::INT) AS relevant, count(DISTINCT CASE WHEN rel THEN source_id END) AS matched, min(CASE WHEN rel THEN rank END) AS first,
+    sum(CASE WHEN rel AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN rel AND rank <= 5 THEN sf / rank::DOUBLE ELSE 0 END) AS steps FROM w GROUP BY 1)
+  SELECT t.query_id AS case_id, CASE WHEN coalesce(relevant, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(coalesce(least(1.0::DOUBLE, matched / expected::DOUBLE), 0), 4) AS recall,
+    round(coalesce(relevant / least(5, n)::DOUBLE, 0), 4) AS precision, round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr,
+    round(coalesce(dcg / list_sum(list_transform(range(1, least(5, expected) + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg, round(coalesce(steps / least(5, expected), 0), 4) AS map
+  FROM t LEFT JOIN m USING (query_id)"""
+
+
+@query(_inner(_CASES))
+def e_case_metrics(spark, sf_dir):
+    return _cases(spark, sf_dir)
+
+
+@query(f"SELECT count(*) AS cases, sum((hit > 0)::INT)::BIGINT AS passed, {', '.join(f'round(avg({c}), 4) AS {c}' for c in ('hit', 'recall', 'precision', 'mrr', 'ndcg', 'map'))} FROM ({_CASES})")
+def e_summary(spark, sf_dir):
+    return evaluation.summary(_cases(spark, sf_dir))
+
+
+@query("SELECT count(*) AS contexts, 1.0::DOUBLE AS claim_validity, 1.0::DOUBLE AS source_validity, 1.0::DOUBLE AS page_validity, 1.0::DOUBLE AS locator_presence FROM (" + _BROAD + ")")
+def e11_contract(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    return evaluation.contract(_evidence(c, pool, "broad"), c)
+
+
+@query("""SELECT event_type, max(value) FILTER (p = round_even((n - 1) * 0.5::DOUBLE, 0)) AS p50, max(value) FILTER (p = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95
+  FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1""")
+def a7_percentile(spark, sf_dir):
+    return evaluation.percentiles(_read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("""SELECT conv_id AS answer_id, c.claim_id, CASE WHEN turn % 3 = 0 THEN 'unknown_claim' WHEN turn % 3 = 1 THEN 'wrong_source' END AS problem
+  FROM (SELECT conv_id, turn, 'clm_' || conv_id || '_' || turn AS claim_id FROM conversations) c WHERE turn % 3 < 2""")
+def p18_citation_check(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), "turn", F.concat_ws("_", F.lit("clm"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("claim_id"))
+    cited = rows.select("answer_id", "claim_id", F.lit("src_a").alias("source_id"), F.concat(F.lit("line:"), "turn").alias("locator"))
+    held = rows.filter(F.col("turn") % 3 > 0).select("answer_id", "claim_id", F.when(F.col("turn") % 3 == 1, "src_b").otherwise("src_a").alias("source_id"), F.concat(F.lit("line:"), "turn").alias("citation_locator"))
+    return selection.citation_problems(cited, held)
+
+
+@query("SELECT conv_id, turn, sha256(regexp_replace(text || ' sk-' || conv_id || '_x', 'sk-[A-Za-z0-9_-]+', 'sk-***', 'g')) AS redacted FROM conversations")
+def f17_redact(spark, sf_dir):
+    text = F.concat("text", F.lit(" sk-"), "conv_id", F.lit("_x"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.redact(text), 256).alias("redacted"))
+
+
+@query("SELECT 'claim:' || claim_id AS chunk_id, 'claim' AS chunk_type, claim_text AS text FROM v_claims UNION ALL SELECT 'page_title:' || page_id, 'page_title', concat_ws(' ', title, '') FROM v_pages UNION ALL SELECT 'source_title:' || source_id, 'source_title', title FROM v_sources")
+def i14_chunks(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    return ingest.chunks(c.claims, c.pages, c.sources)
+
+
+@query("SELECT source_id, count(*) AS claims, sum((confidence_status <> 'cited')::INT)::BIGINT AS weak, round_even(100 * avg((confidence_status = 'cited')::INT), 0)::BIGINT AS coverage FROM v_claims GROUP BY 1")
+def a19_run_review(spark, sf_dir):
+    return ingest.review(_catalog(spark, sf_dir).claims)
+
+
+_CLEAN = strip(r"regexp_replace(title, '\b(notes|source|overview)\b', '', 'gi')")
+_SUBJECTS = r"""SELECT source_id, max(contains(' ' || array_to_string(regexp_extract_all(lower(claim_text), '[a-z0-9]+'), ' ') || ' ', ' rag ')::INT) AS rag,
+  max(regexp_matches(lower(claim_text), '\balias\b')::INT) AS alias, max(regexp_matches(lower(claim_text), '\bconflict|contradict')::INT) AS conflict FROM v_claims GROUP BY 1"""
+_PREFIX = strip("regexp_extract(title, '^([^：:]*)[：:]', 1)")
+_SLUG = r"regexp_replace(regexp_replace(lower(ct), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_ALIASED = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+@query(f"""SELECT source_id, page_id, page_type, title, n_claims FROM (WITH t AS (SELECT source_id, title, CASE WHEN {_CLEAN} = '' THEN title ELSE {_CLEAN} END AS cleaned, {_PREFIX} AS prefix FROM v_sources),
+  c AS (SELECT t.source_id, t.title, CASE WHEN rag = 1 THEN 'Retrieval Augmented Generation' WHEN alias = 1 THEN 'Alias Resolution' WHEN conflict = 1 THEN 'Conflict Preservation'
+    WHEN {_ALIASED.format("cleaned")} = {_ALIASED.format("title")} AND prefix <> '' THEN prefix ELSE cleaned END AS ct FROM t LEFT JOIN ({_SUBJECTS}) USING (source_id)),
+  n AS (SELECT source_id, count(*) AS n FROM v_claims WHERE confidence_status = 'cited' GROUP BY 1)
+  SELECT source_id, source_id AS page_id, 'source' AS page_type, title, coalesce(n, 0)::BIGINT AS n_claims FROM c LEFT JOIN n USING (source_id)
+  UNION ALL SELECT source_id, 'concept:' || CASE WHEN {_SLUG} = '' THEN 'untitled' ELSE {_SLUG} END, 'concept', ct, coalesce(n, 0)::BIGINT FROM c LEFT JOIN n USING (source_id))""")
+def i8_patches(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    return ingest.patches(c.sources, c.claims).select("source_id", "page_id", "page_type", "title", "n_claims")
