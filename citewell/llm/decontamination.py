@@ -125,7 +125,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
         grams = let(piece(), lambda w, n=n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.slice(w, i, n).alias("gram"))))
         near = pieces(rows.filter(F.size("words") >= n), n).select("doc_id", "sum", "base", F.explode(grams).alias("g")).select("doc_id", "sum", "base", "g.pos", "g.gram")
         found = found.unionByName(near.join(one, "gram").select("doc_id", "sum", "item_id", (F.col("base") + F.col("pos")).cast("long").alias("start"), F.lit(n).alias("len")))
-    return _covered(hits.filter(F.col("item_id").isNull()), found.join(_sized(items.select("item_id", "name")), "item_id"))
+    found = scratch.write(spark, found.join(_sized(items.select("item_id", "name")), "item_id"), "windows")
+    return _covered(hits.filter(F.col("item_id").isNull()), found)
 
 
 def _covered(rows: DataFrame, windows: DataFrame) -> DataFrame:
