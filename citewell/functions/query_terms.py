@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .text import nfkc, strip
 
@@ -77,7 +78,7 @@ def symbol_spans(text: Column) -> Column:
     return unique(F.transform(spans, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def formula_spans(original: pd.Series, normalized: pd.Series) -> pd.Series:
     """Operator chains and tokens with digits; Java's word boundaries do not know sub- and superscripts."""
     return pd.Series([list(dict.fromkeys(m.replace(" ", "") for text in pair for m in _FORMULA.findall(text or ""))) for pair in zip(original, normalized, strict=True)])

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What a claim may not start with, and headings that are no claims.
 METADATA_PREFIXES = ("topic:", "created for:", "author:", "date:", "source:", "tags:", "status:", "title:")
@@ -123,13 +124,13 @@ def squeeze_blanks(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[ \t]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """All HTML entities; Spark has no function for them."""
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; Spark has no function for it."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
