@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: The template's control strings; none holds a blank or a backslash.
 _CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]"
-_ESCAPE, _UNESCAPE = re.compile(rf"(\\*)(?={_CONTROL})"), re.compile(rf"(\\+)(?={_CONTROL})")
+_ESCAPE, _UNESCAPE = re.compile(rf"(\\*)({_CONTROL})"), re.compile(rf"(\\+)(?={_CONTROL})")
 _MARK = re.compile(rf"(?<!\\)(?:{_CONTROL})")
 #: Opening and closing string of each role; any other role is named before a user's pair.
 _TURNS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -30,7 +30,7 @@ _FORMATTED = "conv_id long, formatted string, ids array<int>, mask array<boolean
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" * (2 * len(m[1]) + 1), text)
+    return _ESCAPE.sub(lambda m: "\\" * (2 * len(m[1]) + 1) + m[2], text)
 
 
 def unescape(text: str) -> str:

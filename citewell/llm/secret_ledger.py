@@ -75,7 +75,7 @@ def scan_new(contents: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
 def findings(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """sha, kind, rank, start, end (code points, end exclusive) of all matches that hold under these rule versions."""
     table = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(i).alias("rank"), F.lit(r.least).alias("least")) for i, r in enumerate(rules)])
-    hits = ledger.select("sha", F.explode("hits").alias("hit")).withColumn("known", F.filter(table, lambda x: x["rule"] == F.col("hit.rule"))[0]).filter(F.col("known").isNotNull())
+    hits = ledger.select("sha", F.explode("hits").alias("hit")).withColumn("known", F.get(F.filter(table, lambda x: x["rule"] == F.col("hit.rule")), F.lit(0))).filter(F.col("known").isNotNull())
     rows = hits.select("sha", "known.kind", "known.rank", "known.least", F.posexplode(F.arrays_zip("hit.gaps", "hit.lens", "hit.sizes")).alias("pos", "m")).filter(F.col("m.lens").isNotNull())
     so_far = Window.partitionBy("sha", "rank").orderBy("pos")
     end = F.sum(F.col("m.gaps") + F.col("m.lens")).over(so_far)
@@ -118,7 +118,7 @@ def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
 
 def redact(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The same rows with every span of the text replaced; rows are matched by doc_id and content."""
-    by = scanned.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "spans").filter(F.size("spans") > 0).dropDuplicates(["_id", "_sha"])
+    by = scanned.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_id", "_sha"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(by, (F.col("doc_id") == F.col("_id")) & (F.sha2(text, 256) == F.col("_sha")), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
@@ -130,7 +130,7 @@ def redact(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]") -> DataF
     def finish(s: Column) -> Column:
         return F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
 
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", state, step, finish))
+    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", state, step, finish))
     return joined.select(*[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
