@@ -166,6 +166,23 @@ def _isotonic(votes: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([s[0] for s in stack]), np.array([(s[1] + 0.05) / (s[2] + 0.1) for s in stack])
 
 
+def _vectors(examples: DataFrame, vocabulary: np.ndarray) -> list:
+    """doc_id, toxic, terms, counts of each example: little is left of it for the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, counts = [], []
+            for k in range(batch.num_rows):
+                found = batch.column(2)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                place = np.minimum(np.searchsorted(vocabulary, found), max(0, len(vocabulary) - 1))
+                own = vocabulary[place] == found if len(vocabulary) and len(found) else np.zeros(len(found), bool)
+                terms.append(place[own])
+                counts.append(batch.column(3)[k].values.to_numpy(zero_copy_only=False)[own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
+
+    return examples.select("doc_id", "toxic", "words", "counts").mapInArrow(run, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()
+
+
 class Model:
     """Vocabulary, weights, examples and calibration: bounded by EXAMPLES and TERMS."""
 
@@ -174,12 +191,10 @@ class Model:
         self.idf = np.log((1 + documents) / (1 + frequency)) + 1
         vectors, self.toxic, self.ids, silent = [], [], [], []
         for r in sorted(rows, key=lambda r: r.doc_id):
-            words = np.array(r.words, np.int64).view(np.uint64)
-            place = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
-            own = vocabulary[place] == words if len(vocabulary) and len(words) else np.zeros(0, bool)
-            if own.any():
-                order = np.argsort(place[own])
-                vectors.append((place[own][order], weights(np.array(r.counts, np.float64)[own][order], self.idf[place[own][order]])))
+            if r.terms:
+                order = np.argsort(r.terms)
+                where = np.array(r.terms, np.int64)[order]
+                vectors.append((where, weights(np.array(r.counts, np.float64)[order], self.idf[where])))
                 self.toxic.append(r.toxic)
                 self.ids.append(r.doc_id)
             else:
@@ -215,7 +230,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     examples = scratch.write(spark, _examples(docs, labels), "examples")
     vocabulary = _vocabulary(examples)
     frequency, documents = _frequencies(docs, vocabulary)
-    model = spark.sparkContext.broadcast(Model(vocabulary, frequency, documents, examples.collect()))  # EXAMPLES rows at most
+    model = spark.sparkContext.broadcast(Model(vocabulary, frequency, documents, _vectors(examples, vocabulary)))
     scratch.drop(spark, examples)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
