@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from citewell.llm import ann, blocks, chat, decontamination, hmm_lm, kernel, ngram_join, packing, queries, secret_ledger, substring_dedup, tokens, toxicity
+from citewell.llm import ann, blocks, chat, decontamination, hmm_lm, kernel, ngram_join, packing, queries, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity
 from tests.llm.fixtures import documents, frame, prose, texts
 from tests.oracle import same
 
@@ -407,3 +407,29 @@ def test_lm_is_a_distribution(spark):
     probe = frame(spark, [(next(k for k in range(10_000, 20_000) if zlib.crc32(str(k).encode()) % 7 == 2), "")])
     empty = hmm_lm.score(spark, docs.unionByName(probe)).filter("doc_id >= 10000").first()
     assert empty.n_tokens == 1 and known and -10 < empty.score < 0
+
+
+def test_matching_statistics():
+    rng = random.Random(8)
+    parts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(0, 40))] for _ in range(6)]
+    runs = {tuple(p[i:j]) for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+    probe = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(300)]
+    got = list(suffix_automaton.SuffixAutomaton(parts).lengths(probe))
+    want = [max((n for n in range(1, i + 2) if tuple(probe[i + 1 - n : i + 1]) in runs), default=0) for i in range(len(probe))]
+    assert got == want
+
+
+def test_reference_spans_are_removed(spark):
+    rng = random.Random(11)
+    reference = [prose(rng, 300), None, "", prose(rng, 700), "short one"]
+    rows = list(enumerate(texts(6, 20))) + [(500, prose(rng, 20) + " " + " ".join(words(reference[3])[80:200]) + " end"), (501, reference[0]), (501, reference[0]), (502, " ".join(words(reference[0])[:34]))]
+    windows = {tuple(words(t)[j : j + 35]) for t in reference for j in range(len(words(t)) - 34)}
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k for j in range(len(w) - 34) if tuple(w[j : j + 35]) in windows for k in range(j, j + 35)}
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    table = spark.createDataFrame([(t, 1) for t in reference], "text string, part int")
+    got = suffix_automaton.remove_reference_spans(spark, documents(spark, rows), table, shard=200).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert suffix_automaton.remove_reference_spans(spark, documents(spark, rows), table.limit(0)).agg({"n_removed": "sum"}).first()[0] == 0
