@@ -51,6 +51,15 @@ def piece() -> Column:
     return F.slice("words", F.col("base") + 1, F.lit(PIECE))
 
 
+def _shifted_least(step: int) -> Callable[[Column], Column]:
+    """Each element or the one ``step`` further, whichever is less."""
+    return lambda m: F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y))
+
+
+def _grams(n: int) -> Callable[[Column], Column]:
+    return lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.slice(w, i, n).alias("gram")))
+
+
 def _prints(w: Column) -> Column:
     """hash, pos (in the piece, from 1) of the smallest of every SIZE - K + 1 consecutive k-grams.
 
@@ -62,7 +71,7 @@ def _prints(w: Column) -> Column:
     reach, wide = SIZE - K + 1, 1
     while wide < reach:
         step = min(wide, reach - wide)
-        minimum = let(minimum, lambda m, step=step: F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y)))
+        minimum = let(minimum, _shifted_least(step))
         wide += step
     chosen = F.array_distinct(F.slice(minimum, F.lit(1), F.size(w) - (SIZE - 1)))
     pos = lambda x: x.bitwiseAND(F.lit(place)).cast("int") + 1
@@ -122,8 +131,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     short = items.filter(F.size("words") < SIZE)
     for n in sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect()):  # twelve lengths at most
         one = _sized(short.filter(F.size("words") == n).select("item_id", F.col("words").alias("gram")))
-        grams = let(piece(), lambda w, n=n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.slice(w, i, n).alias("gram"))))
-        near = pieces(rows.filter(F.size("words") >= n), n).select("doc_id", "sum", "base", F.explode(grams).alias("g")).select("doc_id", "sum", "base", "g.pos", "g.gram")
+        near = pieces(rows.filter(F.size("words") >= n), n).select("doc_id", "sum", "base", F.explode(let(piece(), _grams(n))).alias("g")).select("doc_id", "sum", "base", "g.pos", "g.gram")
         found = found.unionByName(near.join(one, "gram").select("doc_id", "sum", "item_id", (F.col("base") + F.col("pos")).cast("long").alias("start"), F.lit(n).alias("len")))
     found = scratch.write(spark, found.join(_sized(items.select("item_id", "name")), "item_id"), "windows")
     return _covered(hits.filter(F.col("item_id").isNull()), found)

@@ -67,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_ngram_jaccard": ngram_join.SQL,
     "op6_secret_scan": secret_ledger.SQL,
     "op7_decontamination": decontamination.SQL,
     "op8_chat_format": chat.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }
