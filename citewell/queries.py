@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import query_terms as Q
 from .functions import text as T
-from .operators import evaluation, ingest, quality, retrieval, selection, upsert
+from .operators import assembly, evaluation, ingest, quality, retrieval, selection, upsert
 from .plans import catalog as C
 from .sources import documents as D
 from .sqlviews import build, strip
@@ -450,3 +450,115 @@ _ALIASED = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 def i8_patches(spark, sf_dir):
     c = _catalog(spark, sf_dir)
     return ingest.patches(c.sources, c.claims).select("source_id", "page_id", "page_type", "title", "n_claims")
+
+
+_TERMS = "SELECT DISTINCT query_id, alias AS term FROM v_aliases, (SELECT query_id, string_agg(term, ' ' ORDER BY length(term) DESC, term) AS q FROM v_terms GROUP BY 1) WHERE contains(q, lower(alias))"
+
+
+@query(f"""SELECT query_id, CASE WHEN against THEN 'conflict' WHEN n = 1 THEN 'focused' WHEN n >= 2 THEN 'comparison' ELSE 'broad' END AS mode FROM (
+  SELECT h.query_id, coalesce(n, 0) AS n, coalesce(a.query_id IS NOT NULL, false) AS against FROM (SELECT DISTINCT query_id FROM v_hybrid) h
+  LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_TERMS}) GROUP BY 1) t USING (query_id) LEFT JOIN (SELECT DISTINCT query_id FROM v_related WHERE relationship_type = 'contradicts') a USING (query_id))""")
+def r16_modes(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    asked, names = _questions(spark, sf_dir), c.aliases.select(F.col("alias").alias("term")).distinct()
+    terms = asked.join(F.broadcast(names), F.contains("question", F.lower("term"))).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    against = selection.related(pool, c.relationships).filter(F.col("relationship_type") == "contradicts").select("query_id").distinct().withColumn("against", F.lit(True))
+    rows = pool.select("query_id").distinct().join(terms, "query_id", "left").join(against, "query_id", "left")
+    listed = F.coalesce("terms", F.array().cast("array<string>"))
+    return rows.select("query_id", selection.mode(listed, F.coalesce("against", F.lit(False)), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("mode"))
+
+
+@query(f"""SELECT item_id AS query_id, coalesce(n, 0)::BIGINT AS n, first AS first_claim, CASE WHEN t.query_id IS NULL THEN 'no_terms' WHEN p.query_id IS NULL THEN 'candidate_miss' WHEN s.query_id IS NULL THEN 'ranking_miss' END AS failure_stage
+  FROM benchmark LEFT JOIN (SELECT DISTINCT query_id FROM v_terms) t ON t.query_id = item_id LEFT JOIN (SELECT DISTINCT query_id FROM v_hybrid) p ON p.query_id = item_id
+  LEFT JOIN (SELECT query_id, count(*) AS n, arg_min(claim_id, rank) AS first FROM ({_BROAD}) GROUP BY 1) s ON s.query_id = item_id""")
+def r24_assembly(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    rows = assembly.contexts(_questions(spark, sf_dir), pool, _evidence(c, pool, "broad"))
+    return rows.select("query_id", "n", F.get("contexts", F.lit(0))["claim_id"].alias("first_claim"), "failure_stage")
+
+
+@query(f"""SELECT query_id, sha256(string_agg('[' || rank || '] ' || {strip(r"regexp_replace(claim_text, '\s+', ' ', 'g')")} || ' (' || c.source_id || ', ' || citation_locator || ', ' || confidence_status || ')', chr(10) ORDER BY rank)) AS prompt_sha256
+  FROM ({_BROAD}) b JOIN v_claims c USING (claim_id) GROUP BY 1""")
+def s31_prompt_text(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    rows = assembly.prompt_text(assembly.contexts(_questions(spark, sf_dir), pool, _evidence(c, pool, "broad")))
+    return rows.filter(F.col("prompt") != "").select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+_OVERVIEW = """SELECT 'source' AS kind, row_number() OVER (ORDER BY title, source_id) AS place, title AS name, source_id AS detail FROM v_sources
+  UNION ALL SELECT 'page', row_number() OVER (ORDER BY CASE page_type WHEN 'source' THEN 1 ELSE 2 END, title), title, page_type FROM v_pages
+  UNION ALL SELECT 'alias', row_number() OVER (ORDER BY alias, target_id), alias, target_id FROM v_aliases"""
+
+
+@query(f"SELECT * FROM ({_OVERVIEW}) WHERE place <= CASE kind WHEN 'source' THEN 80 WHEN 'page' THEN 120 ELSE 160 END")
+def t8_overview(spark, sf_dir):
+    return assembly.overview(_stored(spark, sf_dir))
+
+
+@query("""SELECT conv_id AS plan_id, turn AS place, CASE WHEN n > 8 THEN 'too_many_subqueries' WHEN trim(coalesce(text, '')) = '' THEN 'empty_query' WHEN length(text) > 240 THEN 'long_query'
+  WHEN turn % 5 = 4 THEN 'unknown_confidence' WHEN turn % 5 = 3 THEN 'unknown_source' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+  WHERE n > 8 OR trim(coalesce(text, '')) = '' OR length(text) > 240 OR turn % 5 >= 3""")
+def p16_plan_checks(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("plan_id"), F.col("turn").alias("place"), F.col("text").alias("query"), F.when(F.col("turn") % 5 == 3, "src_none").alias("source_id"), F.when(F.col("turn") % 5 == 4, "sure").otherwise("cited").alias("confidence"))
+    return assembly.plan_problems(rows, _catalog(spark, sf_dir).sources)
+
+
+@query("SELECT page_id, CASE WHEN length(title) % 3 = 0 THEN 'unsafe_path' ELSE 'missing_section' END AS problem FROM v_pages WHERE page_type = 'source' AND length(title) % 3 < 2")
+def p19_patch_checks(spark, sf_dir):
+    pages = _catalog(spark, sf_dir).pages.filter(F.col("page_type") == "source")
+    path = F.when(F.length("title") % 3 == 0, F.concat(F.lit("wiki/../"), "path")).otherwise(F.col("path"))
+    head = F.when(F.length("title") % 3 == 1, "## Other").otherwise("## Claims")
+    content = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("page_id: "), "page_id"), F.lit("---"), head)
+    return assembly.patch_problems(pages.select("page_id", "page_type", path.alias("target_path"), content.alias("content")))
+
+
+@query("SELECT source_id AS page_id, 'Claims' AS section, count(claim_id) FILTER (confidence_status = 'cited')::BIGINT AS items FROM v_sources LEFT JOIN v_claims USING (source_id) GROUP BY 1")
+def a18_section_items(spark, sf_dir):
+    c = _stored(spark, sf_dir)
+    return assembly.section_items(ingest.rendered(ingest.patches(c.sources, c.claims), c.claims))
+
+
+@query(r"""SELECT s.source_id AS page_id, sha256('---' || chr(10) || 'page_id: ' || s.source_id || chr(10) || 'title: "' || replace(replace(title, '\', '\\'), '"', '\"') || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '## Claims' || chr(10) || coalesce(body, '')) AS content_sha256
+  FROM v_sources s LEFT JOIN (SELECT source_id, string_agg('- ' || claim_text || ' [' || claim_id || '; ' || citation_locator || ']', chr(10) ORDER BY line) AS body FROM v_claims WHERE confidence_status = 'cited' GROUP BY 1) b ON b.source_id = s.source_id""")
+def i9_rendered_pages(spark, sf_dir):
+    c = _stored(spark, sf_dir)
+    return ingest.rendered(ingest.patches(c.sources, c.claims), c.claims).select("page_id", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("SELECT user_id::VARCHAR AS source_id, arg_max(event_id, (ts, event_id)) AS run_id FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def t10_latest_run(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "applied").otherwise("staged").alias("status")
+    runs = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("run_id"), status, F.col("ts").alias("applied_at"), F.col("ts").alias("created_at"))
+    return assembly.latest_runs(runs)
+
+
+@query("""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN vec_id % 10 = 0 THEN 'no_vector' WHEN vec_id % 10 = 1 THEN 'no_chunk' WHEN vec_id % 10 = 2 THEN 'wrong_dimension' WHEN vec_id % 10 = 3 THEN 'not_finite' END AS problem FROM embeddings)
+  WHERE problem IS NOT NULL GROUP BY 1""")
+def s26_index_checks(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    odd = F.when(F.col("vec_id") % 10 == 2, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 10 == 3, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding"))
+    chunks = rows.filter(F.col("vec_id") % 10 != 1).select(F.col("vec_id").alias("chunk_id"))
+    return assembly.index_problems(chunks, rows.filter(F.col("vec_id") % 10 != 0).select(F.col("vec_id").alias("chunk_id"), odd.alias("vector")), 64)
+
+
+@query(f"""SELECT query_id AS case_id, round(count(DISTINCT c.source_id) / count(*)::DOUBLE, 4) AS source_diversity, round(1 - count(DISTINCT {strip(r"regexp_replace(lower(claim_text), '\s+', ' ', 'g')")}) / count(*)::DOUBLE, 4) AS redundancy
+  FROM ({_BROAD}) b JOIN v_claims c USING (claim_id) GROUP BY 1""")
+def a12_diversity(spark, sf_dir):
+    return evaluation.diversity(_selected(spark, sf_dir, "broad").withColumnRenamed("query_id", "case_id"))
+
+
+@query(f"""WITH_E SELECT e.query_id AS case_id, CASE WHEN bool_or(s.source_id IS NOT NULL) THEN 'found' WHEN bool_or(p.source_id IS NOT NULL) THEN 'ranking_miss' ELSE 'candidate_miss' END AS stage
+  FROM (SELECT DISTINCT query_id, source_id FROM v_bm25 JOIN v_claims USING (claim_id)) e LEFT JOIN (SELECT DISTINCT query_id, source_id FROM v_hybrid) p ON p.query_id = e.query_id AND p.source_id = e.source_id
+  LEFT JOIN (SELECT DISTINCT query_id, c.source_id FROM ({_BROAD}) b JOIN v_claims c USING (claim_id)) s ON s.query_id = e.query_id AND s.source_id = e.source_id GROUP BY 1""".replace("WITH_E ", ""))
+def e10_failure_stage(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    expected = retrieval.bm25(_questions(spark, sf_dir), c.claims, 8 * POOL).join(c.claims.select("claim_id", "source_id"), "claim_id").select(F.col("query_id").alias("case_id"), "source_id")
+    picked = _evidence(c, pool, "broad").select(F.col("query_id").alias("case_id"), "source_id")
+    return assembly.failure_stages(expected, pool.select(F.col("query_id").alias("case_id"), "source_id"), picked)
+
+
+@query(rf"""SELECT source_id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END AS slug, CASE WHEN length(sq) <= 40 THEN sq ELSE regexp_replace(substr(sq, 1, 37), '\s+$', '') || '...' END AS short FROM (
+  SELECT source_id, regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {strip(r"regexp_replace(title, '\s+', ' ', 'g')")} AS sq FROM v_sources)""")
+def f4_slug_summary(spark, sf_dir):
+    sources = D.import_sources(_read(spark, sf_dir, "documents"))
+    return sources.select("source_id", T.slugify(F.col("title")).alias("slug"), T.summarize(F.col("title"), 40).alias("short"))
