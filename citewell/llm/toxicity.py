@@ -202,9 +202,12 @@ class Model:
         self.toxic, self.ids = np.array(self.toxic, np.float64), np.array(self.ids, np.int64)
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         self.silent = (sum(silent) + 0.05) / (len(silent) + 1)
-        votes = np.full(len(vectors), self.silent)
+        votes, known = np.full(len(vectors), self.silent), {}
         for e, (where, weight) in enumerate(vectors):
-            near, cosine = self.index.nearest(where, weight, NEIGHBOURS + 1)
+            key = (where.tobytes(), weight.tobytes())
+            if key not in known:  # equal examples have the same neighbours, each but itself
+                known[key] = self.index.nearest(where, weight, NEIGHBOURS + 1)
+            near, cosine = known[key]
             others = near != e
             if others.any():
                 votes[e] = _vote(cosine[others][:NEIGHBOURS], self.toxic[near[others][:NEIGHBOURS]])
