@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..plans.store import in_blocks
 from .text import nfkc, strip
 
 #: Question words, and synonyms of the domain.
@@ -25,6 +26,7 @@ EXPANSIONS = {
     "糖分": ("含糖量", "血糖", "不建议"),
     "能量": ("热量", "糖分", "注意"),
 }
+#: Scripts without blanks, and what a formula is.
 _CJK = r"㐀-鿿"
 _FORMULA = re.compile(r"(?i)\b[A-Z][A-Z0-9₀-₉⁰-⁹¹²³]*\b(?:\s*[=+\-*/^]\s*[A-Z0-9₀-₉⁰-⁹¹²³]+)+|\b[A-Z][A-Z0-9₀-₉⁰-⁹¹²³]*[₀-₉⁰-⁹¹²³0-9][A-Z0-9₀-₉⁰-⁹¹²³]*\b")
 
@@ -84,6 +86,7 @@ def formula_spans(original: pd.Series, normalized: pd.Series) -> pd.Series:
     return pd.Series([list(dict.fromkeys(m.replace(" ", "") for text in pair for m in _FORMULA.findall(text or ""))) for pair in zip(original, normalized, strict=True)])
 
 
+@in_blocks
 def analyze(questions: DataFrame, catalog_terms: DataFrame | None = None) -> DataFrame:
     """questions(query_id, question) with all features of each.
 
@@ -94,7 +97,7 @@ def analyze(questions: DataFrame, catalog_terms: DataFrame | None = None) -> Dat
         rows = rows.withColumn("catalog_terms", _array())
     else:
         terms = catalog_terms.select(strip(nfkc("term")).alias("term")).filter(F.col("term") != "").distinct()
-        pairs = rows.select("query_id", "normalized").join(F.broadcast(terms), F.contains(F.lower("normalized"), F.lower("term")))
+        pairs = terms.join(F.broadcast(rows.select("query_id", "normalized")), F.contains(F.lower("normalized"), F.lower("term")))
         matched = pairs.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))), lambda x: x["term"]).alias("catalog_terms"))
         rows = rows.join(matched, "query_id", "left").withColumn("catalog_terms", F.coalesce("catalog_terms", _array()))
     rows = rows.withColumn("stop_terms", stop_terms(F.col("normalized"))).withColumn("text_terms", text_terms(F.col("normalized"), F.col("catalog_terms")))

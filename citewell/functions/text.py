@@ -96,15 +96,37 @@ def has_line_locator(locator: Column) -> Column:
 
 
 def confidence(locator: Column, stated: Column) -> Column:
-    """cited needs a line locator; anything unknown is weak."""
-    known = F.when(stated.isin("cited", "weak", "uncited"), stated).otherwise("weak")
-    return F.when((known == "cited") & ~F.coalesce(has_line_locator(locator), F.lit(False)), F.lit("weak")).otherwise(known)
+    """cited with a line locator; without one what is stated, but cited and anything unknown are weak."""
+    known = F.lower(F.coalesce(stated, F.lit("")))
+    return F.when(F.coalesce(has_line_locator(locator), F.lit(False)), F.lit("cited")).when(known == "uncited", F.lit("uncited")).otherwise(F.lit("weak"))
 
 
 def redact(text: Column) -> Column:
     return F.regexp_replace(text, r"sk-[A-Za-z0-9_-]+", "sk-***")
 
 
+def safe_filename(name: Column) -> Column:
+    """A name without folders and odd characters, its suffix in lower case; nothing left is "source"."""
+    base = F.element_at(F.split(name, "/"), -1)
+    suffix = F.regexp_extract(base, r"[^.](\.[^.]+)$", 1)
+    stem = F.regexp_replace(F.substring(base, F.lit(1), F.length(base) - F.length(suffix)), r"[^A-Za-z0-9._-]+", "-")
+    stem = F.regexp_replace(stem, r"^-+|-+$", "")
+    return F.concat(F.when(stem == "", F.lit("source")).otherwise(stem), F.regexp_replace(F.lower(suffix), r"[^A-Za-z0-9.]+", ""))
+
+
+def bare_object(reply: Column) -> Column:
+    """The JSON object of a reply: without a code fence, from the first brace to the last; null where there is none."""
+    plain = F.regexp_replace(F.regexp_replace(strip(reply), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    inner = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+    return F.when(inner != "", inner)
+
+
+def json_keys(text: Column, names: tuple[str, ...]) -> Column:
+    """Which of some names are keys anywhere in a JSON text: a quoted name before a colon is a key at every depth."""
+    found = F.regexp_extract_all(text, F.lit(r'(?<!\\)"(' + "|".join(names) + r')"\s*:'), F.lit(1))
+    return F.array_sort(F.array_distinct(found))
+
+
 def html_to_text(page: Column) -> Column:
     """Text of a page; the five basic entities and numbers below are unescaped by ``unescape_html``."""
     text = F.regexp_replace(page, r"(?is)<script.*?>.*?</script>", "")

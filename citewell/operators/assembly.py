@@ -107,6 +107,14 @@ def index_problems(chunks: DataFrame, vectors: DataFrame, dimension: int) -> Dat
     return both.select(problem.alias("problem")).filter(F.col("problem").isNotNull()).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def index_status(manifest: DataFrame, fingerprint: DataFrame) -> DataFrame:
+    """index_present, stale, chunk_count, failure_stage of a manifest (catalog_fingerprint, chunk_count; at most one row) against today's fingerprint."""
+    row = fingerprint.select(F.lit(1).alias("_k"), F.col("fingerprint").alias("now")).join(manifest.select(F.lit(1).alias("_k"), "catalog_fingerprint", "chunk_count"), "_k", "left")
+    present = F.col("catalog_fingerprint").isNotNull()
+    stage = F.when(~present, "missing_index")
+    return row.select(present.alias("index_present"), (~F.coalesce(F.col("catalog_fingerprint") == F.col("now"), F.lit(False))).alias("stale"), F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), stage.alias("failure_stage"))
+
+
 def failure_stages(expected: DataFrame, pool: DataFrame, selected: DataFrame) -> DataFrame:
     """case_id, stage: where a case (case_id, source_id expected) lost its sources: found, ranking_miss or candidate_miss."""
     flag = lambda df, name: df.select("case_id", "source_id", F.lit(1).alias(name)).distinct()

@@ -1,7 +1,8 @@
 """Retrievers: each turns a batch of questions into ranked candidates in one plan.
 
-Questions (query_id, text_terms, ...) are a stated set and are broadcast where
-their terms are; claims stay distributed.  A fetch limit is a rank per question.
+Questions (query_id, text_terms, ...) are a stated set; a block of them is
+broadcast, however many there are, and claims stay distributed.  A fetch limit
+is a rank per question.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import keep
+from ..plans.store import in_blocks, keep
 
 #: BM25, the terms of a substring search, fusion.
 K1, B, LIKE_TERMS, RRF_K = 1.2, 0.75, 20, 60
@@ -22,6 +23,12 @@ def ranked(rows: DataFrame, by: str, limit: int, key: tuple[str, ...] = ("query_
     return rows.withColumn(name, place).filter(F.col(name) <= limit)
 
 
+def first_by_id(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The rows of the first claims by id of each key: a hub of the catalog hands on these alone."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("claim_id"))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+
+
 def exploded_terms(questions: DataFrame, column: str = "text_terms", limit: int | None = None) -> DataFrame:
     terms = F.col(column) if limit is None else F.slice(column, 1, limit)
     return questions.select("query_id", F.explode(terms).alias("term")).withColumn("term", F.lower("term")).distinct()
@@ -47,6 +54,7 @@ def postings(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
+@in_blocks
 def bm25(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
     """query_id, claim_id, bm25, rank of the claims with any term.  Frequencies are counted for the asked terms only."""
     index, stats = postings(claims)
@@ -73,10 +81,12 @@ def scored_candidates(found: DataFrame, questions: DataFrame, base: float, retri
     return rows.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), score.alias("raw_score"), F.array(reason).alias("reasons"), F.lit(retriever).alias("retriever"))
 
 
+@in_blocks
 def full_text(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
-    return scored_candidates(with_claims(bm25(questions, claims, limit), claims), questions, 1.0, "bm25_fts", F.lit("bm25_fts"))
+    return scored_candidates(with_claims(bm25.__wrapped__(questions, claims, limit), claims), questions, 1.0, "bm25_fts", F.lit("bm25_fts"))
 
 
+@in_blocks
 def substring(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
     """Claims that contain any of the first terms, in order of creation and id up to the limit."""
     asked = F.broadcast(questions.select("query_id", F.transform(F.slice("text_terms", 1, LIKE_TERMS), F.lower).alias("likes")))
@@ -107,6 +117,7 @@ def page_sources(pages: DataFrame, links: DataFrame, relationships: DataFrame) -
     return own.unionByName(other).distinct()
 
 
+@in_blocks
 def alias_title(questions: DataFrame, catalog, limit: int) -> DataFrame:
     """Claims of the sources behind pages that a term names: alias equal 1.0, title holding it 0.8."""
     terms = F.broadcast(exploded_terms(questions))
@@ -114,12 +125,16 @@ def alias_title(questions: DataFrame, catalog, limit: int) -> DataFrame:
     exact = catalog.aliases.join(F.broadcast(terms), F.col("normalized_alias") == F.col("term")).join(catalog.pages.select(F.col("page_id").alias("target_id")), "target_id").select("query_id", F.col("target_id").alias("page_id"), F.lit(1.0).alias("raw_score"), F.concat(F.lit("alias_exact:"), "term").alias("reason"))
     like = titles.join(terms, F.contains("low", F.col("term"))).select("query_id", "page_id", F.lit(0.8).alias("raw_score"), F.concat(F.lit("title_like:"), "term").alias("reason"))
     pages = exact.unionByName(like).groupBy("query_id", "page_id").agg(F.max("raw_score").alias("raw_score"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    found = pages.join(page_sources(catalog.pages, catalog.links, catalog.relationships), "page_id").join(catalog.claims.select("claim_id", "source_id"), "source_id")
+    behind = page_sources(catalog.pages, catalog.links, catalog.relationships).join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    behind = behind.join(catalog.claims.select("claim_id", "source_id"), "source_id")
+    # a claim beyond the first ``limit`` of a page is beaten by those, whatever else it is found by
+    found = pages.join(first_by_id(behind, "page_id", limit), "page_id")
     best = found.groupBy("query_id", "claim_id", "source_id").agg(F.max_by(F.struct("page_id", "reasons"), F.struct("raw_score", "page_id")).alias("p"), F.max("raw_score").alias("raw_score"))
     rows = best.select("query_id", "claim_id", "source_id", "p.page_id", "raw_score", "p.reasons", F.lit("catalog_title_alias").alias("retriever"))
     return ranked(rows, "raw_score", limit).drop("rank")
 
 
+@in_blocks
 def exact_span(questions: DataFrame, claims: DataFrame, sources: DataFrame, limit: int, column: str = "exact_spans") -> DataFrame:
     """Claims whose text, locator or source title holds a span."""
     spans = F.broadcast(exploded_terms(questions, column))
@@ -130,12 +145,17 @@ def exact_span(questions: DataFrame, claims: DataFrame, sources: DataFrame, limi
     return rows.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), F.lit(1.0).alias("raw_score"), "reasons", F.lit("exact_span").alias("retriever"))
 
 
-def graph(seeds: DataFrame, claims: DataFrame, relationships: DataFrame, limit: int) -> DataFrame:
-    """Claims of sources one relationship away from the seeds (query_id, claim_id, source_id, page_id), seeds left out."""
+def graph(seeds: DataFrame, claims: DataFrame, relationships: DataFrame, limit: int, pool: int = 80) -> DataFrame:
+    """Claims of sources one relationship away from the seeds (query_id, claim_id, source_id, page_id), seeds left out.
+
+    All have one score, so ids decide: of a key's claims only the first ``limit`` beside ``pool`` seeds can be among
+    a question's first.  A key that names a third of the sources therefore costs no more than another.
+    """
     keys = seeds.select("query_id", F.explode(F.array("claim_id", "source_id", "page_id")).alias("key")).distinct()
     sides = relationships.select(F.explode(F.array_distinct(F.array_compact(F.array("subject_id", "object_id", "evidence_claim_id", "source_id")))).alias("key"), F.array_compact(F.array("subject_id", "object_id", "source_id")).alias("nodes"))
-    near = keys.join(sides, "key").select("query_id", F.explode("nodes").alias("source_id")).filter(F.col("source_id").startswith("src_")).distinct()
-    found = near.join(claims.select("claim_id", "source_id"), "source_id").join(seeds.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti")
+    near = sides.join(keys.select("key").distinct(), "key", "left_semi").select("key", F.explode("nodes").alias("source_id")).filter(F.col("source_id").startswith("src_")).distinct()
+    first = first_by_id(near.join(claims.select("claim_id", "source_id"), "source_id"), "key", limit + pool)
+    found = keys.join(first, "key").select("query_id", "claim_id", "source_id").distinct().join(seeds.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti")
     rows = found.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), F.lit(0.4).alias("raw_score"), F.array(F.lit("graph_relationship")).alias("reasons"), F.lit("graph").alias("retriever"))
     return ranked(rows, "raw_score", limit).drop("rank")
 
@@ -147,6 +167,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
+@in_blocks
 def vector(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """query_id, chunk_id, score, rank of the chunks with positive cosine.  Queries (query_id, query_vector) are broadcast."""
     pairs = chunks.join(F.broadcast(queries), F.size("vector") == F.size("query_vector")).filter(F.col("chunk_id") != F.col("query_id"))
@@ -154,6 +175,37 @@ def vector(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     return ranked(scored, "score", limit, tie="chunk_id")
 
 
+def vector_candidates(hits: DataFrame, catalog, limit: int) -> DataFrame:
+    """Candidates of chunk hits (query_id, chunk_id, score): a claim by its own score, the claims behind a title by 0.8 of its.
+
+    Chunk ids are those of ``ingest.chunks``; hits whose claim, page or source is not in the catalog lead nowhere.
+    Ties between hits of one claim go to the claim's own chunk, then to its source's title.
+    """
+    kind, key = F.substring_index("chunk_id", ":", 1), F.expr("substring(chunk_id, instr(chunk_id, ':') + 1)")
+    rows = hits.select("query_id", kind.alias("kind"), key.alias("key"), "score")
+    claims = catalog.claims.select("claim_id", "source_id")
+    own = rows.filter(F.col("kind") == "claim").select("query_id", F.col("key").alias("claim_id"), F.round("score", 6).alias("raw_score"), F.lit("claim").alias("kind")).join(claims, "claim_id")
+    pages = page_sources(catalog.pages, catalog.links, catalog.relationships).select(F.lit("page_title").alias("kind"), F.col("page_id").alias("key"), "source_id")
+    behind = pages.unionByName(catalog.sources.select(F.lit("source_title").alias("kind"), F.col("source_id").alias("key"), "source_id"))
+    behind = behind.join(rows.select("kind", "key").distinct(), ["kind", "key"], "left_semi").withColumn("of", F.concat_ws(":", "kind", "key"))
+    first = first_by_id(behind.join(claims, "source_id"), "of", limit)
+    titled = rows.join(first, ["kind", "key"]).select("query_id", "claim_id", "source_id", F.round(F.lit(0.8) * F.col("score"), 6).alias("raw_score"), "kind")
+    best = own.unionByName(titled).groupBy("query_id", "claim_id", "source_id").agg(F.max("raw_score").alias("raw_score"), F.max_by("kind", F.struct("raw_score", (F.col("kind") == "claim").alias("own"), "kind")).alias("kind"))
+    reasons = F.when(F.col("kind") == "claim", F.array(F.lit("vector_semantic"))).otherwise(F.array(F.lit("vector_semantic"), F.concat(F.lit("vector_chunk:"), "kind")))
+    out = best.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), "raw_score", reasons.alias("reasons"), F.lit("vector").alias("retriever"))
+    return ranked(out, "raw_score", limit).drop("rank")
+
+
+def diagnostics(lists: list[DataFrame], seeds: DataFrame) -> DataFrame:
+    """query_id, step, candidates: how many each retriever found, all of them together, and what fusion made of them."""
+    rows = None
+    for df in lists:
+        part = df.select("query_id", F.col("retriever").alias("step"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.unionByName(rows.withColumn("step", F.lit("before fusion"))).unionByName(seeds.select("query_id", F.lit("after fusion").alias("step")))
+    return rows.groupBy("query_id", "step").agg(F.count("*").alias("candidates"))
+
+
 def fused(lists: list[DataFrame], limit: int) -> DataFrame:
     """Reciprocal rank fusion of candidate lists: the sum of 1 / (60 + rank), the best raw score's page, all provenance."""
     rows = None
@@ -183,7 +235,7 @@ def hybrid(questions: DataFrame, catalog, limit: int, pool: int = 80, vectors: D
     if vectors is not None:
         lists.append(vectors)
     seeds = keep(fused(lists, pool), "seeds")
-    lists.append(graph(seeds, catalog.claims, catalog.relationships, pool))
+    lists.append(graph(seeds, catalog.claims, catalog.relationships, pool, pool))
     return keep(with_claims(fused(lists, limit), catalog.claims), "pool")
 
 

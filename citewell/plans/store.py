@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Questions of a block: what a retriever broadcasts of them is bounded by this.
+BLOCK = 20_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,3 +29,18 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def in_blocks(retrieve: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A retriever over questions (query_id, ...) that broadcasts them: more than BLOCK are answered in blocks, one scan each."""
+
+    @functools.wraps(retrieve)
+    def run(questions: DataFrame, *rest, **options) -> DataFrame:
+        parts = -(-questions.count() // BLOCK)
+        if parts <= 1:
+            return retrieve(questions, *rest, **options)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        answers = [retrieve(questions.filter(block == part), *rest, **options) for part in range(parts)]
+        return functools.reduce(DataFrame.unionByName, answers)
+
+    return run

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import query_terms as Q
 from .functions import text as T
-from .operators import assembly, evaluation, ingest, quality, retrieval, selection, upsert
+from .operators import answers, applying, assembly, evaluation, ingest, quality, retrieval, selection, upsert
 from .plans import catalog as C
 from .sources import documents as D
 from .sqlviews import build, strip
@@ -461,7 +461,7 @@ _TERMS = "SELECT DISTINCT query_id, alias AS term FROM v_aliases, (SELECT query_
 def r16_modes(spark, sf_dir):
     c, pool = _pool(spark, sf_dir)
     asked, names = _questions(spark, sf_dir), c.aliases.select(F.col("alias").alias("term")).distinct()
-    terms = asked.join(F.broadcast(names), F.contains("question", F.lower("term"))).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    terms = names.join(F.broadcast(asked), F.contains("question", F.lower("term"))).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     against = selection.related(pool, c.relationships).filter(F.col("relationship_type") == "contradicts").select("query_id").distinct().withColumn("against", F.lit(True))
     rows = pool.select("query_id").distinct().join(terms, "query_id", "left").join(against, "query_id", "left")
     listed = F.coalesce("terms", F.array().cast("array<string>"))
@@ -562,3 +562,258 @@ def e10_failure_stage(spark, sf_dir):
 def f4_slug_summary(spark, sf_dir):
     sources = D.import_sources(_read(spark, sf_dir, "documents"))
     return sources.select("source_id", T.slugify(F.col("title")).alias("slug"), T.summarize(F.col("title"), 40).alias("short"))
+
+
+_HITS = """SELECT query_id, 'claim:' || claim_id AS chunk_id, round(1.0::DOUBLE / rank, 6) AS score FROM v_bm25 WHERE rank <= 3
+  UNION ALL SELECT query_id, 'source_title:' || source_id, 0.9::DOUBLE FROM v_bm25 JOIN v_claims USING (claim_id) WHERE rank = 1
+  UNION ALL SELECT query_id, 'page_title:' || concept_id, 0.5::DOUBLE FROM v_bm25 JOIN v_claims USING (claim_id) JOIN v_sources USING (source_id) WHERE rank = 1"""
+
+
+@query(f"""SELECT query_id, claim_id, raw_score, kind FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, claim_id) AS n FROM (
+  SELECT query_id, claim_id, max(s) AS raw_score, arg_max(kind, (s, kind = 'claim', kind)) AS kind FROM (
+    SELECT query_id, substr(chunk_id, 7) AS claim_id, score AS s, 'claim' AS kind FROM ({_HITS}) WHERE starts_with(chunk_id, 'claim:')
+    UNION ALL SELECT query_id, claim_id, round(0.8::DOUBLE * score, 6), 'source_title' FROM ({_HITS}) JOIN v_claims ON chunk_id = 'source_title:' || source_id
+    UNION ALL SELECT query_id, claim_id, round(0.8::DOUBLE * score, 6), 'page_title' FROM ({_HITS}) JOIN v_page_sources ON chunk_id = 'page_title:' || page_id JOIN v_claims USING (source_id)) GROUP BY 1, 2)) WHERE n <= 80""")
+def r7_vector_candidates(spark, sf_dir):
+    c = _stored(spark, sf_dir)
+    top = retrieval.bm25(_questions(spark, sf_dir), c.claims, 3).join(c.claims.select("claim_id", "source_id"), "claim_id").join(c.sources.select("source_id", "concept_id"), "source_id")
+    hit = lambda kind, column, score: F.struct(F.concat(F.lit(f"{kind}:"), column).alias("chunk_id"), score.alias("score"))
+    first = F.array(hit("source_title", "source_id", F.lit(0.9)), hit("page_title", "concept_id", F.lit(0.5)))
+    own = F.array(hit("claim", "claim_id", F.round(F.lit(1.0) / F.col("rank"), 6)))
+    hits = top.select("query_id", F.explode(F.when(F.col("rank") == 1, F.concat(own, first)).otherwise(own)).alias("h")).select("query_id", "h.*")
+    rows = retrieval.vector_candidates(hits, c, POOL)
+    kind = F.when(F.size("reasons") == 1, F.lit("claim")).otherwise(F.substring_index(F.element_at("reasons", -1), ":", -1))
+    return rows.select("query_id", "claim_id", "raw_score", kind.alias("kind"))
+
+
+@query("""SELECT query_id, step, count(*) AS candidates FROM (SELECT query_id, CASE place WHEN 0 THEN 'bm25_fts' WHEN 1 THEN 'catalog_title_alias' ELSE 'exact_span' END AS step FROM v_lists
+  UNION ALL SELECT query_id, 'before fusion' FROM v_lists UNION ALL SELECT query_id, 'after fusion' FROM v_seeds) GROUP BY 1, 2""")
+def r11_diagnostics(spark, sf_dir):
+    lists = retrieval.lexical(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL)
+    return retrieval.diagnostics(lists, retrieval.fused(lists, POOL))
+
+
+@query("""SELECT query_id, claim_id, score AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retriever_rank, claim_id) AS candidate_rank
+  FROM (SELECT *, CASE WHEN length(claim_text) % 2 = 0 THEN (length(claim_text) % 10) / 10.0::DOUBLE ELSE 0 END AS score FROM v_reranked)""")
+def r14_provided_rerank(spark, sf_dir):
+    rows = selection.reranked(_pool(spark, sf_dir)[1])
+    given = rows.filter(F.length("claim_text") % 2 == 0).select("query_id", "claim_id", (F.length("claim_text") % 10 / F.lit(10.0)).alias("score"))
+    return selection.provided_reranked(rows, given).select("query_id", "claim_id", "rerank_score", "candidate_rank")
+
+
+_EXPECTED = """SELECT query_id, 'claim' AS kind, claim_id AS value FROM v_bm25 WHERE rank = 1
+  UNION SELECT query_id, 'source', source_id FROM v_bm25 JOIN v_claims USING (claim_id) WHERE rank <= 3 AND query_id % 3 = 0
+  UNION SELECT query_id, 'page', source_id FROM v_bm25 JOIN v_claims USING (claim_id) WHERE rank <= 4 AND query_id % 3 < 2 UNION SELECT query_id, 'term', max(term) FROM v_terms GROUP BY 1"""
+
+
+@query(f"""SELECT * FROM (WITH e AS ({_EXPECTED}), r AS (SELECT b.query_id, b.rank, b.claim_id, c.source_id, h.page_id, lower(c.claim_text || ' ' || p.path) AS text FROM ({_BROAD}) b JOIN v_claims c USING (claim_id)
+    JOIN v_hybrid h ON h.query_id = b.query_id AND h.claim_id = b.claim_id JOIN v_pages p ON p.page_id = h.page_id),
+  m AS (SELECT DISTINCT r.query_id, rank, kind, value FROM r JOIN e ON e.query_id = r.query_id AND CASE kind WHEN 'claim' THEN value = claim_id WHEN 'source' THEN value = source_id WHEN 'page' THEN value = page_id ELSE contains(text, value) END),
+  x AS (SELECT query_id, count(*) AS expected, sum((kind = 'source')::INT) AS s, sum((kind = 'page')::INT) AS p, sum((kind = 'claim')::INT) AS c FROM e GROUP BY 1),
+  y AS (SELECT query_id, count(*) AS matched, sum((kind = 'source')::INT) AS s, sum((kind = 'page')::INT) AS p, sum((kind = 'claim')::INT) AS c FROM (SELECT DISTINCT query_id, kind, value FROM m) GROUP BY 1),
+  w AS (SELECT r.query_id, r.rank, q.query_id IS NOT NULL AS rel FROM r LEFT JOIN (SELECT DISTINCT query_id, rank FROM m) q ON q.query_id = r.query_id AND q.rank = r.rank),
+  v AS (SELECT *, sum(rel::INT) OVER (PARTITION BY query_id ORDER BY rank) AS sf FROM w),
+  z AS (SELECT query_id, count(*) AS n, sum(rel::INT) AS relevant, min(CASE WHEN rel THEN rank END) AS first, sum(CASE WHEN rel AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg,
+    sum(CASE WHEN rel AND rank <= 5 THEN sf / rank::DOUBLE ELSE 0 END) AS steps FROM v GROUP BY 1)
+  SELECT x.query_id AS case_id, CASE WHEN relevant > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(coalesce(least(1.0::DOUBLE, matched / expected::DOUBLE), 0), 4) AS recall, round(coalesce(relevant / least(5, n)::DOUBLE, 0), 4) AS precision,
+    round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(5, expected)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg, round(coalesce(steps / least(5, expected), 0), 4) AS map,
+    CASE WHEN x.s > 0 THEN round(coalesce(y.s, 0) / x.s::DOUBLE, 4) WHEN x.p > 0 THEN round(coalesce(y.p, 0) / x.p::DOUBLE, 4) WHEN x.c > 0 THEN round(coalesce(y.c, 0) / x.c::DOUBLE, 4) WHEN n > 0 THEN 1 ELSE 0 END AS coverage
+  FROM x LEFT JOIN y USING (query_id) LEFT JOIN z USING (query_id))""")
+def e2_expectations(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    asked = _questions(spark, sf_dir)
+    top = retrieval.bm25(asked, c.claims, 4).join(c.claims.select("claim_id", "source_id"), "claim_id")
+    third = F.col("query_id") % 3
+    wanted = lambda rows, kind, value: rows.select(F.col("query_id").alias("case_id"), F.lit(kind).alias("kind"), F.col(value).alias("value"))
+    expected = wanted(top.filter("rank = 1"), "claim", "claim_id").unionByName(wanted(top.filter((F.col("rank") <= 3) & (third == 0)), "source", "source_id")).unionByName(wanted(top.filter(third < 2), "page", "source_id"))
+    expected = expected.unionByName(wanted(asked.select("query_id", F.array_max("text_terms").alias("term")).filter(F.col("term").isNotNull()), "term", "term"))
+    contexts = _evidence(c, pool, "broad").join(c.pages.select("page_id", F.col("path").alias("page_path")), "page_id").withColumnRenamed("query_id", "case_id")
+    return evaluation.expectation_metrics(contexts, expected)
+
+
+@query(f"""SELECT query_id AS case_id, CASE WHEN query_id % 2 = 1 OR coalesce(against, false) OR query_id % 5 = 0 THEN 1.0::DOUBLE ELSE 0 END AS conflict_exposure, CASE WHEN NOT coalesce(weak, false) OR query_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS weak_visibility,
+  CASE WHEN query_id % 2 = 0 THEN NOT (coalesce(against, false) OR query_id % 5 = 0) ELSE NOT coalesce(backed, false) END AS missing_relationship
+  FROM (SELECT item_id AS query_id FROM benchmark) LEFT JOIN (SELECT query_id, bool_or(relationship_type = 'contradicts') AS against, bool_or(relationship_type = 'supports') AS backed FROM v_related GROUP BY 1) USING (query_id)
+  LEFT JOIN (SELECT query_id, bool_or(confidence_status <> 'cited') AS weak FROM ({_BROAD}) b JOIN v_claims USING (claim_id) GROUP BY 1) USING (query_id)""")
+def e8_exposures(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    case = F.col("item_id")
+    cases = _read(spark, sf_dir, "benchmark").select(case.alias("case_id"), F.array(F.when(case % 2 == 0, "contradicts").otherwise("supports")).alias("required"))
+    told = F.array_compact(F.array(F.when(F.col("case_id") % 3 == 0, "Weak/uncited evidence"), F.when(F.col("case_id") % 5 == 0, "sources contradict each other")))
+    warnings = cases.select("case_id", F.explode(told).alias("warning"))
+    shown = selection.related(pool, c.relationships).withColumnRenamed("query_id", "case_id")
+    return evaluation.exposures(cases, _evidence(c, pool, "broad").withColumnRenamed("query_id", "case_id"), shown, warnings)
+
+
+@query(f"""SELECT item_id AS case_id, CASE WHEN item_id % 4 = 0 THEN CASE WHEN n > 0 THEN 'unexpected_evidence' END WHEN item_id % 11 = 0 THEN 'contract_violation' WHEN item_id % 7 = 0 THEN 'relationship_miss'
+    WHEN coalesce(n, 0) = 0 THEN CASE WHEN t.query_id IS NULL THEN 'no_terms' WHEN p.query_id IS NULL THEN 'candidate_miss' ELSE 'ranking_miss' END WHEN item_id % 2 = 0 THEN 'ranking_miss' END AS verdict
+  FROM benchmark LEFT JOIN (SELECT DISTINCT query_id FROM v_terms) t ON t.query_id = item_id LEFT JOIN (SELECT DISTINCT query_id FROM v_hybrid) p ON p.query_id = item_id
+  LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_BROAD}) GROUP BY 1) s ON s.query_id = item_id""")
+def e10_verdicts(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    rows = assembly.contexts(_questions(spark, sf_dir), pool, _evidence(c, pool, "broad"))
+    q = F.col("query_id")
+    found = evaluation.verdict(q % 4 != 0, F.col("n"), F.when(q % 11 == 0, 1).otherwise(0), q % 7 == 0, F.col("failure_stage"), q % 2 == 1)
+    return rows.select(q.alias("case_id"), found.alias("verdict"))
+
+
+_RELATED = """SELECT subject_id, object_id, relationship_type, CASE WHEN n % 5 > 0 THEN evidence_claim_id ELSE '' END AS evidence_claim_id, CASE WHEN n % 3 > 0 THEN source_id ELSE 'run' END AS source_id
+  FROM (SELECT *, length(evidence_claim_id) + ascii(substr(source_id, 6)) AS n FROM v_relationships)"""
+
+
+@query(f"SELECT * FROM v_relationships UNION ALL ({_RELATED})")
+def s22_relationships(spark, sf_dir):
+    old, new = _related_twice(spark, sf_dir)
+    return applying.appended_relationships(old, new, F.lit("run"))
+
+
+def _related_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The relationships, and the same as a run states them: some without evidence, some without source."""
+    old = _stored(spark, sf_dir).relationships
+    n = F.length("evidence_claim_id") + F.ascii(F.substring("source_id", 6, 1))
+    return old, old.select("subject_id", "object_id", "relationship_type", F.when(n % 5 > 0, F.col("evidence_claim_id")).alias("evidence_claim_id"), F.when(n % 3 > 0, F.col("source_id")).otherwise("").alias("source_id"))
+
+
+@query(f"SELECT count(*) AS relationships, round(avg((evidence_claim_id <> '' AND source_id <> 'run')::INT), 4) AS relationship_validity FROM ({_RELATED})")
+def e11_relationships(spark, sf_dir):
+    old, new = _related_twice(spark, sf_dir)
+    return evaluation.relationship_validity(applying.appended_relationships(old.limit(0), new, F.lit("run")), _stored(spark, sf_dir))
+
+
+@query("""SELECT source_id AS from_page, CASE WHEN length(title) % 4 = 0 THEN 'wiki/none.md' ELSE concept_id END AS to_page, 'mentions' AS link_type, CASE WHEN length(title) % 4 = 0 THEN 'wiki/none.md' END AS unknown FROM v_sources""")
+def j22_resolved_links(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    paths = c.pages.select("page_id", "path")
+    named = c.sources.join(paths.withColumnRenamed("page_id", "concept_id"), "concept_id")
+    to = F.when(F.length("title") % 4 == 0, "wiki/none.md").when(F.length("title") % 4 == 1, F.col("path")).otherwise(F.col("concept_id"))
+    links = named.select(F.when(F.length("title") % 3 == 0, F.concat(F.lit("wiki/sources/"), "source_id", F.lit(".md"))).otherwise(F.col("source_id")).alias("from_page"), to.alias("to_page"), F.lit("mentions").alias("link_type"))
+    return applying.resolved_links(links, c.pages)
+
+
+@query("""SELECT event_id AS run_id, user_id::VARCHAR AS source_id, CASE WHEN event_id % 3 = 0 THEN 'applied' ELSE 'staged' END AS status, CASE WHEN event_id % 6 = 0 THEN 'now' ELSE event_type END AS created_at, CASE WHEN event_id % 3 = 0 THEN 'now' END AS applied_at FROM events""")
+def s23_finished_runs(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").cast("string").alias("source_id"), F.lit("staged").alias("status"), F.col("event_type").alias("created_at"), F.lit(None).cast("string").alias("applied_at"))
+    done = rows.filter(F.col("run_id") % 3 == 0).select("run_id", "source_id", F.lit("now").alias("at"))
+    return applying.finished_runs(rows.filter(F.col("run_id") % 6 != 0), done)
+
+
+@query("""SELECT CASE page_type WHEN 'source' THEN 0 ELSE 1 END AS section, title || chr(0) || path AS place, '- [[' || path || '|' || title || ']]' AS line FROM v_pages
+  UNION ALL SELECT * FROM (VALUES (0, NULL, '## Sources'), (1, NULL, '## Concepts'), (2, NULL, '## Entities'), (2, '', 'No entities applied yet.'), (3, NULL, '## Syntheses'), (3, '', 'No syntheses applied yet.'))""")
+def s24_index_lines(spark, sf_dir):
+    return applying.index_lines(_catalog(spark, sf_dir).pages)
+
+
+@query("""SELECT source_id AS run_id, '- now Applied ingest run `' || source_id || '` for source `' || source_id || '` (' || count(claim_id) || ' claims, 2 patches).' AS line FROM v_sources LEFT JOIN v_claims USING (source_id) GROUP BY 1""")
+def s24_log_lines(spark, sf_dir):
+    c = _stored(spark, sf_dir)
+    n = c.claims.groupBy("source_id").agg(F.count("*").alias("claims"))
+    runs = c.sources.select("source_id").join(n, "source_id", "left").select(F.col("source_id").alias("run_id"), "source_id", F.lit("now").alias("at"), F.coalesce("claims", F.lit(0)).alias("claims"), F.lit(2).alias("patches"))
+    return applying.log_lines(runs)
+
+
+@query("""SELECT 'alias' AS relation, page_id AS key, 'New ' || title AS value FROM v_pages WHERE page_type = 'concept'
+  UNION ALL SELECT 'alias', page_id, split_part(title, ' ', 1) FROM v_pages WHERE page_type = 'concept' UNION ALL SELECT 'page', page_id, CASE page_type WHEN 'concept' THEN 'New ' || title ELSE title END FROM v_pages
+  UNION ALL SELECT 'link', source_id, concept_id FROM v_sources UNION ALL SELECT 'link', min(concept_id), min(source_id) FROM v_sources GROUP BY concept_id
+  UNION ALL SELECT 'claim', claim_id, confidence_status FROM v_claims UNION ALL SELECT 'claim', claim_id || '-new', 'cited' FROM v_claims""")
+def i12_apply_run(spark, sf_dir):
+    c = _stored(spark, sf_dir)
+    concepts = c.pages.filter(F.col("page_type") == "concept")
+    patches = concepts.select("page_id", "page_type", F.concat(F.lit("New "), "title").alias("title"), F.col("path").alias("target_path"), F.array(F.substring_index("title", " ", 1), F.upper(F.substring_index("title", " ", 1))).alias("aliases"))
+    first = c.sources.groupBy("concept_id").agg(F.min("source_id").alias("to_page"))
+    links = first.join(concepts.select(F.col("page_id").alias("concept_id"), "path"), "concept_id").select(F.col("path").alias("from_page"), "to_page", F.lit("supports").alias("link_type"))
+    claims = c.claims.unionByName(c.claims.withColumn("claim_id", F.concat("claim_id", F.lit("-new")))).withColumn("confidence_status", F.lit("cited"))
+    after = applying.apply_run(c, claims, patches, links, c.relationships.limit(0), "run", C.CREATED)
+    part = lambda df, name, key, value: df.select(F.lit(name).alias("relation"), F.col(key).alias("key"), F.col(value).alias("value"))
+    rows = part(after.aliases, "alias", "target_id", "alias").unionByName(part(after.pages, "page", "page_id", "title"))
+    return rows.unionByName(part(after.links, "link", "from_page", "to_page")).unionByName(part(after.claims, "claim", "claim_id", "confidence_status"))
+
+
+@query("""SELECT claim_id, CASE WHEN line % 5 = 0 THEN '' ELSE citation_locator END AS citation_locator, CASE WHEN line % 5 = 0 THEN CASE line % 2 WHEN 0 THEN 'uncited' ELSE 'weak' END ELSE 'cited' END AS confidence_status FROM v_claims""")
+def p13_locators(spark, sf_dir):
+    claims = _stored(spark, sf_dir).claims
+    anchors = claims.select("source_id", "line", F.col("citation_locator").alias("locator"))
+    stated = F.when(F.col("line") % 5 == 0, "line:0").otherwise(F.concat(F.lit("see line:"), "line"))
+    rows = claims.select("claim_id", "source_id", stated.alias("citation_locator"), F.when(F.col("line") % 2 == 0, "Uncited").otherwise("cited").alias("confidence_status"))
+    return applying.canonical_locators(rows, anchors).select("claim_id", "citation_locator", "confidence_status")
+
+
+@query("""SELECT 'clm_' || conv_id || '_llm_' || CASE WHEN p < 1000 THEN lpad(p::VARCHAR, 3, '0') ELSE p::VARCHAR END AS claim_id, CASE WHEN p % 2 = 0 THEN 'cited' ELSE 'weak' END AS confidence_status FROM (
+  SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS p FROM conversations WHERE text IS NOT NULL) WHERE regexp_matches(text, '\\S')""")
+def i2_proposals(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
+    listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    proposal = F.transform(listed, lambda x, i: F.struct(x["text"].alias("text"), F.when(i % 2 == 1, F.concat(F.lit("line:"), x["turn"] + 1)).otherwise("").alias("locator"), F.lit("cited").alias("confidence")))
+    proposals = rows.groupBy("conv_id").agg(proposal.alias("claims")).select(F.col("conv_id").cast("string").alias("source_id"), "claims")
+    return ingest.numbered_proposal(proposals).select("claim_id", "confidence_status")
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'score' ELSE 'claim_id,page_path' END AS keys FROM conversations WHERE turn % 3 < 2""")
+def p17_forged(spark, sf_dir):
+    extra = F.when(F.col("turn") % 3 == 0, ', {"a": {"score" : 1}}').when(F.col("turn") % 3 == 1, ', {"page_path": 1, "b": [{"claim_id": "x"}]}').otherwise(', {"c": "score", "d": "\\"score\\": 1"}')
+    reply = F.concat(F.lit('Plan:\n```json\n{"queries": ['), F.to_json(F.struct("text")), extra, F.lit("]}\n```"))
+    rows = _read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("plan_id"), reply.alias("reply"))
+    return answers.forged(rows).select("plan_id.conv_id", "plan_id.turn", F.array_join("keys", ",").alias("keys"))
+
+
+@query("""SELECT p.plan_id, CASE WHEN n > 1 OR plan_id % 3 = 0 OR plan_id % 5 = 0 THEN 'focused' END AS mode FROM (SELECT conv_id AS plan_id, count(*) AS n FROM conversations GROUP BY 1) p""")
+def m3_planned_mode(spark, sf_dir):
+    plans = _read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("plan_id")).agg(F.count("*").alias("subqueries"))
+    key = F.col("plan_id")
+    return answers.planned_mode(plans.select("plan_id", "subqueries", F.when(key % 3 == 0, "Compare fruits").otherwise("lookup").alias("intent"), F.array(F.when(key % 5 == 0, "Per_Source").otherwise("any")).alias("coverages")))
+
+
+@query("""SELECT conv_id AS plan_id, turn AS place, CASE turn % 2 WHEN 0 THEN role ELSE 'asked' END AS source_id, CASE WHEN conv_id % 2 = 0 THEN 'concept' END AS page_type, 'cited' AS confidence FROM conversations""")
+def m2_merged_filters(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    parts = rows.select(F.col("conv_id").alias("plan_id"), F.col("turn").alias("place"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("").alias("source_id"), none.alias("page_type"), F.lit("cited").alias("confidence"))
+    asked = rows.select(F.col("conv_id").alias("plan_id")).distinct().select("plan_id", F.lit("asked").alias("source_id"), F.when(F.col("plan_id") % 2 == 0, "concept").otherwise("").alias("page_type"), F.lit("weak").alias("confidence"))
+    return answers.merged_filters(parts, asked)
+
+
+@query("""SELECT conv_id AS answer_id, CASE WHEN conv_id % 7 = 0 THEN 'planning_invalid' WHEN n < 2 THEN 'planned_insufficient_evidence' WHEN conv_id % 5 = 0 THEN 'llm_failed' WHEN bad > 0 THEN 'invalid_citations' ELSE 'answered' END AS status
+  FROM (SELECT conv_id, count(*) AS n, sum((turn % 4 = 3)::INT) AS bad FROM conversations GROUP BY 1)""")
+def m6_answer_status(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("turn") % 4 == 3, 1).otherwise(0)).alias("bad"))
+    key = F.col("conv_id")
+    planned = F.when(key % 7 == 0, "planning_invalid").otherwise("planned")
+    return rows.select(key.alias("answer_id"), answers.answer_status(planned, F.col("n") - 1, key % 5 != 0, F.col("bad"), F.col("n")).alias("status"))
+
+
+_CITED = "'- `' || claim_id || '` from `' || c.source_id || '` at `' || citation_locator || '` ([[wiki/sources/' || c.source_id || '.md]])'"
+_ANSWER = "substr(sha256(q.text || 'Answer ' || q.item_id || ids), 1, 8)"
+
+
+@query(f"""SELECT source_id, target_path, title, sha256('# ' || title || chr(10) || chr(10) || '## Question/Topic' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Short Answer' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || evidence
+    || chr(10) || chr(10) || '## Analysis' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '## Uncertainties' || chr(10) || chr(10) || '- None identified.' || chr(10) || chr(10) || '## Related Pages' || chr(10) || chr(10) || pages) AS content_sha256, links
+  FROM (SELECT 'synthesis:' || {_ANSWER} AS source_id, 'wiki/syntheses/item-' || q.item_id || '.md' AS target_path, 'Item ' || q.item_id AS title, q.text, 'Answer ' || q.item_id AS answer, evidence, pages, links
+    FROM benchmark q JOIN (SELECT query_id, string_agg(claim_id, '' ORDER BY rank) AS ids, string_agg({_CITED}, chr(10) ORDER BY rank) AS evidence, string_agg('- [[wiki/sources/' || c.source_id || '.md]]', chr(10) ORDER BY rank) AS pages,
+      count(DISTINCT c.source_id) AS links FROM ({_BROAD}) b JOIN v_claims c USING (claim_id) GROUP BY 1) e ON e.query_id = q.item_id)""")
+def m8_synthesis_pages(spark, sf_dir):
+    c, pool = _pool(spark, sf_dir)
+    path = F.concat(F.lit("wiki/sources/"), "source_id", F.lit(".md"))
+    cited = F.struct("rank", "claim_id", "source_id", F.col("citation_locator").alias("locator"), path.alias("page_path"))
+    found = _evidence(c, pool, "broad").groupBy("query_id").agg(F.array_sort(F.collect_list(cited)).alias("citations"))
+    item = F.col("item_id").cast("string")
+    rows = _read(spark, sf_dir, "benchmark").join(found, F.col("query_id") == F.col("item_id")).select(F.col("text").alias("question"), F.concat(F.lit("Answer "), item).alias("answer"), F.lit("").alias("analysis"), F.concat(F.lit(" Item "), item).alias("title"), F.array().cast("array<string>").alias("notes"), "citations")
+    return answers.synthesis_pages(rows).select("source_id", "target_path", "title", F.sha2("content", 256).alias("content_sha256"), F.size("links").cast("long").alias("links"))
+
+
+_STEM = r"regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(rf"""SELECT page_id, CASE WHEN stem = '' THEN 'source' ELSE stem END || suffix AS file_name FROM (SELECT page_id, {_STEM} AS stem, '.htm' || (page_id % 3) AS suffix FROM (SELECT page_id, split_part(url, '/', -1) || ' ' || page_id || '?' AS name FROM pages))""")
+def s10_file_names(spark, sf_dir):
+    rows = _read(spark, sf_dir, "pages")
+    return rows.select("page_id", T.safe_filename(F.concat("url", F.lit(" "), "page_id", F.lit("?.HTM"), F.col("page_id") % 3)).alias("file_name"))
+
+
+@query("""SELECT * FROM (SELECT 'fresh' AS case_name, true AS index_present, false AS stale, count(*)::BIGINT AS chunk_count, NULL::VARCHAR AS failure_stage FROM v_claims) UNION ALL SELECT 'changed', true, true, count(*)::BIGINT, NULL FROM v_claims WHERE confidence_status = 'cited' UNION ALL SELECT 'missing', false, true, 0, 'missing_index'""")
+def s27_index_status(spark, sf_dir):
+    claims = _stored(spark, sf_dir).claims
+    columns = ["claim_id", "source_id", "claim_text", "confidence_status"]
+    now = quality.fingerprint(claims, columns)
+    manifest = lambda rows: quality.fingerprint(rows, columns).select(F.col("fingerprint").alias("catalog_fingerprint"), F.col("rows").alias("chunk_count"))
+    cases = {"fresh": manifest(claims), "changed": manifest(claims.filter(F.col("confidence_status") == "cited")), "missing": manifest(claims).filter(F.lit(False))}
+    parts = [assembly.index_status(m, now).withColumn("case_name", F.lit(name)) for name, m in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -32,6 +32,22 @@ def test_confidence(spark):
     assert one(spark, T.confidence(F.col("l"), F.col("c")), l="line:3;section:x", c="cited") == "cited"
     assert one(spark, T.confidence(F.col("l"), F.col("c")), l="page:3", c="cited") == "weak"
     assert one(spark, T.confidence(F.col("l"), F.col("c")), l="line:0", c="sure") == "weak"
+    assert one(spark, T.confidence(F.col("l"), F.col("c")), l="line:3", c="Weak") == "cited"
+    assert one(spark, T.confidence(F.col("l"), F.col("c")), l="", c="Uncited") == "uncited"
+
+
+def test_safe_filename(spark):
+    for name, want in (("a/b/My Notes (1).MD", "My-Notes-1.md"), ("???.txt", "source.txt"), ("", "source"), (".hidden", ".hidden"), ("x.tar.GZ", "x.tar.gz")):
+        assert one(spark, T.safe_filename(F.col("n")), n=name) == want
+
+
+def test_json_in_replies(spark):
+    reply = 'Here:\n```json\n{"a": {"score": 1}}\n```'
+    assert one(spark, T.bare_object(F.col("r")), r=reply) == '{"a": {"score": 1}}'
+    assert one(spark, T.bare_object(F.col("r")), r="nothing") is None
+    names = ("claim_id", "score")
+    assert one(spark, T.json_keys(F.col("j"), names), j='{"a": [{"score" : 1}], "b": "\\"claim_id\\": x"}') == ["score"]
+    assert one(spark, T.json_keys(F.col("j"), names), j='{"a": "score"}') == []
 
 
 def test_question_features(spark):
