@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from . import kernel
+from . import kernel, scratch
 
 #: A piece is frequent with this share of all pieces, so the table has 1 / SHARE rows at most.
 SHARE = 1e-5
@@ -155,9 +155,10 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None,
     Special strings inside a text are handled as the library does by default.
     """
     path = path or default_path()
-    summary = frequent_pieces(docs, share)
+    summary = scratch.write(spark, frequent_pieces(docs, share), "pieces")
     total = summary.filter(F.length("piece") == 0).agg(F.sum("n")).first()[0] or 0
     ranked = [bytes(r.piece) for r in summary.filter((F.length("piece") > 0) & (F.col("n") >= share * total)).collect()]
+    scratch.drop(spark, summary)
     lengths = [len(e) for e in tokenizer(path).encode_batch([p.decode("utf-8", "replace") for p in ranked], add_special_tokens=False)]
     shared = spark.sparkContext.broadcast(dict(zip(ranked, lengths, strict=True)))
 
