@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,23 +73,28 @@ def heading(line: Column) -> Column:
 
 def title(text: Column, fallback: Column) -> Column:
     """The first heading or the start of the first line with text, whichever comes first."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    first = F.get(lines, F.lit(0))
-    return F.coalesce(F.when(first.startswith("# "), strip(F.substring(first, 3, 1 << 30))).otherwise(F.substring(first, 1, 80)), fallback)
+    first = strip(F.regexp_extract(text, r"\A\s*(\S[^\n]*)", 1))
+    return F.when(first.startswith("# "), strip(F.substring(first, 3, 1 << 30))).when(first != "", F.substring(first, 1, 80)).otherwise(fallback)
 
 
-def is_claim(line: Column) -> Column:
-    """A line that states something: no heading, list label, metadata or contents entry, and four words at least."""
-    text = strip(line)
-    bare = strip(F.regexp_replace(text, r"^[-*+]\s+", ""))
-    low = F.lower(bare)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) where the value is computed once, however often it is used: filters would repeat it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _states_something(bare: Column, low: Column) -> Column:
     meta = F.lit(False)
     for prefix in METADATA_PREFIXES:
         meta = meta | low.startswith(prefix)
-    return (
-        ~text.startswith("#") & ~text.startswith("[unsupported-") & (bare != "") & ~meta & ~F.regexp_replace(low, r"^[ .:-]+|[ .:-]+$", "").isin(*CONTENTS_WORDS)
-        & ~bare.endswith(":") & bare.rlike(r"\p{L}") & (F.size(F.regexp_extract_all(bare, F.lit(r"(\S+)"), F.lit(0))) >= 4)
-    )
+    words = bare.rlike(r"^\S++\s++\S++\s++\S++\s++\S")
+    return words & ~meta & ~bare.endswith(":") & bare.rlike(r"\p{L}") & ~F.regexp_replace(low, r"^[ .:-]+|[ .:-]+$", "").isin(*CONTENTS_WORDS)
+
+
+def is_claim(line: Column) -> Column:
+    """A line that states something: no heading, list label, metadata or contents entry, and four words at least."""
+    bare = lambda text: strip(F.regexp_replace(text, r"^[-*+]\s+", ""))
+    stated = lambda text: let(bare(text), lambda x: let(F.lower(x), lambda low: _states_something(x, low)))
+    return let(strip(line), lambda text: ~text.startswith("#") & ~text.startswith("[unsupported-") & stated(text))
 
 
 def has_line_locator(locator: Column) -> Column:

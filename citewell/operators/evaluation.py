@@ -34,7 +34,7 @@ def _metrics(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return joined.select(
         "case_id",
         F.when(F.coalesce("relevant", F.lit(0)) > 0, 1.0).otherwise(0.0).alias("hit"),
-        F.round(zero(F.least(F.lit(1.0), F.col("matched") / F.col("expected"))), 4).alias("recall"),
+        F.round(F.least(F.lit(1.0), F.coalesce("matched", F.lit(0)) / F.col("expected")), 4).alias("recall"),
         F.round(zero(F.col("relevant") / F.least(F.lit(DEPTH), F.col("n"))), 4).alias("precision"),
         F.round(zero(1 / F.col("first")), 4).alias("mrr"),
         F.round(zero(F.col("dcg") / ideal), 4).alias("ndcg"),

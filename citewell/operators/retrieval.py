@@ -34,6 +34,12 @@ def exploded_terms(questions: DataFrame, column: str = "text_terms", limit: int
     return questions.select("query_id", F.explode(terms).alias("term")).withColumn("term", F.lower("term")).distinct()
 
 
+def holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows whose ``text`` holds a term of a question (query_id, term): each text is searched once for each distinct term."""
+    found = rows.join(F.broadcast(terms.select("term").distinct()), F.contains("text", F.col("term"))).drop("text")
+    return found.join(F.broadcast(terms), "term")
+
+
 def matched_terms(text: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
 
@@ -89,9 +95,8 @@ def full_text(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
 @in_blocks
 def substring(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
     """Claims that contain any of the first terms, in order of creation and id up to the limit."""
-    asked = F.broadcast(questions.select("query_id", F.transform(F.slice("text_terms", 1, LIKE_TERMS), F.lower).alias("likes")))
-    low = claims.select("claim_id", "created_at", F.lower("claim_text").alias("low"))
-    hits = low.join(asked, F.exists("likes", lambda t: F.contains(F.col("low"), t))).select("query_id", "claim_id", "created_at")
+    low = claims.select("claim_id", "created_at", F.lower("claim_text").alias("text"))
+    hits = holding(low, exploded_terms(questions, limit=LIKE_TERMS)).select("query_id", "claim_id", "created_at").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("created_at", "claim_id"))
     found = hits.withColumn("place", place).filter(F.col("place") <= limit).select("query_id", "claim_id")
     return scored_candidates(with_claims(found, claims), questions, 0.5, "like", F.lit("like_match"))
@@ -137,9 +142,8 @@ def alias_title(questions: DataFrame, catalog, limit: int) -> DataFrame:
 @in_blocks
 def exact_span(questions: DataFrame, claims: DataFrame, sources: DataFrame, limit: int, column: str = "exact_spans") -> DataFrame:
     """Claims whose text, locator or source title holds a span."""
-    spans = F.broadcast(exploded_terms(questions, column))
-    named = claims.join(sources.select("source_id", "title"), "source_id", "left").select("claim_id", "source_id", F.lower(F.concat_ws("\n", "claim_text", "citation_locator", "title")).alias("all"))
-    hits = named.join(spans, F.contains("all", F.col("term"))).groupBy("query_id", "claim_id", "source_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("exact_span:"), "term"))).alias("reasons"))
+    named = claims.join(sources.select("source_id", "title"), "source_id", "left").select("claim_id", "source_id", F.lower(F.concat_ws("\n", "claim_text", "citation_locator", "title")).alias("text"))
+    hits = holding(named, exploded_terms(questions, column)).groupBy("query_id", "claim_id", "source_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("exact_span:"), "term"))).alias("reasons"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("claim_id"))
     rows = hits.withColumn("place", place).filter(F.col("place") <= limit)
     return rows.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), F.lit(1.0).alias("raw_score"), "reasons", F.lit("exact_span").alias("retriever"))

@@ -379,7 +379,7 @@ _CASES = f"""WITH e AS (SELECT DISTINCT query_id, source_id FROM v_bm25 JOIN v_c
   w AS (SELECT *, sum(rel::INT) OVER (PARTITION BY query_id ORDER BY rank) AS sf FROM r),
   m AS (SELECT query_id, count(*) AS n, sum(rel::INT) AS relevant, count(DISTINCT CASE WHEN rel THEN source_id END) AS matched, min(CASE WHEN rel THEN rank END) AS first,
     sum(CASE WHEN rel AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN rel AND rank <= 5 THEN sf / rank::DOUBLE ELSE 0 END) AS steps FROM w GROUP BY 1)
-  SELECT t.query_id AS case_id, CASE WHEN coalesce(relevant, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(coalesce(least(1.0::DOUBLE, matched / expected::DOUBLE), 0), 4) AS recall,
+  SELECT t.query_id AS case_id, CASE WHEN coalesce(relevant, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(least(1.0::DOUBLE, coalesce(matched, 0) / expected::DOUBLE), 4) AS recall,
     round(coalesce(relevant / least(5, n)::DOUBLE, 0), 4) AS precision, round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr,
     round(coalesce(dcg / list_sum(list_transform(range(1, least(5, expected) + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg, round(coalesce(steps / least(5, expected), 0), 4) AS map
   FROM t LEFT JOIN m USING (query_id)"""
@@ -615,7 +615,7 @@ _EXPECTED = """SELECT query_id, 'claim' AS kind, claim_id AS value FROM v_bm25 W
   v AS (SELECT *, sum(rel::INT) OVER (PARTITION BY query_id ORDER BY rank) AS sf FROM w),
   z AS (SELECT query_id, count(*) AS n, sum(rel::INT) AS relevant, min(CASE WHEN rel THEN rank END) AS first, sum(CASE WHEN rel AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg,
     sum(CASE WHEN rel AND rank <= 5 THEN sf / rank::DOUBLE ELSE 0 END) AS steps FROM v GROUP BY 1)
-  SELECT x.query_id AS case_id, CASE WHEN relevant > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(coalesce(least(1.0::DOUBLE, matched / expected::DOUBLE), 0), 4) AS recall, round(coalesce(relevant / least(5, n)::DOUBLE, 0), 4) AS precision,
+  SELECT x.query_id AS case_id, CASE WHEN relevant > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(least(1.0::DOUBLE, coalesce(matched, 0) / expected::DOUBLE), 4) AS recall, round(coalesce(relevant / least(5, n)::DOUBLE, 0), 4) AS precision,
     round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(5, expected)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg, round(coalesce(steps / least(5, expected), 0), 4) AS map,
     CASE WHEN x.s > 0 THEN round(coalesce(y.s, 0) / x.s::DOUBLE, 4) WHEN x.p > 0 THEN round(coalesce(y.p, 0) / x.p::DOUBLE, 4) WHEN x.c > 0 THEN round(coalesce(y.c, 0) / x.c::DOUBLE, 4) WHEN n > 0 THEN 1 ELSE 0 END AS coverage
   FROM x LEFT JOIN y USING (query_id) LEFT JOIN z USING (query_id))""")

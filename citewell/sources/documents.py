@@ -38,7 +38,7 @@ def import_sources(docs: DataFrame) -> DataFrame:
 def anchored_lines(sources: DataFrame) -> DataFrame:
     """source_id, line, text, section, paragraph of every line: the last heading, and runs of lines with text counted."""
     rows = sources.select("source_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    rows = rows.withColumn("heading", T.heading(F.col("text"))).withColumn("body", F.col("heading").isNull() & (T.strip(F.col("text")) != ""))
+    rows = rows.withColumn("heading", T.heading(F.col("text"))).withColumn("body", F.col("heading").isNull() & F.col("text").rlike(r"\S"))
     order = Window.partitionBy("source_id").orderBy("line")
     starts = F.col("body") & ~F.coalesce(F.lag("body").over(order), F.lit(False))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
