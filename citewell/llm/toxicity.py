@@ -1,21 +1,24 @@
 """Toxicity scores from the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents.  The vocabulary are the
-words whose presence depends on the label in that sample (near copies counted
-once), weighted by TF-IDF with document frequencies of all documents.  A
-document's nearest examples by exact cosine are found in a block-max inverted
-index: examples are numbered in ranges, each posting list keeps its largest
-weight per range, and ranges are visited by falling bound until no other can
-reach the k-th cosine.  Distance-weighted votes, calibrated on the examples
-themselves with each left out of its own vote, are the scores.
+Examples are a bounded sample of labelled documents, vectors over all their
+words.  A word weighs TF-IDF, with document frequencies of all documents, times
+how far its presence depends on the label in that sample (near copies counted
+once).  A document's nearest examples by exact cosine are found in a block-max
+inverted index: posting lists are added up heaviest word first, examples are
+numbered in ranges, each list keeps its largest weight per range, and an example
+is dropped once neither its range's largest weights nor the norm of the words
+left can lift it to the k-th cosine.  Distance-weighted votes, calibrated on the
+examples themselves with each left out of its own vote, are the scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,10 @@ from . import kernel, scratch
 
 #: Labelled rows to learn from, at most: those with the smallest hash of their id.
 EXAMPLES = 20_000
-#: Words of the vocabulary, at most, the least likelihood ratio G2 that makes a word one, and its least share of the largest.
-TERMS, LEAST_G2, SHARE_G2 = 512, 40.0, 0.02
 #: Neighbours that vote, and examples of a range of the index.
 NEIGHBOURS, RANGE = 15, 64
+#: Examples that are compared word by word rather than by more posting lists, and the share of examples from which on a list is a plain row.
+FEW, PLAIN = 128, 0.02
 #: Documents with this remainder of crc32(doc_id as text) are held out.
 FOLDS, HELD_OUT = 5, 0
 
@@ -66,12 +69,12 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, toxic int, words array<long>, counts array<long>, sketch long")
 
 
-def _vocabulary(examples: DataFrame) -> np.ndarray:
-    """Sorted fingerprints of the words that tell the labels apart, TERMS at most."""
+def _vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints of all words of the examples, and 1 + G2 of each: what chance gives, and what the label adds."""
     once = examples.groupBy("sketch").agg(F.max("toxic").alias("toxic"))
     n1, n0 = ((r.a or 0), (r.b or 0)) if (r := once.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).first()) else (0, 0)
     if not n1 or not n0:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0)
     seen = examples.select("sketch", "toxic", F.explode("words").alias("word")).groupBy("word", "sketch").agg(F.max("toxic").alias("toxic"))
     table = seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     total = n1 + n0
@@ -79,8 +82,10 @@ def _vocabulary(examples: DataFrame) -> np.ndarray:
     a, b = F.col("a"), F.col("b")
     c, d = n1 - a, n0 - b
     g2 = 2 * (cell(a, a + b, F.lit(n1)) + cell(b, a + b, F.lit(n0)) + cell(c, c + d, F.lit(n1)) + cell(d, c + d, F.lit(n0)))
-    rows = table.select("word", g2.alias("g2")).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(TERMS).collect()
-    return np.sort(np.array([r.word for r in rows if r.g2 >= SHARE_G2 * rows[0].g2], np.int64).view(np.uint64))
+    rows = table.select("word", g2.alias("g2")).toArrow()
+    words = rows.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], 1 + np.maximum(rows.column("g2").to_numpy()[order], 0)
 
 
 def _bags(found: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,19 +99,23 @@ def _bags(found: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> tuple
     return pairs // len(vocabulary), pairs % len(vocabulary), counts
 
 
-def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+def _frequencies(docs: DataFrame, shared: Broadcast, terms: int) -> tuple[np.ndarray, int]:
     """Documents that hold each term, of all documents, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(vocabulary), np.int64), 0
+        total, rows = np.zeros(terms, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for _, _, found, first in _words(batch.column(0)):
-                total += np.bincount(_bags(found, first, vocabulary)[1], minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(vocabulary)), -1], pa.int64()), pa.array([*total.tolist(), rows], pa.int64())], ["term", "n"])
+                total += np.bincount(_bags(found, first, shared.value)[1], minlength=terms)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], rows), pa.int64())], ["term", "n"])
 
-    sums = {r.term: r.n for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.array([sums.get(t, 0) for t in range(len(vocabulary))], np.float64), sums.get(-1, 0)
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
+    out = np.zeros(terms)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
 def weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -115,37 +124,97 @@ def weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum())
 
 
+def _slices(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all slices one after another, and the number of each one's slice."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + (starts - np.cumsum(sizes) + sizes)[of], of
+
+
 class BlockMaxIndex:
     """Posting lists over numbered examples with the largest weight of each list in each range of RANGE examples."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.ranges = -(-len(vectors) // RANGE)
-        self.most = np.zeros((terms, self.ranges))
-        held: dict[int, list[tuple[int, float]]] = {}
-        for e, (where, weight) in enumerate(vectors):
-            for t, w in zip(where.tolist(), weight.tolist(), strict=True):
-                held.setdefault(t, []).append((e, w))
-                self.most[t, e // RANGE] = max(self.most[t, e // RANGE], w)
-        self.lists = {t: (np.array([e for e, _ in x]), np.array([w for _, w in x])) for t, x in held.items()}
-        self.cuts = {t: np.searchsorted(x, np.arange(self.ranges + 1) * RANGE) for t, (x, _) in self.lists.items()}
+        self.size, self.terms, self.ranges = len(vectors), terms, -(-len(vectors) // RANGE)
+        self.first = np.cumsum([0, *[len(x) for x, _ in vectors]], dtype=np.int64)
+        self.where = np.concatenate([np.empty(0, np.int32), *[x.astype(np.int32) for x, _ in vectors]])
+        self.weight = np.concatenate([np.empty(0, np.float32), *[w.astype(np.float32) for _, w in vectors]])
+        self.plain = None
+
+    def __getstate__(self) -> dict:
+        """The vectors alone: each worker makes its lists of them."""
+        return {name: getattr(self, name) for name in ("size", "terms", "ranges", "first", "where", "weight")} | {"plain": None}
+
+    def _lists(self) -> None:
+        terms, order = self.terms, np.argsort(self.where, kind="stable")
+        self.example = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))[order]
+        self.impact = self.weight[order]
+        self.list = np.concatenate([[0], np.cumsum(np.bincount(self.where, minlength=terms))])
+        key = self.where[order].astype(np.int64) * max(1, self.ranges) + self.example // RANGE
+        cut = np.flatnonzero(np.diff(key, prepend=-1))
+        self.most = np.maximum.reduceat(self.impact, cut) if len(cut) else self.impact
+        self.range = (key[cut] % max(1, self.ranges)).astype(np.int32)
+        self.block = np.searchsorted(key[cut], np.arange(terms + 1) * max(1, self.ranges))
+        self._rows()
+
+    def _rows(self) -> None:
+        """Long lists once more as rows of all examples."""
+        self.asked = np.zeros(self.terms)
+        long = np.flatnonzero(np.diff(self.list) > PLAIN * self.size)
+        self.row = np.full(self.terms, -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        self.plain = np.zeros((len(long), self.size), np.float32)
+        for n, t in enumerate(long.tolist()):
+            self.plain[n, self.example[self.list[t] : self.list[t + 1]]] = self.impact[self.list[t] : self.list[t + 1]]
+
+    def _add(self, cosine: np.ndarray, where: np.ndarray, weight: np.ndarray) -> None:
+        row = self.row[where]
+        for n, w in zip(row[row >= 0].tolist(), weight[row >= 0].astype(np.float32), strict=True):
+            cosine += self.plain[n] * w
+        short = where[row < 0]
+        at, of = _slices(self.list[short], self.list[short + 1])
+        if len(at):
+            cosine += np.bincount(self.example[at], weight[row < 0][of] * self.impact[at], self.size).astype(np.float32)
+
+    def _bounds(self, where: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        at, of = _slices(self.block[where], self.block[where + 1])
+        return np.bincount(self.range[at], weight[of] * self.most[at], self.ranges)
+
+    def _exact(self, some: np.ndarray, where: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        self.asked[where] = weight
+        at, of = _slices(self.first[some], self.first[some + 1])
+        out = np.bincount(of, self.asked[self.where[at]] * self.weight[at], len(some))
+        self.asked[where] = 0
+        return out
 
     def nearest(self, where: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the smaller number."""
-        bounds = weight @ self.most[where]
-        best_e, best_c = np.empty(0, np.int64), np.empty(0)
-        for r in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[r] <= 0 or len(best_e) == k and bounds[r] < best_c[-1] - 1e-12:
+        if self.plain is None:
+            self._lists()
+        order = np.argsort(-weight, kind="stable")
+        heavy, by = where[order], weight[order]
+        left = np.sqrt(np.append(np.cumsum((by * by)[::-1])[::-1], 0.0))
+        cosine, done, some = np.zeros(self.size, np.float32), 0, np.arange(self.size)
+        slack = 1e-4  # the sums here have single precision and only choose whom to compare
+        for share in (0.25, 0.1, 0.04, 0.0):
+            upto = int(np.searchsorted(-left, -share * left[0]))
+            self._add(cosine, heavy[done:upto], by[done:upto])
+            done = upto
+            if self.size <= k:
+                continue
+            least = np.partition(cosine, self.size - k)[self.size - k] - slack
+            if least <= 0:
+                some = np.flatnonzero(cosine > 0) if done == len(heavy) else some
+                continue
+            some = np.flatnonzero(cosine + left[done] >= least)
+            if FEW < len(some) <= 4 * FEW and done < len(heavy):
+                some = some[cosine[some] + self._bounds(heavy[done:], by[done:])[some // RANGE] >= least]
+            if len(some) <= FEW:
                 break
-            cosine = np.zeros(RANGE)
-            for t, w in zip(where.tolist(), weight.tolist(), strict=True):
-                if t in self.lists:
-                    a, b = self.cuts[t][r], self.cuts[t][r + 1]
-                    cosine[self.lists[t][0][a:b] - r * RANGE] += w * self.lists[t][1][a:b]
-            hit = np.flatnonzero(cosine > 0)
-            best_e, best_c = np.concatenate([best_e, hit + r * RANGE]), np.concatenate([best_c, cosine[hit]])
-            order = np.lexsort((best_e, -best_c))[:k]
-            best_e, best_c = best_e[order], best_c[order]
-        return best_e, best_c
+        found = self._exact(some, where, weight)
+        order = np.lexsort((some, -found))[:k]
+        order = order[found[order] > 0]
+        return some[order], found[order]
 
 
 def _vote(cosine: np.ndarray, toxic: np.ndarray) -> float:
@@ -166,52 +235,53 @@ def _isotonic(votes: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([s[0] for s in stack]), np.array([(s[1] + 0.05) / (s[2] + 0.1) for s in stack])
 
 
-def _vectors(examples: DataFrame, vocabulary: np.ndarray) -> list:
-    """doc_id, toxic, terms, counts of each example: little is left of it for the driver."""
+def _vectors(examples: DataFrame, shared: Broadcast) -> pa.Table:
+    """doc_id, toxic, terms, counts (as bytes of int32) of each example: little is left of it for the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, counts = [], []
             for k in range(batch.num_rows):
                 found = batch.column(2)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                place = np.minimum(np.searchsorted(vocabulary, found), max(0, len(vocabulary) - 1))
-                own = vocabulary[place] == found if len(vocabulary) and len(found) else np.zeros(len(found), bool)
-                terms.append(place[own])
-                counts.append(batch.column(3)[k].values.to_numpy(zero_copy_only=False)[own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
+                own = len(shared.value) > 0  # else no word tells labels apart
+                terms.append((np.searchsorted(shared.value, found) if own else found[:0]).astype(np.int32).tobytes())
+                counts.append(batch.column(3)[k].values.to_numpy(zero_copy_only=False)[: None if own else 0].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "terms", "counts"])
 
-    return examples.select("doc_id", "toxic", "words", "counts").mapInArrow(run, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()
+    return examples.select("doc_id", "toxic", "words", "counts").mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary").toArrow()
 
 
 class Model:
-    """Vocabulary, weights, examples and calibration: bounded by EXAMPLES and TERMS."""
-
-    def __init__(self, vocabulary: np.ndarray, frequency: np.ndarray, documents: int, rows: list):
-        self.vocabulary = vocabulary
-        self.idf = np.log((1 + documents) / (1 + frequency)) + 1
-        vectors, self.toxic, self.ids, silent = [], [], [], []
-        for r in sorted(rows, key=lambda r: r.doc_id):
-            if r.terms:
-                order = np.argsort(r.terms)
-                where = np.array(r.terms, np.int64)[order]
-                vectors.append((where, weights(np.array(r.counts, np.float64)[order], self.idf[where])))
-                self.toxic.append(r.toxic)
-                self.ids.append(r.doc_id)
-            else:
-                silent.append(r.toxic)
-        self.toxic, self.ids = np.array(self.toxic, np.float64), np.array(self.ids, np.int64)
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
+    """Weights, examples and, once calibrated, the steps of the scores: bounded by EXAMPLES and their words."""
+
+    def __init__(self, telling: np.ndarray, frequency: np.ndarray, documents: int, rows: pa.Table):
+        self.idf = (np.log((1 + documents) / (1 + frequency)) + 1) * telling
+        self.vectors, toxic, ids, silent = [], [], [], []
+        for r in rows.sort_by("doc_id").to_batches(max_chunksize=1000):
+            for doc_id, label, terms, counts in zip(*[c.to_pylist() for c in r.columns], strict=True):
+                if terms:
+                    where = np.frombuffer(terms, np.int32)
+                    self.vectors.append((where, weights(np.frombuffer(counts, np.int32).astype(np.float64), self.idf[where])))
+                    toxic.append(label)
+                    ids.append(doc_id)
+                else:
+                    silent.append(label)
+        self.toxic, self.ids = np.array(toxic, np.float64), np.array(ids, np.int64)
+        self.index = BlockMaxIndex(self.vectors, len(telling))
+        self.vectors = None
         self.silent = (sum(silent) + 0.05) / (len(silent) + 1)
-        votes, known = np.full(len(vectors), self.silent), {}
-        for e, (where, weight) in enumerate(vectors):
-            key = (where.tobytes(), weight.tobytes())
-            if key not in known:  # equal examples have the same neighbours, each but itself
-                known[key] = self.index.nearest(where, weight, NEIGHBOURS + 1)
-            near, cosine = known[key]
-            others = near != e
-            if others.any():
-                votes[e] = _vote(cosine[others][:NEIGHBOURS], self.toxic[near[others][:NEIGHBOURS]])
-        self.steps = _isotonic(votes, self.toxic) if len(vectors) else (np.empty(0), np.empty(0))
+        self.steps = (np.empty(0), np.empty(0))
+
+    def vote(self, e: int, known: dict) -> float:
+        """The vote of the other examples on one of them."""
+        a, b = self.index.first[e], self.index.first[e + 1]
+        where, weight = self.index.where[a:b], self.index.weight[a:b].astype(np.float64)
+        key = (where.tobytes(), weight.tobytes())
+        if key not in known:  # equal examples have the same neighbours, each but itself
+            known[key] = self.index.nearest(where, weight, NEIGHBOURS + 1)
+        near, cosine = known[key]
+        others = near != e
+        return _vote(cosine[others][:NEIGHBOURS], self.toxic[near[others][:NEIGHBOURS]]) if others.any() else self.silent
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
         if not len(terms) or not len(self.ids):
@@ -223,38 +293,62 @@ class Model:
         return float(self.steps[1][step]), [{"doc_id": int(self.ids[e]), "cosine": float(c), "toxic": int(self.toxic[e])} for e, c in zip(near[:3], cosine[:3], strict=True)]
 
 
+def _calibrated(spark: SparkSession, model: Broadcast, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the scores from the examples' votes on each other, worked out by the executors."""
+    if not len(toxic):
+        return np.empty(0), np.empty(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            votes = [model.value.vote(e, known) for e in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["e", "vote"])
+
+    votes = spark.range(0, len(toxic), 1, max(1, min(len(toxic) // 200, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "e long, vote double").toArrow()
+    return _isotonic(votes.column("vote").to_numpy(), toxic[votes.column("e").to_numpy()])
+
+
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (nearest examples) of every row of documents(doc_id, text).
+    """doc_id, held_out, score, predicted, evidence, nearest of every row of documents(doc_id, text).
 
+    Nearest are the first three examples by cosine; they are the evidence of a row that is predicted toxic.
     Learns from labels(doc_id, toxic) of rows outside the held-out fold; several labels of a document count as
-    the largest.  Null, empty and texts without a word of the vocabulary get the share of toxic examples among
-    such.  Without labels of both kinds that share is the score of all.  Repeated rows are repeated.
+    the largest.  Null, empty and texts that share no word with an example get the share of toxic examples among
+    those without words.  Without labels of both kinds that share is the score of all.  Repeated rows are repeated.
     """
     examples = scratch.write(spark, _examples(docs, labels), "examples")
-    vocabulary = _vocabulary(examples)
-    frequency, documents = _frequencies(docs, vocabulary)
-    model = spark.sparkContext.broadcast(Model(vocabulary, frequency, documents, _vectors(examples, vocabulary)))
+    vocabulary, telling = _vocabulary(examples)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    frequency, documents = _frequencies(docs, shared, len(vocabulary))
+    made = Model(telling, frequency, documents, _vectors(examples, shared))
+    model = spark.sparkContext.broadcast(made)
     scratch.drop(spark, examples)
+    steps = _calibrated(spark, model, made.toxic)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = model.value, {}
+        m.steps = steps
         for batch in batches:
             for i, j, found, first in _words(batch.column(2)):
-                doc, term, count = _bags(found, first, m.vocabulary)
+                doc, term, count = _bags(found, first, shared.value)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                scores, evidence = [], []
+                scores, nearest = [], []
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    key = (term[a:b].tobytes(), count[a:b].tobytes())
+                    key = hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
                     if key not in known:
                         if len(known) > 50_000:
                             known.clear()
                         known[key] = m.score(term[a:b], count[a:b])
                     s, e = known[key]
                     scores.append(s)
-                    evidence.append(e)
+                    nearest.append(e)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
+                evidence = [e if s >= 0.5 else [] for s, e in zip(scores, nearest, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind), pa.array(nearest, kind)],
+                    ["doc_id", "held_out", "score", "predicted", "evidence", "nearest"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>, nearest array<struct<doc_id:long,cosine:double,toxic:int>>")

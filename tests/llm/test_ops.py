@@ -87,6 +87,31 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(spark, documents(spark, []), labels).count() == 0
 
 
+def test_toxicity_compares_all_words_of_few_labels(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 12) + (" du mistkerl" if i % 5 == 0 else "")) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(45)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(spark, documents(spark, rows), labels).collect()}
+    bags = [collections.Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.translate(LOW))) for _, t in rows]
+    known = [i for i in range(45) if zlib.crc32(str(i).encode()) % 5]
+    names = sorted({w for i in known for w in bags[i]})
+    n, tox = len(known), sum(i % 5 == 0 for i in known)
+
+    def telling(w):
+        both = [(sum(w in bags[i] for i in known if (i % 5 == 0) == t), tox if t else n - tox) for t in (True, False)]
+        held = both[0][0] + both[1][0]
+        cells = [(x, held, size) for x, size in both] + [(size - x, n - held, size) for x, size in both]
+        return 1 + 2 * sum(x * np.log(x * n / (row * size)) for x, row, size in cells if x)
+
+    weight = np.array([telling(w) * (np.log(91 / (1 + sum(w in b for b in bags))) + 1) for w in names])
+    dense = np.array([[1 + np.log(b[w]) if b[w] else 0.0 for w in names] for b in bags]) * weight
+    dense /= np.sqrt((dense * dense).sum(1, keepdims=True))
+    for i, r in got.items():
+        want = sorted((dense[known] @ dense[i]).tolist(), reverse=True)[:3]
+        assert np.allclose([x.cosine for x in r.nearest], want, atol=1e-5), r
+        assert r.predicted == int(i % 5 == 0), r
+
+
 # 2 packing, 5 token counts
 
 
