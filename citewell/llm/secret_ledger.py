@@ -117,10 +117,10 @@ def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
 
 
 def redact(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The same rows with every span of the text replaced; rows are matched by doc_id and content."""
+    """The same rows with every span of the text replaced; rows are matched by doc_id, null or not, and content."""
     by = scanned.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_id", "_sha"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(by, (F.col("doc_id") == F.col("_id")) & (F.sha2(text, 256) == F.col("_sha")), "left")
+    joined = docs.join(by, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(text, 256) == F.col("_sha")), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(s: Column, x: Column) -> Column:

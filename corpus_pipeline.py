@@ -16,26 +16,39 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with _key, and those an operator gets, whose doc_id it is: a row without an id is known by its text.
+
+    Such keys are 2**62 or more, so of linked rows one with an id is the smallest.
+    """
+    content = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), content))
+    return rows, rows.withColumn("doc_id", F.col("_key")).drop("_key")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at 0.5 or more go; all rows of a doc_id are judged by its highest score."""
-    scored = toxicity.score(spark, docs, _read(spark, sf_dir, "labels"))
-    bad = scored.filter(F.col("predicted") == 1).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents scored at 0.5 or more go; all rows of a doc_id are judged by its highest score, rows without one by text."""
+    rows, named = _keyed(docs)
+    scored = toxicity.score(spark, named, _read(spark, sf_dir, "labels"))
+    bad = scored.filter(F.col("predicted") == 1).select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(bad, "_key", "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    grouped = ngram_join.near_components(spark, docs)
-    kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").withColumn("_same", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "_same"]).select(docs.columns)
+    """Of each group of linked documents the one with the smallest doc_id stays, one without an id only if none has one."""
+    rows, named = _keyed(docs)
+    grouped = ngram_join.near_components(spark, named)
+    kept = grouped.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    rows = rows.join(kept, "_key", "left_semi").withColumn("_same", F.xxhash64("text"))
+    return rows.dropDuplicates(["_key", "_same"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more lies in benchmark windows go."""
-    found = decontamination.contamination(spark, docs, _read(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows, named = _keyed(docs)
+    found = decontamination.contamination(spark, named, _read(spark, sf_dir, "benchmark"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(bad, "_key", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,27 @@ def test_stages_catch_what_is_planted(spark, tmp_path):
     assert kept[4] == kept[3]
 
 
+def test_rows_without_an_id_are_cleaned(spark, tmp_path):
+    rng = random.Random(13)
+    clean = [(i, prose(rng, 80)) for i in range(200)]
+    toxic = [(i, prose(rng, 60) + " you worthless scum, scum") for i in range(1000, 1060)]
+    item, lone = prose(rng, 40), prose(rng, 80)
+    bad = {name: prose(rng, 60) + end for name, end in (("toxic", " you worthless scum, scum"), ("dirty", " " + item))}
+    hidden = prose(rng, 50) + " password=abcdef123456"
+    rows = clean + toxic + [(None, t) for t in (*bad.values(), hidden, clean[3][1] + " more words", clean[4][1], lone, lone + " more words", None)]
+    path = setup(spark, tmp_path, rows, [(1, item)], [(i, 1, 0) for i, _ in clean] + [(i, 1, 1) for i, _ in toxic])
+    docs, left = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, path).write.parquet(f"{path}/out-{name}")
+        docs = spark.read.parquet(f"{path}/out-{name}")
+        left.append({r.text for r in docs.filter("doc_id is null").collect()})
+    assert bad["toxic"] not in left[0] and bad["dirty"] in left[0] and hidden in left[0]
+    assert len(left[1] & {lone, lone + " more words"}) == 1 and not left[1] & {clean[3][1] + " more words", clean[4][1]}
+    assert bad["dirty"] not in left[2] and hidden in left[2]
+    assert hidden not in left[3] and any(t and t.endswith("[secret]") for t in left[3])
+    assert None in left[3] and {i for i, _ in clean} == {r.doc_id for r in docs.collect()} - {None}
+
+
 def test_hard_rows_and_empty_tables(spark, tmp_path):
     rows = [(i if i % 9 else None, t) for i, t in enumerate(texts())] + [(3, "one"), (3, "one")]
     path = setup(spark, tmp_path / "a", rows, [(1, None), (None, "x")], [(1, None, None), (None, 1, 1)])
