@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from citewell.functions import query_terms as Q
@@ -61,3 +63,20 @@ def test_question_features(spark):
     assert {"H₂O", "H2O"} <= set(got[3].formula_spans) and {"E=mc²", "E=mc2"} <= set(got[4].formula_spans)
     assert "α/β" in got[5].symbol_spans and "ratio" in got[5].text_terms
     assert "🍎" in got[6].symbol_spans and "营养" in got[6].text_terms
+
+
+def test_whole_benchmark_texts_are_analyzed(spark, tmp_path):
+    from citewell.queries import QUERIES
+
+    items = {1: "filler words that fill the first forty characters, then klingon archive late_word", 2: "short archive", 3: "x1 " * 30 + "B12 at the end", 4: None}
+    spark.createDataFrame([(1, "Some claim of four words.", "klingon", "archive", 25)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.query_id: r for r in QUERIES["q1_q7_analyze"](spark, str(tmp_path)).collect()}
+    assert got.keys() == items.keys()
+    for i, text in items.items():
+        names = [n for n in ("klingon archive", "archive", "klingon") if n in (text or "")]
+        assert got[i].catalog_terms == ",".join(names)
+        words = list(dict.fromkeys(re.findall("[A-Za-z0-9_]{2,}", text or "")))
+        assert [t for t in got[i].text_terms.split(",") if t in words and t not in names] == [w for w in words if w not in names]
+    assert "B12" in got[3].formula_spans.split(",")
