@@ -1,14 +1,14 @@
 """Toxicity scores from the nearest labelled examples.
 
 Examples are a bounded sample of labelled documents, vectors over all their
-words.  A word weighs TF-IDF, with document frequencies of all documents, times
-how far its presence depends on the label in that sample (near copies counted
-once).  A document's nearest examples by exact cosine are found in a block-max
-inverted index: posting lists are added up heaviest word first, examples are
-numbered in ranges, each list keeps its largest weight per range, and an example
-is dropped once neither its range's largest weights nor the norm of the words
-left can lift it to the k-th cosine.  Distance-weighted votes, calibrated on the
-examples themselves with each left out of its own vote, are the scores.
+words; near copies with one label are one example.  A word weighs TF-IDF, with
+document frequencies of all documents, times how far its presence depends on
+the label in that sample (near copies counted once).  A document's nearest
+examples by exact cosine are found in a block-max inverted index: short posting
+lists are added up whole, and of the long ones only those blocks of examples
+whose largest weights can still lift one to the k-th cosine.  Distance-weighted
+votes, calibrated on the examples themselves with each left out of its own
+vote, are the scores.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,12 @@ from . import kernel, scratch
 
 #: Labelled rows to learn from, at most: those with the smallest hash of their id.
 EXAMPLES = 20_000
-#: Neighbours that vote, and examples of a range of the index.
+#: Neighbours that vote, and examples of a block of the index.
 NEIGHBOURS, RANGE = 15, 64
-#: Examples that are compared word by word rather than by more posting lists, and the share of examples from which on a list is a plain row.
-FEW, PLAIN = 128, 0.02
+#: The share of examples from which on a list is a plain row of its blocks.
+PLAIN = 0.05
+#: Documents searched together, and blocks that each is compared with first.
+TOGETHER, FIRST = 128, 6
 #: Documents with this remainder of crc32(doc_id as text) are held out.
 FOLDS, HELD_OUT = 5, 0
 
@@ -48,7 +51,7 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, words, sketch (its smallest 5-word shingle) of the sampled training rows."""
+    """doc_id, toxic, words, counts, sketch (its two smallest 5-word shingles) of the sampled training rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
@@ -61,7 +64,8 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([x.view(np.int64) for x, _ in bags], pa.list_(pa.int64())),
-                        pa.array([n for _, n in bags], pa.list_(pa.int64())), pa.array([int(x[:1].view(np.int64)[0]) if len(x) else 0 for x in whole], pa.int64()),
+                        pa.array([n for _, n in bags], pa.list_(pa.int64())),
+                        pa.array([int(kernel.window_hashes(x[:2], 2).view(np.int64)[0]) if len(x) else 0 for x in whole], pa.int64()),
                     ],
                     ["doc_id", "toxic", "words", "counts", "sketch"],
                 )
@@ -132,53 +136,50 @@ def _slices(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class BlockMaxIndex:
-    """Posting lists over numbered examples with the largest weight of each list in each range of RANGE examples."""
+    """Posting lists over examples in blocks of RANGE, with the largest weight of each list in each block.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.size, self.terms, self.ranges = len(vectors), terms, -(-len(vectors) // RANGE)
-        self.first = np.cumsum([0, *[len(x) for x, _ in vectors]], dtype=np.int64)
-        self.where = np.concatenate([np.empty(0, np.int32), *[x.astype(np.int32) for x, _ in vectors]])
-        self.weight = np.concatenate([np.empty(0, np.float32), *[w.astype(np.float32) for _, w in vectors]])
-        self.plain = None
+    Examples stand in the order of their heaviest words, so that a block holds like ones.  Lists of more than PLAIN
+    of all examples are rows of their blocks; they are added up, for many documents at once, in those blocks only
+    whose largest weights can lift an example to a document's k-th cosine.
+    """
 
-    def __getstate__(self) -> dict:
-        """The vectors alone: each worker makes its lists of them."""
-        return {name: getattr(self, name) for name in ("size", "terms", "ranges", "first", "where", "weight")} | {"plain": None}
-
-    def _lists(self) -> None:
-        terms, order = self.terms, np.argsort(self.where, kind="stable")
-        self.example = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))[order]
-        self.impact = self.weight[order]
-        self.list = np.concatenate([[0], np.cumsum(np.bincount(self.where, minlength=terms))])
-        key = self.where[order].astype(np.int64) * max(1, self.ranges) + self.example // RANGE
-        cut = np.flatnonzero(np.diff(key, prepend=-1))
-        self.most = np.maximum.reduceat(self.impact, cut) if len(cut) else self.impact
-        self.range = (key[cut] % max(1, self.ranges)).astype(np.int32)
-        self.block = np.searchsorted(key[cut], np.arange(terms + 1) * max(1, self.ranges))
-        self._rows()
-
-    def _rows(self) -> None:
-        """Long lists once more as rows of all examples."""
-        self.asked = np.zeros(self.terms)
-        long = np.flatnonzero(np.diff(self.list) > PLAIN * self.size)
-        self.row = np.full(self.terms, -1, np.int32)
-        self.row[long] = np.arange(len(long))
-        self.plain = np.zeros((len(long), self.size), np.float32)
-        for n, t in enumerate(long.tolist()):
-            self.plain[n, self.example[self.list[t] : self.list[t + 1]]] = self.impact[self.list[t] : self.list[t + 1]]
-
-    def _add(self, cosine: np.ndarray, where: np.ndarray, weight: np.ndarray) -> None:
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        first = np.cumsum([0, *[len(x) for x, _ in vectors]], dtype=np.int64)
+        where = np.concatenate([np.empty(0, np.int32), *[x.astype(np.int32) for x, _ in vectors]])
+        self._build(first, where, np.concatenate([np.empty(0, np.float32), *[w.astype(np.float32) for _, w in vectors]]), terms)
+
+    @classmethod
+    def of(cls, first: np.ndarray, where: np.ndarray, weight: np.ndarray, terms: int) -> BlockMaxIndex:
+        """The index of examples e with terms where[first[e]:first[e + 1]]; each has one term at least."""
+        index = cls.__new__(cls)
+        index._build(first, where, weight, terms)
+        return index
+
+    def _build(self, first: np.ndarray, where: np.ndarray, weight: np.ndarray, terms: int) -> None:
+        self.size, self.first, self.where, self.weight = len(first) - 1, first, where, weight
+        self.blocks = -(-self.size // RANGE)
+        self.asked = np.zeros(terms)
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(first))
+        heaviest = np.maximum.reduceat(weight, first[:-1]) if self.size else weight
+        at = np.flatnonzero(weight == heaviest[owner]) if self.size else np.empty(0, np.int64)
+        top = where[at[np.unique(owner[at], return_index=True)[1]]]
+        self.number = np.lexsort((-heaviest, top))  # the example at each place
+        place = np.empty(self.size, np.int32)
+        place[self.number] = np.arange(self.size, dtype=np.int32)
+        owner = place[owner]
+        held = np.bincount(where, minlength=terms)
+        plain = np.flatnonzero(held > PLAIN * self.size)
+        self.row = np.full(terms, -1, np.int32)
+        self.row[plain] = np.arange(len(plain))
+        self.plain = np.zeros((self.blocks, len(plain), RANGE), np.float32)
         row = self.row[where]
-        for n, w in zip(row[row >= 0].tolist(), weight[row >= 0].astype(np.float32), strict=True):
-            cosine += self.plain[n] * w
-        short = where[row < 0]
-        at, of = _slices(self.list[short], self.list[short + 1])
-        if len(at):
-            cosine += np.bincount(self.example[at], weight[row < 0][of] * self.impact[at], self.size).astype(np.float32)
-
-    def _bounds(self, where: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        at, of = _slices(self.block[where], self.block[where + 1])
-        return np.bincount(self.range[at], weight[of] * self.most[at], self.ranges)
+        own = np.flatnonzero(row >= 0)
+        self.plain[owner[own] // RANGE, row[own], owner[own] % RANGE] = weight[own]
+        self.most = np.ascontiguousarray(self.plain.max(2).T) if self.blocks else np.zeros((len(plain), 0), np.float32)
+        own = np.flatnonzero(row < 0)
+        own = own[np.argsort(where[own], kind="stable")]
+        self.example, self.impact = owner[own], weight[own]
+        self.list = np.concatenate([[0], np.cumsum(np.where(self.row < 0, held, 0))])
 
     def _exact(self, some: np.ndarray, where: np.ndarray, weight: np.ndarray) -> np.ndarray:
         self.asked[where] = weight
@@ -189,32 +190,53 @@ class BlockMaxIndex:
 
     def nearest(self, where: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the smaller number."""
-        if self.plain is None:
-            self._lists()
-        order = np.argsort(-weight, kind="stable")
-        heavy, by = where[order], weight[order]
-        left = np.sqrt(np.append(np.cumsum((by * by)[::-1])[::-1], 0.0))
-        cosine, done, some = np.zeros(self.size, np.float32), 0, np.arange(self.size)
-        slack = 1e-4  # the sums here have single precision and only choose whom to compare
-        for share in (0.25, 0.1, 0.04, 0.0):
-            upto = int(np.searchsorted(-left, -share * left[0]))
-            self._add(cosine, heavy[done:upto], by[done:upto])
-            done = upto
-            if self.size <= k:
-                continue
-            least = np.partition(cosine, self.size - k)[self.size - k] - slack
-            if least <= 0:
-                some = np.flatnonzero(cosine > 0) if done == len(heavy) else some
-                continue
-            some = np.flatnonzero(cosine + left[done] >= least)
-            if FEW < len(some) <= 4 * FEW and done < len(heavy):
-                some = some[cosine[some] + self._bounds(heavy[done:], by[done:])[some // RANGE] >= least]
-            if len(some) <= FEW:
-                break
-        found = self._exact(some, where, weight)
-        order = np.lexsort((some, -found))[:k]
-        order = order[found[order] > 0]
-        return some[order], found[order]
+        return self.nearest_of([(where, weight)], k)[0]
+
+    def nearest_of(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of several documents."""
+        n, m = len(asked), self.blocks
+        if not n or not m:
+            return [(np.empty(0, np.int64), np.empty(0))] * n
+        dense = np.zeros((n, self.plain.shape[1]), np.float32)
+        sums = np.zeros((n, m * RANGE), np.float32)
+        for d, (where, weight) in enumerate(asked):
+            row = self.row[where]
+            dense[d, row[row >= 0]] = weight[row >= 0]
+            short = where[row < 0]
+            at, of = _slices(self.list[short], self.list[short + 1])
+            if len(at):
+                sums[d] = np.bincount(self.example[at], weight[row < 0].astype(np.float32)[of] * self.impact[at], m * RANGE)
+        sums = sums.reshape(n, m, RANGE)
+        bound = sums.max(2) + dense @ self.most
+        best = np.argpartition(-bound, min(FIRST, m) - 1, axis=1)[:, :FIRST]
+        todo = np.zeros((n, m), bool)
+        np.put_along_axis(todo, best, True, 1)
+        self._add(sums, dense, todo)
+        slack = 1e-4  # the sums have single precision and only choose whom to compare
+        seen = np.take_along_axis(sums, best[:, :, None], 1).reshape(n, -1)
+        least = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k] - slack if seen.shape[1] >= k else np.zeros(n)
+        more = (bound >= least[:, None]) & (bound > 0) & ~todo
+        self._add(sums, dense, more)
+        todo |= more
+        sums[~todo] = 0
+        out = []
+        for (where, weight), mine, enough in zip(asked, sums.reshape(n, -1), least, strict=True):
+            some = np.flatnonzero(mine >= enough) if enough > 0 else np.flatnonzero(mine > 0)
+            if len(some) > k:
+                value = mine[some]
+                some = some[value >= np.partition(value, len(some) - k)[-k] - slack]
+            some = np.sort(self.number[some])
+            found = self._exact(some, where, weight)
+            order = np.lexsort((some, -found))[:k]
+            order = order[found[order] > 0]
+            out.append((some[order], found[order]))
+        return out
+
+    def _add(self, sums: np.ndarray, dense: np.ndarray, todo: np.ndarray) -> None:
+        """Adds the plain rows of each block to the sums of the documents it is to be compared with."""
+        for b in np.flatnonzero(todo.any(0)).tolist():
+            docs = np.flatnonzero(todo[:, b])
+            sums[docs, b] += dense[docs] @ self.plain[b]
 
 
 def _vote(cosine: np.ndarray, toxic: np.ndarray) -> float:
@@ -236,61 +258,88 @@ def _isotonic(votes: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _vectors(examples: DataFrame, shared: Broadcast) -> pa.Table:
-    """doc_id, toxic, terms, counts (as bytes of int32) of each example: little is left of it for the driver."""
+    """doc_id, toxic, sketch, terms, counts (as bytes of int32) of each example: little is left of it for the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, counts = [], []
             for k in range(batch.num_rows):
-                found = batch.column(2)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                found = batch.column(3)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 own = len(shared.value) > 0  # else no word tells labels apart
                 terms.append((np.searchsorted(shared.value, found) if own else found[:0]).astype(np.int32).tobytes())
-                counts.append(batch.column(3)[k].values.to_numpy(zero_copy_only=False)[: None if own else 0].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "terms", "counts"])
+                counts.append(batch.column(4)[k].values.to_numpy(zero_copy_only=False)[: None if own else 0].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                ["doc_id", "toxic", "sketch", "terms", "counts"],
+            )
+
+    schema = "doc_id long, toxic int, sketch long, terms binary, counts binary"
+    return examples.select("doc_id", "toxic", "sketch", "words", "counts").mapInArrow(run, schema).toArrow()
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
 
-    return examples.select("doc_id", "toxic", "words", "counts").mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary").toArrow()
+def _unplaned(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
 class Model:
-    """Weights, examples and, once calibrated, the steps of the scores: bounded by EXAMPLES and their words."""
+    """Weights, examples and, once calibrated, the steps of the scores: bounded by EXAMPLES and their words.
+
+    Examples travel as terms and counts, packed; each worker makes its index of them once.
+    """
 
     def __init__(self, telling: np.ndarray, frequency: np.ndarray, documents: int, rows: pa.Table):
         self.idf = (np.log((1 + documents) / (1 + frequency)) + 1) * telling
-        self.vectors, toxic, ids, silent = [], [], [], []
-        for r in rows.sort_by("doc_id").to_batches(max_chunksize=1000):
-            for doc_id, label, terms, counts in zip(*[c.to_pylist() for c in r.columns], strict=True):
-                if terms:
-                    where = np.frombuffer(terms, np.int32)
-                    self.vectors.append((where, weights(np.frombuffer(counts, np.int32).astype(np.float64), self.idf[where])))
-                    toxic.append(label)
-                    ids.append(doc_id)
-                else:
-                    silent.append(label)
-        self.toxic, self.ids = np.array(toxic, np.float64), np.array(ids, np.int64)
-        self.index = BlockMaxIndex(self.vectors, len(telling))
-        self.vectors = None
-        self.silent = (sum(silent) + 0.05) / (len(silent) + 1)
-        self.steps = (np.empty(0), np.empty(0))
-
-    def vote(self, e: int, known: dict) -> float:
-        """The vote of the other examples on one of them."""
-        a, b = self.index.first[e], self.index.first[e + 1]
-        where, weight = self.index.where[a:b], self.index.weight[a:b].astype(np.float64)
-        key = (where.tobytes(), weight.tobytes())
-        if key not in known:  # equal examples have the same neighbours, each but itself
-            known[key] = self.index.nearest(where, weight, NEIGHBOURS + 1)
-        near, cosine = known[key]
-        others = near != e
-        return _vote(cosine[others][:NEIGHBOURS], self.toxic[near[others][:NEIGHBOURS]]) if others.any() else self.silent
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
-        if not len(terms) or not len(self.ids):
-            return self.silent, []
-        near, cosine = self.index.nearest(terms, weights(counts, self.idf[terms]), NEIGHBOURS)
-        if not len(near):
-            return self.silent, []
-        step = max(0, int(np.searchsorted(self.steps[0], _vote(cosine, self.toxic[near]), side="right")) - 1)
-        return float(self.steps[1][step]), [{"doc_id": int(self.ids[e]), "cosine": float(c), "toxic": int(self.toxic[e])} for e, c in zip(near[:3], cosine[:3], strict=True)]
+        rows = rows.sort_by([("doc_id", "ascending"), ("sketch", "ascending")])
+        toxic, sketch = rows.column("toxic").to_numpy(), rows.column("sketch").to_numpy()
+        sizes = np.diff(kernel.buffers(rows.column("terms"))[1]) // 4
+        self.silent = (toxic[sizes == 0].sum() + 0.05) / ((sizes == 0).sum() + 1)
+        once = np.sort(np.unique(np.stack([sketch, toxic.astype(np.int64)], 1), axis=0, return_index=True)[1])
+        rows = rows.take(once[sizes[once] > 0])
+        self.toxic, self.ids = rows.column("toxic").to_numpy().astype(np.float64), rows.column("doc_id").to_numpy().astype(np.int64)
+        raw, offsets = kernel.buffers(rows.column("terms"))
+        self.first = offsets // 4
+        self.packed = _planes(np.diff(raw.view(np.uint32), prepend=np.zeros(1, np.uint32))), _planes(kernel.buffers(rows.column("counts"))[0].view(np.uint32))
+        self.made = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self.made is None:
+            where = np.cumsum(_unplaned(self.packed[0]), dtype=np.uint32).astype(np.int32)
+            raw = (1 + np.log(_unplaned(self.packed[1]))) * self.idf[where]
+            if len(self.ids):
+                raw /= np.repeat(np.sqrt(np.add.reduceat(raw * raw, self.first[:-1])), np.diff(self.first))
+            self.made = BlockMaxIndex.of(self.first, where, raw.astype(np.float32), len(self.idf))
+        return self.made
+
+    def votes(self, examples: list[int]) -> list[float]:
+        """The votes of the other examples on some of them."""
+        index, out = self.index, []
+        cut = [(index.first[e], index.first[e + 1]) for e in examples]
+        asked = [(index.where[a:b], index.weight[a:b].astype(np.float64)) for a, b in cut]
+        for e, (near, cosine) in zip(examples, index.nearest_of(asked, NEIGHBOURS + 1), strict=True):
+            others = near != e
+            out.append(_vote(cosine[others][:NEIGHBOURS], self.toxic[near[others][:NEIGHBOURS]]) if others.any() else self.silent)
+        return out
+
+    def scores(self, bags: list[tuple[np.ndarray, np.ndarray]], steps: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, list[dict]]]:
+        """Scores and first neighbours of documents given as terms and counts."""
+        asked = [(terms, weights(counts, self.idf[terms])) if len(terms) else (terms, np.empty(0)) for terms, counts in bags]
+        out = []
+        for near, cosine in self.index.nearest_of(asked, NEIGHBOURS):
+            if not len(near):
+                out.append((self.silent, []))
+                continue
+            step = max(0, int(np.searchsorted(steps[0], _vote(cosine, self.toxic[near]), side="right")) - 1)
+            out.append((float(steps[1][step]), [{"doc_id": int(self.ids[e]), "cosine": float(c), "toxic": int(self.toxic[e])} for e, c in zip(near[:3], cosine[:3], strict=True)]))
+        return out
 
 
 def _calibrated(spark: SparkSession, model: Broadcast, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,12 +348,13 @@ def _calibrated(spark: SparkSession, model: Broadcast, toxic: np.ndarray) -> tup
         return np.empty(0), np.empty(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in batches:
-            votes = [model.value.vote(e, known) for e in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["e", "vote"])
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.column(0).slice(i, TOGETHER)
+                yield pa.RecordBatch.from_arrays([part, pa.array(model.value.votes(part.to_pylist()), pa.float64())], ["e", "vote"])
 
-    votes = spark.range(0, len(toxic), 1, max(1, min(len(toxic) // 200, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "e long, vote double").toArrow()
+    tasks = max(1, min(len(toxic) // 200, 4 * spark.sparkContext.defaultParallelism))
+    votes = spark.range(0, len(toxic), 1, tasks).mapInArrow(run, "e long, vote double").toArrow()
     return _isotonic(votes.column("vote").to_numpy(), toxic[votes.column("e").to_numpy()])
 
 
@@ -313,7 +363,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Nearest are the first three examples by cosine; they are the evidence of a row that is predicted toxic.
     Learns from labels(doc_id, toxic) of rows outside the held-out fold; several labels of a document count as
-    the largest.  Null, empty and texts that share no word with an example get the share of toxic examples among
+    the largest, and several texts of a doc_id are so many examples.  Null, empty and texts that share no word with an example get the share of toxic examples among
     those without words.  Without labels of both kinds that share is the score of all.  Repeated rows are repeated.
     """
     examples = scratch.write(spark, _examples(docs, labels), "examples")
@@ -326,29 +376,35 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     steps = _calibrated(spark, model, made.toxic)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
+    def scored(bags: list[tuple[np.ndarray, np.ndarray]], known: dict) -> list[tuple[float, list[dict]]]:
+        """Scores of documents, equal bags of words once."""
+        keys = [hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() for t, n in bags]
+        if len(known) > 50_000:
+            known.clear()
+        fresh = {key: bag for key, bag in zip(keys, bags, strict=True) if key not in known}
+        for i in range(0, len(fresh), TOGETHER):
+            some = list(fresh)[i : i + TOGETHER]
+            known.update(zip(some, model.value.scores([fresh[key] for key in some], steps), strict=True))
+        return [known[key] for key in keys]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = model.value, {}
-        m.steps = steps
+        known: dict = {}
         for batch in batches:
             for i, j, found, first in _words(batch.column(2)):
                 doc, term, count = _bags(found, first, shared.value)
-                cut = np.searchsorted(doc, np.arange(j - i + 1))
-                scores, nearest = [], []
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    key = hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[key] = m.score(term[a:b], count[a:b])
-                    s, e = known[key]
-                    scores.append(s)
-                    nearest.append(e)
+                cut = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
+                both = scored([(term[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], known)
+                scores, nearest = [s for s, _ in both], [e for _, e in both]
                 part = batch.slice(i, j - i)
-                evidence = [e if s >= 0.5 else [] for s, e in zip(scores, nearest, strict=True)]
+                evidence = [e if s >= 0.5 else [] for s, e in both]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind), pa.array(nearest, kind)],
+                    [
+                        part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()),
+                        pa.array(evidence, kind), pa.array(nearest, kind),
+                    ],
                     ["doc_id", "held_out", "score", "predicted", "evidence", "nearest"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>, nearest array<struct<doc_id:long,cosine:double,toxic:int>>")
+    near = "array<struct<doc_id:long,cosine:double,toxic:int>>"
+    return rows.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, evidence {near}, nearest {near}")
