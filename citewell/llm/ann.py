@@ -5,8 +5,9 @@ as smallest distance, then rotated at random and held by column blocks in
 inverted lists around k-means centroids.  Within each probed list a query adds
 up partial distances block by block; after each block a hypothesis test drops
 the candidates whose full distance is, at the chosen confidence, beyond the
-k-th best seen.  Survivors are ranked by the exact inner product of the
-original vectors.
+k-th best seen.  A query's nearest lists are scanned first; the k-th best found
+there bounds the scans of its other lists, each of which tightens it on its own.
+Survivors are ranked by the exact inner product of the original vectors.
 """
 
 from __future__ import annotations
@@ -26,28 +27,30 @@ SAMPLE = 20_000
 LISTS, PER_LIST, CHUNK = 1024, 512, 4096
 #: Share of the lists that a query probes; and the test's confidence.
 PROBES, EPSILON = 0.7, 1.2
-COLUMNS = 16
-#: A query's bound lets this many times k of the sample pass, so that k are left after unprobed lists.
-SPARE = 3
+#: Dimensions of a block, and rows of a list between two updates of the bounds.
+COLUMNS, SLAB = 16, 1024
+#: A query's first lists hold this many times k rows.
+SPARE = 20
 
 
 def _clean(rows: DataFrame) -> DataFrame:
     """vec_id, embedding of the vectors that take part."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
+    typed = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    present = typed.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    return present.filter(~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
 
 
 class Space:
     """Extension, rotation and centroids, fitted on a bounded sample."""
 
-    def __init__(self, ids: np.ndarray, sample: np.ndarray, bound: float, rows: int):
+    def __init__(self, sample: np.ndarray, bound: float, lists: int):
         rng = np.random.default_rng(7)
         self.bound = bound
         size = sample.shape[1] + 1
         self.rotation = np.linalg.qr(rng.normal(size=(size, size)))[0]
-        lists = int(np.clip(rows // PER_LIST, 1, min(LISTS, len(sample))))
-        self.sample, self.ids = sample, ids
+        lists = min(lists, len(sample))
         points = self.extended(sample)
         centres = points[rng.choice(len(points), lists, replace=False)]
         for _ in range(12):
@@ -71,17 +74,10 @@ class Space:
         unit = x * np.sqrt(self.bound / (x * x).sum(axis=1))[:, None]
         return np.hstack([unit, np.zeros((len(x), 1))]) @ self.rotation
 
-    def limits(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-        """Bounds of the squared distance of each query's nearest: that of the SPARE * k-th among the sample."""
-        out = np.full(len(x), np.inf)
-        for a in range(0, len(x), 256):
-            inner = x[a : a + 256] @ self.sample.T
-            inner[self.ids == ids[a : a + 256, None]] = -np.inf
-            if inner.shape[1] > SPARE * k:
-                best = np.partition(inner, -SPARE * k, axis=1)[:, -SPARE * k]
-                root = np.sqrt(self.bound / (x[a : a + 256] ** 2).sum(axis=1))
-                out[a : a + 256] = 2 * self.bound - 2 * root * best
-        return np.where(np.isnan(out), np.inf, out) * (1 + 1e-9) + 1e-12
+    def limits(self, x: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Squared distances of the scaled queries at which a row has these inner products with them; nan: no limit."""
+        out = 2 * self.bound - 2 * np.sqrt(self.bound / (x * x).sum(axis=1)) * inner
+        return np.where(np.isnan(out), np.inf, out) + 1e-9 * self.bound + 1e-12
 
     def lists(self, points: np.ndarray) -> np.ndarray:
         return self._near(points, self.centres)
@@ -96,9 +92,29 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def _scan(rotated: np.ndarray, queries: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scan(rotated: np.ndarray, queries: np.ndarray, limits: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs that no test drops.  ``rotated`` has a row for each dimension; ``limits`` bound the k-th distance.
 
+    ``own`` marks pairs that do not count.  After each slab of rows the bounds fall to the k-th best seen by then.
+    """
+    best, limits, found = np.full((len(queries), k), np.inf), limits.copy(), []
+    for at in range(0, rotated.shape[1], SLAB):
+        part = rotated[:, at : at + SLAB]
+        q, c, distance = _tested(part, queries, limits)
+        other = ~own[q, at + c]
+        q, c, distance = q[other], c[other], distance[other]
+        found.append((q, at + c))
+        seen = np.full((len(queries), k + part.shape[1]), np.inf)
+        seen[:, :k] = best
+        seen[q, k + c] = distance
+        best = np.partition(seen, k - 1, axis=1)[:, :k]
+        limits = np.minimum(limits, best[:, k - 1] * (1 + 1e-9) + 1e-12)
+    return np.concatenate([q for q, _ in found]), np.concatenate([c for _, c in found])
+
+
+def _tested(rotated: np.ndarray, queries: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, squared distance) of the pairs that pass all tests.
+
     The first blocks are matrix products over all pairs; once a test has thinned them out, blocks are added pair by pair.
     """
     size, norms = rotated.shape[0], rotated * rotated
@@ -120,27 +136,29 @@ def _scan(rotated: np.ndarray, queries: np.ndarray, limits: np.ndarray) -> tuple
         else:
             alive = kept <= slack[q]
             q, c, kept = q[alive], c[alive], kept[alive]
-    return q, c
+    return q, c, kept
 
 
-def search(spark: SparkSession, rows: DataFrame, query_divisor: int = 20, k: int = 20, probes: float = PROBES) -> DataFrame:
+def search(spark: SparkSession, rows: DataFrame, query_divisor: int = 20, k: int = 20, probes: float = PROBES, per_list: int = PER_LIST) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by inner product, ties to the smaller id.
 
     Queries are the rows whose vec_id is a multiple of the divisor; candidates are all other rows.  Vectors that
     are null, empty, all zero, or hold a null or non-finite component take no part, nor do vectors of another
-    length than the shortest sampled id's.  Vector ids are unique.  Few rows are all probed, so then nothing is missed.
+    length than the commonest (of equally common ones the shortest).  An id is found once, by its best row; a query
+    whose id has several vectors asks with the smallest.  Extra columns are ignored; no rows give no results.
     """
     clean = _clean(rows)
-    stats = clean.agg(F.count("*").alias("n"), F.max_by(F.size("embedding"), -F.xxhash64("vec_id")).alias("size")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not stats.n:
-        return spark.createDataFrame([], schema)
-    size = stats["size"]
+    sizes = clean.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+    usual = sizes.orderBy(F.desc("n"), "size").first()
+    if not usual:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size, total = usual["size"], usual["n"]
     clean = clean.filter(F.size("embedding") == size)
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    bound, total = clean.agg(F.max(square), F.count("*")).first()
-    chosen = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    space = spark.sparkContext.broadcast(Space(np.array([r.vec_id for r in chosen]), np.array([r.embedding for r in chosen]), bound, total))
+    bound = clean.agg(F.max(square)).first()[0]
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    lists = max(1, min(total // per_list, LISTS))
+    space = spark.sparkContext.broadcast(Space(_matrix(sample.column(0), size), bound, lists))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space.value
@@ -152,66 +170,71 @@ def search(spark: SparkSession, rows: DataFrame, query_divisor: int = 20, k: int
     held = {r.list: r.n for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     chunks = {x: -(-n // CHUNK) for x, n in held.items()}
     count = len(space.value.centres)
-    least = count if total <= 20 * k else max(1, round(probes * count))
+    least = max(1, round(probes * count))
 
-    def probe(batches: Iterator[pa.RecordBatch], least: int = least, bounded: bool = True) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], after: bool) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk of a query's first lists, or of those after them; ``inner`` is the k-th best by then."""
         s = space.value
         for batch in batches:
             vectors = _matrix(batch.column(1), size)
-            out_q, out_l, out_c = [], [], []
-            limits = s.limits(batch.column(0).to_numpy(), vectors, k) if bounded else np.full(len(vectors), np.inf)
+            inner = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            taken, names, parts = [], [], []
             for q, order in enumerate(s.by_distance(s.queries(vectors)) if len(vectors) else []):
-                seen = 0
-                for rank, name in enumerate(order.tolist()):
-                    if rank >= least and seen > 4 * k:
-                        break
-                    seen += held.get(name, 0)
+                seen = first = 0
+                while first < count and (not first or seen <= SPARE * k):
+                    seen += held.get(int(order[first]), 0)
+                    first += 1
+                for name in order[first : max(first, least)].tolist() if after else order[:first].tolist():
                     for c in range(chunks.get(name, 0)):
-                        out_q.append(q)
-                        out_l.append(name)
-                        out_c.append(c)
-            taken = pa.array(out_q, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(limits).take(taken), pa.array(out_l, pa.int32()), pa.array(out_c, pa.int32())], ["query_id", "embedding", "within", "list", "chunk"])
-
-    def scan(lists: pa.Table, asked: pa.Table) -> pa.Table:
+                        taken.append(q)
+                        names.append(name)
+                        parts.append(c)
+            at = pa.array(taken, pa.int64())
+            limits = pa.array(s.limits(vectors, inner) if len(vectors) else [], pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), limits.take(at), pa.array(names, pa.int32()), pa.array(parts, pa.int32())],
+                ["query_id", "embedding", "within", "list", "chunk"],
+            )
+
+    def scan(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        if lists.num_rows and asked.num_rows:
+        if rows.num_rows and asked.num_rows:
             s = space.value
-            exact = _matrix(lists.column("embedding"), size)
+            exact = _matrix(rows.column("embedding"), size)
             rotated = np.ascontiguousarray(s.extended(exact).T)  # a row for each dimension: column blocks
-            ids = lists.column("vec_id").to_numpy()
+            ids = rows.column("vec_id").to_numpy()
             originals = _matrix(asked.column("embedding"), size)
             names, within = asked.column("query_id").to_numpy(), asked.column("within").to_numpy()
             turned = s.queries(originals)
             for a in range(0, len(names), 128):
-                q, c = _scan(rotated, turned[a : a + 128], within[a : a + 128])
-                other = ids[c] != names[a + q]
-                q, c = q[other] + a, c[other]
+                own = ids[None, :] == names[a : a + 128, None]
+                q, c = _scan(rotated, turned[a : a + 128], within[a : a + 128], own, k)
+                q = q + a
                 score = np.concatenate([np.empty(0), *((exact[c[i : i + 65536]] * originals[q[i : i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536))])
+                order = np.lexsort((-score, ids[c], q))  # each id by its best row
+                q, c, score = q[order], c[order], score[order]
+                once = np.append(True, (q[1:] != q[:-1]) | (ids[c[1:]] != ids[c[:-1]]))[: len(q)]
+                q, c, score = q[once], c[once], score[once]
                 order = np.lexsort((ids[c], -score, q))
                 q, c, score = q[order], c[order], score[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                best = place < k
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
                 out[0] += names[q[best]].tolist()
                 out[1] += ids[c[best]].tolist()
                 out[2] += score[best].tolist()
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    per_list = F.element_at(F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair]), F.col("list"))
-    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), per_list).cast("int"))
-    asked = clean.filter(F.col("vec_id") % query_divisor == 0)
+    of_list = F.element_at(F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair]), F.col("list"))
+    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), of_list).cast("int"))
+    asked = clean.filter(F.col("vec_id") % query_divisor == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
 
-    def found_for(queries: DataFrame, how) -> DataFrame:
-        probed = queries.mapInArrow(how, "query_id long, embedding array<double>, within double, list int, chunk int")
+    def found_for(queries: DataFrame, after: bool) -> DataFrame:
+        probed = queries.mapInArrow(lambda batches: probe(batches, after), "query_id long, embedding array<double>, within double, list int, chunk int")
         pairs = dealt.groupBy("list", "chunk").cogroup(probed.groupBy("list", "chunk")).applyInArrow(scan, "query_id long, vec_id long, score double")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return scratch.write(spark, pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
-
-    result = found_for(asked, probe)
-    if total > 1:  # queries that the probed lists left short are searched in all lists without a test
-        full = result.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, total - 1))
-        lacking = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
-        if not lacking.isEmpty():
-            again = found_for(lacking, lambda batches: probe(batches, count, False))
-            result = result.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
-    return result
+        return scratch.write(spark, pairs, "neighbours")
+
+    first = found_for(asked.withColumn("inner", F.lit(None).cast("double")), False)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    once = lambda found: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place)
+    kth = once(first).filter(F.col("rank") == k).select("query_id", F.col("score").alias("inner"))
+    more = found_for(asked.join(kth, "query_id", "left").select("query_id", "embedding", "inner"), True)
+    return once(first.unionByName(more)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

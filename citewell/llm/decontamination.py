@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
-Of every ``size - k + 1`` consecutive k-gram hashes the smallest is kept, so any
-window of ``size`` words leaves at least one fingerprint, the same on both
-sides.  Documents' and items' fingerprints are joined, and each hit is extended
+Of every ``size - k + 1`` consecutive k-grams the one whose first word has the
+smallest hash is kept, and hashed whole, so any window of ``size`` words leaves at
+least one fingerprint, the same on both sides.  Documents' and items' fingerprints are joined, and each hit is extended
 by comparing the words of all windows that hold it.  Items of fewer words than
 a window are one window each and are looked up by their whole length.
 """
@@ -117,14 +117,15 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """doc_id, sum, n_words, n_hit, items, contaminated for every row of documents(doc_id, text) against benchmark(item_id, text).
 
     n_hit counts the words inside any occurrence of an item's window; items has the ids of items with occurring
-    windows, sorted as strings.  Null and empty texts have no words and no hits; ids are not negative.
+    windows, sorted as strings.  Null and empty texts have no words and no hits; ids may be null or negative.
     Rows with the same id and text are alike; rows with the same id and other texts are told apart by ``sum``, the
-    text's hash.  Extra columns are ignored.  Items with the same id and other texts count as that one item.
+    text's hash, whose lowest bit says that the id is null.  Extra columns are ignored.  Items with the same id and other texts count as that one item.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("name"), words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
     items = items.withColumn("item_id", F.xxhash64("name", "words"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("sum"), words(F.col("text")).alias("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lost = F.col("doc_id").isNull().cast("long")
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(lost).alias("sum"), words(F.col("text")).alias("words"))
     hits = _hits(spark, rows, items.filter(F.size("words") >= SIZE))
     found = _extended(rows, hits, items)
 
@@ -147,7 +148,7 @@ def _covered(rows: DataFrame, windows: DataFrame) -> DataFrame:
     names = windows.select(*key, "name").distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.col("name").cast("string"))).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select(*key, "n_words").join(hit.join(names, key, "left"), key, "left").select(
-        F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias("doc_id"), "sum", "n_words", n_hit.alias("n_hit"),
+        F.when(F.col("sum").bitwiseAND(F.lit(1)) == 0, F.col("doc_id")).alias("doc_id"), "sum", "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 

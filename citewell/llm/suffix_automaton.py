@@ -87,7 +87,7 @@ def remove_reference_spans(spark: SparkSession, docs: DataFrame, reference: Data
     """
     pieces = reference.select(F.split(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+").alias("w"))
     cut = pieces.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(shard)), lambda i: F.slice("w", i, F.lit(shard + size - 1)))).alias("w")).filter(F.size("w") >= size)
-    numbered = cut.withColumn("hash", F.xxhash64("w")).dropDuplicates(["hash"]).withColumn("part", F.spark_partition_id())
+    numbered = cut.withColumn("hash", F.sha2(F.to_binary(F.array_join("w", " "), F.lit("utf-8")), 256)).dropDuplicates(["hash"]).withColumn("part", F.spark_partition_id())
     numbered = scratch.write(spark, numbered, "reference")
     place = F.floor(F.coalesce(F.sum(F.size("w")).over(Window.partitionBy("part").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / shard)
     shards = scratch.write(spark, numbered.withColumn("place", place), "shards")
@@ -100,7 +100,8 @@ def remove_reference_spans(spark: SparkSession, docs: DataFrame, reference: Data
         marks = found if marks is None else marks.unionByName(found)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sum", F.xxhash64("text"))
     if marks is not None:
-        rows = rows.join(marks.distinct().groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "end")).alias("spans")), ["doc_id", "sum"], "left")
+        spans = marks.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sum") == F.col("_sum")), "left")
     else:
         rows = rows.withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
     return rows.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")

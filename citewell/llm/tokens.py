@@ -126,7 +126,8 @@ def texts(column: pa.Array) -> Iterator[bytes]:
 def frequent_pieces(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """piece, n of every piece that makes up ``share`` of all: lossy counting in each partition, then one small sum.
 
-    A partition forgets only pieces too rare in it; no piece row is shuffled but those summaries.
+    A partition forgets only pieces too rare in it.  The summaries, 1 / share rows of a partition at most, are what is
+    shuffled; the pieces of the documents never are.
     """
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

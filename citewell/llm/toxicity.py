@@ -32,7 +32,7 @@ NEIGHBOURS, RANGE = 15, 64
 #: The share of examples from which on a list is a plain row of its blocks.
 PLAIN = 0.05
 #: Documents searched together, and blocks that each is compared with first.
-TOGETHER, FIRST = 128, 6
+TOGETHER, FIRST = 64, 6
 #: Documents with this remainder of crc32(doc_id as text) are held out.
 FOLDS, HELD_OUT = 5, 0
 
@@ -313,10 +313,10 @@ class Model:
     def index(self) -> BlockMaxIndex:
         if self.made is None:
             where = np.cumsum(_unplaned(self.packed[0]), dtype=np.uint32).astype(np.int32)
-            raw = (1 + np.log(_unplaned(self.packed[1]))) * self.idf[where]
+            raw = (1 + np.log(_unplaned(self.packed[1]).astype(np.float32))) * self.idf.astype(np.float32)[where]
             if len(self.ids):
                 raw /= np.repeat(np.sqrt(np.add.reduceat(raw * raw, self.first[:-1])), np.diff(self.first))
-            self.made = BlockMaxIndex.of(self.first, where, raw.astype(np.float32), len(self.idf))
+            self.made = BlockMaxIndex.of(self.first, where, raw, len(self.idf))
         return self.made
 
     def votes(self, examples: list[int]) -> list[float]:
