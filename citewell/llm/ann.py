@@ -12,6 +12,7 @@ Survivors are ranked by the exact inner product of the original vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from . import scratch
 SAMPLE = 20_000
 #: Lists, at most, and rows of a list that are aimed at; longer lists are dealt over several tasks of CHUNK rows.
 LISTS, PER_LIST, CHUNK = 1024, 512, 4096
-#: Share of the lists that a query probes; and the test's confidence.
+#: Share of the lists that a query probes, besides one more; and the test's confidence.
 PROBES, EPSILON = 0.7, 1.2
 #: Dimensions of a block, and rows of a list between two updates of the bounds.
 COLUMNS, SLAB = 16, 1024
@@ -170,7 +171,7 @@ def search(spark: SparkSession, rows: DataFrame, query_divisor: int = 20, k: int
     held = {r.list: r.n for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     chunks = {x: -(-n // CHUNK) for x, n in held.items()}
     count = len(space.value.centres)
-    least = max(1, round(probes * count))
+    least = min(count, 1 + math.ceil(probes * count))
 
     def probe(batches: Iterator[pa.RecordBatch], after: bool) -> Iterator[pa.RecordBatch]:
         """A row for each chunk of a query's first lists, or of those after them; ``inner`` is the k-th best by then."""

@@ -1,17 +1,19 @@
 """Exact Jaccard join on word shingles by vertical partitioning.
 
 The shingles have one global order, rarest first: by the magnitude of their
-document count, then by fingerprint.  Ranges of fingerprints are the fragments:
-in each, shingles are counted over all documents (blocks.global_counts), and
-later the overlap of a candidate pair is counted by itself and summed per pair.
+document count (blocks.global_counts), then by fingerprint.  Pivots in that
+order cut it into fragments.  The overlap of a pair is counted in each fragment
+by itself and summed per pair; shingles of one document overlap with nothing
+and are left out.
 
 Texts with equal sets form a class and are compared once.  Two classes can only
 be linked if they share a shingle among the first n - ceil(t n) + 1 of their
 orders.  Pairs under such a shingle are taken in two rounds: first each class
 with the group's most ordinary class, then, with the links found so far
-contracted, all pairs that lie in different components.  So a group of
-thousands of near copies costs a star, not its square, and no link that could
-join two components is left untested.
+contracted, the pairs that lie in different components and whose sizes and
+places allow a link: those are joined by size and place.  So a group of
+thousands of near copies costs a star, thousands of unlike texts under one
+shingle cost nothing, and no link that could join two components is left untested.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from .components import components
 SHINGLE = 5
 #: The threshold as a fraction: NUM / DEN of the union.
 NUM, DEN = 80, 100
-#: Fragments in which a pair's overlap is counted.
-FRAGMENTS = 4
-#: Rows of class keys up to which they are broadcast; beyond, they are joined by a shuffle.
+#: Pivots of the global order: a fragment holds the shingles of PIVOTS[i] documents or more, up to the next pivot.
+PIVOTS = (2, 4, 8, 32)
+#: Rows of keys (some 40 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of one class, or links of one node, from which on they are dealt over several tasks.
+HOT = 1000
 
 _PROFILE = "doc_id long, n long, class binary, block long, rare long, keys array<struct<key:long,pos:int>>, parts array<array<long>>"
 
@@ -68,7 +72,8 @@ def _profile(block: blocks.Block, counts: np.ndarray) -> pa.Table:
             shared = np.flatnonzero(found[order] > 1)
             if len(shared):
                 keys = [{"key": k, "pos": p} for k, p in zip(mine[order[shared]].view(np.int64).tolist(), shared.tolist(), strict=True)]
-                parts = [x.view(np.int64) for x in np.split(mine, blocks.cuts(mine, FRAGMENTS)[1:-1])]
+                fragment = np.searchsorted(PIVOTS, found, side="right")  # 0: of one document
+                parts = [mine[fragment == f].view(np.int64) for f in range(1, len(PIVOTS) + 1)]
         rare.append(alone)
         key_rows.append(keys)
         set_rows.append(parts)
@@ -94,20 +99,54 @@ def _edge(a: str, b: str) -> list[Column]:
     return [pick(a, b, "class").alias("a"), pick(b, a, "class").alias("b"), (F.col(f"{a}.n") + F.col(f"{b}.n")).alias("sum")]
 
 
-def verified(profile: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges (a, b, sum of sizes) at or above the threshold: partial overlaps by fragment, added up."""
+def _sized(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def verified(spark: SparkSession, profile: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges (a, b, sum of sizes) at or above the threshold: partial overlaps by fragment, added up.
+
+    The edges of a node with many of them are dealt over salts, and its set is copied to each salt.
+    """
     ends = edges.select(F.col("a").alias("class")).unionByName(edges.select(F.col("b").alias("class"))).distinct()
-    wanted = profile.filter(F.col("parts").isNotNull()).select("class", "block").join(ends, "class", "left_semi").groupBy("class").agg(F.min("block").alias("block"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = profile.filter(F.col("parts").isNotNull()).select("class", "block", "parts").join(wanted, ["class", "block"]).select("class", F.posexplode("parts").alias("fragment", "part")).filter(F.size("part") > 0)
-    left = sets.select(F.col("class").alias("a"), "fragment", F.col("part").alias("part_a"))
-    right = sets.select(F.col("class").alias("b"), "fragment", F.col("part").alias("part_b"))
-    partial = edges.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "sum", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap"))
+    held = profile.filter(F.col("parts").isNotNull())
+    wanted = _sized(held.select("class", "block").join(ends, "class", "left_semi").groupBy("class").agg(F.min("block").alias("block")))
+    sets = held.select("class", "block", "parts").join(wanted, ["class", "block"]).select("class", F.posexplode("parts").alias("fragment", "part")).filter(F.size("part") > 0)
+    for end, other in (("a", "b"), ("b", "a")):
+        hubs = edges.groupBy(end).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(end, F.ceil(F.col("n") / HOT).cast("int").alias(f"salts_{end}"))
+        hubs = _sized(scratch.write(spark, hubs, "hubs"))
+        edges = edges.join(hubs, end, "left").withColumn(f"salt_{end}", F.pmod(F.xxhash64(other), F.coalesce(f"salts_{end}", F.lit(1))).cast("int")).drop(f"salts_{end}")
+        mine = sets.withColumnsRenamed({"class": end, "part": f"part_{end}"}).join(hubs, end, "left")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(f"salts_{end}", F.lit(1)) - 1)).alias(f"salt_{end}")
+        edges = edges.join(mine.select(end, "fragment", f"part_{end}", copies), [end, f"salt_{end}", *(["fragment"] if end == "b" else [])])
+    partial = edges.select("a", "b", "sum", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap"))
     total = partial.groupBy("a", "b", "sum").agg(F.sum("overlap").alias("overlap"))
     return total.filter(F.col("overlap") * (NUM + DEN) >= NUM * F.col("sum")).select("a", "b")
 
 
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs (x, y) of different labels under one key that sizes and places allow: y is not of the key's main label."""
+    places = mixed.select("key", F.col("x.n").alias("n"), F.col("x.pos").alias("pos")).distinct()
+    x, y = places.select("key", F.struct("n", "pos").alias("x")), places.select("key", F.struct("n", "pos").alias("y"))
+    allowed = x.join(y, "key").filter(_possible("x", "y")).select("key", F.col("x").alias("at_x"), F.col("y").alias("at_y"))
+    at = lambda c: F.struct(F.col(f"{c}.n").alias("n"), F.col(f"{c}.pos").alias("pos")).alias(f"at_{c}")
+    fewer = mixed.filter(F.col("label") != F.col("main")).select("key", F.col("x").alias("y")).select("key", at("y"), "y")
+    pairs = mixed.select("key", at("x"), "main", "x").join(allowed, ["key", "at_x"]).join(fewer, ["key", "at_y"])
+    return pairs.filter((F.col("x.label") != F.col("y.label")) & ((F.col("x.label") == F.col("main")) | (F.col("x.class") < F.col("y.class"))))
+
+
+def _named(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (doc_id, n_shingles, class) with their class's ``known``: classes of many rows by broadcast, so no task gets all copies of a text.
+
+    Rows without a class, or of a class that was found by broadcast, meet nothing in the second join, each under a key of its own.
+    """
+    hot = _sized(rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("class").join(known, "class").withColumnRenamed("known", "hot"))
+    rows = rows.join(hot, "class", "left")
+    alone = F.encode(F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "utf-8")
+    rows = rows.withColumn("class", F.when(F.col("hot").isNull() & F.col("class").isNotNull(), F.col("class")).otherwise(alone))
+    return rows.join(known, "class", "left").select("doc_id", "n_shingles", F.coalesce("hot", "known", "doc_id").alias("component_id"))
+
+
 def near_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of documents(doc_id, text).
 
@@ -127,26 +166,27 @@ def near_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     centre = postings.groupBy("key").agg(F.min_by(member, F.struct("rare", "class")).alias("x"), F.count("*").alias("size")).filter(F.col("size") > 1)
     star = postings.select("key", member.alias("y")).join(centre, "key").filter((F.col("x.class") != F.col("y.class")) & _possible("x", "y")).select(*_edge("x", "y")).distinct()
     star = scratch.write(spark, star, "star")
-    links = scratch.write(spark, verified(profile, star), "links")
+    links = scratch.write(spark, verified(spark, profile, star), "links")
 
     labels = components(links)
     marked = postings.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).select("key", "label", F.struct("class", "n", "pos", F.coalesce("component", "class").alias("label")).alias("x"))
     sizes = marked.groupBy("key", "label").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).filter(F.col("labels") > 1).drop("labels")
     mixed = scratch.write(spark, marked.join(mixed, "key"), "mixed")
-    fewer = mixed.filter(F.col("label") != F.col("main")).select("key", F.col("x").alias("y"))
-    rest = mixed.select("key", "main", "x").join(fewer, "key").filter((F.col("x.label") != F.col("y.label")) & ((F.col("x.label") == F.col("main")) | (F.col("x.class") < F.col("y.class"))) & _possible("x", "y"))
-    rest = rest.select(*_edge("x", "y")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = _across(mixed).select(*_edge("x", "y")).distinct().join(star, ["a", "b"], "left_anti")
     rest = scratch.write(spark, rest, "rest")
-    more = scratch.write(spark, verified(profile, rest), "links")
+    more = scratch.write(spark, verified(spark, profile, rest), "links")
 
     named = profile.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"))
     joined = components(links.unionByName(more))
     least = joined.join(named.withColumnRenamed("class", "node"), "node").groupBy("component").agg(F.min("least").alias("lowest"))
     reached = joined.join(least, "component").select(F.col("node").alias("class"), "lowest")
     known = named.join(reached, "class", "left").select("class", F.coalesce("lowest", "least").alias("known"))
+    known = scratch.write(spark, known, "known")
     rows = profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    return rows.join(known, "class", "left").select("doc_id", "n_shingles", F.coalesce("known", "doc_id").alias("component_id"))
+    for done in (postings, star, links, mixed, rest, more):
+        scratch.drop(spark, done)
+    return _named(rows, known)
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

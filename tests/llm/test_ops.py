@@ -180,6 +180,16 @@ def components(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_one_shingle_of_many_unlike_texts(spark):
+    """Thousands of short texts that share eight of ten shingles are no links, and are not paired either."""
+    rng = random.Random(21)
+    common = "we kindly thank all of our readers for their many letters"  # 11 words
+    rows = [(i, f"{common} {rng.getrandbits(40):x} {rng.getrandbits(40):x} {rng.getrandbits(40):x}") for i in range(3000)]
+    rows += [(5000 + i, t + " again") for i, (_, t) in enumerate(rows[:30])]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(spark, documents(spark, rows)).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+
+
 def test_near_components(spark):
     rng = random.Random(4)
     rows = list(enumerate(texts(5, 120)))
