@@ -97,7 +97,9 @@ def analyze(questions: DataFrame, catalog_terms: DataFrame | None = None) -> Dat
         rows = rows.withColumn("catalog_terms", _array())
     else:
         terms = catalog_terms.select(strip(nfkc("term")).alias("term")).filter(F.col("term") != "").distinct()
-        pairs = terms.join(F.broadcast(rows.select("query_id", "normalized")), F.contains(F.lower("normalized"), F.lower("term")))
+        runs = lambda n: F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        texts = rows.select("query_id", F.lower("normalized").alias("low")).withColumn("start", F.explode(F.array_distinct(F.concat(runs(3), runs(2), runs(1)))))
+        pairs = texts.join(terms.withColumn("start", F.substring(F.lower("term"), 1, 3)), "start").filter(F.contains("low", F.lower("term")))
         matched = pairs.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))), lambda x: x["term"]).alias("catalog_terms"))
         rows = rows.join(matched, "query_id", "left").withColumn("catalog_terms", F.coalesce("catalog_terms", _array()))
     rows = rows.withColumn("stop_terms", stop_terms(F.col("normalized"))).withColumn("text_terms", text_terms(F.col("normalized"), F.col("catalog_terms")))

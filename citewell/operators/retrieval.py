@@ -1,26 +1,69 @@
 """Retrievers: each turns a batch of questions into ranked candidates in one plan.
 
-Questions (query_id, text_terms, ...) are a stated set; a block of them is
-broadcast, however many there are, and claims stay distributed.  A fetch limit
-is a rank per question.
+Questions are a stated set with the features of ``query_terms.analyze``; their
+terms are broadcast in blocks of bounded size, and claims stay distributed.
+Each text is searched for all terms of a block at once.  Fetch limits are ranks and come before filters; the limit of a list after them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..plans.store import in_blocks, keep
 
 #: BM25, the terms of a substring search, fusion.
 K1, B, LIKE_TERMS, RRF_K = 1.2, 0.75, 20, 60
+#: What a matched term adds by the first kind it is of, most for all terms together, and bases of scores.
+EXPANDED, TEXT, EXACT, CATALOG, OTHER, MOST = 0.25, 0.2, 0.2, 0.05, 0.03, 1.0
+FULL_TEXT, SUBSTRING, ALIAS, TITLE, SPAN, RELATED = 1.0, 0.5, 1.0, 0.8, 1.0, 0.4
 CANDIDATE = ["query_id", "claim_id", "source_id", "page_id", "raw_score", "reasons", "retriever"]
+KINDS = ["text_terms", "expanded_terms", "catalog_terms", "ngrams", "exact_spans", "symbol_spans", "formula_spans"]
+
+
+def _listed(questions: DataFrame, kinds: list[str]) -> Column:
+    """The terms of these kinds that the questions have, each once, in order."""
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[c for c in kinds if c in questions.columns]))
+
+
+def searchable(questions: DataFrame) -> Column:
+    """What full text and substrings are searched for."""
+    return _listed(questions, ["text_terms", "expanded_terms", "catalog_terms", "formula_spans"])
+
+
+def all_terms(questions: DataFrame) -> Column:
+    return _listed(questions, KINDS)
+
+
+def spans(questions: DataFrame) -> Column:
+    return _listed(questions, ["exact_spans", "formula_spans", "symbol_spans"])
+
 
+def _weight(questions: DataFrame, term: Column) -> Column:
+    """What a matched term adds to a score of its question."""
+    has = lambda *kinds: F.array_contains(_listed(questions, list(kinds)), term)
+    text, catalog = has("text_terms"), has("catalog_terms")
+    known = F.when(has("expanded_terms"), EXPANDED).when(text & ~catalog, TEXT).when(has("formula_spans", "symbol_spans"), EXACT)
+    return known.when(catalog, CATALOG).when(F.length(term) >= 2, OTHER).otherwise(0.0)
 
-def ranked(rows: DataFrame, by: str, limit: int, key: tuple[str, ...] = ("query_id",), name: str = "rank", tie: str = "claim_id") -> DataFrame:
-    """The best ``limit`` rows of each key, numbered from 1."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by), tie))
-    return rows.withColumn(name, place).filter(F.col(name) <= limit)
+
+def asked_terms(questions: DataFrame, terms: Column) -> DataFrame:
+    """query_id, term (lower case), weight (of all its spellings), times (how many)."""
+    rows = questions.withColumn("term", F.explode(terms)).filter(F.trim("term") != "")
+    rows = rows.select("query_id", F.lower("term").alias("term"), _weight(questions, F.col("term")).alias("weight"))
+    return rows.groupBy("query_id", "term").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("times"))
+
+
+def ranked(rows: DataFrame, by: str, limit: int | None, key: tuple[str, ...] = ("query_id",), name: str = "rank", tie: str = "claim_id") -> DataFrame:
+    """The best ``limit`` rows of each key, or all, numbered from 1."""
+    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by), tie)))
+    return rows if limit is None else rows.filter(F.col(name) <= limit)
 
 
 def first_by_id(rows: DataFrame, key: str, limit: int) -> DataFrame:
@@ -29,49 +72,107 @@ def first_by_id(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 
-def exploded_terms(questions: DataFrame, column: str = "text_terms", limit: int | None = None) -> DataFrame:
-    terms = F.col(column) if limit is None else F.slice(column, 1, limit)
-    return questions.select("query_id", F.explode(terms).alias("term")).withColumn("term", F.lower("term")).distinct()
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key to as many tasks as shuffles have: they are few bytes and much work, so tasks are not to be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows whose ``text`` holds a term of a question (query_id, term): each text is searched once for each distinct term."""
-    found = rows.join(F.broadcast(terms.select("term").distinct()), F.contains("text", F.col("term"))).drop("text")
-    return found.join(F.broadcast(terms), "term")
+_automata: dict[int, tuple[ahocorasick.Automaton, list[str]]] = {}
 
 
-def matched_terms(text: Column, terms: Column) -> Column:
-    return F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
+def _automaton(shared: Broadcast) -> tuple[ahocorasick.Automaton, list[str]]:
+    """A worker's automaton of the broadcast terms; only the last one is held."""
+    name = id(shared.value)
+    if name not in _automata:
+        made = ahocorasick.Automaton()
+        for n, term in enumerate(shared.value):
+            made.add_word(term, n)
+        made.make_automaton()
+        _automata.clear()
+        _automata[name] = made, shared.value
+    return _automata[name]
 
 
-def relevance(base: float, matched: Column, query: dict[str, Column]) -> Column:
-    """The base and a weight for each matched term by the first kind it belongs to, one point at most."""
-    has = lambda kind, t: F.array_contains(query[kind], t) if kind in query else F.lit(False)
-    weight = lambda t: (
-        F.when(has("expanded", t), 0.25).when(has("text", t) & ~has("catalog", t), 0.2).when(has("exact", t), 0.2).when(has("catalog", t), 0.05).when(F.length(t) >= 2, 0.03).otherwise(0.0)
-    )
-    return F.round(F.least(F.aggregate(matched, F.lit(float(base)), lambda s, t: s + weight(t)), F.lit(base + 1.0)), 6)
+def holding(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``text`` holds a term, once for each, joined with the columns of terms(term, ...) and dealt by ``key``.
+
+    The terms are those of a block of questions.  Each text is read once by an automaton of all terms, which
+    column functions cannot express; it is the only step outside of the JVM, and hands back the found terms of a row.
+    """
+    spark = rows.sparkSession
+    listed = sorted(r.term for r in terms.select("term").distinct().collect() if r.term)
+    columns = [c for c in rows.columns if c != "text"]
+    if not listed:
+        return rows.drop("text").join(F.broadcast(terms), F.lit(False))
+    shared = spark.sparkContext.broadcast(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, names = _automaton(shared)
+        for batch in batches:
+            found = [sorted({n for _, n in made.iter(text)}) if text else [] for text in batch.column("text").to_pylist()]
+            at = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            lists = pa.array([[names[n] for n in x] for x in found if x], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), lists], [*columns, "terms"])
+
+    schema = StructType([*[rows.schema[c] for c in columns], StructField("terms", ArrayType(StringType()))])
+    found = dealt(rows.select(*columns, "text").mapInArrow(run, schema), key)
+    return found.select(*columns, F.explode("terms").alias("term")).join(F.broadcast(terms), "term")
+
+
+def relevance(base: float | Column, bonus: Column) -> Column:
+    """The base and what the matched terms add to it, one point at most."""
+    base = F.lit(base) if isinstance(base, float) else base
+    return F.round(base + F.least(bonus, F.lit(MOST)), 6)
 
 
-def postings(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, claim_id, tf, dl) and the one row (n, avgdl) of a full-text index on claim_text."""
-    tokens = claims.select("claim_id", F.filter(F.split(F.lower("claim_text"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("tokens"))
-    rows = tokens.select("claim_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "claim_id", "dl").agg(F.count("*").alias("tf"))
-    return rows, tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+def matched_bonus(text: Column, asked: Column) -> Column:
+    """What those of the asked terms (term, weight) add that occur in a text; the text is put in lower case once."""
+    add = lambda low: F.aggregate(asked, F.lit(0.0), lambda s, t: s + F.when(F.contains(low, t["term"]), t["weight"]).otherwise(0.0))
+    return F.transform(F.array(F.lower(text)), add)[0]
+
+
+def bonuses(questions: DataFrame, claims: DataFrame) -> DataFrame:
+    """source_id, claim_id, query_id, bonus of the claims that hold any term in text or locator; claims stay with their source."""
+    text = F.lower(F.concat_ws(" ", "claim_text", "citation_locator")).alias("text")
+    found = holding(claims.select("source_id", "claim_id", text), asked_terms(questions, all_terms(questions)), "source_id")
+    return found.groupBy("source_id", "claim_id", "query_id").agg(F.sum("weight").alias("bonus"))
+
+
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def postings(claims: DataFrame, phrases: DataFrame) -> DataFrame:
+    """claim_id, phrase, dl, tf of the phrases (tokens joined by a blank) that occur in claim_text; claims are dealt by id."""
+    rows = dealt(claims.select("claim_id", tokens(F.col("claim_text")).alias("tokens")), "claim_id")
+    words = rows.select("claim_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("phrase")).join(F.broadcast(phrases), "phrase", "left_semi")
+    found = words.groupBy("claim_id", "dl", "phrase").agg(F.count("*").alias("tf"))
+    long = phrases.filter(F.contains("phrase", F.lit(" ")))
+    if long.isEmpty():
+        return found
+    text = rows.select("claim_id", F.size("tokens").alias("dl"), F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("line"))
+    held = holding(text.withColumn("text", F.col("line")), long.select(F.concat(F.lit(" "), "phrase", F.lit(" ")).alias("term"), "phrase"), "claim_id")
+    times = F.regexp_count("line", F.concat(F.lit("(?="), "term", F.lit(")")))
+    return found.unionByName(held.select("claim_id", "dl", "phrase", times.cast("long").alias("tf")))
 
 
 @in_blocks
 def bm25(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
-    """query_id, claim_id, bm25, rank of the claims with any term.  Frequencies are counted for the asked terms only."""
-    index, stats = postings(claims)
-    terms = F.broadcast(exploded_terms(questions))
-    hits = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    """query_id, claim_id, bm25, rank of the claims with any word or phrase asked for; frequencies are counted for these only.
+
+    A term of letters, digits and "_" is the phrase of its tokens; each spelling of it counts.
+    """
+    safe = asked_terms(questions, F.filter(searchable(questions), lambda t: t.rlike(r"^[\p{L}\p{N}\p{M}_]+$")))
+    asked = safe.select("query_id", F.array_join(tokens(F.col("term")), " ").alias("phrase"), "times").filter(F.col("phrase") != "")
+    asked = keep(asked.groupBy("query_id", "phrase").agg(F.sum("times").alias("times")), "phrases")
+    hits = postings(claims, asked.select("phrase").distinct())
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    stats = claims.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("claim_text")))).alias("avgdl"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighed = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # stats is one row
+    weighed = hits.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(stats))  # stats is one row
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.select("term", "claim_id", weight.alias("w")).join(terms, "term").groupBy("query_id", "claim_id").agg(F.round(F.sum("w"), 6).alias("bm25"))
-    return ranked(scored, "bm25", limit)
+    scored = weighed.select("phrase", "claim_id", weight.alias("w")).join(F.broadcast(asked), "phrase")
+    return ranked(scored.groupBy("claim_id", "query_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("bm25")).select("query_id", "claim_id", "bm25"), "bm25", limit)
 
 
 def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
@@ -79,27 +180,31 @@ def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
     return found.join(claims.select("claim_id", *[c for c in wanted if c not in found.columns]), "claim_id")
 
 
-def scored_candidates(found: DataFrame, questions: DataFrame, base: float, retriever: str, reason: Column) -> DataFrame:
-    """Candidates whose score is the relevance of the terms that occur in claim and locator; the page is the source's."""
-    rows = found.join(F.broadcast(questions.select("query_id", "text_terms")), "query_id")
-    matched = matched_terms(F.concat_ws(" ", "claim_text", "citation_locator"), F.col("text_terms"))
-    score = relevance(base, matched, {"text": F.col("text_terms")})
-    return rows.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), score.alias("raw_score"), F.array(reason).alias("reasons"), F.lit(retriever).alias("retriever"))
+def _scored(found: DataFrame, questions: DataFrame, terms: Column, base: float, retriever: str, reason: str) -> DataFrame:
+    """Candidates scored by the terms that occur in claim and locator; the page is the source's."""
+    weighed = F.transform(terms, lambda t: F.struct(F.lower(t).alias("term"), _weight(questions, t).alias("weight")))
+    rows = found.join(F.broadcast(questions.select("query_id", weighed.alias("asked"))), "query_id")
+    score = relevance(base, matched_bonus(F.concat_ws(" ", "claim_text", "citation_locator"), F.col("asked")))
+    page = F.col("source_id").alias("page_id")
+    return rows.select("query_id", "claim_id", "source_id", page, score.alias("raw_score"), F.array(F.lit(reason)).alias("reasons"), F.lit(retriever).alias("retriever"))
 
 
 @in_blocks
-def full_text(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
-    return scored_candidates(with_claims(bm25.__wrapped__(questions, claims, limit), claims), questions, 1.0, "bm25_fts", F.lit("bm25_fts"))
+def full_text(questions: DataFrame, claims: DataFrame, limit: int, found: DataFrame | None = None) -> DataFrame:
+    """The best claims by BM25, or those ``found`` by it."""
+    best = bm25.__wrapped__(questions, claims, limit) if found is None else found.join(questions.select("query_id"), "query_id", "left_semi")
+    return _scored(with_claims(best.select("query_id", "claim_id"), claims), questions, searchable(questions), FULL_TEXT, "bm25_fts", "bm25_fts")
 
 
 @in_blocks
 def substring(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
     """Claims that contain any of the first terms, in order of creation and id up to the limit."""
+    terms = F.slice(searchable(questions), 1, LIKE_TERMS)
     low = claims.select("claim_id", "created_at", F.lower("claim_text").alias("text"))
-    hits = holding(low, exploded_terms(questions, limit=LIKE_TERMS)).select("query_id", "claim_id", "created_at").distinct()
+    hits = holding(low, asked_terms(questions, terms), "claim_id").select("claim_id", "created_at", "query_id").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("created_at", "claim_id"))
     found = hits.withColumn("place", place).filter(F.col("place") <= limit).select("query_id", "claim_id")
-    return scored_candidates(with_claims(found, claims), questions, 0.5, "like", F.lit("like_match"))
+    return _scored(with_claims(found, claims), questions, terms, SUBSTRING, "like", "like_match")
 
 
 def merged(*retrieved: DataFrame) -> DataFrame:
@@ -122,64 +227,117 @@ def page_sources(pages: DataFrame, links: DataFrame, relationships: DataFrame) -
     return own.unionByName(other).distinct()
 
 
-@in_blocks
-def alias_title(questions: DataFrame, catalog, limit: int) -> DataFrame:
-    """Claims of the sources behind pages that a term names: alias equal 1.0, title holding it 0.8."""
-    terms = F.broadcast(exploded_terms(questions))
-    titles = catalog.pages.select("page_id", F.lower("title").alias("low"))
-    exact = catalog.aliases.join(F.broadcast(terms), F.col("normalized_alias") == F.col("term")).join(catalog.pages.select(F.col("page_id").alias("target_id")), "target_id").select("query_id", F.col("target_id").alias("page_id"), F.lit(1.0).alias("raw_score"), F.concat(F.lit("alias_exact:"), "term").alias("reason"))
-    like = titles.join(terms, F.contains("low", F.col("term"))).select("query_id", "page_id", F.lit(0.8).alias("raw_score"), F.concat(F.lit("title_like:"), "term").alias("reason"))
-    pages = exact.unionByName(like).groupBy("query_id", "page_id").agg(F.max("raw_score").alias("raw_score"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    behind = page_sources(catalog.pages, catalog.links, catalog.relationships).join(pages.select("page_id").distinct(), "page_id", "left_semi")
-    behind = behind.join(catalog.claims.select("claim_id", "source_id"), "source_id")
-    # a claim beyond the first ``limit`` of a page is beaten by those, whatever else it is found by
-    found = pages.join(first_by_id(behind, "page_id", limit), "page_id")
-    best = found.groupBy("query_id", "claim_id", "source_id").agg(F.max_by(F.struct("page_id", "reasons"), F.struct("raw_score", "page_id")).alias("p"), F.max("raw_score").alias("raw_score"))
-    rows = best.select("query_id", "claim_id", "source_id", "p.page_id", "raw_score", "p.reasons", F.lit("catalog_title_alias").alias("retriever"))
-    return ranked(rows, "raw_score", limit).drop("rank")
+def _of_sources(named: DataFrame, claims: DataFrame, held: DataFrame, fallback: bool) -> DataFrame:
+    """Scored claims of the sources in named(query_id, source_id, page_id, base[, span_weight]) with their ``bonuses``.
+
+    A claim that holds no term has the base, or with ``fallback`` what the span itself would add.
+    """
+    mine = named.join(claims.select("source_id", "claim_id"), "source_id")
+    rows = mine.join(held, ["source_id", "claim_id", "query_id"], "left")
+    bonus = F.coalesce("bonus", F.col("span_weight") if fallback else F.lit(0.0))
+    return rows.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), bonus).alias("raw_score"))
 
 
 @in_blocks
-def exact_span(questions: DataFrame, claims: DataFrame, sources: DataFrame, limit: int, column: str = "exact_spans") -> DataFrame:
-    """Claims whose text, locator or source title holds a span."""
-    named = claims.join(sources.select("source_id", "title"), "source_id", "left").select("claim_id", "source_id", F.lower(F.concat_ws("\n", "claim_text", "citation_locator", "title")).alias("text"))
-    hits = holding(named, exploded_terms(questions, column)).groupBy("query_id", "claim_id", "source_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("exact_span:"), "term"))).alias("reasons"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("claim_id"))
-    rows = hits.withColumn("place", place).filter(F.col("place") <= limit)
-    return rows.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), F.lit(1.0).alias("raw_score"), "reasons", F.lit("exact_span").alias("retriever"))
+def alias_title(questions: DataFrame, catalog, limit: int, filters: dict | None = None, held: DataFrame | None = None) -> DataFrame:
+    """Claims of the sources behind pages that a term names: alias equal or title holding it; of a source's pages the best counts.
 
+    ``held`` may be the ``bonuses`` of the claims by all terms.
+    """
+    held = bonuses(questions, catalog.claims) if held is None else held
+    terms = asked_terms(questions, _listed(questions, ["catalog_terms", "text_terms"])).select("query_id", "term")
+    exact = catalog.aliases.join(F.broadcast(terms), F.col("normalized_alias") == F.col("term")).join(catalog.pages.select(F.col("page_id").alias("target_id")), "target_id")
+    exact = exact.select("query_id", F.col("target_id").alias("page_id"), F.lit(ALIAS).alias("base"), F.concat(F.lit("alias_exact:"), "term").alias("reason"))
+    like = holding(catalog.pages.select("page_id", F.lower("title").alias("text")), terms, "page_id")
+    like = like.select("query_id", "page_id", F.lit(TITLE).alias("base"), F.concat(F.lit("title_match:"), "term").alias("reason"))
+    pages = exact.unionByName(like).groupBy("query_id", "page_id").agg(F.max("base").alias("base"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    pages = keep(pages, "pages")
+    behind = pages.drop("reasons").join(page_sources(catalog.pages, catalog.links, catalog.relationships), "page_id")
+    named = behind.groupBy("query_id", "source_id").agg(F.max("base").alias("base"), F.max_by("page_id", F.struct("base", "page_id")).alias("page_id"))
+    best = ranked(filtered(_of_sources(named, catalog.claims, held, False), catalog, **(filters or {})), "raw_score", limit)
+    reasons = F.array_append("reasons", F.lit("page_source_claims")).alias("reasons")
+    rows = best.join(pages, ["query_id", "page_id"]).select(*best.columns, reasons)
+    return rows.withColumn("retriever", F.lit("catalog_title_alias")).select(*CANDIDATE)
 
-def graph(seeds: DataFrame, claims: DataFrame, relationships: DataFrame, limit: int, pool: int = 80) -> DataFrame:
+
+@in_blocks
+def exact_span(questions: DataFrame, catalog, limit: int, filters: dict | None = None, held: DataFrame | None = None) -> DataFrame:
+    """Claims whose text, locator or source title holds a span, and claims of the sources behind pages whose title or alias does.
+
+    Of each span the first 4 x limit claims by creation and id count, and the first 2 x limit pages by type and title.
+    """
+    held = bonuses(questions, catalog.claims) if held is None else held
+    span_rows = questions.withColumn("span", F.explode(spans(questions)))
+    span_rows = keep(span_rows.select("query_id", "span", F.lower("span").alias("term"), _weight(questions, F.col("span")).alias("span_weight")), "spans")
+    terms = span_rows.select("term").distinct()
+    titled = catalog.claims.join(catalog.sources.select("source_id", "title"), "source_id", "left")
+    text = F.lower(F.concat_ws("\n", "claim_text", "citation_locator", "title")).alias("text")
+    hits = holding(titled.select("claim_id", "source_id", "created_at", text), terms, "claim_id")
+    first = F.row_number().over(Window.partitionBy("term").orderBy("created_at", "claim_id"))
+    own = hits.withColumn("place", first).filter(F.col("place") <= max(4 * limit, 20)).join(F.broadcast(span_rows), "term")
+    reason = F.concat(F.lit("exact_span:"), "span").alias("reason")
+    own = keep(own.select("query_id", "source_id", "claim_id", reason, "span_weight"), "spans")
+    names = catalog.pages.select("page_id", "page_type", "title", F.lower("title").alias("text"))
+    aliases = catalog.aliases.select(F.col("target_id").alias("page_id"), F.explode(F.array(F.lower("alias"), F.lower("normalized_alias"))).alias("text"))
+    names = names.unionByName(aliases.join(catalog.pages.select("page_id", "page_type", "title"), "page_id").select("page_id", "page_type", "title", "text"))
+    pages = holding(names, terms, "page_id").select("term", "page_id", "page_type", "title").distinct()
+    first = F.row_number().over(Window.partitionBy("term").orderBy("page_type", "title", "page_id"))
+    pages = pages.withColumn("place", first).filter(F.col("place") <= max(2 * limit, 20)).join(F.broadcast(span_rows), "term")
+    behind = pages.join(page_sources(catalog.pages, catalog.links, catalog.relationships), "page_id").select("query_id", "source_id", "page_id", reason, "span_weight")
+    behind = keep(behind, "spans")
+    page = F.col("source_id").alias("page_id")
+    mine = own.groupBy("query_id", "source_id", "claim_id").agg(F.max("span_weight").alias("span_weight")).join(held, ["source_id", "claim_id", "query_id"], "left")
+    mine = mine.select("query_id", "claim_id", "source_id", page, relevance(SPAN, F.coalesce("bonus", "span_weight")).alias("raw_score"), F.lit(0).alias("place"))
+    far = behind.groupBy("query_id", "source_id").agg(F.max("page_id").alias("page_id"), F.max("span_weight").alias("span_weight"))
+    far = _of_sources(far.withColumn("base", F.lit(SPAN)), catalog.claims, held, True).withColumn("place", F.lit(1))
+    order = F.struct(F.negate("raw_score"), "place", "page_id")
+    both = mine.unionByName(far).groupBy("query_id", "claim_id", "source_id").agg(F.min_by("page_id", order).alias("page_id"), F.max("raw_score").alias("raw_score"))
+    best = ranked(filtered(both, catalog, **(filters or {})), "raw_score", limit)
+    listed = lambda rows, *key: rows.groupBy("query_id", *key).agg(F.array_sort(F.collect_set("reason")).alias(f"by_{key[0]}"))
+    best = best.join(listed(own, "claim_id"), ["query_id", "claim_id"], "left").join(listed(behind, "source_id"), ["query_id", "source_id"], "left")
+    none = F.array().cast("array<string>")
+    behind_it = F.when(F.col("by_source_id").isNotNull(), F.array_append("by_source_id", F.lit("page_source_claims"))).otherwise(none)
+    reasons = F.array_distinct(F.concat(F.coalesce("by_claim_id", none), behind_it)).alias("reasons")
+    return best.select("query_id", "claim_id", "source_id", "page_id", "raw_score", reasons, F.lit("exact_formula_symbol").alias("retriever"))
+
+
+def graph(seeds: DataFrame, catalog, limit: int, pool: int = 80, filters: dict | None = None) -> DataFrame:
     """Claims of sources one relationship away from the seeds (query_id, claim_id, source_id, page_id), seeds left out.
 
-    All have one score, so ids decide: of a key's claims only the first ``limit`` beside ``pool`` seeds can be among
-    a question's first.  A key that names a third of the sources therefore costs no more than another.
+    All have one score, so ids decide: of a key's claims that pass the filters only the first ``limit`` beside ``pool``
+    seeds can be among a question's first.  A key that names a third of the sources therefore costs no more than another.
     """
+    relationships, claims = catalog.relationships, filtered(catalog.claims.withColumn("page_id", F.col("source_id")), catalog, **(filters or {}))
     keys = seeds.select("query_id", F.explode(F.array("claim_id", "source_id", "page_id")).alias("key")).distinct()
     sides = relationships.select(F.explode(F.array_distinct(F.array_compact(F.array("subject_id", "object_id", "evidence_claim_id", "source_id")))).alias("key"), F.array_compact(F.array("subject_id", "object_id", "source_id")).alias("nodes"))
     near = sides.join(keys.select("key").distinct(), "key", "left_semi").select("key", F.explode("nodes").alias("source_id")).filter(F.col("source_id").startswith("src_")).distinct()
     first = first_by_id(near.join(claims.select("claim_id", "source_id"), "source_id"), "key", limit + pool)
     found = keys.join(first, "key").select("query_id", "claim_id", "source_id").distinct().join(seeds.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti")
-    rows = found.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), F.lit(0.4).alias("raw_score"), F.array(F.lit("graph_relationship")).alias("reasons"), F.lit("graph").alias("retriever"))
+    rows = found.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), F.lit(RELATED).alias("raw_score"), F.array(F.lit("graph_relationship")).alias("reasons"), F.lit("graph").alias("retriever"))
     return ranked(rows, "raw_score", limit).drop("rank")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0.0 for other lengths, empty and zero vectors."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
+def unit(v: Column) -> Column:
+    """The vector of length 1; null for empty and zero vectors."""
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return F.when(square > 0, F.transform(F.array(F.sqrt(square)), lambda n: F.transform(v, lambda x: x / n))[0])
 
 
 @in_blocks
 def vector(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """query_id, chunk_id, score, rank of the chunks with positive cosine.  Queries (query_id, query_vector) are broadcast."""
-    pairs = chunks.join(F.broadcast(queries), F.size("vector") == F.size("query_vector")).filter(F.col("chunk_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 6).alias("score")).filter(F.col("score") > 0)
+    """query_id, chunk_id, score, rank of the chunks with positive cosine.  Queries (query_id, query_vector) are broadcast.
+
+    Empty, zero and vectors of another length have no cosine.  Each vector is brought to length 1 once.
+    """
+    asked = queries.select("query_id", unit(F.col("query_vector")).alias("q")).filter(F.col("q").isNotNull())
+    held = chunks.select("chunk_id", unit(F.col("vector")).alias("v")).filter(F.col("v").isNotNull())
+    pairs = held.join(F.broadcast(asked), (F.size("v") == F.size("q")) & (F.col("chunk_id").cast("string") != F.col("query_id").cast("string")))
+    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("query_id", "chunk_id", F.round(dot, 6).alias("score")).filter(F.col("score") > 0)
     return ranked(scored, "score", limit, tie="chunk_id")
 
 
-def vector_candidates(hits: DataFrame, catalog, limit: int) -> DataFrame:
+def vector_candidates(hits: DataFrame, catalog, limit: int, filters: dict | None = None) -> DataFrame:
     """Candidates of chunk hits (query_id, chunk_id, score): a claim by its own score, the claims behind a title by 0.8 of its.
 
     Chunk ids are those of ``ingest.chunks``; hits whose claim, page or source is not in the catalog lead nowhere.
@@ -187,7 +345,7 @@ def vector_candidates(hits: DataFrame, catalog, limit: int) -> DataFrame:
     """
     kind, key = F.substring_index("chunk_id", ":", 1), F.expr("substring(chunk_id, instr(chunk_id, ':') + 1)")
     rows = hits.select("query_id", kind.alias("kind"), key.alias("key"), "score")
-    claims = catalog.claims.select("claim_id", "source_id")
+    claims = filtered(catalog.claims.withColumn("page_id", F.col("source_id")), catalog, **(filters or {})).select("claim_id", "source_id")
     own = rows.filter(F.col("kind") == "claim").select("query_id", F.col("key").alias("claim_id"), F.round("score", 6).alias("raw_score"), F.lit("claim").alias("kind")).join(claims, "claim_id")
     pages = page_sources(catalog.pages, catalog.links, catalog.relationships).select(F.lit("page_title").alias("kind"), F.col("page_id").alias("key"), "source_id")
     behind = pages.unionByName(catalog.sources.select(F.lit("source_title").alias("kind"), F.col("source_id").alias("key"), "source_id"))
@@ -210,7 +368,7 @@ def diagnostics(lists: list[DataFrame], seeds: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "step").agg(F.count("*").alias("candidates"))
 
 
-def fused(lists: list[DataFrame], limit: int) -> DataFrame:
+def fused(lists: list[DataFrame], limit: int | None) -> DataFrame:
     """Reciprocal rank fusion of candidate lists: the sum of 1 / (60 + rank), the best raw score's page, all provenance."""
     rows = None
     for place, df in enumerate(lists):
@@ -230,29 +388,35 @@ def fused(lists: list[DataFrame], limit: int) -> DataFrame:
     return ranked(flat, "rrf", limit, name="retriever_rank")
 
 
-def hybrid(questions: DataFrame, catalog, limit: int, pool: int = 80, vectors: DataFrame | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, catalog, limit: int, pool: int = 80, vectors: DataFrame | None = None, filters: dict | None = None, lists: list[DataFrame] | None = None) -> DataFrame:
     """Lexical and vector lists fused to seeds, one graph step, all lists fused again, claims attached.
 
-    Fetch limits come before filters, as ranks; filter the result with ``filtered``.
+    ``vectors`` are hits on chunks (query_id, chunk_id, score).  ``filters`` are arguments of ``filtered``: each list
+    is filtered after its fetch limit and before its own.  ``lists`` are those of ``lexical`` with the same filters.
     """
-    lists = lexical(questions, catalog, pool)
+    lists = lexical(questions, catalog, pool, filters) if lists is None else list(lists)
     if vectors is not None:
-        lists.append(vectors)
-    seeds = keep(fused(lists, pool), "seeds")
-    lists.append(graph(seeds, catalog.claims, catalog.relationships, pool, pool))
+        lists.append(keep(vector_candidates(ranked(vectors, "score", max(8 * pool, 20), tie="chunk_id"), catalog, pool, filters).select(*CANDIDATE), "candidates"))
+    seeds = keep(fused(lists, None), "seeds")
+    lists.append(graph(seeds, catalog, pool, len(lists) * pool, filters))
     return keep(with_claims(fused(lists, limit), catalog.claims), "pool")
 
 
-def lexical(questions: DataFrame, catalog, pool: int) -> list[DataFrame]:
-    """Candidates by text, by alias or title, and by exact span, each kept: they are fused twice."""
+def lexical(questions: DataFrame, catalog, pool: int, filters: dict | None = None, found: DataFrame | None = None) -> list[DataFrame]:
+    """Candidates by text, by alias or title, and by exact span, each kept: they are fused twice.  ``found`` may hold the BM25 hits."""
     fetch = max(8 * pool, 20)
-    text = merged(full_text(questions, catalog.claims, fetch), substring(questions, catalog.claims, fetch)).withColumn("retriever", F.lit("bm25_fts"))
-    lists = [ranked(text, "raw_score", pool).drop("rank"), alias_title(questions, catalog, pool), exact_span(questions, catalog.claims, catalog.sources, fetch, "text_terms")]
+    text = merged(full_text(questions, catalog.claims, fetch, found), substring(questions, catalog.claims, fetch)).withColumn("retriever", F.lit("bm25_fts"))
+    text = ranked(filtered(text, catalog, **(filters or {})), "raw_score", pool)
+    held = keep(in_blocks(bonuses)(questions, catalog.claims), "bonuses")
+    lists = [text, alias_title(questions, catalog, pool, filters, held), exact_span(questions, catalog, pool, filters, held)]
     return [keep(x.select(*CANDIDATE), "candidates") for x in lists]
 
 
-def filtered(candidates: DataFrame, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None) -> DataFrame:
-    """Filters that are given; empty ones do not count."""
-    for column, value in (("source_id", source_id), ("page_type", page_type), ("confidence_status", confidence)):
-        candidates = candidates.filter(F.col(column) == value) if value else candidates
-    return candidates
+def filtered(rows: DataFrame, catalog, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None) -> DataFrame:
+    """Rows with claim_id, source_id and page_id that pass the filters that are given; empty ones do not count."""
+    rows = rows.filter(F.col("source_id") == source_id) if source_id else rows
+    if page_type:
+        rows = rows.join(catalog.pages.filter(F.col("page_type") == page_type).select("page_id"), "page_id", "left_semi")
+    if confidence:
+        rows = rows.join(catalog.claims.filter(F.col("confidence_status") == confidence).select("claim_id"), "claim_id", "left_semi")
+    return rows

@@ -25,11 +25,11 @@ def reranked(pool: DataFrame, name: str = "rerank_score") -> DataFrame:
 
 
 def embedding_reranked(rows: DataFrame, similarities: DataFrame) -> DataFrame:
-    """Reranked rows mixed with similarities (query_id, claim_id, similarity); a missing one is 0."""
+    """Reranked rows mixed with similarities (query_id, claim_id, similarity); a missing one is 0.  Halves of the last digit go up."""
     joined = rows.join(similarities, ["query_id", "claim_id"], "left")
     most = F.max("rerank_score").over(Window.partitionBy("query_id"))
     share = F.when(most > 0, F.col("rerank_score") / most).otherwise(0.0)
-    mixed = joined.withColumn("rerank_score", F.round(F.lit(0.65) * F.greatest(F.lit(0.0), F.coalesce("similarity", F.lit(0.0))) + F.lit(0.35) * share, 6))
+    mixed = joined.withColumn("rerank_score", F.round(F.lit(0.65) * F.greatest(F.lit(0.0), F.coalesce("similarity", F.lit(0.0))) + F.lit(0.35) * share + 1e-9, 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "retriever_rank", "claim_id")
     return mixed.withColumn("candidate_rank", F.row_number().over(order)).drop("similarity")
 

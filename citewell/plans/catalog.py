@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..functions.query_terms import analyze
 from ..sources import documents as D
 from .store import keep
 
@@ -52,7 +53,7 @@ class Catalog:
 def from_documents(docs: DataFrame, labels: DataFrame, stored: bool = False) -> Catalog:
     """A catalog whose confidence comes from quality labels, contradictions from toxic ones, concepts from language and source.
 
-    Stored: sources and claims are written once, for plans that use them again and again.
+    Stored: all relations are written once, for plans that use them again and again.
     """
     sources = D.import_sources(docs)
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -76,12 +77,17 @@ def from_documents(docs: DataFrame, labels: DataFrame, stored: bool = False) ->
     first = claims.groupBy("source_id").agg(F.min_by("claim_id", "line").alias("evidence_claim_id"))
     kind = F.when(F.col("toxic") == 1, "contradicts").otherwise("supports")
     relationships = sources.join(first, "source_id").select(F.col("concept_id").alias("subject_id"), F.col("source_id").alias("object_id"), kind.alias("relationship_type"), "evidence_claim_id", "source_id")
-    return Catalog(sources, claims, aliases, pages, links, relationships)
+    small = (aliases, pages, links, relationships)
+    if stored:
+        small = (keep(x, name) for x, name in zip(small, ("aliases", "pages", "links", "relationships"), strict=True))
+    return Catalog(sources, claims, *small)
 
 
-def questions(benchmark: DataFrame, terms: int = 4) -> DataFrame:
-    """query_id, question, text_terms: each benchmark item asked by its longest words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)))
-    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    picked = F.transform(F.slice(ordered, 1, terms), lambda x: x["w"])
-    return benchmark.select(F.col("item_id").alias("query_id"), F.array_join(picked, " ").alias("question"), picked.alias("text_terms"))
+#: Added to each question, so that synonyms, formulas and symbols are asked for as well.
+ASIDE = " 怎么保存 E=mc2 α/β ="
+
+
+def questions(benchmark: DataFrame, catalog: Catalog) -> DataFrame:
+    """query_id, question and its features: each benchmark item asked by its whole text."""
+    asked = benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(ASIDE)).alias("question"))
+    return analyze(asked, catalog.aliases.select(F.col("alias").alias("term")))

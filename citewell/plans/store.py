@@ -28,7 +28,39 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    back.kept_path = path
+    return back
+
+
+def _path(spark: SparkSession, name: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def version(frame: DataFrame) -> tuple:
+    """What tells a table of files from what it was before: its files, their size and when their folders last changed."""
+    files = sorted(frame.inputFiles())
+    spark, state = frame.sparkSession, []
+    for name in sorted({f.rsplit("/", 1)[0] for f in files}):
+        where, system = _path(spark, name)
+        state.append((name, system.getFileStatus(where).getModificationTime(), system.getContentSummary(where).getLength()))
+    return hash(tuple(files)), *state
+
+
+_REMEMBERED: dict[tuple, tuple[object, list[str]]] = {}
+
+
+def remembered(spark: SparkSession, name: str, tables: list[DataFrame], make: Callable[[], object], frames: Callable[[object], list[DataFrame]] = lambda x: [x]):
+    """What ``make`` keeps for these tables, made once in an application as long as they and what was kept are there."""
+    key = (spark.sparkContext.applicationId, folder(spark), name, *map(version, tables))
+    if key in _REMEMBERED:
+        made, paths = _REMEMBERED[key]
+        if all(system.exists(where) for where, system in (_path(spark, p) for p in paths)):
+            return made
+    made = make()
+    _REMEMBERED[key] = made, [f.kept_path for f in frames(made)]
+    return made
 
 
 def in_blocks(retrieve: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

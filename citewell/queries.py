@@ -15,6 +15,7 @@ from .functions import query_terms as Q
 from .functions import text as T
 from .operators import answers, applying, assembly, evaluation, ingest, quality, retrieval, selection, upsert
 from .plans import catalog as C
+from .plans.store import keep, remembered
 from .sources import documents as D
 from .sqlviews import build, strip
 
@@ -34,20 +35,49 @@ def _catalog(spark: SparkSession, sf_dir: str) -> C.Catalog:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> C.Catalog:
-    return C.from_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), stored=True)
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return remembered(spark, "catalog", [docs, labels], lambda: C.from_documents(docs, labels, stored=True), lambda c: [c.sources, c.claims])
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What is derived from catalog, questions and vectors, kept once for all queries that need it."""
+    return remembered(spark, name, [_read(spark, sf_dir, x) for x in ("documents", "labels", "benchmark", "embeddings")], lambda: keep(make(), name))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.questions(_read(spark, sf_dir, "benchmark"))
+    return _derived(spark, sf_dir, "questions", lambda: C.questions(_read(spark, sf_dir, "benchmark"), _stored(spark, sf_dir)))
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "bm25", lambda: retrieval.bm25(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Lexical candidates and those of vectors."""
+    tables = [_read(spark, sf_dir, x) for x in ("documents", "labels", "benchmark", "embeddings")]
+
+    def make() -> list[DataFrame]:
+        found = retrieval.lexical(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, found=_bm25(spark, sf_dir))
+        return [*found, keep(retrieval.vector_candidates(_near(spark, sf_dir), _stored(spark, sf_dir), POOL), "candidates")]
+
+    return remembered(spark, "lists", tables, make, lambda x: x)
 
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL where there is one."""
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits on the titles of sources: question i is asked by vector i, the source of document i has vector i."""
+    vectors, sources = _read(spark, sf_dir, "embeddings"), _stored(spark, sf_dir).sources
+    asked = _read(spark, sf_dir, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    chunks = sources.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.concat(F.lit("source_title:"), "source_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return retrieval.vector(asked, chunks, 8 * POOL)
+
+
+def query(sql: str | None = None, instead: dict[str, str] | None = None):
+    """Registers a function under its name, with its SQL where there is one, and other bodies of some of its views."""
 
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = build(sql)
+            SQL[f.__name__] = build(sql, instead or {})
         return f
 
     return keep
@@ -196,7 +226,7 @@ def j19_duplicate_titles(spark, sf_dir):
 
 @query("SELECT query_id, term FROM v_terms")
 def q4_query_terms(spark, sf_dir):
-    return _questions(spark, sf_dir).select("query_id", F.explode(Q.text_terms(F.col("question"), F.array().cast("array<string>"))).alias("term"))
+    return _questions(spark, sf_dir).select("query_id", F.explode("text_terms").alias("term"))
 
 
 @query("""SELECT DISTINCT item_id, r[i:i + n - 1] AS gram FROM (SELECT item_id, r, n, unnest(range(1, length(r) - n + 2)) AS i FROM (
@@ -206,19 +236,24 @@ def q6_ngrams(spark, sf_dir):
     return _read(spark, sf_dir, "benchmark").select("item_id", F.explode(Q.ngrams(text)).alias("gram"))
 
 
-@query()
+_LISTED = "(SELECT query_id, string_agg(term, ',' ORDER BY pos) AS {1} FROM {0} GROUP BY 1)"
+_SPANS = "(FROM v_cat UNION ALL FROM v_formula UNION ALL FROM v_symbol)"
+
+
+@query(f"""SELECT query_id, coalesce(catalog_terms, '') AS catalog_terms, '怎么' AS stop_terms, text_terms, expanded_terms, formula_spans, symbol_spans, exact_spans
+  FROM v_q LEFT JOIN {_LISTED.format("v_cat", "catalog_terms")} USING (query_id) JOIN {_LISTED.format("v_terms", "text_terms")} USING (query_id) JOIN {_LISTED.format("v_expanded", "expanded_terms")} USING (query_id)
+  JOIN {_LISTED.format("v_formula", "formula_spans")} USING (query_id) JOIN {_LISTED.format("v_symbol", "symbol_spans")} USING (query_id) JOIN {_LISTED.format(_SPANS, "exact_spans")} USING (query_id)""")
 def q1_q7_analyze(spark, sf_dir):
-    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "text", F.lit("H₂O α/β E=mc² 怎么保存")).alias("question"))
-    names = _catalog(spark, sf_dir).aliases.select(F.col("alias").alias("term"))
-    return Q.analyze(asked, names).select("query_id", *[F.array_join(c, ",").alias(c) for c in ("catalog_terms", "stop_terms", "text_terms", "expanded_terms", "formula_spans", "symbol_spans", "exact_spans")])
+    columns = ("catalog_terms", "stop_terms", "text_terms", "expanded_terms", "formula_spans", "symbol_spans", "exact_spans")
+    return _questions(spark, sf_dir).select("query_id", *[F.array_join(c, ",").alias(c) for c in columns])
 
 
 @query("SELECT query_id, claim_id, bm25, rank FROM v_bm25")
 def r1_bm25(spark, sf_dir):
-    return retrieval.bm25(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL)
+    return _bm25(spark, sf_dir)
 
 
-@query("SELECT query_id, claim_id, round(0.5 + least(1.0::DOUBLE, 0.2::DOUBLE * count(DISTINCT term)), 6) AS raw_score FROM v_like JOIN v_claims USING (claim_id) JOIN v_terms USING (query_id) WHERE contains(lower(claim_text || ' ' || citation_locator), term) GROUP BY 1, 2")
+@query("SELECT query_id, claim_id, score AS raw_score FROM v_scored WHERE base < 1")
 def r2_like(spark, sf_dir):
     return retrieval.substring(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL).select("query_id", "claim_id", "raw_score")
 
@@ -226,7 +261,7 @@ def r2_like(spark, sf_dir):
 @query("SELECT query_id, claim_id, source_id, raw_score, base = 1 AS full_text FROM v_text")
 def r3_relevance(spark, sf_dir):
     c, q = _stored(spark, sf_dir), _questions(spark, sf_dir)
-    rows = retrieval.merged(retrieval.full_text(q, c.claims, 8 * POOL), retrieval.substring(q, c.claims, 8 * POOL))
+    rows = retrieval.merged(retrieval.full_text(q, c.claims, 8 * POOL, _bm25(spark, sf_dir)), retrieval.substring(q, c.claims, 8 * POOL))
     return rows.select("query_id", "claim_id", "source_id", "raw_score", F.array_contains("reasons", "bm25_fts").alias("full_text"))
 
 
@@ -235,41 +270,41 @@ def r4_alias_title(spark, sf_dir):
     return retrieval.alias_title(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL).select("query_id", "claim_id", "page_id", "raw_score")
 
 
-@query("SELECT query_id, claim_id, page_id FROM v_span")
+@query("SELECT query_id, claim_id, page_id, raw_score FROM v_span")
 def r5_exact_span(spark, sf_dir):
-    c = _stored(spark, sf_dir)
-    return retrieval.exact_span(_questions(spark, sf_dir), c.claims, c.sources, 8 * POOL, "text_terms").select("query_id", "claim_id", "page_id")
+    return retrieval.exact_span(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL).select("query_id", "claim_id", "page_id", "raw_score")
 
 
 @query("SELECT query_id, claim_id, raw_score FROM v_graph")
 def r6_graph_one_hop(spark, sf_dir):
-    c, q = _stored(spark, sf_dir), _questions(spark, sf_dir)
-    seeds = retrieval.fused(retrieval.lexical(q, c, POOL), POOL)
-    return retrieval.graph(seeds, c.claims, c.relationships, POOL).select("query_id", "claim_id", "raw_score")
+    seeds = retrieval.fused(_lists(spark, sf_dir), None)
+    return retrieval.graph(seeds, _stored(spark, sf_dir), POOL, 4 * POOL).select("query_id", "claim_id", "raw_score")
 
 
 @query("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE score > 0) WHERE rank <= 20""")
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE score > 0) WHERE rank <= 20""")
 def r7_vector_topk(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings")
-    asked = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = rows.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.vector(asked, rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 20)
 
 
 @query("SELECT query_id, claim_id, page_id, rrf, retriever_rank FROM v_seeds")
 def r8_rrf_fusion(spark, sf_dir):
-    return retrieval.fused(retrieval.lexical(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL), POOL).select("query_id", "claim_id", "page_id", "rrf", "retriever_rank")
+    return retrieval.fused(_lists(spark, sf_dir), None).select("query_id", "claim_id", "page_id", "rrf", "retriever_rank")
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> tuple[C.Catalog, DataFrame]:
     c = _stored(spark, sf_dir)
-    return c, retrieval.hybrid(_questions(spark, sf_dir), c, POOL, POOL)
+    pool = lambda: retrieval.hybrid(_questions(spark, sf_dir), c, POOL, POOL, lists=_lists(spark, sf_dir))
+    return c, _derived(spark, sf_dir, "pool", pool)
 
 
-@query("SELECT query_id, claim_id, source_id, page_id, raw_score, rrf, retriever_rank FROM v_hybrid WHERE confidence_status = 'cited'")
+@query("SELECT query_id, claim_id, source_id, page_id, raw_score, rrf, retriever_rank FROM v_hybrid", instead={"v_claims_kept": "FROM v_claims WHERE confidence_status = 'cited'", "v_pages_kept": "FROM v_pages WHERE page_type = 'source'"})
 def r9_hybrid(spark, sf_dir):
-    rows = retrieval.filtered(_pool(spark, sf_dir)[1], confidence="cited")
+    wanted = {"confidence": "cited", "page_type": "source"}
+    rows = retrieval.hybrid(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, POOL, _near(spark, sf_dir), wanted)
     return rows.select("query_id", "claim_id", "source_id", "page_id", "raw_score", "rrf", "retriever_rank")
 
 
@@ -283,7 +318,7 @@ _SIM = "CASE WHEN length(claim_text) % 7 = 0 THEN NULL ELSE (length(claim_text)
 
 
 @query(f"""SELECT query_id, claim_id, score AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retriever_rank, claim_id) AS candidate_rank FROM (
-  SELECT *, round(0.65::DOUBLE * greatest(0, coalesce({_SIM}, 0)) + 0.35::DOUBLE * (rerank_score / max(rerank_score) OVER (PARTITION BY query_id)), 6) AS score FROM v_reranked)""")
+  SELECT *, round(0.65::DOUBLE * greatest(0, coalesce({_SIM}, 0)) + 0.35::DOUBLE * (rerank_score / max(rerank_score) OVER (PARTITION BY query_id)) + 1e-9::DOUBLE, 6) AS score FROM v_reranked)""")
 def r13_embed_rerank(spark, sf_dir):
     rows = selection.reranked(_pool(spark, sf_dir)[1])
     near = rows.filter(F.length("claim_text") % 7 != 0).select("query_id", "claim_id", (F.length("claim_text") % 10 / F.lit(10.0)).alias("similarity"))
@@ -369,7 +404,7 @@ def m5_planned_merge(spark, sf_dir):
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected: the sources of documents that the question's full-text retrieval ranks first; found: what is selected."""
     c, pool = _pool(spark, sf_dir)
-    expected = retrieval.bm25(_questions(spark, sf_dir), c.claims, 3).join(c.claims.select("claim_id", "source_id"), "claim_id").select(F.col("query_id").alias("case_id"), "source_id")
+    expected = _bm25(spark, sf_dir).filter(F.col("rank") <= 3).join(c.claims.select("claim_id", "source_id"), "claim_id").select(F.col("query_id").alias("case_id"), "source_id")
     results = _evidence(c, pool, "broad").select(F.col("query_id").alias("case_id"), "rank", "source_id")
     return evaluation.case_metrics(results, expected)
 
@@ -452,7 +487,7 @@ def i8_patches(spark, sf_dir):
     return ingest.patches(c.sources, c.claims).select("source_id", "page_id", "page_type", "title", "n_claims")
 
 
-_TERMS = "SELECT DISTINCT query_id, alias AS term FROM v_aliases, (SELECT query_id, string_agg(term, ' ' ORDER BY length(term) DESC, term) AS q FROM v_terms GROUP BY 1) WHERE contains(q, lower(alias))"
+_TERMS = "SELECT query_id, term FROM v_cat"
 
 
 @query(f"""SELECT query_id, CASE WHEN against THEN 'conflict' WHEN n = 1 THEN 'focused' WHEN n >= 2 THEN 'comparison' ELSE 'broad' END AS mode FROM (
@@ -460,8 +495,7 @@ _TERMS = "SELECT DISTINCT query_id, alias AS term FROM v_aliases, (SELECT query_
   LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_TERMS}) GROUP BY 1) t USING (query_id) LEFT JOIN (SELECT DISTINCT query_id FROM v_related WHERE relationship_type = 'contradicts') a USING (query_id))""")
 def r16_modes(spark, sf_dir):
     c, pool = _pool(spark, sf_dir)
-    asked, names = _questions(spark, sf_dir), c.aliases.select(F.col("alias").alias("term")).distinct()
-    terms = names.join(F.broadcast(asked), F.contains("question", F.lower("term"))).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    terms = _questions(spark, sf_dir).select("query_id", F.col("catalog_terms").alias("terms"))
     against = selection.related(pool, c.relationships).filter(F.col("relationship_type") == "contradicts").select("query_id").distinct().withColumn("against", F.lit(True))
     rows = pool.select("query_id").distinct().join(terms, "query_id", "left").join(against, "query_id", "left")
     listed = F.coalesce("terms", F.array().cast("array<string>"))
@@ -552,7 +586,7 @@ def a12_diversity(spark, sf_dir):
   LEFT JOIN (SELECT DISTINCT query_id, c.source_id FROM ({_BROAD}) b JOIN v_claims c USING (claim_id)) s ON s.query_id = e.query_id AND s.source_id = e.source_id GROUP BY 1""".replace("WITH_E ", ""))
 def e10_failure_stage(spark, sf_dir):
     c, pool = _pool(spark, sf_dir)
-    expected = retrieval.bm25(_questions(spark, sf_dir), c.claims, 8 * POOL).join(c.claims.select("claim_id", "source_id"), "claim_id").select(F.col("query_id").alias("case_id"), "source_id")
+    expected = _bm25(spark, sf_dir).join(c.claims.select("claim_id", "source_id"), "claim_id").select(F.col("query_id").alias("case_id"), "source_id")
     picked = _evidence(c, pool, "broad").select(F.col("query_id").alias("case_id"), "source_id")
     return assembly.failure_stages(expected, pool.select(F.col("query_id").alias("case_id"), "source_id"), picked)
 
@@ -576,7 +610,7 @@ _HITS = """SELECT query_id, 'claim:' || claim_id AS chunk_id, round(1.0::DOUBLE
     UNION ALL SELECT query_id, claim_id, round(0.8::DOUBLE * score, 6), 'page_title' FROM ({_HITS}) JOIN v_page_sources ON chunk_id = 'page_title:' || page_id JOIN v_claims USING (source_id)) GROUP BY 1, 2)) WHERE n <= 80""")
 def r7_vector_candidates(spark, sf_dir):
     c = _stored(spark, sf_dir)
-    top = retrieval.bm25(_questions(spark, sf_dir), c.claims, 3).join(c.claims.select("claim_id", "source_id"), "claim_id").join(c.sources.select("source_id", "concept_id"), "source_id")
+    top = _bm25(spark, sf_dir).filter(F.col("rank") <= 3).join(c.claims.select("claim_id", "source_id"), "claim_id").join(c.sources.select("source_id", "concept_id"), "source_id")
     hit = lambda kind, column, score: F.struct(F.concat(F.lit(f"{kind}:"), column).alias("chunk_id"), score.alias("score"))
     first = F.array(hit("source_title", "source_id", F.lit(0.9)), hit("page_title", "concept_id", F.lit(0.5)))
     own = F.array(hit("claim", "claim_id", F.round(F.lit(1.0) / F.col("rank"), 6)))
@@ -589,7 +623,7 @@ def r7_vector_candidates(spark, sf_dir):
 @query("""SELECT query_id, step, count(*) AS candidates FROM (SELECT query_id, CASE place WHEN 0 THEN 'bm25_fts' WHEN 1 THEN 'catalog_title_alias' ELSE 'exact_span' END AS step FROM v_lists
   UNION ALL SELECT query_id, 'before fusion' FROM v_lists UNION ALL SELECT query_id, 'after fusion' FROM v_seeds) GROUP BY 1, 2""")
 def r11_diagnostics(spark, sf_dir):
-    lists = retrieval.lexical(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL)
+    lists = _lists(spark, sf_dir)
     return retrieval.diagnostics(lists, retrieval.fused(lists, POOL))
 
 
