@@ -69,5 +69,5 @@ def review(claims: DataFrame) -> DataFrame:
 def numbered_proposal(proposals: DataFrame) -> DataFrame:
     """Claims of proposals (source_id, claims array of struct text, locator, confidence): ids by place, blanks use one up."""
     rows = proposals.select("source_id", F.posexplode("claims").alias("pos", "c")).filter(T.strip(F.col("c.text")) != "")
-    number = F.lpad((F.col("pos") + 1).cast("string"), 3, "0")
+    number = F.format_string("%03d", F.col("pos") + 1)
     return rows.select(F.concat(F.lit("clm_"), "source_id", F.lit("_llm_"), number).alias("claim_id"), "source_id", T.strip(F.col("c.text")).alias("claim_text"), F.col("c.locator").alias("citation_locator"), T.confidence(F.col("c.locator"), F.col("c.confidence")).alias("confidence_status"))

@@ -317,6 +317,12 @@ def graph(seeds: DataFrame, catalog, limit: int, pool: int = 80, filters: dict |
     return ranked(rows, "raw_score", limit).drop("rank")
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """0.0 for other lengths, empty and zero vectors."""
+    dot = F.aggregate(F.zip_with(unit(a), unit(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), F.coalesce(dot, F.lit(0.0))).otherwise(0.0)
+
+
 def unit(v: Column) -> Column:
     """The vector of length 1; null for empty and zero vectors."""
     square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)

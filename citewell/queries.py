@@ -39,9 +39,9 @@ def _stored(spark: SparkSession, sf_dir: str) -> C.Catalog:
     return remembered(spark, "catalog", [docs, labels], lambda: C.from_documents(docs, labels, stored=True), lambda c: [c.sources, c.claims])
 
 
-def _derived(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What is derived from catalog, questions and vectors, kept once for all queries that need it."""
-    return remembered(spark, name, [_read(spark, sf_dir, x) for x in ("documents", "labels", "benchmark", "embeddings")], lambda: keep(make(), name))
+def _derived(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], *more: str) -> DataFrame:
+    """What is derived from catalog and questions, and of ``more`` tables, kept once for all queries that need it."""
+    return remembered(spark, name, [_read(spark, sf_dir, x) for x in ("documents", "labels", "benchmark", *more)], lambda: keep(make(), name))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +298,7 @@ def r8_rrf_fusion(spark, sf_dir):
 def _pool(spark: SparkSession, sf_dir: str) -> tuple[C.Catalog, DataFrame]:
     c = _stored(spark, sf_dir)
     pool = lambda: retrieval.hybrid(_questions(spark, sf_dir), c, POOL, POOL, lists=_lists(spark, sf_dir))
-    return c, _derived(spark, sf_dir, "pool", pool)
+    return c, _derived(spark, sf_dir, "pool", pool, "embeddings")
 
 
 @query("SELECT query_id, claim_id, source_id, page_id, raw_score, rrf, retriever_rank FROM v_hybrid", instead={"v_claims_kept": "FROM v_claims WHERE confidence_status = 'cited'", "v_pages_kept": "FROM v_pages WHERE page_type = 'source'"})
@@ -620,11 +620,11 @@ def r7_vector_candidates(spark, sf_dir):
     return rows.select("query_id", "claim_id", "raw_score", kind.alias("kind"))
 
 
-@query("""SELECT query_id, step, count(*) AS candidates FROM (SELECT query_id, CASE place WHEN 0 THEN 'bm25_fts' WHEN 1 THEN 'catalog_title_alias' ELSE 'exact_span' END AS step FROM v_lists
+@query("""SELECT query_id, step, count(*) AS candidates FROM (SELECT query_id, CASE place WHEN 0 THEN 'bm25_fts' WHEN 1 THEN 'catalog_title_alias' WHEN 2 THEN 'exact_formula_symbol' ELSE 'vector' END AS step FROM v_lists
   UNION ALL SELECT query_id, 'before fusion' FROM v_lists UNION ALL SELECT query_id, 'after fusion' FROM v_seeds) GROUP BY 1, 2""")
 def r11_diagnostics(spark, sf_dir):
     lists = _lists(spark, sf_dir)
-    return retrieval.diagnostics(lists, retrieval.fused(lists, POOL))
+    return retrieval.diagnostics(lists, retrieval.fused(lists, None))
 
 
 @query("""SELECT query_id, claim_id, score AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retriever_rank, claim_id) AS candidate_rank

@@ -32,10 +32,10 @@ def plain(df):
 
 def test_blocks_answer_as_one_batch(spark, monkeypatch):
     c = small(spark)
-    asked = spark.createDataFrame([(q, [f"word{q % 5}", f"term{q % 3}", "concept0"]) for q in range(9)], "query_id int, text_terms array<string>")
+    asked = spark.createDataFrame([(q, t := [f"word{q % 5}", f"term{q % 3}", "concept0"], t) for q in range(9)], "query_id int, text_terms array<string>, exact_spans array<string>")
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "chunk_id int, vector array<double>")
     queries = vectors.select((F.col("chunk_id") + 100).alias("query_id"), F.col("vector").alias("query_vector"))
-    run = lambda: [plain(x) for x in (retrieval.full_text(asked, c.claims, 20), retrieval.substring(asked, c.claims, 20), retrieval.alias_title(asked, c, 20), retrieval.exact_span(asked, c.claims, c.sources, 20, "text_terms"), retrieval.vector(queries, vectors, 3))]
+    run = lambda: [plain(x) for x in (retrieval.full_text(asked, c.claims, 20), retrieval.substring(asked, c.claims, 20), retrieval.alias_title(asked, c, 20), retrieval.exact_span(asked, c, 20), retrieval.vector(queries, vectors, 3))]
     whole = run()
     assert all(whole)
     monkeypatch.setattr(store, "BLOCK", 2)
@@ -46,7 +46,7 @@ def test_graph_step_through_a_hub(spark):
     c = small(spark)
     seeds = spark.createDataFrame([(1, "c000", "src_0", "concept:0"), (1, "c002", "src_2", "src_2"), (2, "c001", "src_1", "src_1")], "query_id int, claim_id string, source_id string, page_id string")
     got = {}
-    for r in retrieval.graph(seeds, c.claims, c.relationships, 5, 3).collect():
+    for r in retrieval.graph(seeds, c, 5, 3).collect():
         got.setdefault(r.query_id, set()).add(r.claim_id)
     # every source of concept 0 is one step from question 1, its own source only from question 2
     ids = lambda wanted, seen: set([f"c{i:03d}" for i in range(60) if i % 7 in wanted and f"c{i:03d}" not in seen][:5])

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from citewell.functions import query_terms as Q
 from citewell.operators import ingest, quality, retrieval, selection, upsert
 from citewell.plans import catalog as C
 from citewell.sources import documents as D
@@ -121,17 +122,40 @@ def test_modes(spark):
     assert got == ["focused", "conflict", "comparison", "focused", "broad", "broad"]
 
 
+def seeded(spark):
+    make = lambda name, rows: spark.createDataFrame(rows, C.schema(name))
+    texts = [("c1", "src_w", "Boiling H₂O leaves salt behind in the pan."), ("c2", "src_w", "Keep the α/β balance under control."), ("c3", "src_b", "蓝莓洗净后冷藏，两天内吃完。"), ("c4", "src_p", "梨含有膳食纤维和水分。")]
+    names = {"src_w": "Kitchen lab", "src_b": "蓝莓", "src_p": "梨"}
+    return C.Catalog(
+        make("sources", [(s, t, *[None] * 7) for s, t in names.items()]),
+        make("claims", [(c, s, t, "line:2", "cited" if c != "c4" else "weak", "t") for c, s, t in texts]),
+        make("aliases", [("berry", "concept", "concept:fruit", "berry")]),
+        make("pages", [(s, "", "source", t, "[]", "t") for s, t in names.items()] + [("concept:fruit", "", "concept", "Fruit", "[]", "t")]),
+        make("links", [("src_b", "concept:fruit", "mentions")]),
+        make("relationships", [("concept:fruit", "src_p", "supports", "c4", "src_p")]),
+    )
+
+
 def test_seeded_retrievers(spark):
-    claims = spark.createDataFrame([("c1", "src_f", "H₂O is the chemical formula for water.", "line:1", "cited", "t"), ("c2", "src_f", "The α/β ratio compares two parameters.", "line:3", "cited", "t"), ("c3", "src_s", "草莓适合冷藏保存，购买后应尽快食用。", "line:86", "cited", "t"), ("c4", "src_o", "橙子富含维生素 C。", "line:23", "cited", "t")], "claim_id string, source_id string, claim_text string, citation_locator string, confidence_status string, created_at string")
-    sources = spark.createDataFrame([("src_f", "Formula Notes"), ("src_s", "草莓"), ("src_o", "橙子")], "source_id string, title string")
-    asked = spark.createDataFrame([(1, ["chemical", "formula", "water"], ["H₂O", "α/β"]), (2, ["草莓", "保存"], ["草莓"])], "query_id int, text_terms array<string>, exact_spans array<string>")
-    assert "c1" in {r.claim_id for r in retrieval.full_text(asked, claims, 5).filter("query_id = 1").collect()}
-    spans = retrieval.exact_span(asked, claims, sources, 20)
-    assert {r.claim_id for r in spans.filter("query_id = 1").collect()} == {"c1", "c2"}
-    assert {r.claim_id for r in spans.filter("query_id = 2").collect()} == {"c3"}
-    like = retrieval.substring(asked, claims, 20).filter("query_id = 2").collect()
-    assert [(r.claim_id, r.raw_score) for r in like] == [("c3", 0.9)]
-    assert retrieval.filtered(claims, confidence="weak").count() == 0 and retrieval.filtered(claims, confidence="").count() == 4
+    c = seeded(spark)
+    rows = [(1, "what does H₂O leave, and the α/β balance"), (2, "蓝莓怎么保存"), (3, "berry_salt behind_in")]
+    asked = Q.analyze(spark.createDataFrame(rows, "query_id int, question string"), spark.createDataFrame([("蓝莓",), ("berry",), ("Fruit",)], "term string"))
+    best = lambda found, q: {r.claim_id: r.raw_score for r in found.filter(F.col("query_id") == q).collect()}
+    assert {"c1", "c2"} <= set(best(retrieval.full_text(asked, c.claims, 5), 1))
+    hits = {(r.query_id, r.claim_id) for r in retrieval.bm25(asked, c.claims, 5).collect()}
+    assert (3, "c1") in hits and len([h for h in hits if h[0] == 3]) == 1  # behind_in is a phrase
+    spans = retrieval.exact_span(asked, c, 20)
+    assert set(best(spans, 1)) == {"c1", "c2"} and best(spans, 2).keys() == {"c3"}
+    assert best(spans, 3) == {"c3": 1.05, "c4": 1.05}  # by the page of the alias; the span alone adds its weight
+    # 蓝莓 is a catalog term, 冷藏 one of the synonyms of 保存
+    assert best(retrieval.substring(asked, c.claims, 20), 2) == {"c3": 0.8} and best(retrieval.alias_title(asked, c, 20), 2) == {"c3": 1.1}
+    assert best(retrieval.alias_title(asked, c, 20), 3) == {"c3": 1.0, "c4": 1.0}
+    near = spark.createDataFrame([(1, "claim:c4", 0.9), (2, "source_title:src_w", 0.5)], "query_id int, chunk_id string, score double")
+    rows = retrieval.hybrid(asked, c, 10, 10, near).collect()
+    assert ["vector"] in [r.retrievers for r in rows if (r.query_id, r.claim_id) == (1, "c4")]
+    assert {r.claim_id for r in retrieval.hybrid(asked, c, 10, 10, near, {"confidence": "weak"}).collect()} == {"c4"}
+    assert not retrieval.hybrid(asked, c, 10, 10, near, {"page_type": "concept", "source_id": "src_w"}).collect()
+    assert retrieval.filtered(c.claims, c, confidence="").count() == 4
 
 
 def test_cosine(spark):
@@ -170,6 +194,12 @@ def test_json_lines_report_their_errors(spark, tmp_path):
     assert [(r.line, r.id, r.error) for r in rows] == [(1, "a", None), (3, None, "cases.jsonl:3: not JSON")]
 
 
+def test_long_proposals_have_an_id_for_each_claim(spark):
+    rows = spark.createDataFrame([("src_a", [(f"Claim {i}", "line:1", "cited") for i in range(1200)])], "source_id string, claims array<struct<text:string,locator:string,confidence:string>>")
+    got = ingest.numbered_proposal(rows).select("claim_id").distinct()
+    assert got.count() == 1200 and {"clm_src_a_llm_007", "clm_src_a_llm_1200"} <= {r[0] for r in got.collect()}
+
+
 def test_proposals_and_pages(spark):
     proposal = spark.createDataFrame([("src_a", [("One", "line:1", "cited"), (" ", "line:2", "cited"), ("Two", "", "cited")])], "source_id string, claims array<struct<text:string,locator:string,confidence:string>>")
     got = [(r.claim_id, r.confidence_status) for r in ingest.numbered_proposal(proposal).orderBy("claim_id").collect()]
