@@ -227,15 +227,32 @@ def page_sources(pages: DataFrame, links: DataFrame, relationships: DataFrame) -
     return own.unionByName(other).distinct()
 
 
-def _of_sources(named: DataFrame, claims: DataFrame, held: DataFrame, fallback: bool) -> DataFrame:
-    """Scored claims of the sources in named(query_id, source_id, page_id, base[, span_weight]) with their ``bonuses``.
+def _of_sources(named: DataFrame, claims: DataFrame, held: DataFrame) -> DataFrame:
+    """Scored claims of the sources in named(query_id, source_id, page_id, base, span_weight) with their ``bonuses``.
 
-    A claim that holds no term has the base, or with ``fallback`` what the span itself would add.
+    A claim that holds no term has what the span itself would add.
     """
     mine = named.join(claims.select("source_id", "claim_id"), "source_id")
     rows = mine.join(held, ["source_id", "claim_id", "query_id"], "left")
-    bonus = F.coalesce("bonus", F.col("span_weight") if fallback else F.lit(0.0))
-    return rows.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), bonus).alias("raw_score"))
+    return rows.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), F.coalesce("bonus", "span_weight")).alias("raw_score"))
+
+
+def _best_of_sources(named: DataFrame, catalog, held: DataFrame, limit: int, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None) -> DataFrame:
+    """The best claims of the sources in named(query_id, source_id, page_id, base) with their ``bonuses``; without one a claim has the base.
+
+    Claims at the base are in the order of their ids, so those of the first ``limit`` sources by base and smallest
+    claim decide: no question meets all claims of all its sources but those that hold its terms.
+    """
+    named = filtered(named, catalog, source_id, page_type)
+    claims = filtered(catalog.claims, catalog, confidence=confidence).select("source_id", "claim_id")
+    scored = filtered(named.join(held, ["source_id", "query_id"]), catalog, confidence=confidence)
+    scored = scored.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), F.col("bonus")).alias("raw_score"))
+    least = named.join(claims.groupBy("source_id").agg(F.min("claim_id").alias("least")), "source_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "least"))
+    first = least.withColumn("place", place).filter(F.col("place") <= limit).join(claims, "source_id")
+    bare = first.select("query_id", "claim_id", "source_id", "page_id", F.col("base").alias("raw_score"))
+    both = ranked(scored, "raw_score", limit).drop("rank").unionByName(bare)
+    return ranked(both.groupBy("query_id", "claim_id", "source_id", "page_id").agg(F.max("raw_score").alias("raw_score")), "raw_score", limit)
 
 
 @in_blocks
@@ -254,7 +271,7 @@ def alias_title(questions: DataFrame, catalog, limit: int, filters: dict | None
     pages = keep(pages, "pages")
     behind = pages.drop("reasons").join(page_sources(catalog.pages, catalog.links, catalog.relationships), "page_id")
     named = behind.groupBy("query_id", "source_id").agg(F.max("base").alias("base"), F.max_by("page_id", F.struct("base", "page_id")).alias("page_id"))
-    best = ranked(filtered(_of_sources(named, catalog.claims, held, False), catalog, **(filters or {})), "raw_score", limit)
+    best = _best_of_sources(named, catalog, held, limit, **(filters or {}))
     reasons = F.array_append("reasons", F.lit("page_source_claims")).alias("reasons")
     rows = best.join(pages, ["query_id", "page_id"]).select(*best.columns, reasons)
     return rows.withColumn("retriever", F.lit("catalog_title_alias")).select(*CANDIDATE)
@@ -289,7 +306,7 @@ def exact_span(questions: DataFrame, catalog, limit: int, filters: dict | None =
     mine = own.groupBy("query_id", "source_id", "claim_id").agg(F.max("span_weight").alias("span_weight")).join(held, ["source_id", "claim_id", "query_id"], "left")
     mine = mine.select("query_id", "claim_id", "source_id", page, relevance(SPAN, F.coalesce("bonus", "span_weight")).alias("raw_score"), F.lit(0).alias("place"))
     far = behind.groupBy("query_id", "source_id").agg(F.max("page_id").alias("page_id"), F.max("span_weight").alias("span_weight"))
-    far = _of_sources(far.withColumn("base", F.lit(SPAN)), catalog.claims, held, True).withColumn("place", F.lit(1))
+    far = _of_sources(far.withColumn("base", F.lit(SPAN)), catalog.claims, held).withColumn("place", F.lit(1))
     order = F.struct(F.negate("raw_score"), "place", "page_id")
     both = mine.unionByName(far).groupBy("query_id", "claim_id", "source_id").agg(F.min_by("page_id", order).alias("page_id"), F.max("raw_score").alias("raw_score"))
     best = ranked(filtered(both, catalog, **(filters or {})), "raw_score", limit)
