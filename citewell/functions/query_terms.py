@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -106,3 +107,17 @@ def analyze(questions: DataFrame, catalog_terms: DataFrame | None = None) -> Dat
     rows = rows.withColumn("expanded_terms", expanded_terms(F.col("text_terms"))).withColumn("ngrams", ngrams(F.col("normalized")))
     rows = rows.withColumn("formula_spans", formula_spans("question", "normalized")).withColumn("symbol_spans", symbol_spans(F.col("question")))
     return rows.withColumn("exact_spans", unique(F.concat("catalog_terms", "formula_spans", "symbol_spans")))
+
+
+def catalog_terms(pages: DataFrame, aliases: DataFrame, sources: DataFrame) -> DataFrame:
+    """term: every title, alias and normalized alias of a catalog once, blank ones left out."""
+    columns = [pages.select("title"), aliases.select("alias"), aliases.select("normalized_alias"), sources.select("title")]
+    rows = reduce(DataFrame.union, columns).toDF("term")
+    return rows.filter(F.trim("term") != "").distinct()
+
+
+def diagnostics(questions: DataFrame) -> DataFrame:
+    """query_id, kind, n: how many terms of each kind an analyzed question has."""
+    kinds = ("text_terms", "expanded_terms", "catalog_terms", "exact_spans", "symbol_spans", "formula_spans", "ngrams", "stop_terms")
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.size(c).cast("long").alias("n")) for c in kinds])
+    return questions.select("query_id", F.inline(pairs))

@@ -99,6 +99,21 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("status") == "applied").groupBy("source_id").agg(F.max_by("run_id", F.struct("applied_at", "created_at", "run_id")).alias("run_id"))
 
 
+def run_problems(asked: DataFrame, runs: DataFrame) -> DataFrame:
+    """run_id, problem of the asked runs (run_id) that may not be applied: not in runs(run_id, status), or applied or failed already.
+
+    A run without a status is staged.
+    """
+    rows = asked.select("run_id").join(runs.select("run_id", F.coalesce("status", F.lit(RUN_READY[0])).alias("status")), "run_id", "left")
+    problem = F.when(F.col("status").isNull(), "no_manifest").when(~F.col("status").isin(*RUN_READY), F.concat(F.lit("status_"), "status"))
+    return rows.select("run_id", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def relationship_types(relationships: DataFrame) -> DataFrame:
+    """The distinct relationship_type of a catalog, as a planner sees them."""
+    return relationships.select("relationship_type").distinct().orderBy("relationship_type")
+
+
 def index_problems(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
     """problem, n of a vector index: chunks without a vector, vectors without a chunk, of another length, or not finite."""
     both = chunks.select("chunk_id", F.lit(1).alias("c")).join(vectors.select("chunk_id", "vector"), "chunk_id", "full_outer")

@@ -113,6 +113,13 @@ def relationship_validity(relationships: DataFrame, catalog) -> DataFrame:
     return rows.agg(F.count("*").alias("relationships"), F.coalesce(F.round(F.avg(F.when(valid, 1.0).otherwise(0.0)), 4), F.lit(1.0)).alias("relationship_validity"))
 
 
+def report_lines(cases: DataFrame) -> DataFrame:
+    """case_id, line: one line of a report for each case, pass or fail and its metrics."""
+    metrics = ("hit", "recall", "precision", "mrr", "ndcg", "map")
+    state = F.when(F.col("hit") > 0, "pass").otherwise("fail")
+    return cases.select("case_id", F.concat_ws(" ", state, *[F.concat(F.lit(f"{c}="), F.format_string("%.2f", c)) for c in metrics]).alias("line"))
+
+
 def summary(cases: DataFrame) -> DataFrame:
     """Cases, passes and the mean of each metric, 0 where there are none."""
     means = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in ("hit", "recall", "precision", "mrr", "ndcg", "map")]

@@ -9,6 +9,8 @@ from ..functions import text as T
 
 #: Relationship labels by priority.
 PRIORITY = ("contradicts", "supports", "refines", "contains", "similar_to")
+#: Problems of an index that go without a warning.
+QUIET = ("index is missing", "disabled")
 
 
 def reranked(pool: DataFrame, name: str = "rerank_score") -> DataFrame:
@@ -41,6 +43,31 @@ def provided_reranked(rows: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("candidate_rank", F.row_number().over(order)).drop("score")
 
 
+def dispatched(pool: DataFrame, method: str = "deterministic", similarities: DataFrame | None = None, scores: DataFrame | None = None, problem: str = "index is missing") -> DataFrame:
+    """Reranked by "embedding" similarities or "provided" scores, with method and warning; what is not given falls back to the deterministic order.
+
+    ``problem`` says why there are no similarities; a missing or disabled index is no warning.
+    """
+    rows, used, warning = reranked(pool), "deterministic", None
+    if method == "embedding":
+        if similarities is not None:
+            rows, used = embedding_reranked(rows, similarities), method
+        elif not any(quiet in problem.lower() for quiet in QUIET):
+            warning = problem
+    elif method == "provided":
+        if scores is not None:
+            rows, used = provided_reranked(rows, scores), method
+        else:
+            warning = "no scores were provided"
+    return rows.withColumns({"requested": F.lit(method), "method": F.lit(used), "warning": F.lit(warning).cast("string")})
+
+
+def relationship_order(found: DataFrame) -> DataFrame:
+    """Each question's relationships once, with their place by type, subject, object and evidence."""
+    order = ["relationship_type", "subject_id", "object_id", "evidence_claim_id"]
+    return found.select("query_id", *order).distinct().withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
 def coverage_group() -> Column:
     """The page, unless it is a source's own."""
     page = F.coalesce("page_id", F.lit(""))

@@ -471,7 +471,8 @@ def a19_run_review(spark, sf_dir):
 _CLEAN = strip(r"regexp_replace(title, '\b(notes|source|overview)\b', '', 'gi')")
 _SUBJECTS = r"""SELECT source_id, max(contains(' ' || array_to_string(regexp_extract_all(lower(claim_text), '[a-z0-9]+'), ' ') || ' ', ' rag ')::INT) AS rag,
   max(regexp_matches(lower(claim_text), '\balias\b')::INT) AS alias, max(regexp_matches(lower(claim_text), '\bconflict|contradict')::INT) AS conflict FROM v_claims GROUP BY 1"""
-_PREFIX = strip("regexp_extract(title, '^([^：:]*)[：:]', 1)")
+_WIDE = strip("regexp_extract(title, '^([^：]*)：', 1)")
+_PREFIX = f"CASE WHEN {_WIDE} = '' THEN {strip("regexp_extract(title, '^([^:]*):', 1)")} ELSE {_WIDE} END"
 _SLUG = r"regexp_replace(regexp_replace(lower(ct), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _ALIASED = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
@@ -851,3 +852,95 @@ def s27_index_status(spark, sf_dir):
     cases = {"fresh": manifest(claims), "changed": manifest(claims.filter(F.col("confidence_status") == "cited")), "missing": manifest(claims).filter(F.lit(False))}
     parts = [assembly.index_status(m, now).withColumn("case_name", F.lit(name)) for name, m in cases.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _naming(c: C.Catalog) -> DataFrame:
+    """The claims, with the entity's name written into some of them."""
+    return c.claims.withColumn("claim_text", F.replace("claim_text", F.lit("zz"), F.lit(" Open AI ")))
+
+
+_NAMED = """SELECT source_id FROM v_claims GROUP BY 1
+  HAVING contains(array_to_string(regexp_extract_all(lower(string_agg(replace(claim_text, 'zz', ' Open AI '), ' ' ORDER BY line)), '[a-z0-9]+'), ''), 'openai')"""
+
+
+@query(f"SELECT source_id, 'OpenAI' AS entity_title, 'OpenAI,Open AI,Open-AI' AS entity_aliases FROM ({_NAMED})")
+def i5_entities(spark, sf_dir):
+    found = ingest.entities(_naming(_stored(spark, sf_dir)))
+    return found.select("source_id", "entity_title", F.array_join("entity_aliases", ",").alias("entity_aliases"))
+
+
+@query(f"""SELECT * FROM (WITH t AS (SELECT source_id, title, lang, source, quality, CASE WHEN {_CLEAN} = '' THEN title ELSE {_CLEAN} END AS cleaned, {_PREFIX} AS prefix FROM v_sources),
+  c AS (SELECT t.*, rag, alias, conflict, CASE WHEN rag = 1 THEN 'Retrieval Augmented Generation' WHEN alias = 1 THEN 'Alias Resolution' WHEN conflict = 1 THEN 'Conflict Preservation'
+    WHEN {_ALIASED.format("cleaned")} = {_ALIASED.format("title")} AND prefix <> '' THEN prefix ELSE cleaned END AS ct FROM t LEFT JOIN ({_SUBJECTS}) USING (source_id)),
+  p AS (SELECT *, CASE WHEN quality = 1 AND title <> '' THEN CASE WHEN prefix <> '' THEN prefix ELSE title END ELSE ct END AS concept_title FROM c),
+  u AS (SELECT source_id, title, unnest([concept_title, lang, upper(lang), title]) AS x, unnest([1, 2, 3, 4]) AS o FROM p WHERE quality = 1),
+  g AS (SELECT source_id, arg_min(x, o) AS x, min(o) AS o FROM u WHERE {_ALIASED.format("x")} <> '' AND {_ALIASED.format("x")} <> {_ALIASED.format("title")} GROUP BY source_id, {_ALIASED.format("x")}),
+  l AS (SELECT source_id, string_agg(x, '|' ORDER BY o) AS listed FROM g GROUP BY 1)
+  SELECT p.source_id, concept_title, CASE WHEN quality = 1 AND p.title <> '' THEN coalesce(listed, concept_title) WHEN rag = 1 THEN 'RAG|retrieval augmented generation' WHEN alias = 1 THEN 'alias|identity resolution'
+    WHEN conflict = 1 THEN 'conflict|contradiction' ELSE ct END AS concept_aliases, CASE WHEN quality = 0 THEN source WHEN e.source_id IS NOT NULL THEN 'OpenAI' END AS entity_title,
+    CASE WHEN quality = 0 THEN source WHEN e.source_id IS NOT NULL THEN 'OpenAI|Open AI|Open-AI' END AS entity_aliases
+  FROM p LEFT JOIN l USING (source_id) LEFT JOIN ({_NAMED}) e ON e.source_id = p.source_id)""")
+def i15_proposed(spark, sf_dir):
+    c = _stored(spark, sf_dir)
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
+    proposals = c.sources.select(
+        "source_id", F.when(good, F.col("title")).alias("concept_title"), F.when(good, F.array("lang", F.upper("lang"), "title")).alias("concept_aliases"),
+        F.when(bad, F.col("source")).alias("entity_title"), F.array().cast("array<string>").alias("entity_aliases"),
+    )
+    found = ingest.proposed(proposals, c.sources, _naming(c))
+    return found.select("source_id", "concept_title", F.array_join("concept_aliases", "|").alias("concept_aliases"), "entity_title", F.array_join("entity_aliases", "|").alias("entity_aliases"))
+
+
+@query("SELECT alias, coalesce(path, target_type || ':' || target_id) AS target FROM v_aliases LEFT JOIN (SELECT page_id, path FROM v_pages WHERE NOT starts_with(title, 'en ')) ON page_id = target_id")
+def j5_alias_targets(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    return ingest.alias_targets(c.aliases, c.pages.filter(~F.col("title").startswith("en ")))
+
+
+@query("""SELECT event_id AS run_id, CASE event_type WHEN 'view' THEN 'no_manifest' ELSE 'status_' || event_type END AS problem FROM events WHERE event_type NOT IN ('purchase', 'click', 'signup')""")
+def p20_run_status(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").withColumnRenamed("event_id", "run_id")
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "staged").when(kind == "click", "reviewed").when(kind != "signup", kind)
+    return assembly.run_problems(events, events.filter(kind != "view").select("run_id", status.alias("status")))
+
+
+@query("SELECT DISTINCT relationship_type FROM v_relationships")
+def a17_relationship_types(spark, sf_dir):
+    return assembly.relationship_types(_catalog(spark, sf_dir).relationships)
+
+
+@query("""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relationship_type, subject_id, object_id, evidence_claim_id) AS place
+  FROM (SELECT DISTINCT query_id, relationship_type, subject_id, object_id, evidence_claim_id FROM v_related)""")
+def t12_relationship_order(spark, sf_dir):
+    c, rows = _pool(spark, sf_dir)
+    return selection.relationship_order(selection.related(rows, c.relationships))
+
+
+@query("SELECT term FROM (SELECT title AS term FROM v_pages UNION SELECT alias FROM v_aliases UNION SELECT normalized_alias FROM v_aliases UNION SELECT title FROM v_sources) WHERE trim(term) <> ''")
+def u7_catalog_terms(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    return Q.catalog_terms(c.pages, c.aliases, c.sources)
+
+
+_KINDS = {"text_terms": "v_terms", "expanded_terms": "v_expanded", "catalog_terms": "v_cat", "exact_spans": _SPANS, "symbol_spans": "v_symbol", "formula_spans": "v_formula"}
+
+
+@query(" UNION ALL ".join(f"SELECT query_id, '{k}' AS kind, count(DISTINCT term) AS n FROM v_q LEFT JOIN {v} USING (query_id) GROUP BY 1" for k, v in _KINDS.items()))
+def q10_diagnostics(spark, sf_dir):
+    return Q.diagnostics(_questions(spark, sf_dir)).filter(F.col("kind").isin(*_KINDS))
+
+
+@query("""SELECT query_id, claim_id, rerank_score, requested, warning FROM (SELECT query_id, claim_id, rerank_score FROM v_reranked WHERE candidate_rank = 1),
+  (VALUES ('embedding', NULL), ('embedding', 'index is stale'), ('provided', 'no scores were provided')) AS x(requested, warning)""")
+def r15_rerank_dispatch(spark, sf_dir):
+    pool = _pool(spark, sf_dir)[1]
+    made = [selection.dispatched(pool, "embedding"), selection.dispatched(pool, "embedding", problem="index is stale"), selection.dispatched(pool, "provided")]
+    rows = made[0].unionByName(made[1]).unionByName(made[2])
+    return rows.filter(F.col("candidate_rank") == 1).select("query_id", "claim_id", "rerank_score", "requested", "warning")
+
+
+@query(f"""SELECT case_id, printf('%s hit=%.2f recall=%.2f precision=%.2f mrr=%.2f ndcg=%.2f map=%.2f', CASE WHEN hit > 0 THEN 'pass' ELSE 'fail' END, hit, recall, precision, mrr, ndcg, map) AS line
+  FROM ({_CASES})""")
+def e13_report_lines(spark, sf_dir):
+    return evaluation.report_lines(_cases(spark, sf_dir))
