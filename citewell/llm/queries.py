@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, tokens, toxicity
+from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(spark, _read(spark, sf_dir, "documents")))
 
 
+def reference_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffix automata of op9's method on a reference of a stated size: the benchmark's texts."""
+    docs, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return substring_dedup.digest(suffix_automaton.remove_reference_spans(spark, docs, benchmark, size=suffix_automaton.SPAN))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(spark, _read(spark, sf_dir, "documents"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "reference_spans": reference_spans,
 }
 
 SQL: dict[str, str] = {
@@ -72,4 +79,5 @@ SQL: dict[str, str] = {
     "op7_decontamination": decontamination.SQL,
     "op8_chat_format": chat.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
+    "reference_spans": suffix_automaton.SQL,
 }

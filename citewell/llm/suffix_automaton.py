@@ -142,3 +142,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int(gone.sum()))
             kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+
+
+#: Words of a span that documents may not share with the benchmark.
+SPAN = 13
+_W = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SQL = rf"""
+WITH d AS (SELECT doc_id, {_W} AS w FROM documents),
+b AS (SELECT DISTINCT array_to_string(w[i:i + {SPAN - 1}], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM (SELECT {_W} AS w FROM benchmark) WHERE len(w) >= {SPAN})),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {SPAN - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM d WHERE len(w) >= {SPAN})),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + {SPAN})) AS pos FROM g SEMI JOIN b USING (g)),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM t ANTI JOIN x USING (doc_id, pos) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
