@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from citewell.functions import query_terms as Q
-from citewell.operators import ingest, quality, retrieval, selection, upsert
+from citewell.operators import assembly, ingest, quality, retrieval, selection, upsert
 from citewell.plans import catalog as C
 from citewell.sources import documents as D
 
@@ -222,3 +222,39 @@ def test_stream_imports_each_content_once(spark, tmp_path):
         stream = spark.readStream.schema("doc_id int, text string").parquet(str(where))
         import_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == k + 1
+
+
+def test_entity_named_across_claims(spark):
+    rows = [("a", 1, "we use open"), ("a", 2, "。"), ("a", 3, "AI models"), ("b", 1, "open"), ("b", 2, "x ai"), ("c", 1, None), ("d", 1, "OpenAI"), ("d", 2, "Open-AI")]
+    got = ingest.entities(spark.createDataFrame(rows, "source_id string, line int, claim_text string")).collect()
+    assert sorted((r.source_id, r.entity_title, tuple(r.entity_aliases)) for r in got) == [(s, "OpenAI", ("OpenAI", "Open AI", "Open-AI")) for s in "ad"]
+
+
+def test_proposals_come_before_what_is_inferred(spark):
+    sources = spark.createDataFrame([("a", "Storage: a guide"), ("b", "Fruit notes"), ("c", "Rag paper"), ("d", "水：保存: x")], "source_id string, title string")
+    claims = spark.createDataFrame([("c", 1, "RAG works"), ("b", 1, "OpenAI too")], "source_id string, line int, claim_text string")
+    kind = "source_id string, concept_title string, concept_aliases array<string>, entity_title string, entity_aliases array<string>"
+    given = [("a", "storage a guide", ["Keep", "keep!", "Storage: a guide"], "Box", []), ("b", "", None, None, None), ("d", "水：保存: x", None, "", ["unused"])]
+    got = {r.source_id: tuple(r)[1:] for r in ingest.proposed(spark.createDataFrame(given, kind), sources, claims).collect()}
+    assert got == {
+        "a": ("Storage", ["Storage", "Keep"], "Box", ["Box"]),
+        "b": ("Fruit", ["Fruit"], "OpenAI", ["OpenAI", "Open AI", "Open-AI"]),
+        "c": ("Retrieval Augmented Generation", ["RAG", "retrieval augmented generation"], None, None),
+        "d": ("水", ["水"], None, None),
+    }
+
+
+def test_rerank_falls_back(spark):
+    pool = spark.createDataFrame([(1, "x", "a", "a", "v", "line:1", "cited", 0.9, 1), (1, "y", "a", "a", "s", "line:1", "cited", 0.2, 2)], POOL)
+    near = spark.createDataFrame([(1, "y", 1.0)], "query_id int, claim_id string, similarity double")
+    first = lambda rows: rows.filter("candidate_rank = 1").select("claim_id", "method", "warning").first()
+    assert tuple(first(selection.dispatched(pool, "embedding", near))) == ("y", "embedding", None)
+    assert tuple(first(selection.dispatched(pool, "embedding"))) == ("x", "deterministic", None)
+    assert tuple(first(selection.dispatched(pool, "embedding", problem="Index is stale"))) == ("x", "deterministic", "Index is stale")
+    assert tuple(first(selection.dispatched(pool, "provided")))[2] == "no scores were provided"
+
+
+def test_runs_that_may_not_be_applied(spark):
+    runs = spark.createDataFrame([("a", "staged"), ("b", "applied"), ("c", None), ("d", "reviewed")], "run_id string, status string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "run_id string")
+    assert sorted(map(tuple, assembly.run_problems(asked, runs).collect())) == [("b", "status_applied"), ("e", "no_manifest")]
