@@ -2,9 +2,10 @@
 
 Of every ``size - k + 1`` consecutive k-grams the one whose first word has the
 smallest hash is kept, and hashed whole, so any window of ``size`` words leaves at
-least one fingerprint, the same on both sides.  Documents' and items' fingerprints are joined, and each hit is extended
-by comparing the words of all windows that hold it.  Items of fewer words than
-a window are one window each and are looked up by their whole length.
+least one fingerprint, the same on both sides.  Documents' and items'
+fingerprints are joined, and each hit is extended by comparing the words of all
+windows that hold it.  Items of fewer words than a window are one window each;
+all their lengths are looked up in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from . import scratch
 SIZE, K = 13, 7
 #: Words of a text that are worked on as one row; the rest overlaps by a window less one word.
 PIECE = 2000
-#: Rows of benchmark fingerprints up to which they are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of keys, fingerprints or item texts up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32_000_000
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,8 +57,13 @@ def _shifted_least(step: int) -> Callable[[Column], Column]:
     return lambda m: F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y))
 
 
-def _grams(n: int) -> Callable[[Column], Column]:
-    return lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.slice(w, i, n).alias("gram")))
+def _grams(lengths: list[int]) -> Callable[[Column], Column]:
+    """pos, gram of all runs of these lengths; fewer words than a length are one run."""
+
+    def runs(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.struct(i.alias("pos"), F.slice(w, i, n).alias("gram")))
+
+    return lambda w: F.concat(*[runs(w, n) for n in lengths])
 
 
 def _prints(w: Column) -> Column:
@@ -83,8 +89,10 @@ def fingerprints(cut: DataFrame) -> DataFrame:
     return cut.withColumn("prints", F.when(F.size("words") >= SIZE, let(piece(), _prints)).otherwise(F.array().cast(_PRINTS)))
 
 
-def _sized(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+def _sized(small: DataFrame, held: str | None = None) -> DataFrame:
+    """Broadcast if its bytes are few: some 64 a row and the strings of the array ``held``."""
+    size = F.lit(64) + (F.octet_length(F.array_join(held, "")) + 16 * F.size(held) if held else F.lit(0))
+    return F.broadcast(small) if (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else small
 
 
 def _hits(spark: SparkSession, rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -99,14 +107,18 @@ def _hits(spark: SparkSession, rows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _extended(rows: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, sum, item_id, start, len of the windows over a hit whose words are equal on both sides."""
+    """doc_id, sum, item_id, start, len of the windows over a hit whose words are equal on both sides.
+
+    Hits come to a text by stretches of PIECE words, so no row gathers all hits of a long text.
+    """
     hit = hits.filter(F.col("item_id").isNotNull())
-    mine = hit.groupBy("doc_id", "sum").agg(F.collect_set(F.struct("item_id", "at", "i_at")).alias("hits"))
-    keys = _sized(mine.select("doc_id", "sum"))
+    stretch = F.floor(F.col("at") / PIECE).alias("stretch")
+    mine = hit.groupBy("doc_id", "sum", stretch).agg(F.collect_set(F.struct("item_id", "at", "i_at")).alias("hits"))
+    keys = _sized(hit.select("doc_id", "sum").distinct())
     texts = rows.join(keys, ["doc_id", "sum"], "left_semi")
     both = texts.join(mine, ["doc_id", "sum"]).select("doc_id", "sum", "words", F.explode("hits").alias("hit"))
     both = both.select("doc_id", "sum", "hit.*", F.slice("words", F.greatest(F.lit(1), F.col("hit.at") - (SIZE - K)), F.lit(2 * SIZE - K)).alias("around"))
-    both = both.join(_sized(items.select("item_id", F.col("words").alias("i_words"))), "item_id")
+    both = both.join(_sized(items.select("item_id", F.col("words").alias("i_words")), "i_words"), "item_id")
     left = F.least(F.lit(SIZE - K), F.col("at") - 1)
     part = lambda o: F.slice("around", left - o + 1, F.lit(SIZE))
     same = F.filter(F.sequence(F.lit(0), F.least(left, F.col("i_at") - 1)), lambda o: (F.size(part(o)) == SIZE) & (part(o) == F.slice("i_words", F.col("i_at") - o, F.lit(SIZE))))
@@ -130,10 +142,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     found = _extended(rows, hits, items)
 
     short = items.filter(F.size("words") < SIZE)
-    for n in sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect()):  # twelve lengths at most
-        one = _sized(short.filter(F.size("words") == n).select("item_id", F.col("words").alias("gram")))
-        near = pieces(rows.filter(F.size("words") >= n), n).select("doc_id", "sum", "base", F.explode(let(piece(), _grams(n))).alias("g")).select("doc_id", "sum", "base", "g.pos", "g.gram")
-        found = found.unionByName(near.join(one, "gram").select("doc_id", "sum", "item_id", (F.col("base") + F.col("pos")).cast("long").alias("start"), F.lit(n).alias("len")))
+    lengths = sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect())  # twelve at most
+    if lengths:
+        known = _sized(short.select("item_id", F.col("words").alias("gram")), "gram")
+        near = pieces(rows.filter(F.size("words") >= lengths[0]), lengths[-1]).select("doc_id", "sum", "base", F.explode(let(piece(), _grams(lengths))).alias("g"))
+        near = near.select("doc_id", "sum", "g.gram", (F.col("base") + F.col("g.pos")).cast("long").alias("start")).join(known, "gram")
+        found = found.unionByName(near.select("doc_id", "sum", "item_id", "start", F.size("gram").alias("len")))
     found = scratch.write(spark, found.join(_sized(items.select("item_id", "name")), "item_id"), "windows")
     return _covered(hits.filter(F.col("item_id").isNull()), found)
 
