@@ -38,6 +38,9 @@ BASE = (
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
 
+#: Versions of one content from which on they find its spans by broadcast, and the spans of such contents that are broadcast.
+HOT, BROADCAST_SPANS = 1000, 500_000
+
 _LEDGER = "sha string, scanned array<string>, hits array<struct<rule:string,gaps:array<int>,lens:array<int>,sizes:array<int>>>"
 
 
@@ -104,8 +107,23 @@ def scan(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = BASE, l
     order = F.struct("start", "rank", "kind", "end")
     spans = F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     by_sha = findings(ledger, rules).groupBy("sha").agg(spans.alias("spans"))
+    return _with_spans(spark, all_versions.select("doc_id", "sha"), by_sha)
+
+
+def _with_spans(spark: SparkSession, rows: DataFrame, by_sha: DataFrame) -> DataFrame:
+    """rows (doc_id, sha) with the spans of their content.
+
+    Contents of many versions, the empty text among them, are few and are broadcast with what was found in them;
+    their versions then go through the join one by one, each under a key that meets nothing.
+    """
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return all_versions.select("doc_id", "sha").join(by_sha, "sha", "left").select("doc_id", "sha", F.coalesce("spans", none).alias("spans"))
+    hot = rows.groupBy("sha").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("sha").join(by_sha, "sha", "left")
+    hot = scratch.write(spark, hot.select("sha", F.coalesce("spans", none).alias("hot")), "hot")
+    small = (hot.agg(F.sum(1 + F.size("hot"))).first()[0] or 0) <= BROADCAST_SPANS
+    rows = rows.join(F.broadcast(hot) if small else hot, "sha", "left")
+    alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(alone))
+    return rows.join(by_sha.withColumnRenamed("sha", "key"), "key", "left").select("doc_id", "sha", F.coalesce("hot", "spans", none).alias("spans"))
 
 
 def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:

@@ -293,6 +293,17 @@ def test_secret_spans(spark):
     assert secret_ledger.scan(spark, documents(spark, [])).count() == 0
 
 
+def test_secrets_of_hot_contents(spark, monkeypatch):
+    """Versions of common contents, without ids too, find their spans by broadcast and by shuffle alike."""
+    monkeypatch.setattr(secret_ledger, "HOT", 3)
+    rows = [(i if i % 3 else None, SECRET_TEXTS[0 if i % 2 else 5]) for i in range(40)] + list(enumerate(SECRET_TEXTS))
+    want = sorted(str((i, [(k, a, b) for k, a, b in secrets(t)])) for i, t in rows)
+    for bound in (secret_ledger.BROADCAST_SPANS, 0):
+        monkeypatch.setattr(secret_ledger, "BROADCAST_SPANS", bound)
+        got = secret_ledger.scan(spark, documents(spark, rows)).collect()
+        assert sorted(str((r.doc_id, [tuple(x) for x in r.spans])) for r in got) == want
+
+
 def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     path = str(tmp_path / "ledger")
     first = secret_ledger.scan(spark, documents(spark, [(1, SECRET_TEXTS[0]), (2, SECRET_TEXTS[0])]), ledger_path=path).collect()
@@ -321,7 +332,7 @@ def test_redaction(spark):
 # 7 decontamination
 
 
-def test_contamination(spark):
+def test_contamination(spark, monkeypatch):
     rng = random.Random(9)
     items = [(k, prose(rng, n)) for k, n in enumerate([30, 13, 14, 5, 1, 20, 12, 2])] + [(50, None), (51, "... !"), (52, prose(rng, 3000)), (7, "another text of the same item")]
     rows = list(enumerate(texts(8, 30))) + [(i, t) for i in (-1, -7, 0, None) for t in (items[0][1], "x " + items[1][1], "clean words", None)]
@@ -347,8 +358,10 @@ def test_contamination(spark):
                     found |= windows[tuple(w[j : j + m])]
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     bench = spark.createDataFrame([(k, t, "x", 1) for k, t in items], "item_id long, text string, hash string, pos int")
-    got = decontamination.digest(decontamination.contamination(spark, documents(spark, rows), bench)).collect()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    for bound in (decontamination.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", bound)
+        got = decontamination.digest(decontamination.contamination(spark, documents(spark, rows), bench)).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     none = decontamination.contamination(spark, documents(spark, rows), bench.limit(0))
     assert none.filter("contaminated").count() == 0 and none.count() == len(rows)
     assert decontamination.contamination(spark, documents(spark, []), bench).count() == 0
