@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity
+from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity, turn_repair
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(spark, _read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(*turn_repair.repair(spark, turn_repair.damaged(_read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_conversation_repair": op11_conversation_repair,
     "reference_spans": reference_spans,
 }
 
@@ -79,5 +84,6 @@ SQL: dict[str, str] = {
     "op7_decontamination": decontamination.SQL,
     "op8_chat_format": chat.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
+    "op11_conversation_repair": turn_repair.SQL,
     "reference_spans": suffix_automaton.SQL,
 }
