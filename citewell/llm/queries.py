@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity, turn_repair
+from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity, turn_repair, turn_trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digest(*turn_repair.repair(spark, turn_repair.damaged(_read(spark, sf_dir, "conversations"))))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(spark, _read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_conversation_trie": op12_conversation_trie,
     "reference_spans": reference_spans,
 }
 
@@ -85,5 +90,6 @@ SQL: dict[str, str] = {
     "op8_chat_format": chat.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op11_conversation_repair": turn_repair.SQL,
+    "op12_conversation_trie": turn_trie.SQL,
     "reference_spans": suffix_automaton.SQL,
 }
