@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity, turn_repair, turn_trie
+from . import ann, chat, decontamination, hmm_lm, ngram_join, packing, secret_ledger, substring_dedup, suffix_automaton, tile_dedup, tokens, toxicity, turn_repair, turn_trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.prefix_trie(spark, _read(spark, sf_dir, "conversations"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tile_dedup.near_vectors(spark, _read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_embedding_dedup": op13_embedding_dedup,
     "reference_spans": reference_spans,
 }
 
@@ -91,5 +96,6 @@ SQL: dict[str, str] = {
     "op9_substring_dedup": substring_dedup.SQL,
     "op11_conversation_repair": turn_repair.SQL,
     "op12_conversation_trie": turn_trie.SQL,
+    "op13_embedding_dedup": tile_dedup.SQL,
     "reference_spans": suffix_automaton.SQL,
 }
