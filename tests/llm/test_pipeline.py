@@ -67,6 +67,38 @@ def test_rows_without_an_id_are_cleaned(spark, tmp_path):
     assert None in left[3] and {i for i, _ in clean} == {r.doc_id for r in docs.collect()} - {None}
 
 
+def linked(a, b):
+    sets = []
+    for text in (a, b):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        words = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return bool(sets[0] and sets[1]) and 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+
+
+def test_near_copies_under_repeated_ids(spark, tmp_path):
+    """Each group of linked rows keeps one row, with its smallest id, whatever other rows have that id."""
+    rng = random.Random(14)
+    base = [prose(rng, 80) for _ in range(8)]
+    copy = lambda k, end: f"{base[k]} {end}"
+    rows = [(1, base[0]), (7, base[1]), (7, copy(0, "x")), (9, copy(1, "y")), (20, base[2]), (20, copy(2, "z")), (20, copy(2, "z")), (21, copy(2, "w"))]
+    rows += [(30, base[3]), (31, base[4]), (31, copy(3, "v")), (29, copy(4, "u")), (None, None), (None, None), (40, None), (40, None), (40, ""), (None, copy(5, "t")), (50, base[5]), (50, base[6])]
+    rows += [(3, copy(7, "a b")), (60, base[7]), (60, base[7]), (60, base[0])]
+    path = setup(spark, tmp_path, rows, [(1, "x")], [(1, 1, 0)])
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()]
+    group = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if linked(a, b):
+                group = [group[j] if g == group[i] else g for g in group]
+    assert len(found) == len(set(group))
+    for g in set(group):
+        members = [r for r, mine in zip(rows, group, strict=True) if mine == g]
+        least = min((i for i, _ in members if i is not None), default=None)
+        assert sum(r in found and r[0] == least for r in set(members)) == 1, members
+        assert sum(found.count(r) for r in set(members)) == (1 if members[0][1] else rows.count(members[0])), members
+
+
 def test_hard_rows_and_empty_tables(spark, tmp_path):
     rows = [(i if i % 9 else None, t) for i, t in enumerate(texts())] + [(3, "one"), (3, "one")]
     path = setup(spark, tmp_path / "a", rows, [(1, None), (None, "x")], [(1, None, None), (None, 1, 1)])
