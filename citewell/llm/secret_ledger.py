@@ -114,14 +114,14 @@ def _with_spans(spark: SparkSession, rows: DataFrame, by_sha: DataFrame) -> Data
     """rows (doc_id, sha) with the spans of their content.
 
     Contents of many versions, the empty text among them, are few and are broadcast with what was found in them;
-    their versions then go through the join one by one, each under a key that meets nothing.
+    their versions then go through the join each under a key of its own that meets nothing, the same one in every try of a task.
     """
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     hot = rows.groupBy("sha").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("sha").join(by_sha, "sha", "left")
     hot = scratch.write(spark, hot.select("sha", F.coalesce("spans", none).alias("hot")), "hot")
     small = (hot.agg(F.sum(1 + F.size("hot"))).first()[0] or 0) <= BROADCAST_SPANS
     rows = rows.join(F.broadcast(hot) if small else hot, "sha", "left")
-    alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    alone = F.concat(F.lit("row "), F.xxhash64("doc_id", "sha").cast("string"))
     rows = rows.withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(alone))
     return rows.join(by_sha.withColumnRenamed("sha", "key"), "key", "left").select("doc_id", "sha", F.coalesce("hot", "spans", none).alias("spans"))
 
