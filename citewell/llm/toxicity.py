@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from . import kernel, scratch
 
-#: Labelled rows to learn from, at most: those with the smallest hash of their id.
+#: Labelled documents to learn from, at most, one text of each: those with the smallest hash of their id.
 EXAMPLES = 20_000
+#: Distinct words of all examples together, at most (12 bytes each in a worker): later examples by that hash are left out.
+POSTINGS = 16_000_000
 #: Neighbours that vote, and examples of a block of the index.
 NEIGHBOURS, RANGE = 15, 64
 #: The share of examples from which on a list is a plain row of its blocks.
@@ -54,7 +56,8 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, toxic, words, counts, sketch (its two smallest 5-word shingles) of the sampled training rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,6 +76,18 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, toxic int, words array<long>, counts array<long>, sketch long")
 
 
+def _within(spark: SparkSession, examples: DataFrame) -> DataFrame:
+    """The examples whose distinct words come to POSTINGS at most, by hash of their id; EXAMPLES sizes pass the driver."""
+    sizes = sorted(examples.select(F.xxhash64("doc_id").alias("hash"), "doc_id", F.size("words").alias("n")).collect())
+    total, kept = 0, 0
+    while kept < len(sizes) and total + sizes[kept].n <= POSTINGS:
+        total, kept = total + sizes[kept].n, kept + 1
+    if kept == len(sizes):
+        return examples
+    name, past = F.xxhash64("doc_id"), sizes[kept]
+    return examples.filter((name < past.hash) | ((name == past.hash) & (F.col("doc_id") < past.doc_id)))
+
+
 def _vocabulary(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted fingerprints of all words of the examples, and 1 + G2 of each: what chance gives, and what the label adds."""
     once = examples.groupBy("sketch").agg(F.max("toxic").alias("toxic"))
@@ -287,7 +302,7 @@ def _unplaned(raw: bytes) -> np.ndarray:
 
 
 class Model:
-    """Weights, examples and, once calibrated, the steps of the scores: bounded by EXAMPLES and their words.
+    """Weights, examples and, once calibrated, the steps of the scores: bounded by EXAMPLES and POSTINGS.
 
     Examples travel as terms and counts, packed; each worker makes its index of them once.
     """
@@ -363,16 +378,17 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Nearest are the first three examples by cosine; they are the evidence of a row that is predicted toxic.
     Learns from labels(doc_id, toxic) of rows outside the held-out fold; several labels of a document count as
-    the largest, and several texts of a doc_id are so many examples.  Null, empty and texts that share no word with an example get the share of toxic examples among
-    those without words.  Without labels of both kinds that share is the score of all.  Repeated rows are repeated.
+    the largest, and of several texts of a doc_id one is an example.  Null, empty and texts that share no word with an
+    example get the share of toxic examples among those without words.  Without labels of both kinds that share is the score of all.  Repeated rows are repeated.
     """
-    examples = scratch.write(spark, _examples(docs, labels), "examples")
+    held = scratch.write(spark, _examples(docs, labels), "examples")
+    examples = _within(spark, held)
     vocabulary, telling = _vocabulary(examples)
     shared = spark.sparkContext.broadcast(vocabulary)
     frequency, documents = _frequencies(docs, shared, len(vocabulary))
     made = Model(telling, frequency, documents, _vectors(examples, shared))
     model = spark.sparkContext.broadcast(made)
-    scratch.drop(spark, examples)
+    scratch.drop(spark, held)
     steps = _calibrated(spark, model, made.toxic)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 

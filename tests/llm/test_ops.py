@@ -68,6 +68,65 @@ def test_index_finds_the_exact_nearest():
         assert np.allclose(cosine, all_of[want]) and np.allclose(all_of[got], all_of[want])
 
 
+def test_toxicity_examples_are_bounded(spark, monkeypatch):
+    """One text of each labelled id, however many it has, and all words together within the bound."""
+    rng = random.Random(6)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], prose(rng, 9)) for _ in range(200)] + [(i, prose(rng, 9)) for i in ids[1:]]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "EXAMPLES", 10)
+    found = toxicity._examples(documents(spark, rows + [(ids[1], None)]), labels)
+    assert found.count() == found.select("doc_id").distinct().count() == 10
+    sizes = sorted((r.h, len(r.words)) for r in found.selectExpr("xxhash64(doc_id) as h", "words").collect())
+    monkeypatch.setattr(toxicity, "POSTINGS", sum(n for _, n in sizes[:4]) + 1)
+    assert sorted(r.h for r in toxicity._within(spark, found).selectExpr("xxhash64(doc_id) as h").collect()) == [h for h, _ in sizes[:4]]
+
+
+def brute_scores(rows, labels):
+    """Votes of the nearest examples by dense vectors, calibrated by pooling neighbours in order of their votes."""
+    tokens_of = {}
+    for i, (_, text) in enumerate(rows):
+        tokens_of[i] = collections.Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate(LOW)))
+    train = [(i, labels[d]) for i, (d, _) in enumerate(rows) if d in labels and zlib.crc32(str(d).encode()) % 5]
+    words_ = sorted({w for i, _ in train for w in tokens_of[i]})
+    df = {w: sum(w in t for t in tokens_of.values()) for w in words_}
+    n1, total = sum(t for _, t in train), len(train)
+    telling = {}
+    for w in words_:
+        a, b = (sum(w in tokens_of[i] and t == k for i, t in train) for k in (1, 0))
+        cells = [(a, a + b, n1), (b, a + b, total - n1), (n1 - a, total - a - b, n1), (total - n1 - b, total - a - b, total - n1)]
+        telling[w] = 1 + max(0, 2 * sum(x * math.log(x * total / (r * c)) for x, r, c in cells if x))
+
+    def vector(t):
+        v = np.array([(1 + math.log(t[w])) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) * telling[w] if t[w] else 0.0 for w in words_])
+        return v / np.linalg.norm(v) if v.any() else v
+
+    known, toxic = np.array([vector(tokens_of[i]) for i, _ in train]), np.array([t for _, t in train], float)
+
+    def vote(v, without=None):
+        cosine = known @ v
+        if without is not None:
+            cosine[without] = 0
+        near = [e for e in np.lexsort((np.arange(len(train)), -cosine)) if cosine[e] > 0][: toxicity.NEIGHBOURS]
+        return toxicity._vote(cosine[near], toxic[near])
+
+    steps = toxicity._isotonic(np.array([vote(known[e], e) for e in range(len(train))]), toxic)
+    out = []
+    for i in range(len(rows)):
+        v = vector(tokens_of[i])
+        out.append(steps[1][max(0, int(np.searchsorted(steps[0], vote(v), side="right")) - 1)] if v.any() else 0.05)
+    return out
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 25) + (f" {rng.choice(['scum', 'moron', 'filth'])} {prose(rng, 4)}" if i % 3 == 0 else f" {rng.choice(['kind', 'scum' if i % 17 == 0 else 'good'])}")) for i in range(150)] + [(900, "zzz"), (901, None)]
+    labels = {i: int(i % 3 == 0) for i in range(120)}
+    frame_ = spark.createDataFrame([(i, t, t, "x") for i, t in labels.items()], "doc_id long, toxic int, text int, words string")
+    got = {r.doc_id: r.score for r in toxicity.score(spark, documents(spark, rows), frame_).collect()}
+    assert np.allclose([got[i] for i, _ in rows], brute_scores(rows, labels), atol=1e-5)
+
+
 def test_toxicity_learns_and_leaves_clean_ones(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, 40) + (f" you {rng.choice(['scum', 'moron'])}, {rng.choice(['scum', 'moron'])}!" if i % 4 == 0 else "")) for i in range(900)]
