@@ -113,11 +113,16 @@ def relationship_validity(relationships: DataFrame, catalog) -> DataFrame:
     return rows.agg(F.count("*").alias("relationships"), F.coalesce(F.round(F.avg(F.when(valid, 1.0).otherwise(0.0)), 4), F.lit(1.0)).alias("relationship_validity"))
 
 
+def two_decimals(value: Column) -> Column:
+    """The number with two decimals: its exact binary value is rounded, halves to even (0.125 is 0.12, 0.285 is 0.28)."""
+    return F.replace(F.format_number(value, 2), F.lit(","), F.lit(""))
+
+
 def report_lines(cases: DataFrame) -> DataFrame:
     """case_id, line: one line of a report for each case, pass or fail and its metrics."""
     metrics = ("hit", "recall", "precision", "mrr", "ndcg", "map")
     state = F.when(F.col("hit") > 0, "pass").otherwise("fail")
-    return cases.select("case_id", F.concat_ws(" ", state, *[F.concat(F.lit(f"{c}="), F.format_string("%.2f", c)) for c in metrics]).alias("line"))
+    return cases.select("case_id", F.concat_ws(" ", state, *[F.concat(F.lit(f"{c}="), two_decimals(F.col(c))) for c in metrics]).alias("line"))
 
 
 def summary(cases: DataFrame) -> DataFrame:

@@ -1,69 +1,29 @@
 """Retrievers: each turns a batch of questions into ranked candidates in one plan.
 
-Questions are a stated set with the features of ``query_terms.analyze``; their
-terms are broadcast in blocks of bounded size, and claims stay distributed.
-Each text is searched for all terms of a block at once.  Fetch limits are ranks and come before filters; the limit of a list after them.
+Fetch limits are ranks and come before filters; the limit of a list after them.
+Alias, title and span candidates are found by a threshold algorithm: they come in
+order of their base and id, and are scored only until no later one can be among
+the best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import ahocorasick
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..plans.store import in_blocks, keep
+from .asked import KINDS, all_terms, asked_terms, holding, listed, matched_bonus, ranked, relevance, searchable, spans, weight_of
+from .index import Index, block_report, bm25, build_index
 
-#: BM25, the terms of a substring search, fusion.
-K1, B, LIKE_TERMS, RRF_K = 1.2, 0.75, 20, 60
-#: What a matched term adds by the first kind it is of, most for all terms together, and bases of scores.
-EXPANDED, TEXT, EXACT, CATALOG, OTHER, MOST = 0.25, 0.2, 0.2, 0.05, 0.03, 1.0
+#: The terms of a substring search, fusion.
+LIKE_TERMS, RRF_K = 20, 60
+#: Bases of scores.
 FULL_TEXT, SUBSTRING, ALIAS, TITLE, SPAN, RELATED = 1.0, 0.5, 1.0, 0.8, 1.0, 0.4
 CANDIDATE = ["query_id", "claim_id", "source_id", "page_id", "raw_score", "reasons", "retriever"]
-KINDS = ["text_terms", "expanded_terms", "catalog_terms", "ngrams", "exact_spans", "symbol_spans", "formula_spans"]
-
-
-def _listed(questions: DataFrame, kinds: list[str]) -> Column:
-    """The terms of these kinds that the questions have, each once, in order."""
-    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[c for c in kinds if c in questions.columns]))
-
-
-def searchable(questions: DataFrame) -> Column:
-    """What full text and substrings are searched for."""
-    return _listed(questions, ["text_terms", "expanded_terms", "catalog_terms", "formula_spans"])
-
-
-def all_terms(questions: DataFrame) -> Column:
-    return _listed(questions, KINDS)
-
-
-def spans(questions: DataFrame) -> Column:
-    return _listed(questions, ["exact_spans", "formula_spans", "symbol_spans"])
-
-
-def _weight(questions: DataFrame, term: Column) -> Column:
-    """What a matched term adds to a score of its question."""
-    has = lambda *kinds: F.array_contains(_listed(questions, list(kinds)), term)
-    text, catalog = has("text_terms"), has("catalog_terms")
-    known = F.when(has("expanded_terms"), EXPANDED).when(text & ~catalog, TEXT).when(has("formula_spans", "symbol_spans"), EXACT)
-    return known.when(catalog, CATALOG).when(F.length(term) >= 2, OTHER).otherwise(0.0)
-
-
-def asked_terms(questions: DataFrame, terms: Column) -> DataFrame:
-    """query_id, term (lower case), weight (of all its spellings), times (how many)."""
-    rows = questions.withColumn("term", F.explode(terms)).filter(F.trim("term") != "")
-    rows = rows.select("query_id", F.lower("term").alias("term"), _weight(questions, F.col("term")).alias("weight"))
-    return rows.groupBy("query_id", "term").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("times"))
-
-
-def ranked(rows: DataFrame, by: str, limit: int | None, key: tuple[str, ...] = ("query_id",), name: str = "rank", tie: str = "claim_id") -> DataFrame:
-    """The best ``limit`` rows of each key, or all, numbered from 1."""
-    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by), tie)))
-    return rows if limit is None else rows.filter(F.col(name) <= limit)
+#: Claims that a round of the threshold algorithm takes of a question, as multiples of the limit.
+ROUNDS = (4, 32)
 
 
 def first_by_id(rows: DataFrame, key: str, limit: int) -> DataFrame:
@@ -72,109 +32,6 @@ def first_by_id(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by a key to as many tasks as shuffles have: they are few bytes and much work, so tasks are not to be merged."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
-_automata: dict[int, tuple[ahocorasick.Automaton, list[str]]] = {}
-
-
-def _automaton(shared: Broadcast) -> tuple[ahocorasick.Automaton, list[str]]:
-    """A worker's automaton of the broadcast terms; only the last one is held."""
-    name = id(shared.value)
-    if name not in _automata:
-        made = ahocorasick.Automaton()
-        for n, term in enumerate(shared.value):
-            made.add_word(term, n)
-        made.make_automaton()
-        _automata.clear()
-        _automata[name] = made, shared.value
-    return _automata[name]
-
-
-def holding(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``text`` holds a term, once for each, joined with the columns of terms(term, ...) and dealt by ``key``.
-
-    The terms are those of a block of questions.  Each text is read once by an automaton of all terms, which
-    column functions cannot express; it is the only step outside of the JVM, and hands back the found terms of a row.
-    """
-    spark = rows.sparkSession
-    listed = sorted(r.term for r in terms.select("term").distinct().collect() if r.term)
-    columns = [c for c in rows.columns if c != "text"]
-    if not listed:
-        return rows.drop("text").join(F.broadcast(terms), F.lit(False))
-    shared = spark.sparkContext.broadcast(listed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, names = _automaton(shared)
-        for batch in batches:
-            found = [sorted({n for _, n in made.iter(text)}) if text else [] for text in batch.column("text").to_pylist()]
-            at = pa.array([i for i, x in enumerate(found) if x], pa.int64())
-            lists = pa.array([[names[n] for n in x] for x in found if x], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in columns), lists], [*columns, "terms"])
-
-    schema = StructType([*[rows.schema[c] for c in columns], StructField("terms", ArrayType(StringType()))])
-    found = dealt(rows.select(*columns, "text").mapInArrow(run, schema), key)
-    return found.select(*columns, F.explode("terms").alias("term")).join(F.broadcast(terms), "term")
-
-
-def relevance(base: float | Column, bonus: Column) -> Column:
-    """The base and what the matched terms add to it, one point at most."""
-    base = F.lit(base) if isinstance(base, float) else base
-    return F.round(base + F.least(bonus, F.lit(MOST)), 6)
-
-
-def matched_bonus(text: Column, asked: Column) -> Column:
-    """What those of the asked terms (term, weight) add that occur in a text; the text is put in lower case once."""
-    add = lambda low: F.aggregate(asked, F.lit(0.0), lambda s, t: s + F.when(F.contains(low, t["term"]), t["weight"]).otherwise(0.0))
-    return F.transform(F.array(F.lower(text)), add)[0]
-
-
-def bonuses(questions: DataFrame, claims: DataFrame) -> DataFrame:
-    """source_id, claim_id, query_id, bonus of the claims that hold any term in text or locator; claims stay with their source."""
-    text = F.lower(F.concat_ws(" ", "claim_text", "citation_locator")).alias("text")
-    found = holding(claims.select("source_id", "claim_id", text), asked_terms(questions, all_terms(questions)), "source_id")
-    return found.groupBy("source_id", "claim_id", "query_id").agg(F.sum("weight").alias("bonus"))
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
-def postings(claims: DataFrame, phrases: DataFrame) -> DataFrame:
-    """claim_id, phrase, dl, tf of the phrases (tokens joined by a blank) that occur in claim_text; claims are dealt by id."""
-    rows = dealt(claims.select("claim_id", tokens(F.col("claim_text")).alias("tokens")), "claim_id")
-    words = rows.select("claim_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("phrase")).join(F.broadcast(phrases), "phrase", "left_semi")
-    found = words.groupBy("claim_id", "dl", "phrase").agg(F.count("*").alias("tf"))
-    long = phrases.filter(F.contains("phrase", F.lit(" ")))
-    if long.isEmpty():
-        return found
-    text = rows.select("claim_id", F.size("tokens").alias("dl"), F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("line"))
-    held = holding(text.withColumn("text", F.col("line")), long.select(F.concat(F.lit(" "), "phrase", F.lit(" ")).alias("term"), "phrase"), "claim_id")
-    times = F.regexp_count("line", F.concat(F.lit("(?="), "term", F.lit(")")))
-    return found.unionByName(held.select("claim_id", "dl", "phrase", times.cast("long").alias("tf")))
-
-
-@in_blocks
-def bm25(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
-    """query_id, claim_id, bm25, rank of the claims with any word or phrase asked for; frequencies are counted for these only.
-
-    A term of letters, digits and "_" is the phrase of its tokens; each spelling of it counts.
-    """
-    safe = asked_terms(questions, F.filter(searchable(questions), lambda t: t.rlike(r"^[\p{L}\p{N}\p{M}_]+$")))
-    asked = safe.select("query_id", F.array_join(tokens(F.col("term")), " ").alias("phrase"), "times").filter(F.col("phrase") != "")
-    asked = keep(asked.groupBy("query_id", "phrase").agg(F.sum("times").alias("times")), "phrases")
-    hits = postings(claims, asked.select("phrase").distinct())
-    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = claims.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("claim_text")))).alias("avgdl"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighed = hits.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(stats))  # stats is one row
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.select("phrase", "claim_id", weight.alias("w")).join(F.broadcast(asked), "phrase")
-    return ranked(scored.groupBy("claim_id", "query_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("bm25")).select("query_id", "claim_id", "bm25"), "bm25", limit)
-
-
 def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
     wanted = ["claim_id", "source_id", "claim_text", "citation_locator", "confidence_status"]
     return found.join(claims.select("claim_id", *[c for c in wanted if c not in found.columns]), "claim_id")
@@ -182,7 +39,7 @@ def with_claims(found: DataFrame, claims: DataFrame) -> DataFrame:
 
 def _scored(found: DataFrame, questions: DataFrame, terms: Column, base: float, retriever: str, reason: str) -> DataFrame:
     """Candidates scored by the terms that occur in claim and locator; the page is the source's."""
-    weighed = F.transform(terms, lambda t: F.struct(F.lower(t).alias("term"), _weight(questions, t).alias("weight")))
+    weighed = F.transform(terms, lambda t: F.struct(F.lower(t).alias("term"), weight_of(questions, t).alias("weight")))
     rows = found.join(F.broadcast(questions.select("query_id", weighed.alias("asked"))), "query_id")
     score = relevance(base, matched_bonus(F.concat_ws(" ", "claim_text", "citation_locator"), F.col("asked")))
     page = F.col("source_id").alias("page_id")
@@ -190,21 +47,35 @@ def _scored(found: DataFrame, questions: DataFrame, terms: Column, base: float,
 
 
 @in_blocks
-def full_text(questions: DataFrame, claims: DataFrame, limit: int, found: DataFrame | None = None) -> DataFrame:
+def full_text(questions: DataFrame, claims: DataFrame, limit: int, found: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """The best claims by BM25, or those ``found`` by it."""
-    best = bm25.__wrapped__(questions, claims, limit) if found is None else found.join(questions.select("query_id"), "query_id", "left_semi")
+    best = bm25.__wrapped__(questions, claims, limit, index) if found is None else found.join(questions.select("query_id"), "query_id", "left_semi")
     return _scored(with_claims(best.select("query_id", "claim_id"), claims), questions, searchable(questions), FULL_TEXT, "bm25_fts", "bm25_fts")
 
 
 @in_blocks
-def substring(questions: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
-    """Claims that contain any of the first terms, in order of creation and id up to the limit."""
+def substring(questions: DataFrame, claims: DataFrame, limit: int, index: Index | None = None) -> DataFrame:
+    """Claims that contain any of the first terms, in order of creation and id up to the limit.
+
+    The first claims of all, twice the limit, are searched for every question; the others only for questions that
+    found too few there.
+    """
     terms = F.slice(searchable(questions), 1, LIKE_TERMS)
-    low = claims.select("claim_id", "created_at", F.lower("claim_text").alias("text"))
-    hits = holding(low, asked_terms(questions, terms), "claim_id").select("claim_id", "created_at", "query_id").distinct()
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("created_at", "claim_id"))
-    found = hits.withColumn("place", place).filter(F.col("place") <= limit).select("query_id", "claim_id")
-    return _scored(with_claims(found, claims), questions, terms, SUBSTRING, "like", "like_match")
+    asked = keep(asked_terms(questions, terms), "asked")
+    low = claims.select("claim_id", "created_at", F.lower("claim_text").alias("text")) if index is None else index.texts.select("claim_id", "created_at", F.col("low").alias("text"))
+
+    def found(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        hits = holding(rows, asked, "claim_id").select("claim_id", "created_at", "query_id").distinct()
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("created_at", "claim_id"))
+        return hits.withColumn("place", place).filter(F.col("place") <= limit).select("query_id", "claim_id", "place")
+
+    first = keep(found(low.orderBy("created_at", "claim_id").limit(2 * limit), asked), "hits")
+    full = keep(first.filter(F.col("place") == limit).select("query_id"), "full")
+    others = asked.join(full, "query_id", "left_anti")
+    best = first.join(full, "query_id", "left_semi")
+    if not others.isEmpty():
+        best = best.unionByName(found(low, others))
+    return _scored(with_claims(best.select("query_id", "claim_id"), claims), questions, terms, SUBSTRING, "like", "like_match")
 
 
 def merged(*retrieved: DataFrame) -> DataFrame:
@@ -227,14 +98,81 @@ def page_sources(pages: DataFrame, links: DataFrame, relationships: DataFrame) -
     return own.unionByName(other).distinct()
 
 
-def _of_sources(named: DataFrame, claims: DataFrame, held: DataFrame) -> DataFrame:
-    """Scored claims of the sources in named(query_id, source_id, page_id, base, span_weight) with their ``bonuses``.
+def bonuses(questions: DataFrame, claims: DataFrame) -> DataFrame:
+    """source_id, claim_id, query_id, bonus of all claims that hold any term in text or locator; claims stay with their source."""
+    text = F.lower(F.concat_ws(" ", "claim_text", "citation_locator")).alias("text")
+    found = holding(claims.select("source_id", "claim_id", text), asked_terms(questions, all_terms(questions)), "source_id")
+    return found.groupBy("source_id", "claim_id", "query_id").agg(F.sum("weight").alias("bonus"))
+
+
+def _weighed(questions: DataFrame) -> DataFrame:
+    """query_id, asked (all terms with their weights), most: what they can add together."""
+    asked = F.transform(all_terms(questions), lambda t: F.struct(F.lower(t).alias("term"), weight_of(questions, t).alias("weight")))
+    rows = questions.select("query_id", F.filter(asked, lambda t: F.trim(t["term"]) != "").alias("asked"))
+    return rows.withColumn("most", F.least(F.lit(1.0), F.aggregate("asked", F.lit(0.0), lambda s, t: s + t["weight"])))
+
+
+def _bonus(text: Column, asked: Column) -> Column:
+    """What the matched terms add; null if none occurs."""
+    any_of = F.exists(asked, lambda t: (t["weight"] == 0) & F.contains(text, t["term"]))
+    return F.transform(F.array(matched_bonus(text, asked)), lambda b: F.when((b > 0) | any_of, b))[0]
+
 
-    A claim that holds no term has what the span itself would add.
+def threshold(
+    units: Callable[[int, DataFrame | None], DataFrame], score: Callable[[DataFrame], DataFrame], weighed: DataFrame, limit: int, unit: float,
+    rest: Callable[[DataFrame], DataFrame], floor: float | None = None, seen: list[DataFrame] | None = None,
+) -> DataFrame:
+    """The best ``limit`` rows of each question by raw_score, then claim_id, without scoring all candidates.
+
+    ``units(n, open)`` are the first n units (query_id, base, least, place, ...) of the open questions, all if None, in
+    order of base and smallest claim; ``score`` gives the rows of some units (query_id, claim_id, raw_score, ...).
+    A question is done when its last row comes before the next unit's smallest claim would with all terms matched, and
+    before ``floor`` with all terms, the base of what the units leave out.  What isn't done after the rounds is
+    answered by ``rest(open)``.  ``unit`` is how many rows a unit has on average; ``seen`` gets the scored pairs of each round.
     """
-    mine = named.join(claims.select("source_id", "claim_id"), "source_id")
-    rows = mine.join(held, ["source_id", "claim_id", "query_id"], "left")
-    return rows.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), F.coalesce("bonus", "span_weight")).alias("raw_score"))
+    open_, done = None, []
+    for times in ROUNDS:
+        size = 1 + int(times * limit / max(unit, 1.0))
+        window = keep(units(size + 1, open_), "units")
+        scored = score(window.filter(F.col("place") <= size))
+        if seen is not None:
+            seen.append(scored)
+        rows = keep(ranked(scored, "raw_score", limit), "scored")
+        last = rows.filter(F.col("rank") == limit).select("query_id", F.col("raw_score").alias("last"), F.col("claim_id").alias("last_claim"))
+        after = weighed.join(window.filter(F.col("place") == size + 1).select("query_id", "base", "least"), "query_id").join(last, "query_id", "left")
+        bound = relevance(F.col("base"), F.col("most"))
+        unsafe = after.filter(F.col("last").isNull() | (F.col("last") < bound) | ((F.col("last") == bound) & (F.col("last_claim") > F.col("least")))).select("query_id")
+        if floor is not None:
+            below = weighed.join(last, "query_id", "left").filter(F.col("last").isNull() | (F.col("last") <= relevance(floor, F.col("most")))).select("query_id")
+            unsafe = unsafe.unionByName(below if open_ is None else below.join(open_, "query_id", "left_semi")).distinct()
+        unsafe = keep(unsafe, "open")
+        done.append(rows.join(unsafe, "query_id", "left_anti"))
+        open_ = unsafe
+        if open_.isEmpty():
+            break
+    else:
+        done.append(rest(open_).select(*done[0].columns))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _units(pages: DataFrame, catalog, index: Index, size: int, source_id: str | None = None) -> DataFrame:
+    """page_id, source_id, slot, least: the first units of claims behind each of the pages, by smallest claim."""
+    behind = page_sources(catalog.pages, catalog.links, catalog.relationships).join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    behind = behind.filter(F.col("source_id") == source_id) if source_id else behind
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("least", "slot"))
+    return behind.join(index.units, "source_id").withColumn("place", place).filter(F.col("place") <= size).drop("place")
+
+
+def _placed(units: DataFrame, size: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "least", "source_id", "slot"))
+    return units.withColumn("place", place).filter(F.col("place") <= size)
+
+
+def _of_open(rows: DataFrame, open_: DataFrame | None) -> DataFrame:
+    return rows if open_ is None else rows.join(open_, "query_id", "left_semi")
 
 
 def _best_of_sources(named: DataFrame, catalog, held: DataFrame, limit: int, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None) -> DataFrame:
@@ -255,37 +193,79 @@ def _best_of_sources(named: DataFrame, catalog, held: DataFrame, limit: int, sou
     return ranked(both.groupBy("query_id", "claim_id", "source_id", "page_id").agg(F.max("raw_score").alias("raw_score")), "raw_score", limit)
 
 
-@in_blocks
-def alias_title(questions: DataFrame, catalog, limit: int, filters: dict | None = None, held: DataFrame | None = None) -> DataFrame:
+def alias_title(questions: DataFrame, catalog, limit: int, filters: dict | None = None, index: Index | None = None, seen: list[DataFrame] | None = None) -> DataFrame:
     """Claims of the sources behind pages that a term names: alias equal or title holding it; of a source's pages the best counts.
 
-    ``held`` may be the ``bonuses`` of the claims by all terms.
+    Titles are searched only for questions whose aliases alone don't give the best claims.
     """
-    held = bonuses(questions, catalog.claims) if held is None else held
-    terms = asked_terms(questions, _listed(questions, ["catalog_terms", "text_terms"])).select("query_id", "term")
-    exact = catalog.aliases.join(F.broadcast(terms), F.col("normalized_alias") == F.col("term")).join(catalog.pages.select(F.col("page_id").alias("target_id")), "target_id")
-    exact = exact.select("query_id", F.col("target_id").alias("page_id"), F.lit(ALIAS).alias("base"), F.concat(F.lit("alias_exact:"), "term").alias("reason"))
-    like = holding(catalog.pages.select("page_id", F.lower("title").alias("text")), terms, "page_id")
-    like = like.select("query_id", "page_id", F.lit(TITLE).alias("base"), F.concat(F.lit("title_match:"), "term").alias("reason"))
-    pages = exact.unionByName(like).groupBy("query_id", "page_id").agg(F.max("base").alias("base"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    pages = keep(pages, "pages")
-    behind = pages.drop("reasons").join(page_sources(catalog.pages, catalog.links, catalog.relationships), "page_id")
-    named = behind.groupBy("query_id", "source_id").agg(F.max("base").alias("base"), F.max_by("page_id", F.struct("base", "page_id")).alias("page_id"))
-    best = _best_of_sources(named, catalog, held, limit, **(filters or {}))
-    reasons = F.array_append("reasons", F.lit("page_source_claims")).alias("reasons")
-    rows = best.join(pages, ["query_id", "page_id"]).select(*best.columns, reasons)
-    return rows.withColumn("retriever", F.lit("catalog_title_alias")).select(*CANDIDATE)
+    return in_blocks(_alias_title)(questions, catalog, limit, filters or {}, index or build_index(catalog.claims), seen)
 
 
-@in_blocks
-def exact_span(questions: DataFrame, catalog, limit: int, filters: dict | None = None, held: DataFrame | None = None) -> DataFrame:
+def _alias_title(questions: DataFrame, catalog, limit: int, filters: dict, index: Index, seen: list[DataFrame] | None) -> DataFrame:
+    weighed = keep(_weighed(questions), "asked")
+    terms = keep(asked_terms(questions, listed(questions, ["catalog_terms", "text_terms"])).select("query_id", "term"), "terms")
+    exact = catalog.aliases.join(F.broadcast(terms), F.col("normalized_alias") == F.col("term")).join(catalog.pages.select(F.col("page_id").alias("target_id")), "target_id")
+    exact = keep(exact.select("query_id", F.col("target_id").alias("page_id"), F.lit(ALIAS).alias("base"), "term").distinct(), "pages")
+
+    sources = page_sources(catalog.pages, catalog.links, catalog.relationships)
+    best_page = [F.max("base").alias("base"), F.max_by("page_id", F.struct("base", "page_id")).alias("page_id")]
+
+    def pages(rows: DataFrame) -> DataFrame:
+        return keep(rows.groupBy("query_id", "page_id").agg(F.max("base").alias("base")), "pages")
+
+    def units(named: DataFrame) -> Callable[[int, DataFrame | None], DataFrame]:
+        """A source's page is the best of all that name it; of another type than asked for, it takes the source out."""
+        kind = filters.get("page_type")
+        wanted = named.join(catalog.pages.filter(F.col("page_type") == kind).select("page_id"), "page_id", "left_semi") if kind else named
+
+        def first(size: int, open_: DataFrame | None) -> DataFrame:
+            behind = _units(wanted, catalog, index, size, filters.get("source_id"))
+            mine = _of_open(wanted, open_).join(behind, "page_id").groupBy("query_id", "source_id", "slot", "least")
+            window = _placed(mine.agg(*best_page), size)
+            if not kind:
+                return window.withColumn("kept", F.lit(True))
+            window = keep(window, "units")
+            met = window.select("query_id", "source_id").distinct().join(sources, "source_id").join(named, ["query_id", "page_id"])
+            met = met.groupBy("query_id", "source_id").agg(*best_page).select("query_id", "source_id", F.col("page_id").alias("best"))
+            return window.join(met, ["query_id", "source_id"]).withColumn("kept", F.col("best") == F.col("page_id")).drop("best")
+
+        return first
+
+    def score(window: DataFrame) -> DataFrame:
+        rows = filtered(window.filter("kept").join(index.texts, ["source_id", "slot"]), catalog, confidence=filters.get("confidence")).join(F.broadcast(weighed), "query_id")
+        return rows.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), matched_bonus(F.col("text"), F.col("asked"))).alias("raw_score"))
+
+    def with_titles(open_: DataFrame) -> DataFrame:
+        asking = terms.join(F.broadcast(open_), "query_id", "left_semi")
+        like = holding(catalog.pages.select("page_id", F.lower("title").alias("text")), asking, "page_id").select("query_id", "page_id", F.lit(TITLE).alias("base"), "term")
+        named = pages(_of_open(exact, open_).unionByName(like))
+        return threshold(units(named), score, weighed.join(open_, "query_id", "left_semi"), limit, index.unit, lambda left: everything(named, left), seen=seen)
+
+    def everything(named: DataFrame, open_: DataFrame) -> DataFrame:
+        mine = _of_open(named, open_).join(sources, "page_id").groupBy("query_id", "source_id").agg(*best_page)
+        return _best_of_sources(mine, catalog, bonuses(questions.join(open_, "query_id", "left_semi"), catalog.claims), limit, **filters)
+
+    best = keep(threshold(units(pages(exact)), score, weighed, limit, index.unit, with_titles, floor=TITLE, seen=seen), "best")
+    shown = best.select("query_id", "page_id").distinct()
+    titles = shown.join(catalog.pages.select("page_id", F.lower("title").alias("title")), "page_id").join(terms, "query_id").filter(F.contains("title", "term"))
+    reason = shown.join(exact, ["query_id", "page_id"]).select("query_id", "page_id", F.concat(F.lit("alias_exact:"), "term").alias("reason"))
+    reason = reason.unionByName(titles.select("query_id", "page_id", F.concat(F.lit("title_match:"), "term").alias("reason")))
+    reasons = reason.groupBy("query_id", "page_id").agg(F.array_append(F.array_sort(F.collect_set("reason")), F.lit("page_source_claims")).alias("reasons"))
+    return best.join(reasons, ["query_id", "page_id"]).withColumn("retriever", F.lit("catalog_title_alias")).select(*CANDIDATE)
+
+
+def exact_span(questions: DataFrame, catalog, limit: int, filters: dict | None = None, index: Index | None = None, seen: list[DataFrame] | None = None) -> DataFrame:
     """Claims whose text, locator or source title holds a span, and claims of the sources behind pages whose title or alias does.
 
     Of each span the first 4 x limit claims by creation and id count, and the first 2 x limit pages by type and title.
     """
-    held = bonuses(questions, catalog.claims) if held is None else held
+    return in_blocks(_exact_span)(questions, catalog, limit, filters or {}, index or build_index(catalog.claims), seen)
+
+
+def _exact_span(questions: DataFrame, catalog, limit: int, filters: dict, index: Index, seen: list[DataFrame] | None) -> DataFrame:
+    weighed = keep(_weighed(questions), "asked")
     span_rows = questions.withColumn("span", F.explode(spans(questions)))
-    span_rows = keep(span_rows.select("query_id", "span", F.lower("span").alias("term"), _weight(questions, F.col("span")).alias("span_weight")), "spans")
+    span_rows = keep(span_rows.select("query_id", "span", F.lower("span").alias("term"), weight_of(questions, F.col("span")).alias("span_weight")), "spans")
     terms = span_rows.select("term").distinct()
     titled = catalog.claims.join(catalog.sources.select("source_id", "title"), "source_id", "left")
     text = F.lower(F.concat_ws("\n", "claim_text", "citation_locator", "title")).alias("text")
@@ -300,21 +280,52 @@ def exact_span(questions: DataFrame, catalog, limit: int, filters: dict | None =
     pages = holding(names, terms, "page_id").select("term", "page_id", "page_type", "title").distinct()
     first = F.row_number().over(Window.partitionBy("term").orderBy("page_type", "title", "page_id"))
     pages = pages.withColumn("place", first).filter(F.col("place") <= max(2 * limit, 20)).join(F.broadcast(span_rows), "term")
-    behind = pages.join(page_sources(catalog.pages, catalog.links, catalog.relationships), "page_id").select("query_id", "source_id", "page_id", reason, "span_weight")
-    behind = keep(behind, "spans")
-    page = F.col("source_id").alias("page_id")
-    mine = own.groupBy("query_id", "source_id", "claim_id").agg(F.max("span_weight").alias("span_weight")).join(held, ["source_id", "claim_id", "query_id"], "left")
-    mine = mine.select("query_id", "claim_id", "source_id", page, relevance(SPAN, F.coalesce("bonus", "span_weight")).alias("raw_score"), F.lit(0).alias("place"))
-    far = behind.groupBy("query_id", "source_id").agg(F.max("page_id").alias("page_id"), F.max("span_weight").alias("span_weight"))
-    far = _of_sources(far.withColumn("base", F.lit(SPAN)), catalog.claims, held).withColumn("place", F.lit(1))
-    order = F.struct(F.negate("raw_score"), "place", "page_id")
-    both = mine.unionByName(far).groupBy("query_id", "claim_id", "source_id").agg(F.min_by("page_id", order).alias("page_id"), F.max("raw_score").alias("raw_score"))
-    best = ranked(filtered(both, catalog, **(filters or {})), "raw_score", limit)
-    listed = lambda rows, *key: rows.groupBy("query_id", *key).agg(F.array_sort(F.collect_set("reason")).alias(f"by_{key[0]}"))
-    best = best.join(listed(own, "claim_id"), ["query_id", "claim_id"], "left").join(listed(behind, "source_id"), ["query_id", "source_id"], "left")
+    pages = keep(pages.select("query_id", "page_id", reason, "span_weight"), "spans")
+    sources = page_sources(catalog.pages, catalog.links, catalog.relationships)
+    own_weight = own.groupBy("query_id", "source_id", "claim_id").agg(F.max("span_weight").alias("span_weight"))
+    source_page = F.col("source_id").alias("page_id")
+    columns = ["query_id", "source_id", "claim_id", "page_id", "span_weight", "place"]
+
+    def units(size: int, open_: DataFrame | None) -> DataFrame:
+        by_page = _units(pages, catalog, index, size)
+        far = _of_open(pages.select("query_id", "page_id").distinct(), open_).join(by_page, "page_id").select("query_id", "source_id", "slot", "least").distinct()
+        near = _of_open(own_weight, open_).select("query_id", "source_id", F.lit(None).cast("long").alias("slot"), F.col("claim_id").alias("least"))
+        return _placed(far.unionByName(near).withColumn("base", F.lit(SPAN)), size)
+
+    def merged_pages(both: DataFrame) -> DataFrame:
+        order = F.struct(F.negate("raw_score"), "place", "page_id")
+        best = both.groupBy("query_id", "claim_id", "source_id").agg(F.min_by("page_id", order).alias("page_id"), F.max("raw_score").alias("raw_score"))
+        return filtered(best, catalog, **filters)
+
+    def score(window: DataFrame) -> DataFrame:
+        held = index.texts.select("source_id", "slot", "claim_id", "text")
+        chunks = window.filter(F.col("slot").isNotNull()).select("query_id", "source_id", "slot").join(held, ["source_id", "slot"]).drop("slot")
+        single = window.filter(F.col("slot").isNull()).select("query_id", "source_id", F.col("least").alias("claim_id")).join(held.drop("slot"), ["source_id", "claim_id"])
+        rows = chunks.unionByName(single, allowMissingColumns=True).dropDuplicates(["query_id", "claim_id"]).join(F.broadcast(weighed), "query_id")
+        rows = keep(rows.select("query_id", "source_id", "claim_id", _bonus(F.col("text"), F.col("asked")).alias("bonus")), "bonuses")
+        mine = rows.join(own_weight, ["query_id", "source_id", "claim_id"]).withColumn("page_id", F.col("source_id")).withColumn("place", F.lit(0))
+        wanted = rows.select("query_id", "source_id").distinct().join(sources, "source_id").join(pages, ["query_id", "page_id"])
+        wanted = wanted.groupBy("query_id", "source_id").agg(F.max("page_id").alias("page_id"), F.max("span_weight").alias("span_weight"))
+        far = rows.join(wanted, ["query_id", "source_id"]).withColumn("place", F.lit(1))
+        both = mine.select(*columns, "bonus").unionByName(far.select(*columns, "bonus"))
+        return merged_pages(both.withColumn("raw_score", relevance(SPAN, F.coalesce("bonus", "span_weight"))))
+
+    def everything(open_: DataFrame) -> DataFrame:
+        held = bonuses(questions.join(open_, "query_id", "left_semi"), catalog.claims)
+        far = _of_open(pages, open_).join(sources, "page_id").groupBy("query_id", "source_id").agg(F.max("page_id").alias("page_id"), F.max("span_weight").alias("span_weight"))
+        far = far.join(catalog.claims.select("source_id", "claim_id"), "source_id").withColumn("place", F.lit(1))
+        both = _of_open(own_weight, open_).select("query_id", "source_id", "claim_id", source_page, "span_weight", F.lit(0).alias("place")).unionByName(far.select(*columns))
+        both = both.join(held, ["source_id", "claim_id", "query_id"], "left")
+        return ranked(merged_pages(both.withColumn("raw_score", relevance(SPAN, F.coalesce("bonus", "span_weight")))), "raw_score", limit)
+
+    best = keep(threshold(units, score, weighed, limit, index.unit, everything, seen=seen), "best")
+    collected = F.array_sort(F.collect_set("reason"))
+    by_claim = own.groupBy("query_id", "claim_id").agg(collected.alias("by_claim"))
+    behind = best.select("query_id", "source_id").distinct().join(sources.withColumnRenamed("page_id", "via"), "source_id").join(pages.withColumnRenamed("page_id", "via"), ["query_id", "via"])
+    by_source = behind.groupBy("query_id", "source_id").agg(F.array_append(collected, F.lit("page_source_claims")).alias("by_source"))
+    best = best.join(by_claim, ["query_id", "claim_id"], "left").join(by_source, ["query_id", "source_id"], "left")
     none = F.array().cast("array<string>")
-    behind_it = F.when(F.col("by_source_id").isNotNull(), F.array_append("by_source_id", F.lit("page_source_claims"))).otherwise(none)
-    reasons = F.array_distinct(F.concat(F.coalesce("by_claim_id", none), behind_it)).alias("reasons")
+    reasons = F.array_distinct(F.concat(F.coalesce("by_claim", none), F.coalesce("by_source", none))).alias("reasons")
     return best.select("query_id", "claim_id", "source_id", "page_id", "raw_score", reasons, F.lit("exact_formula_symbol").alias("retriever"))
 
 
@@ -411,13 +422,13 @@ def fused(lists: list[DataFrame], limit: int | None) -> DataFrame:
     return ranked(flat, "rrf", limit, name="retriever_rank")
 
 
-def hybrid(questions: DataFrame, catalog, limit: int, pool: int = 80, vectors: DataFrame | None = None, filters: dict | None = None, lists: list[DataFrame] | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, catalog, limit: int, pool: int = 80, vectors: DataFrame | None = None, filters: dict | None = None, lists: list[DataFrame] | None = None, index: Index | None = None) -> DataFrame:
     """Lexical and vector lists fused to seeds, one graph step, all lists fused again, claims attached.
 
     ``vectors`` are hits on chunks (query_id, chunk_id, score).  ``filters`` are arguments of ``filtered``: each list
     is filtered after its fetch limit and before its own.  ``lists`` are those of ``lexical`` with the same filters.
     """
-    lists = lexical(questions, catalog, pool, filters) if lists is None else list(lists)
+    lists = lexical(questions, catalog, pool, filters, index=index) if lists is None else list(lists)
     if vectors is not None:
         lists.append(keep(vector_candidates(ranked(vectors, "score", max(8 * pool, 20), tie="chunk_id"), catalog, pool, filters).select(*CANDIDATE), "candidates"))
     seeds = keep(fused(lists, None), "seeds")
@@ -425,13 +436,12 @@ def hybrid(questions: DataFrame, catalog, limit: int, pool: int = 80, vectors: D
     return keep(with_claims(fused(lists, limit), catalog.claims), "pool")
 
 
-def lexical(questions: DataFrame, catalog, pool: int, filters: dict | None = None, found: DataFrame | None = None) -> list[DataFrame]:
+def lexical(questions: DataFrame, catalog, pool: int, filters: dict | None = None, found: DataFrame | None = None, index: Index | None = None) -> list[DataFrame]:
     """Candidates by text, by alias or title, and by exact span, each kept: they are fused twice.  ``found`` may hold the BM25 hits."""
-    fetch = max(8 * pool, 20)
-    text = merged(full_text(questions, catalog.claims, fetch, found), substring(questions, catalog.claims, fetch)).withColumn("retriever", F.lit("bm25_fts"))
+    fetch, index = max(8 * pool, 20), index or build_index(catalog.claims)
+    text = merged(full_text(questions, catalog.claims, fetch, found, index), substring(questions, catalog.claims, fetch, index)).withColumn("retriever", F.lit("bm25_fts"))
     text = ranked(filtered(text, catalog, **(filters or {})), "raw_score", pool)
-    held = keep(in_blocks(bonuses)(questions, catalog.claims), "bonuses")
-    lists = [text, alias_title(questions, catalog, pool, filters, held), exact_span(questions, catalog, pool, filters, held)]
+    lists = [text, alias_title(questions, catalog, pool, filters, index), exact_span(questions, catalog, pool, filters, index)]
     return [keep(x.select(*CANDIDATE), "candidates") for x in lists]
 
 

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Questions of a block: what a retriever broadcasts of them is bounded by this.
-BLOCK = 20_000
+#: Questions of a block, and bytes of all their columns: what a retriever broadcasts of them is bounded by these.
+BLOCK, BLOCK_BYTES = 20_000, 16_000_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -63,12 +63,26 @@ def remembered(spark: SparkSession, name: str, tables: list[DataFrame], make: Ca
     return made
 
 
+def _bytes(frame: DataFrame):
+    """What the strings and arrays of a row come to."""
+    total = F.lit(0).cast("long")
+    for name, kind in frame.dtypes:
+        if kind == "string":
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            total = total + F.coalesce(F.octet_length(F.array_join(name, "")) + 8 * F.size(name), F.lit(0))
+        elif kind.startswith("array<"):
+            total = total + 8 * F.greatest(F.size(name), F.lit(0))
+    return total
+
+
 def in_blocks(retrieve: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A retriever over questions (query_id, ...) that broadcasts them: more than BLOCK are answered in blocks, one scan each."""
+    """A retriever over questions (query_id, ...) that broadcasts them: many, or long ones, are answered in blocks of bounded size."""
 
     @functools.wraps(retrieve)
     def run(questions: DataFrame, *rest, **options) -> DataFrame:
-        parts = -(-questions.count() // BLOCK)
+        count, size = questions.agg(F.count("*"), F.coalesce(F.sum(_bytes(questions)), F.lit(0))).first()
+        parts = max(-(-count // BLOCK), -(-size // BLOCK_BYTES))
         if parts <= 1:
             return retrieve(questions, *rest, **options)
         block = F.pmod(F.xxhash64("query_id"), F.lit(parts))

@@ -48,8 +48,14 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "questions", lambda: C.questions(_read(spark, sf_dir, "benchmark"), _stored(spark, sf_dir)))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The index of the stored claims, built once for all retrievers."""
+    tables = [_read(spark, sf_dir, x) for x in ("documents", "labels")]
+    return remembered(spark, "index", tables, lambda: retrieval.build_index(_stored(spark, sf_dir).claims), lambda x: x.frames())
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "bm25", lambda: retrieval.bm25(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL))
+    return _derived(spark, sf_dir, "bm25", lambda: retrieval.bm25(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL, _index(spark, sf_dir)))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -57,7 +63,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     tables = [_read(spark, sf_dir, x) for x in ("documents", "labels", "benchmark", "embeddings")]
 
     def make() -> list[DataFrame]:
-        found = retrieval.lexical(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, found=_bm25(spark, sf_dir))
+        found = retrieval.lexical(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, found=_bm25(spark, sf_dir), index=_index(spark, sf_dir))
         return [*found, keep(retrieval.vector_candidates(_near(spark, sf_dir), _stored(spark, sf_dir), POOL), "candidates")]
 
     return remembered(spark, "lists", tables, make, lambda x: x)
@@ -255,24 +261,24 @@ def r1_bm25(spark, sf_dir):
 
 @query("SELECT query_id, claim_id, score AS raw_score FROM v_scored WHERE base < 1")
 def r2_like(spark, sf_dir):
-    return retrieval.substring(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL).select("query_id", "claim_id", "raw_score")
+    return retrieval.substring(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL, _index(spark, sf_dir)).select("query_id", "claim_id", "raw_score")
 
 
 @query("SELECT query_id, claim_id, source_id, raw_score, base = 1 AS full_text FROM v_text")
 def r3_relevance(spark, sf_dir):
     c, q = _stored(spark, sf_dir), _questions(spark, sf_dir)
-    rows = retrieval.merged(retrieval.full_text(q, c.claims, 8 * POOL, _bm25(spark, sf_dir)), retrieval.substring(q, c.claims, 8 * POOL))
+    rows = retrieval.merged(retrieval.full_text(q, c.claims, 8 * POOL, _bm25(spark, sf_dir)), retrieval.substring(q, c.claims, 8 * POOL, _index(spark, sf_dir)))
     return rows.select("query_id", "claim_id", "source_id", "raw_score", F.array_contains("reasons", "bm25_fts").alias("full_text"))
 
 
 @query("SELECT query_id, claim_id, page_id, raw_score FROM v_alias")
 def r4_alias_title(spark, sf_dir):
-    return retrieval.alias_title(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL).select("query_id", "claim_id", "page_id", "raw_score")
+    return retrieval.alias_title(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, index=_index(spark, sf_dir)).select("query_id", "claim_id", "page_id", "raw_score")
 
 
 @query("SELECT query_id, claim_id, page_id, raw_score FROM v_span")
 def r5_exact_span(spark, sf_dir):
-    return retrieval.exact_span(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL).select("query_id", "claim_id", "page_id", "raw_score")
+    return retrieval.exact_span(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, index=_index(spark, sf_dir)).select("query_id", "claim_id", "page_id", "raw_score")
 
 
 @query("SELECT query_id, claim_id, raw_score FROM v_graph")
@@ -304,7 +310,7 @@ def _pool(spark: SparkSession, sf_dir: str) -> tuple[C.Catalog, DataFrame]:
 @query("SELECT query_id, claim_id, source_id, page_id, raw_score, rrf, retriever_rank FROM v_hybrid", instead={"v_claims_kept": "FROM v_claims WHERE confidence_status = 'cited'", "v_pages_kept": "FROM v_pages WHERE page_type = 'source'"})
 def r9_hybrid(spark, sf_dir):
     wanted = {"confidence": "cited", "page_type": "source"}
-    rows = retrieval.hybrid(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, POOL, _near(spark, sf_dir), wanted)
+    rows = retrieval.hybrid(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, POOL, _near(spark, sf_dir), wanted, index=_index(spark, sf_dir))
     return rows.select("query_id", "claim_id", "source_id", "page_id", "raw_score", "rrf", "retriever_rank")
 
 

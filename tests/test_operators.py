@@ -1,9 +1,12 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from citewell import queries
 from citewell.functions import query_terms as Q
-from citewell.operators import assembly, ingest, quality, retrieval, selection, upsert
+from citewell.operators import assembly, evaluation, ingest, quality, retrieval, selection, upsert
 from citewell.plans import catalog as C
 from citewell.sources import documents as D
 
@@ -258,3 +261,116 @@ def test_runs_that_may_not_be_applied(spark):
     runs = spark.createDataFrame([("a", "staged"), ("b", "applied"), ("c", None), ("d", "reviewed")], "run_id string, status string")
     asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "run_id string")
     assert sorted(map(tuple, assembly.run_problems(asked, runs).collect())) == [("b", "status_applied"), ("e", "no_manifest")]
+
+
+def spread_catalog(spark, seed=3, sources=40):
+    """A catalog of random claims: two hubs name most sources, some sources have many claims, some texts hold few terms."""
+    rng = random.Random(seed)
+    words = ["rain", "wind", "snow", "sun", "fog", "hail", "dew", "frost", "heat", "ice"]
+    claims, pages, links = [], [], []
+    for n in range(sources):
+        s = f"src_{rng.randrange(10**6):06d}"
+        pages.append((s, "", "source", " ".join(rng.sample(words, 2)), "[]", "t"))
+        links += [(s, "concept:hub", "mentions")] * (n % 3 > 0) + [(s, "concept:other", "mentions")] * (n % 4 == 0)
+        for i in range(150 if n % 13 == 0 else rng.randrange(1, 12)):
+            text = " ".join(rng.choices(words, k=rng.choice([1, 3, 9])) + [f"w{rng.randrange(40)}"])
+            claims.append((f"clm_{s}_{i:03d}", s, text, f"line:{i}", rng.choice(["cited", "weak"]), f"t{rng.randrange(3)}"))
+    pages += [("concept:hub", "", "concept", "Hub", "[]", "t"), ("concept:other", "", "concept", "Other", "[]", "t")]
+    aliases = [("hub", "concept", "concept:hub", "hub"), ("other", "concept", "concept:other", "other"), ("weather", "concept", "concept:other", "weather")]
+    make = lambda name, rows: spark.createDataFrame(rows, C.schema(name))
+    named = [(p[0], p[3], *[None] * 7) for p in pages if p[0].startswith("src_")]
+    return C.Catalog(make("sources", named), make("claims", claims), make("aliases", aliases), make("pages", pages), make("links", links), make("relationships", [])), words
+
+
+def brute_alias(catalog, asked, limit, page_type=None, confidence=None):
+    """The best claims of every question by looking at each pair of question and claim."""
+    claims, pages = catalog.claims.collect(), {p.page_id: p for p in catalog.pages.collect()}
+    edges, aliases = [(a.from_page, a.to_page) for a in catalog.links.collect()], {(a.target_id, a.normalized_alias) for a in catalog.aliases.collect()}
+    out = {}
+    for q in asked.collect():
+        kinds = {c: list(getattr(q, c)) for c in retrieval.KINDS}
+        total = {}
+        for t in dict.fromkeys(x for k in retrieval.KINDS for x in kinds[k]):
+            text, cat = t in kinds["text_terms"], t in kinds["catalog_terms"]
+            w = 0.25 if t in kinds["expanded_terms"] else 0.2 if text and not cat or t in kinds["formula_spans"] + kinds["symbol_spans"] else 0.05 if cat else 0.03
+            total[t.lower()] = total.get(t.lower(), 0) + w
+        named = {}
+        for p in pages.values():
+            for t in {x.lower() for x in kinds["catalog_terms"] + kinds["text_terms"]}:
+                base = 1.0 if (p.page_id, t) in aliases else 0.8 if t in p.title.lower() else 0
+                for s in [p.page_id] if p.page_type == "source" else [a for a, b in edges if b == p.page_id]:
+                    named[s] = max(named.get(s, (0, "")), (base, p.page_id)) if base else named.get(s, (0, ""))
+        rows = []
+        for c in claims:
+            base, page = named.get(c.source_id, (0, ""))
+            if base and (not page_type or pages[page].page_type == page_type) and (not confidence or c.confidence_status == confidence):
+                text = f"{c.claim_text} {c.citation_locator}".lower()
+                rows.append((-round(base + min(1.0, sum(w for t, w in total.items() if t in text)), 6), c.claim_id, page))
+        out[q.query_id] = [(c, p, -s) for s, c, p in sorted(rows)[:limit]]
+    return out
+
+
+def test_threshold_equals_all_pairs_and_scores_few(spark):
+    c, words = spread_catalog(spark)
+    texts = ["hub " + " ".join(words), "hub rain", "rain snow", "other weather w3", "w39", "nothing here", "hub other " + " ".join(words[:6])]
+    asked = Q.analyze(spark.createDataFrame(list(enumerate(texts)), "query_id int, question string"), spark.createDataFrame([("hub",), ("other",)], "term string"))
+    index, seen = retrieval.build_index(c.claims), []
+    for limit, filters in ((5, {}), (5, {"page_type": "source", "confidence": "cited"}), (300, {})):
+        got = {q: [] for q in range(len(texts))}
+        for r in retrieval.alias_title(asked, c, limit, filters, index, seen).orderBy("query_id", F.desc("raw_score"), "claim_id").collect():
+            got[r.query_id].append((r.claim_id, r.page_id, r.raw_score))
+        assert got == brute_alias(c, asked, limit, **filters), (limit, filters)
+
+
+def test_threshold_scores_few_pairs_of_real_questions(spark):
+    """Below a tenth of all pairs of question and claim, for aliases and for spans; before, nearly all were."""
+    sf = "/root/testdata/sf0.01"
+    c, asked, index = queries._stored(spark, sf), queries._questions(spark, sf), queries._index(spark, sf)
+    pairs = asked.count() * c.claims.count()
+    for retrieve in (retrieval.alias_title, retrieval.exact_span):
+        seen = []
+        assert retrieve(asked, c, 10, index=index, seen=seen).count() == 10 * asked.count()
+        assert 10 * asked.count() <= sum(x.count() for x in seen) < 0.1 * pairs
+
+
+def test_full_text_blocks_are_skipped_without_loss(spark, monkeypatch):
+    from citewell.operators import index as I
+
+    monkeypatch.setattr(I, "POSTINGS", 4)
+    c, words = spread_catalog(spark, seed=9, sources=120)
+    texts = ["w3 rain snow fog", "w7 w8 rain_wind", "rain", "sun_fog hail", "absent", " ".join(words) + " w1 w2"]
+    asked = Q.analyze(spark.createDataFrame(list(enumerate(texts)), "query_id int, question string"))
+    index = retrieval.build_index(c.claims)
+    got = {(r.query_id, r.claim_id): (r.bm25, r.rank) for r in retrieval.bm25(asked, c.claims, 6, index).collect()}
+    everything = {(r.query_id, r.claim_id): (r.bm25, r.rank) for r in retrieval.bm25(asked, c.claims, 10**6, index).collect()}
+    assert got == {k: v for k, v in everything.items() if v[1] <= 6} and len(got) == 30
+    # the scores by their formula
+    rows = [(r.claim_id, r.claim_text.lower().split()) for r in c.claims.collect()]
+    n, length = len(rows), sum(len(w) for _, w in rows) / len(rows)
+    for q, terms in ((0, ["w3", "rain", "snow", "fog"]), (1, ["w7", "w8", "rain wind"]), (3, ["sun fog", "hail"])):
+        line = {claim: f" {' '.join(w)} " for claim, w in rows}
+        count = {t: {claim: sum(x.startswith(f" {t} ", i) for i in range(len(x))) for claim, x in line.items()} for t in terms}
+        for claim, w in rows:
+            score = 0.0
+            for t in terms:
+                df, tf = sum(v > 0 for v in count[t].values()), count[t][claim]
+                score += max(1e-6, math.log((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / length))
+            assert (everything.get((q, claim), (0,))[0]) == pytest.approx(score, abs=2e-6)
+    report = {r.query_id: r for r in retrieval.block_report(asked, c.claims, 6, index).collect()}
+    assert report[0].skipped > 0 and report[0].skipped_postings < report[0].postings
+
+
+def test_substrings_are_searched_in_the_first_claims_first(spark):
+    c, _ = spread_catalog(spark, seed=2)
+    asked = Q.analyze(spark.createDataFrame([(1, "rain wind snow sun fog hail"), (2, "w11"), (3, "absent")], "query_id int, question string"))
+    order = sorted(c.claims.collect(), key=lambda r: (r.created_at, r.claim_id))
+    for limit in (3, 40):
+        got = retrieval.substring(asked, c.claims, limit).collect()
+        for q, terms in ((1, ["rain", "wind", "snow", "sun", "fog", "hail"]), (2, ["w11"]), (3, ["absent"])):
+            assert {r.claim_id for r in got if r.query_id == q} == {r.claim_id for r in [x for x in order if any(t in x.claim_text for t in terms)][:limit]}
+
+
+def test_two_decimals(spark):
+    values = [0.125, 0.285, 0.625, 0.155, 0.375, 0.0, 1.0, 0.005, 1234.565] + [k / 400 for k in range(400)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", evaluation.two_decimals(F.col("x")).alias("y")).collect()
+    assert all(r.y == f"{r.x:.2f}" for r in rows) and rows[0].y == "0.12" and rows[1].y == "0.28"
