@@ -78,15 +78,32 @@ def substring(questions: DataFrame, claims: DataFrame, limit: int, index: Index
     return _scored(with_claims(best.select("query_id", "claim_id"), claims), questions, terms, SUBSTRING, "like", "like_match")
 
 
+def folded(arrivals: DataFrame) -> DataFrame:
+    """One row for each question and claim, from its arrivals (query_id, claim_id, source_id, page_id, raw_score, reasons, arrival) in order.
+
+    An arrival with a higher score replaces what was there, reasons and page too; another one adds its reasons.
+    Arrivals of one number go by page, then reasons.
+    """
+    steps = F.array_sort(F.collect_list(F.struct("arrival", "page_id", "raw_score", "reasons")))
+    rows = arrivals.groupBy("query_id", "claim_id", "source_id").agg(steps.alias("steps"))
+    state = F.struct(F.col("steps")[0]["page_id"].alias("page_id"), F.col("steps")[0]["raw_score"].alias("raw_score"), F.col("steps")[0]["reasons"].alias("reasons"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = x["raw_score"] > s["raw_score"]
+        reasons = F.when(new, x["reasons"]).otherwise(F.array_union(s["reasons"], x["reasons"]))
+        return F.struct(F.when(new, x["page_id"]).otherwise(s["page_id"]).alias("page_id"), F.greatest(x["raw_score"], s["raw_score"]).alias("raw_score"), reasons.alias("reasons"))
+
+    done = rows.select("query_id", "claim_id", "source_id", F.aggregate(F.slice("steps", 2, F.size("steps")), state, step).alias("s"))
+    return done.select("query_id", "claim_id", "source_id", "s.page_id", "s.raw_score", "s.reasons")
+
+
 def merged(*retrieved: DataFrame) -> DataFrame:
-    """One row for each question and claim: the best score, reasons united in its order, of equal scores the first list."""
+    """What one retriever holds after its lists have arrived in this order: see ``folded``."""
     rows = None
     for place, df in enumerate(retrieved):
-        part = df.select(*CANDIDATE).withColumn("place", F.lit(place))
+        part = df.select(*CANDIDATE).withColumn("arrival", F.lit(place))
         rows = part if rows is None else rows.unionByName(part)
-    order = F.struct(F.negate("raw_score").alias("s"), "place", "page_id", "reasons")
-    best = rows.groupBy("query_id", "claim_id", "source_id").agg(F.array_sort(F.collect_list(order)).alias("rows"), F.max("raw_score").alias("raw_score"))
-    return best.select("query_id", "claim_id", "source_id", F.col("rows")[0]["page_id"].alias("page_id"), "raw_score", F.array_distinct(F.flatten(F.transform("rows", lambda r: r["reasons"]))).alias("reasons"))
+    return folded(rows)
 
 
 def page_sources(pages: DataFrame, links: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -259,6 +259,12 @@ def r1_bm25(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
+@query()
+def r1_blocks_skipped(spark, sf_dir):
+    """How many blocks of the inverted index each question's search left unread."""
+    return retrieval.block_report(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL, _index(spark, sf_dir))
+
+
 @query("SELECT query_id, claim_id, score AS raw_score FROM v_scored WHERE base < 1")
 def r2_like(spark, sf_dir):
     return retrieval.substring(_questions(spark, sf_dir), _stored(spark, sf_dir).claims, 8 * POOL, _index(spark, sf_dir)).select("query_id", "claim_id", "raw_score")
@@ -271,6 +277,18 @@ def r3_relevance(spark, sf_dir):
     return rows.select("query_id", "claim_id", "source_id", "raw_score", F.array_contains("reasons", "bm25_fts").alias("full_text"))
 
 
+@query("""SELECT query_id, claim_id, source_id, CASE WHEN s > coalesce(t, -1) THEN page_id ELSE source_id END AS page_id, greatest(s, t) AS raw_score,
+  CASE WHEN t IS NULL OR s > t THEN 'exact_span' ELSE concat_ws(',', CASE WHEN f IS NULL OR l >= f THEN 'like_match' END, CASE WHEN f IS NOT NULL THEN 'bm25_fts' END, CASE WHEN s IS NOT NULL THEN 'exact_span' END) END AS reasons
+  FROM (SELECT *, greatest(l, f) AS t FROM (SELECT query_id, claim_id, max(score) FILTER (base < 1) AS l, max(score) FILTER (base = 1) AS f FROM v_scored GROUP BY 1, 2)
+    FULL JOIN (SELECT query_id, claim_id, page_id, raw_score AS s FROM v_span) USING (query_id, claim_id)) JOIN v_claims USING (claim_id)""")
+def r10_merged_provenance(spark, sf_dir):
+    """Substrings arrive first, then full text, then spans: a higher score replaces, another adds its reasons."""
+    c, q, index = _stored(spark, sf_dir), _questions(spark, sf_dir), _index(spark, sf_dir)
+    spans = _lists(spark, sf_dir)[2].withColumn("reasons", F.array(F.lit("exact_span")))
+    rows = retrieval.merged(retrieval.substring(q, c.claims, 8 * POOL, index), retrieval.full_text(q, c.claims, 8 * POOL, _bm25(spark, sf_dir)), spans)
+    return rows.withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("SELECT query_id, claim_id, page_id, raw_score FROM v_alias")
 def r4_alias_title(spark, sf_dir):
     return retrieval.alias_title(_questions(spark, sf_dir), _stored(spark, sf_dir), POOL, index=_index(spark, sf_dir)).select("query_id", "claim_id", "page_id", "raw_score")
