@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import query_terms as Q
 from .functions import text as T
-from .operators import answers, applying, assembly, evaluation, ingest, quality, retrieval, selection, upsert
+from .operators import answers, applying, assembly, evaluation, ingest, patches, quality, retrieval, selection, upsert
 from .plans import catalog as C
 from .plans.store import keep, remembered
 from .sources import documents as D
@@ -571,6 +571,37 @@ def p19_patch_checks(spark, sf_dir):
     return assembly.patch_problems(pages.select("page_id", "page_type", path.alias("target_path"), content.alias("content")))
 
 
+_PATCHES = f"""SELECT source_id, lang, title, [line1, line2] AS heads, list_concat(coalesce(cs, []), ['clm_' || lang]) AS claim_ids FROM v_sources
+  JOIN (SELECT source_id, coalesce(max(text) FILTER (line = 1), '') AS line1, coalesce(max(text) FILTER (line = 2), '') AS line2 FROM v_lines GROUP BY 1) USING (source_id)
+  LEFT JOIN (SELECT source_id, list(claim_id ORDER BY claim_id) AS cs FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY claim_id) AS n FROM v_claims) WHERE n <= 2 GROUP BY 1) USING (source_id)"""
+
+
+@query(f"""SELECT * FROM (WITH p AS ({_PATCHES}), h AS (SELECT source_id, unnest(heads) AS line FROM p), u AS (SELECT source_id, unnest(claim_ids) AS claim_id FROM p),
+  f AS (SELECT source_id, 'head line ' || line AS fault FROM h WHERE NOT contains(line, ':') AND {strip("line")} <> ''
+    UNION ALL SELECT source_id, 'no field source_count' FROM p UNION ALL SELECT source_id, 'no field updated_at' FROM p
+    UNION ALL SELECT source_id, 'aliases is no list' FROM p WHERE contains(title, '"')
+    UNION ALL SELECT source_id, 'page types differ' FROM p WHERE lang = 'en' UNION ALL SELECT source_id, 'unknown page type ' || lang FROM p WHERE lang <> 'en'
+    UNION ALL SELECT source_id, 'page types differ' FROM p WHERE lang <> 'en'
+    UNION ALL SELECT source_id, 'no section ' || s FROM (SELECT source_id, unnest(['Overview', 'Aliases', 'Relationships', 'Supporting Sources', 'Open Questions']) AS s FROM p WHERE lang = 'en')
+    UNION ALL SELECT u.source_id, CASE WHEN c.claim_id IS NULL THEN 'unknown claim ' ELSE 'weak claim ' END || u.claim_id FROM u LEFT JOIN v_claims c USING (claim_id) WHERE coalesce(c.confidence_status, 'weak') <> 'cited'
+    UNION ALL SELECT u.source_id, 'no cited claims' FROM u LEFT JOIN v_claims c USING (claim_id) GROUP BY 1 HAVING count(*) FILTER (c.confidence_status = 'cited') = 0)
+  SELECT DISTINCT source_id AS page_id, fault FROM f)""")
+def p19_patch_faults(spark, sf_dir):
+    """Patches with the first lines of each document in their heads, its title as an alias and its language as the page's type, entity for English."""
+    c = _stored(spark, sf_dir)
+    lines = F.split("text", "\n")
+    first = lambda n: F.coalesce(F.get(lines, F.lit(n)), F.lit(""))
+    kind = F.when(F.col("lang") == "en", "entity").otherwise(F.col("lang"))
+    top = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), "title"), first(0), first(1), F.concat(F.lit("page_type: "), kind), F.concat(F.lit('aliases: ["'), "title", F.lit('"]')), F.lit("claim_ids: []"), F.lit("title: 'x'"))
+    own = retrieval.first_by_id(c.claims, "source_id", 2).groupBy("source_id").agg(F.array_sort(F.collect_list("claim_id")).alias("own"))
+    ids = F.array_append(F.coalesce("own", F.array().cast("array<string>")), F.concat(F.lit("clm_"), "lang"))
+    rows = c.sources.join(own, "source_id", "left").select(
+        F.col("source_id").alias("page_id"), F.lit("upsert_page").alias("action"), F.lit("source").alias("page_type"), F.concat(F.lit("wiki/"), "source_id", F.lit(".md")).alias("target_path"),
+        F.concat(top, F.lit("\n---\n## Key Claims\n")).alias("content"), ids.alias("claim_ids"),
+    )
+    return patches.patch_faults(rows, c.claims)
+
+
 @query("SELECT source_id AS page_id, 'Claims' AS section, count(claim_id) FILTER (confidence_status = 'cited')::BIGINT AS items FROM v_sources LEFT JOIN v_claims USING (source_id) GROUP BY 1")
 def a18_section_items(spark, sf_dir):
     c = _stored(spark, sf_dir)
