@@ -6,16 +6,17 @@ conversations and events tables, from which the catalog is derived.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import query_terms as Q
 from .functions import text as T
-from .operators import answers, applying, assembly, evaluation, ingest, patches, quality, retrieval, selection, upsert
+from .operators import answers, applying, assembly, evaluation, ingest, patches, quality, replies, retrieval, selection, upsert
 from .plans import catalog as C
-from .plans.store import keep, remembered
+from .plans.store import folder, keep, remembered
 from .sources import documents as D
 from .sqlviews import build, strip
 
@@ -999,3 +1000,70 @@ def r15_rerank_dispatch(spark, sf_dir):
   FROM ({_CASES})""")
 def e13_report_lines(spark, sf_dir):
     return evaluation.report_lines(_cases(spark, sf_dir))
+
+
+_CITE = """'{"claim_id": "' || claim_id || '", "source_id": "' || source_id || '", "citation_locator": "' || CASE WHEN confidence_status = 'weak' AND n = 3 THEN claim_text ELSE citation_locator END || '"}'"""
+_REPLY = """'{"short_answer": "' || title || '", "analysis": null, "uncertainties": ["' || lang || '", " "], "citations": ' || CASE WHEN copies > 1 THEN '{}' ELSE '[' || coalesce(cites, '') || ']' END || ', "suggested_title": 7}'"""
+
+
+@query(f"""SELECT * FROM (WITH f AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY claim_id) AS n FROM v_claims),
+  r0 AS (SELECT source_id, lang, {_REPLY} AS whole FROM v_sources LEFT JOIN (SELECT source_id, string_agg({_CITE}, ', ' ORDER BY n) AS cites FROM f WHERE n <= 4 GROUP BY 1) USING (source_id)),
+  r1 AS (SELECT source_id, CASE lang WHEN 'de' THEN 'Here: ' || whole WHEN 'fr' THEN '[' || whole || ']' ELSE whole END AS first, whole FROM r0),
+  r2 AS (SELECT source_id, NOT json_valid(first) AS repaired, CASE WHEN json_valid(first) THEN first ELSE whole END AS reply FROM r1),
+  r3 AS (SELECT *, CASE WHEN NOT json_valid(reply) THEN 'not JSON' WHEN json_type(reply) <> 'OBJECT' THEN 'no object' WHEN json_type(reply, '$.citations') <> 'ARRAY' THEN 'citations are no list' END AS problem FROM r2),
+  e AS (SELECT source_id, unnest(json_extract(reply, '$.citations[*]')) AS c, unnest(range(len(json_extract(reply, '$.citations[*]')))) AS place FROM r3 WHERE problem IS NULL),
+  w AS (SELECT e.source_id, place, e.c ->> '$.claim_id' AS claim_id, CASE WHEN f.claim_id IS NULL THEN 'claim outside the evidence ' WHEN e.c ->> '$.citation_locator' <> f.citation_locator THEN 'other locator of ' END AS wrong
+    FROM e LEFT JOIN f ON n <= 3 AND f.source_id = e.source_id AND f.claim_id = e.c ->> '$.claim_id'),
+  b AS (SELECT source_id, arg_min(wrong || claim_id, place) FILTER (wrong IS NOT NULL) AS wrong, count(*)::BIGINT AS n, string_agg(claim_id, ',' ORDER BY place) AS cited FROM w GROUP BY 1),
+  s AS (SELECT r3.*, b.*, coalesce(problem, wrong, CASE WHEN n IS NULL THEN 'nothing cited' END) AS warning FROM r3 LEFT JOIN b ON b.source_id = r3.source_id)
+  SELECT source_id AS answer_id, CASE WHEN problem IS NOT NULL THEN 'llm_failed' WHEN warning IS NOT NULL THEN 'invalid_citations' ELSE 'answered' END AS status, warning, repaired,
+    CASE WHEN problem IS NULL THEN reply ->> '$.short_answer' END AS answer, CASE WHEN problem IS NULL THEN '' END AS analysis, CASE WHEN problem IS NULL THEN '7' END AS title,
+    CASE WHEN problem IS NULL THEN reply ->> '$.uncertainties[0]' ELSE '' END AS notes, CASE WHEN warning IS NULL THEN cited END AS cited FROM s)""")
+def m7_settled_replies(spark, sf_dir):
+    """Replies put together from titles and claims as they stand: quotes break them, some have prose around or are lists, cite a claim too many or a text as its place."""
+    c = _stored(spark, sf_dir)
+    first = retrieval.first_by_id(c.claims, "source_id", 4)
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("claim_id"))
+    first = keep(first.withColumn("n", place), "cited")
+    cites = first.select("source_id", F.struct("n", F.expr(_CITE).alias("cite")).alias("c")).groupBy("source_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    cites = cites.select("source_id", F.array_join(F.transform("cs", lambda x: x["cite"]), ", ").alias("cites"))
+    whole = c.sources.join(cites, "source_id", "left").select(F.col("source_id").alias("answer_id"), "lang", F.expr(_REPLY).alias("repair"))
+    reply = F.when(F.col("lang") == "de", F.concat(F.lit("Here: "), "repair")).when(F.col("lang") == "fr", F.concat(F.lit("["), "repair", F.lit("]"))).otherwise(F.col("repair"))
+    contexts = first.filter("n <= 3").select(F.col("source_id").alias("answer_id"), "claim_id", "source_id", "citation_locator", F.col("source_id").alias("page_path"))
+    rows = replies.settled(keep(whole.select("answer_id", reply.alias("reply"), "repair"), "replies"), contexts)
+    cited = F.array_join(F.transform("citations", lambda x: x["claim_id"]), ",").alias("cited")
+    return rows.select("answer_id", "status", "warning", "repaired", "answer", "analysis", "title", F.array_join("uncertainties", ",").alias("notes"), cited)
+
+
+_PAGE = r"""SELECT s.source_id AS page_id, '---' || chr(10) || 'page_id: ' || s.source_id || chr(10) || 'title: "' || replace(replace(title, '\', '\\'), '"', '\"') || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '## Claims' || chr(10) || coalesce(body, '') AS content
+  FROM v_sources s LEFT JOIN (SELECT source_id, string_agg('- ' || claim_text || ' [' || claim_id || '; ' || citation_locator || ']', chr(10) ORDER BY line) AS body FROM v_claims WHERE confidence_status = 'cited' GROUP BY 1) b ON b.source_id = s.source_id"""
+_STAGED = {
+    "claims": "SELECT sha256(concat_ws('|', 'run_' || source_id, claim_id, source_id, claim_text, citation_locator, confidence_status, created_at)) AS h FROM v_claims",
+    "patches": f"SELECT sha256(concat_ws('|', 'run_' || page_id, 'upsert_page', page_id, content)) AS h FROM ({_PAGE})",
+    "manifests": "SELECT sha256(concat_ws('|', 'run_' || source_id, source_id, 'staged')) AS h FROM v_sources",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS relation, n AS rows, n AS lines, 0::BIGINT AS broken, sha256(concat_ws(':', n, p0, p1, p2, p3)) AS fingerprint FROM (SELECT count(*) AS n, {_PARTS} FROM ({sql}))" for name, sql in _STAGED.items()))
+def s17_staged_runs(spark, sf_dir):
+    """Runs of all sources written as JSON lines and read back with the numbers of their lines."""
+    c = _stored(spark, sf_dir)
+    run = F.concat(F.lit("run_"), "source_id")
+    pages = ingest.rendered(ingest.patches(c.sources, c.claims), c.claims).join(c.sources.select(F.col("source_id").alias("page_id"), "title"), "page_id")
+    none = F.lit(None).cast("string")
+    staged = {
+        "claims": c.claims.withColumn("run_id", run),
+        "patches": pages.select(
+            F.concat(F.lit("run_"), "page_id").alias("run_id"), F.lit("upsert_page").alias("action"), "page_id", "page_type", "title", none.alias("target_path"), "content", F.array().cast("array<string>").alias("claim_ids")
+        ),
+        "manifests": c.sources.select(run.alias("run_id"), "source_id", F.lit("staged").alias("status"), none.alias("created_at")),
+    }
+    path = f"{folder(spark)}/staged-{uuid.uuid4().hex}"
+    D.write_staged(staged, path)
+    shown = {"claims": ["run_id", "claim_id", "source_id", "claim_text", "citation_locator", "confidence_status", "created_at"], "patches": ["run_id", "action", "page_id", "content"], "manifests": ["run_id", "source_id", "status"]}
+    out = None
+    for name, back in D.read_staged(spark, path).items():
+        last = back.groupBy("file").agg(F.max("line").alias("last"), F.count("error").alias("broken")).agg(F.sum("last").alias("lines"), F.sum("broken").alias("broken"))
+        part = quality.fingerprint(back, shown[name]).crossJoin(last).withColumn("relation", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -53,15 +53,52 @@ def claims(sources: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("_", F.lit("clm"), "source_id", F.col("line").cast("string")).alias("claim_id"), "source_id", T.strip(F.col("text")).alias("claim_text"), locator.alias("citation_locator"), "line")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of the text files under a path, which Spark splits into ranges of bytes, however long a file is.
+
+    A line's number is its place within its range, as rows of a range are read in order by one task, and the lines of the
+    ranges before it: only one count of each range is summed up.  Lines end with a line feed.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select("value", *meta, F.monotonically_increasing_id().alias("place"))
+    ranges = rows.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("start")) - F.col("lines")
+    ranges = ranges.select("file", "start", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(ranges, ["file", "start"]).select("file", (F.col("place") + F.col("shift")).alias("line"), "value")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file with its name and line number; blank lines are left out, broken ones have ``error``."""
+    """Rows of JSON-lines files with file name and line number; blank lines are left out, those that hold no JSON object have ``error``.
+
+    A file is read in ranges, so it may be of any length; see ``numbered_lines``.
+    """
     from pyspark.sql.types import StructType
 
     kind = StructType.fromDDL(schema + ", _corrupt string")
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "json")).filter(T.strip(F.col("json")) != "")
-    parsed = files.withColumn("row", F.from_json("json", kind, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
-    error = F.when(F.col("row._corrupt").isNotNull(), F.concat(F.element_at(F.split("file", "/"), -1), F.lit(":"), F.col("line") + 1, F.lit(": not JSON")))
-    return parsed.select("file", (F.col("line") + 1).alias("line"), error.alias("error"), *[F.col(f"row.{f.name}") for f in kind if f.name != "_corrupt"])
+    lines = numbered_lines(spark, path).filter(T.strip(F.col("value")) != "")
+    parsed = lines.withColumn("row", F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
+    error = F.when(F.col("row._corrupt").isNotNull(), F.concat(F.element_at(F.split("file", "/"), -1), F.lit(":"), F.col("line"), F.lit(": not JSON")))
+    return parsed.select("file", "line", error.alias("error"), *[F.col(f"row.{f.name}") for f in kind if f.name != "_corrupt"])
+
+
+#: What is kept of a staged run, and its columns.
+STAGED = {
+    "claims": "run_id string, claim_id string, source_id string, claim_text string, citation_locator string, confidence_status string, created_at string",
+    "patches": "run_id string, action string, page_id string, page_type string, title string, target_path string, content string, claim_ids array<string>",
+    "manifests": "run_id string, source_id string, status string, created_at string",
+}
+
+
+def write_staged(staged: dict[str, DataFrame], path: str) -> None:
+    """Claims, patches and manifests of staged runs as JSON lines, a folder for each; nulls are written too."""
+    for name, rows in staged.items():
+        columns = [part.split(" ")[0] for part in STAGED[name].split(", ")]
+        rows.select(columns).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+
+
+def read_staged(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Each relation of ``write_staged`` with file, line and error; a line that is broken has nothing else."""
+    return {name: read_json_lines(spark, f"{path}/{name}", schema) for name, schema in STAGED.items()}
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
