@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.query_terms import analyze
+from ..plans.store import keep
+from . import retrieval, selection
 
 #: Coverages that ask for one thing at a time, and keys that only retrieval may fill.
 EACH = ("per_entity", "per_source", "multiple_sources")
@@ -28,6 +31,41 @@ def merged_filters(subqueries: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("plan_id", "place", *[F.coalesce(given(c), given(f"_{c}")).alias(c) for c in names])
 
 
+def execute_plans(plans: DataFrame, subqueries: DataFrame, asked: DataFrame, catalog, limit: int = 8, pool: int = 80, vectors: DataFrame | None = None, index=None) -> tuple[DataFrame, DataFrame]:
+    """All subqueries of all plans retrieved in one batch, each with its own filters: the plans' contexts and their steps.
+
+    plans(plan_id, intent, coverages), subqueries(plan_id, place, query, purpose, source_id, page_type, confidence), asked
+    (plan_id and the three filters, which count where a subquery's are empty); vectors are hits (plan_id, place,
+    chunk_id, score).  Contexts are those of ``selection.merge_planned`` with purposes and reasons; steps are plan_id,
+    place, mode, context_count and the filters of each subquery.  A null query finds nothing and is a step all the same.
+    """
+    key = F.concat_ws(":", "plan_id", "place").alias("query_id")
+    wanted = keep(merged_filters(subqueries, asked).select("plan_id", "place", key, "source_id", "page_type", "confidence"), "filters")
+    rows = subqueries.select(key, "plan_id", "place", F.coalesce("query", F.lit("")).alias("question"), F.coalesce("purpose", F.lit("")).alias("purpose"))
+    questions = keep(analyze(rows.select("query_id", "question"), catalog.aliases.select(F.col("alias").alias("term"))), "questions")
+    hits = None if vectors is None else vectors.select(key, "chunk_id", "score")
+    found = retrieval.hybrid(questions, catalog, pool, pool, hits, {"each": retrieval.filters_of(wanted)}, index=index)
+
+    many = rows.groupBy("plan_id").agg(F.count("*").alias("subqueries"))
+    forced = planned_mode(plans.join(many, "plan_id", "left").withColumn("subqueries", F.coalesce("subqueries", F.lit(0))))
+    related = selection.related(found, catalog.relationships).filter(F.col("relationship_type") == "contradicts")
+    against = related.select("query_id").distinct().withColumn("_against", F.lit(True))
+    modes = wanted.join(forced.withColumnRenamed("mode", "_forced"), "plan_id", "left").join(questions.select("query_id", "catalog_terms"), "query_id").join(against, "query_id", "left")
+    chosen = selection.mode(F.col("catalog_terms"), F.coalesce("_against", F.lit(False)), F.col("_forced"), F.col("source_id"))
+    modes = keep(modes.select("query_id", chosen.alias("mode")), "modes")
+
+    evidence = related.filter(F.col("evidence_claim_id") == F.col("claim_id")).select("query_id", "claim_id", F.lit(True).alias("contradiction")).distinct()
+    scored = selection.reranked(found).join(evidence, ["query_id", "claim_id"], "left").withColumn("contradiction", F.coalesce("contradiction", F.lit(False)))
+    selected = keep(selection.select_evidence(scored.join(modes, "query_id"), limit).select("query_id", "rank", "claim_id", "rerank_score", "reasons"), "selected")
+    parts = selected.join(rows, "query_id").join(many, "plan_id")
+    contexts = selection.merge_planned(
+        parts.select("plan_id", F.col("place").alias("subquery"), "subqueries", "rank", "claim_id", F.col("rerank_score").alias("score"), F.col("question").alias("query"), "purpose", "reasons"), limit
+    )
+    count = selected.groupBy("query_id").agg(F.count("*").alias("context_count"))
+    steps = wanted.join(modes, "query_id").join(count, "query_id", "left").withColumn("context_count", F.coalesce("context_count", F.lit(0)))
+    return contexts, steps.select("plan_id", "place", "mode", "context_count", "source_id", "page_type", "confidence")
+
+
 def forged(plans: DataFrame) -> DataFrame:
     """plan_id, keys: plans (plan_id, reply) that hold keys which only retrieval may fill, at any depth."""
     keys = T.json_keys(F.coalesce(T.bare_object(F.col("reply")), F.lit("")), EVIDENCE_KEYS)

@@ -183,6 +183,18 @@ def _units(pages: DataFrame, catalog, index: Index, size: int, source_id: str |
     return behind.join(index.units, "source_id").withColumn("place", place).filter(F.col("place") <= size).drop("place")
 
 
+def _own_units(named: DataFrame, catalog, index: Index, size: int, each: DataFrame) -> DataFrame:
+    """named(query_id, page_id, base) with the first units behind each page: of the one source that a question asks for, or of all."""
+    named = named.join(each.select("query_id", "want_source"), "query_id", "left")
+    any_, one = named.filter("want_source IS NULL").drop("want_source"), named.filter("want_source IS NOT NULL")
+    behind = page_sources(catalog.pages, catalog.links, catalog.relationships).withColumnRenamed("source_id", "want_source")
+    pairs = one.select("page_id", "want_source").distinct().join(behind, ["page_id", "want_source"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("page_id", "want_source").orderBy("least", "slot"))
+    units = pairs.join(index.units.withColumnRenamed("source_id", "want_source"), "want_source").withColumn("place", place).filter(F.col("place") <= size).drop("place")
+    mine = one.join(units, ["page_id", "want_source"]).withColumnRenamed("want_source", "source_id")
+    return any_.join(_units(any_, catalog, index, size), "page_id").unionByName(mine)
+
+
 def _placed(units: DataFrame, size: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "least", "source_id", "slot"))
     return units.withColumn("place", place).filter(F.col("place") <= size)
@@ -192,19 +204,26 @@ def _of_open(rows: DataFrame, open_: DataFrame | None) -> DataFrame:
     return rows if open_ is None else rows.join(open_, "query_id", "left_semi")
 
 
-def _best_of_sources(named: DataFrame, catalog, held: DataFrame, limit: int, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None) -> DataFrame:
+def _best_of_sources(named: DataFrame, catalog, held: DataFrame, limit: int, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None, each: DataFrame | None = None) -> DataFrame:
     """The best claims of the sources in named(query_id, source_id, page_id, base) with their ``bonuses``; without one a claim has the base.
 
     Claims at the base are in the order of their ids, so those of the first ``limit`` sources by base and smallest
     claim decide: no question meets all claims of all its sources but those that hold its terms.
     """
-    named = filtered(named, catalog, source_id, page_type)
-    claims = filtered(catalog.claims, catalog, confidence=confidence).select("source_id", "claim_id")
-    scored = filtered(named.join(held, ["source_id", "query_id"]), catalog, confidence=confidence)
+    named = filtered(named, catalog, source_id, page_type, each=None if each is None else each.drop("want_confidence"))
+    claims = filtered(catalog.claims, catalog, confidence=confidence).select("source_id", "claim_id", "confidence_status")
+    scored = filtered(named.join(held, ["source_id", "query_id"]), catalog, confidence=confidence, each=each)
     scored = scored.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), F.col("bonus")).alias("raw_score"))
-    least = named.join(claims.groupBy("source_id").agg(F.min("claim_id").alias("least")), "source_id")
+    if each is None:
+        least = named.join(claims.groupBy("source_id").agg(F.min("claim_id").alias("least")), "source_id")
+    else:
+        ways = claims.select("source_id", "claim_id", F.explode(F.array("confidence_status", F.lit("any"))).alias("_way"))
+        ways = ways.groupBy("source_id", "_way").agg(F.min("claim_id").alias("least"))
+        wanted = each.select("query_id", F.coalesce("want_confidence", F.lit("any")).alias("_way"))
+        least = named.join(wanted, "query_id").join(ways, ["source_id", "_way"]).drop("_way")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "least"))
-    first = least.withColumn("place", place).filter(F.col("place") <= limit).join(claims, "source_id")
+    first = least.withColumn("place", place).filter(F.col("place") <= limit).join(claims.drop("confidence_status"), "source_id")
+    first = filtered(first, catalog, each=each)
     bare = first.select("query_id", "claim_id", "source_id", "page_id", F.col("base").alias("raw_score"))
     both = ranked(scored, "raw_score", limit).drop("rank").unionByName(bare)
     return ranked(both.groupBy("query_id", "claim_id", "source_id", "page_id").agg(F.max("raw_score").alias("raw_score")), "raw_score", limit)
@@ -232,14 +251,18 @@ def _alias_title(questions: DataFrame, catalog, limit: int, filters: dict, index
 
     def units(named: DataFrame) -> Callable[[int, DataFrame | None], DataFrame]:
         """A source's page is the best of all that name it; of another type than asked for, it takes the source out."""
-        kind = filters.get("page_type")
+        kind, each = filters.get("page_type"), filters.get("each")
         wanted = named.join(catalog.pages.filter(F.col("page_type") == kind).select("page_id"), "page_id", "left_semi") if kind else named
+        wanted = wanted if each is None else filtered(wanted, catalog, each=each.select("query_id", "want_type"))
 
         def first(size: int, open_: DataFrame | None) -> DataFrame:
-            behind = _units(wanted, catalog, index, size, filters.get("source_id"))
-            mine = _of_open(wanted, open_).join(behind, "page_id").groupBy("query_id", "source_id", "slot", "least")
-            window = _placed(mine.agg(*best_page), size)
-            if not kind:
+            mine = _of_open(wanted, open_)
+            if each is None:
+                mine = mine.join(_units(wanted, catalog, index, size, filters.get("source_id")), "page_id")
+            else:
+                mine = _own_units(mine, catalog, index, size, each)
+            window = _placed(mine.groupBy("query_id", "source_id", "slot", "least").agg(*best_page), size)
+            if not kind and each is None:
                 return window.withColumn("kept", F.lit(True))
             window = keep(window, "units")
             met = window.select("query_id", "source_id").distinct().join(sources, "source_id").join(named, ["query_id", "page_id"])
@@ -249,7 +272,7 @@ def _alias_title(questions: DataFrame, catalog, limit: int, filters: dict, index
         return first
 
     def score(window: DataFrame) -> DataFrame:
-        rows = filtered(window.filter("kept").join(index.texts, ["source_id", "slot"]), catalog, confidence=filters.get("confidence")).join(F.broadcast(weighed), "query_id")
+        rows = filtered(window.filter("kept").join(index.texts, ["source_id", "slot"]), catalog, confidence=filters.get("confidence"), each=filters.get("each")).join(F.broadcast(weighed), "query_id")
         return rows.select("query_id", "claim_id", "source_id", "page_id", relevance(F.col("base"), matched_bonus(F.col("text"), F.col("asked"))).alias("raw_score"))
 
     def with_titles(open_: DataFrame) -> DataFrame:
@@ -352,12 +375,14 @@ def graph(seeds: DataFrame, catalog, limit: int, pool: int = 80, filters: dict |
     All have one score, so ids decide: of a key's claims that pass the filters only the first ``limit`` beside ``pool``
     seeds can be among a question's first.  A key that names a third of the sources therefore costs no more than another.
     """
-    relationships, claims = catalog.relationships, filtered(catalog.claims.withColumn("page_id", F.col("source_id")), catalog, **(filters or {}))
+    fixed = {k: v for k, v in (filters or {}).items() if k != "each"}
+    relationships, claims = catalog.relationships, filtered(catalog.claims.withColumn("page_id", F.col("source_id")), catalog, **fixed)
     keys = seeds.select("query_id", F.explode(F.array("claim_id", "source_id", "page_id")).alias("key")).distinct()
     sides = relationships.select(F.explode(F.array_distinct(F.array_compact(F.array("subject_id", "object_id", "evidence_claim_id", "source_id")))).alias("key"), F.array_compact(F.array("subject_id", "object_id", "source_id")).alias("nodes"))
     near = sides.join(keys.select("key").distinct(), "key", "left_semi").select("key", F.explode("nodes").alias("source_id")).filter(F.col("source_id").startswith("src_")).distinct()
-    first = first_by_id(near.join(claims.select("claim_id", "source_id"), "source_id"), "key", limit + pool)
-    found = keys.join(first, "key").select("query_id", "claim_id", "source_id").distinct().join(seeds.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti")
+    near = near.join(claims.select("claim_id", "source_id"), "source_id")
+    first, keys = _first_passing(near, keys, "key", limit + pool, catalog, (filters or {}).get("each"))
+    found = keys.join(first, "_of").select("query_id", "claim_id", "source_id").distinct().join(seeds.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti")
     rows = found.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), F.lit(RELATED).alias("raw_score"), F.array(F.lit("graph_relationship")).alias("reasons"), F.lit("graph").alias("retriever"))
     return ranked(rows, "raw_score", limit).drop("rank")
 
@@ -396,13 +421,16 @@ def vector_candidates(hits: DataFrame, catalog, limit: int, filters: dict | None
     """
     kind, key = F.substring_index("chunk_id", ":", 1), F.expr("substring(chunk_id, instr(chunk_id, ':') + 1)")
     rows = hits.select("query_id", kind.alias("kind"), key.alias("key"), "score")
-    claims = filtered(catalog.claims.withColumn("page_id", F.col("source_id")), catalog, **(filters or {})).select("claim_id", "source_id")
+    fixed, each = {k: v for k, v in (filters or {}).items() if k != "each"}, (filters or {}).get("each")
+    claims = filtered(catalog.claims.withColumn("page_id", F.col("source_id")), catalog, **fixed).select("claim_id", "source_id")
     own = rows.filter(F.col("kind") == "claim").select("query_id", F.col("key").alias("claim_id"), F.round("score", 6).alias("raw_score"), F.lit("claim").alias("kind")).join(claims, "claim_id")
+    own = filtered(own.withColumn("page_id", F.col("source_id")), catalog, each=each).select("query_id", "claim_id", "raw_score", "kind", "source_id")
     pages = page_sources(catalog.pages, catalog.links, catalog.relationships).select(F.lit("page_title").alias("kind"), F.col("page_id").alias("key"), "source_id")
     behind = pages.unionByName(catalog.sources.select(F.lit("source_title").alias("kind"), F.col("source_id").alias("key"), "source_id"))
     behind = behind.join(rows.select("kind", "key").distinct(), ["kind", "key"], "left_semi").withColumn("of", F.concat_ws(":", "kind", "key"))
-    first = first_by_id(behind.join(claims, "source_id"), "of", limit)
-    titled = rows.join(first, ["kind", "key"]).select("query_id", "claim_id", "source_id", F.round(F.lit(0.8) * F.col("score"), 6).alias("raw_score"), "kind")
+    titles = rows.filter(F.col("kind") != "claim").withColumn("of", F.concat_ws(":", "kind", "key"))
+    first, titles = _first_passing(behind.join(claims, "source_id").select("of", "claim_id", "source_id"), titles, "of", limit, catalog, each)
+    titled = titles.join(first, "_of").select("query_id", "claim_id", "source_id", F.round(F.lit(0.8) * F.col("score"), 6).alias("raw_score"), "kind")
     best = own.unionByName(titled).groupBy("query_id", "claim_id", "source_id").agg(F.max("raw_score").alias("raw_score"), F.max_by("kind", F.struct("raw_score", (F.col("kind") == "claim").alias("own"), "kind")).alias("kind"))
     reasons = F.when(F.col("kind") == "claim", F.array(F.lit("vector_semantic"))).otherwise(F.array(F.lit("vector_semantic"), F.concat(F.lit("vector_chunk:"), "kind")))
     out = best.select("query_id", "claim_id", "source_id", F.col("source_id").alias("page_id"), "raw_score", reasons.alias("reasons"), F.lit("vector").alias("retriever"))
@@ -462,11 +490,50 @@ def lexical(questions: DataFrame, catalog, pool: int, filters: dict | None = Non
     return [keep(x.select(*CANDIDATE), "candidates") for x in lists]
 
 
-def filtered(rows: DataFrame, catalog, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None) -> DataFrame:
-    """Rows with claim_id, source_id and page_id that pass the filters that are given; empty ones do not count."""
+def _first_passing(claims: DataFrame, asking: DataFrame, key: str, limit: int, catalog, each: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The first claims by id of each key that pass the filters of those who ask for it, and ``asking``, both with _of, which joins them.
+
+    Questions with equal filters share a key's claims; a key that leads to a third of them is cut for each set of filters.
+    """
+    if each is None:
+        first = first_by_id(claims, key, limit).withColumnRenamed(key, "_of").select("_of", "claim_id", "source_id")
+        return first, asking.withColumn("_of", F.col(key))
+    wants = [c for c in ("want_source", "want_type", "want_confidence") if c in each.columns]
+    named = F.to_json(F.struct(F.col(key).alias("key"), *wants)).alias("_of")
+    asking = asking.join(each, "query_id", "left").withColumn("_of", named)
+    sets = asking.select(key, "_of", *wants).distinct()
+    rows = claims.join(sets, key).withColumn("page_id", F.col("source_id"))
+    first = first_by_id(_passing(rows, catalog), "_of", limit)
+    return first.select("_of", "claim_id", "source_id"), asking.drop(*wants)
+
+
+def _passing(rows: DataFrame, catalog) -> DataFrame:
+    """Rows that pass the filters which stand beside them (want_source, want_type, want_confidence), null for any."""
+    if "want_source" in rows.columns:
+        rows = rows.filter(F.col("want_source").isNull() | (F.col("want_source") == F.col("source_id"))).drop("want_source")
+    if "want_type" in rows.columns:
+        kinds = catalog.pages.select("page_id", F.col("page_type").alias("want_type"), F.lit(True).alias("_passes")).distinct()
+        rows = rows.join(kinds, ["page_id", "want_type"], "left").filter(F.col("want_type").isNull() | F.col("_passes")).drop("want_type", "_passes")
+    if "want_confidence" in rows.columns:
+        kinds = catalog.claims.select("claim_id", F.col("confidence_status").alias("want_confidence"), F.lit(True).alias("_passes")).distinct()
+        rows = rows.join(kinds, ["claim_id", "want_confidence"], "left").filter(F.col("want_confidence").isNull() | F.col("_passes")).drop("want_confidence", "_passes")
+    return rows
+
+
+def filters_of(wanted: DataFrame) -> DataFrame:
+    """Filters (query_id, source_id, page_type, confidence) of each question as ``each`` of ``filtered`` takes them; empty ones do not count."""
+    given = lambda c, name: F.when(F.col(c) != "", F.col(c)).alias(name)
+    return wanted.select("query_id", given("source_id", "want_source"), given("page_type", "want_type"), given("confidence", "want_confidence")).dropDuplicates(["query_id"])
+
+
+def filtered(rows: DataFrame, catalog, source_id: str | None = None, page_type: str | None = None, confidence: str | None = None, each: DataFrame | None = None) -> DataFrame:
+    """Rows with claim_id, source_id and page_id that pass the filters that are given; empty ones do not count.
+
+    ``each`` holds filters of every question (``filters_of``), so that a batch of questions may differ in them.
+    """
     rows = rows.filter(F.col("source_id") == source_id) if source_id else rows
     if page_type:
         rows = rows.join(catalog.pages.filter(F.col("page_type") == page_type).select("page_id"), "page_id", "left_semi")
     if confidence:
         rows = rows.join(catalog.claims.filter(F.col("confidence_status") == confidence).select("claim_id"), "claim_id", "left_semi")
-    return rows
+    return rows if each is None else _passing(rows.join(each, "query_id", "left"), catalog)

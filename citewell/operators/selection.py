@@ -139,16 +139,26 @@ def relationship_label(candidates: DataFrame, relationships: DataFrame) -> DataF
 def merge_planned(contexts: DataFrame, limit: int, most: int = 32) -> DataFrame:
     """Contexts (plan_id, subquery, subqueries, rank, claim_id, score, query) of a plan's subqueries in turn, each claim once.
 
-    Round robin is order by rank, then subquery; a claim keeps its first row, all its queries and its best score.
+    Round robin is order by rank, then subquery; a claim keeps its first row, all its queries and its best score.  Its
+    lineage is in that order: queries and indexes, purposes (blank ones left out) and reasons, the last two only if the
+    contexts have ``purpose`` and ``reasons`` (array).
     """
     first = F.struct("rank", "subquery")
+    more = [c for c in ("purpose", "reasons") if c in contexts.columns]
     grouped = contexts.groupBy("plan_id", "claim_id").agg(
         F.min(first).alias("first"), F.max("score").alias("score"), F.max("subqueries").alias("subqueries"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "subquery", "query"))), lambda x: x["query"]).alias("queries"),
+        F.array_sort(F.collect_list(F.struct("rank", "subquery", "query", *more))).alias("steps"),
     )
     place = F.row_number().over(Window.partitionBy("plan_id").orderBy("first.rank", "first.subquery", "claim_id"))
     budget = F.least(F.greatest(F.lit(limit), F.lit(limit) * F.col("subqueries")), F.lit(most))
-    return grouped.withColumn("merged_rank", place).filter(F.col("merged_rank") <= budget).select("plan_id", "merged_rank", "claim_id", F.col("first.subquery").alias("subquery_index"), "score", F.array_distinct("queries").alias("queries"))
+    each = lambda c: F.transform("steps", lambda x: x[c])
+    lineage = [F.array_distinct(each("query")).alias("queries"), F.array_distinct(each("subquery")).alias("indexes")]
+    if "purpose" in more:
+        lineage.append(F.array_distinct(F.filter(each("purpose"), lambda x: x != "")).alias("purposes"))
+    if "reasons" in more:
+        lineage.append(F.array_distinct(F.flatten(each("reasons"))).alias("reasons"))
+    kept = grouped.withColumn("merged_rank", place).filter(F.col("merged_rank") <= budget)
+    return kept.select("plan_id", "merged_rank", "claim_id", F.col("first.subquery").alias("subquery_index"), "score", *lineage)
 
 
 def citation_problems(citations: DataFrame, contexts: DataFrame) -> DataFrame:

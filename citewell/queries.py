@@ -18,6 +18,7 @@ from .operators import answers, applying, assembly, evaluation, ingest, patches,
 from .plans import catalog as C
 from .plans.store import folder, keep, remembered
 from .sources import documents as D
+from . import sqlviews
 from .sqlviews import build, strip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1067,3 +1068,60 @@ def s17_staged_runs(spark, sf_dir):
         part = quality.fingerprint(back, shown[name]).crossJoin(last).withColumn("relation", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_PART = "CASE WHEN query_id % 3 = 0 THEN 1000 + query_id ELSE query_id // 3 END"
+_WANTED = f"""SELECT query_id, {_PART} AS plan_id, query_id AS place, CASE WHEN query_id % 7 = 3 THEN (SELECT min(source_id) FROM v_sources) END AS want_source,
+  CASE query_id % 4 WHEN 0 THEN 'source' WHEN 1 THEN 'concept' END AS want_type, CASE query_id % 3 WHEN 0 THEN 'cited' ELSE CASE WHEN ({_PART}) % 2 = 0 THEN 'weak' END END AS want_confidence FROM v_q"""
+_OWN_FILTERS = {
+    name: sqlviews.VIEWS[name].replace("v_claims_kept USING (", "v_claims_kept USING (query_id, ").replace("v_pages_kept USING (", "v_pages_kept USING (query_id, ") for name in ("v_alias", "v_span", "v_lists", "v_vectors", "v_graph")
+} | {
+    "v_wanted": _WANTED,
+    "v_claims_kept": "SELECT query_id, c.* FROM v_wanted JOIN v_claims c ON coalesce(want_source, source_id) = source_id AND coalesce(want_confidence, confidence_status) = confidence_status",
+    "v_pages_kept": "SELECT query_id, p.* FROM v_wanted JOIN v_pages p ON coalesce(want_type, page_type) = page_type",
+    "v_own_kept": "SELECT c.* FROM v_claims_kept c SEMI JOIN v_pages_kept p ON p.query_id = c.query_id AND p.page_id = c.source_id",
+    "v_modes": """SELECT w.*, n, CASE WHEN n > 1 THEN 'focused' WHEN a.query_id IS NOT NULL THEN 'conflict' WHEN want_source IS NOT NULL OR t = 1 THEN 'focused' WHEN t > 1 THEN 'comparison' ELSE 'broad' END AS mode
+      FROM (SELECT *, count(*) OVER (PARTITION BY plan_id) AS n FROM v_wanted) w LEFT JOIN (SELECT query_id, count(*) AS t FROM v_cat GROUP BY 1) USING (query_id)
+      LEFT JOIN (SELECT DISTINCT query_id FROM v_related WHERE relationship_type = 'contradicts') a USING (query_id)""",
+    "v_picked": " UNION ALL ".join(f"SELECT b.* FROM ({sql}) b JOIN v_modes m USING (query_id) WHERE mode IN ({modes})" for sql, modes in ((_BROAD, "'broad', 'comparison'"), (_FOCUSED, "'focused'"), (_CONFLICT, "'conflict'"))),
+}
+for _name in ("v_vectors", "v_graph"):
+    _OWN_FILTERS[_name] = _OWN_FILTERS[_name].replace("v_claims_kept", "v_own_kept")
+
+
+def _executed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each question is a subquery of a plan of up to two, with filters of its own and of its plan."""
+    c = _stored(spark, sf_dir)
+    tables = [_read(spark, sf_dir, x) for x in ("documents", "labels", "benchmark", "embeddings")]
+
+    def make() -> list[DataFrame]:
+        key = F.col("query_id")
+        plan = F.when(key % 3 == 0, 1000 + key).otherwise(F.floor(key / 3)).alias("plan_id")
+        one = c.sources.agg(F.min("source_id").alias("one"))
+        rows = _questions(spark, sf_dir).select("query_id", "question").crossJoin(F.broadcast(one))
+        parts = rows.select(
+            plan, key.alias("place"), F.col("question").alias("query"), F.when(key % 2 == 0, F.concat(F.lit("part "), key)).otherwise("").alias("purpose"), F.when(key % 7 == 3, F.col("one")).alias("source_id"),
+            F.when(key % 4 == 0, "source").when(key % 4 == 1, "concept").otherwise("").alias("page_type"), F.when(key % 3 == 0, "cited").alias("confidence"),
+        )
+        none = F.lit(None).cast("string")
+        plans = parts.select("plan_id").distinct()
+        asked = plans.select("plan_id", F.lit("").alias("source_id"), none.alias("page_type"), F.when(F.col("plan_id") % 2 == 0, "weak").otherwise("").alias("confidence"))
+        hits = _near(spark, sf_dir).select(plan, key.alias("place"), "chunk_id", "score")
+        plans = plans.select("plan_id", F.lit("lookup").alias("intent"), F.array().cast("array<string>").alias("coverages"))
+        return [keep(x, "executed") for x in answers.execute_plans(plans, parts, asked, c, LIMIT, POOL, hits, _index(spark, sf_dir))]
+
+    return remembered(spark, "executed", tables, make, lambda x: x)
+
+
+@query("""SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY r, subquery_index, claim_id) AS merged_rank, claim_id, subquery_index, score, indexes, purposes FROM (
+  SELECT plan_id, claim_id, arg_min(place, (rank, place)) AS subquery_index, min(rank) AS r, max(rerank_score) AS score, string_agg(place, ',' ORDER BY rank, place) AS indexes,
+    coalesce(string_agg('part ' || place, ',' ORDER BY rank, place) FILTER (place % 2 = 0), '') AS purposes
+  FROM v_picked JOIN v_reranked USING (query_id, claim_id) JOIN v_modes USING (query_id) GROUP BY 1, 2) QUALIFY merged_rank <= 32""", instead=_OWN_FILTERS)
+def m2_plans_executed(spark, sf_dir):
+    rows = _executed(spark, sf_dir)[0]
+    return rows.select("plan_id", "merged_rank", "claim_id", "subquery_index", "score", F.array_join("indexes", ",").alias("indexes"), F.array_join("purposes", ",").alias("purposes"))
+
+
+@query("SELECT plan_id, place, mode, coalesce(k, 0)::BIGINT AS context_count, want_source AS source_id, want_type AS page_type, want_confidence AS confidence FROM v_modes LEFT JOIN (SELECT query_id, count(*) AS k FROM v_picked GROUP BY 1) USING (query_id)", instead=_OWN_FILTERS)
+def m4_plan_steps(spark, sf_dir):
+    return _executed(spark, sf_dir)[1]
