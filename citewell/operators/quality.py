@@ -69,14 +69,42 @@ def report(catalog, contents: DataFrame) -> DataFrame:
     return out
 
 
+def title_prefixes(titles: DataFrame, counts: DataFrame) -> DataFrame:
+    """id, tokens (rarest first by counts(token, titles)), token of titles(id, title): one row for each token that can be a pair's first common one.
+
+    Similar titles share two words at least, so a pair's first common word is never the last of either: the commonest
+    word of a title leads to no candidates, however many titles hold it.
+    """
+    words = titles.select("id", F.explode(T.title_tokens(F.col("title"))).alias("token")).join(counts, "token")
+    ordered = words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("titles", "token"))), lambda x: x["token"]).alias("tokens"))
+    return ordered.select("id", "tokens", F.explode(F.slice("tokens", 1, F.size("tokens") - 1)).alias("token"))
+
+
+def similar_titles(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted_id, page_id of titles that share two words and half of the shorter one's: an overlap join with a prefix filter.
+
+    A pair that shares t words meets at its first common word in rarest-first order, which has t - 1 more behind it in
+    both titles, and at that word alone.  So a pair comes out once, and pairs that share frequent words only are tested
+    only where their titles are short enough for these to do.  Titles without words are similar to nothing.
+    """
+    both = pages.select(F.col("page_id").alias("id"), "title").unionByName(wanted.select(F.col("wanted_id").alias("id"), "title"))
+    counts = both.select(F.explode(T.title_tokens(F.col("title"))).alias("token")).groupBy("token").agg(F.count("*").alias("titles"))
+    side = lambda df, id_, tokens: title_prefixes(df.select(F.col(id_).alias("id"), "title").distinct(), counts).select(F.col("id").alias(id_), F.col("tokens").alias(tokens), "token")
+    a, b = side(wanted, "wanted_id", "a"), side(pages, "page_id", "b")
+    need = lambda n, m: F.greatest(F.lit(2), F.ceil(F.least(n, m) / 2))
+    behind = lambda tokens: F.size(tokens) - F.array_position(tokens, F.col("token")) + 1
+    least = need(F.size("a"), F.size("b"))
+    pairs = a.join(b, "token").filter((behind("a") >= least) & (behind("b") >= least))
+    shared = F.array_intersect("a", "b")
+    return pairs.filter((F.size(shared) >= least) & (F.get(shared, F.lit(0)) == F.col("token"))).select("wanted_id", "page_id")
+
+
 def same_titles(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted_id, page_id, how: pages that share a key with a wanted title(wanted_id, title), or most of its words.
 
-    Keys and words are joined, never page with page; a pair that shares a key is not also called similar.
+    Keys and rare words are joined, never page with page; a pair that shares a key is not also called similar.
     """
     key = lambda df, name: df.select(F.col(name), F.explode(T.alias_keys(F.col("title"))).alias("key"))
     matching = key(wanted, "wanted_id").join(key(pages, "page_id"), "key").select("wanted_id", "page_id").distinct()
-    token = lambda df, name, n: df.select(F.col(name), F.size(T.title_tokens(F.col("title"))).alias(n), F.explode(T.title_tokens(F.col("title"))).alias("token"))
-    shared = token(wanted, "wanted_id", "n").join(token(pages, "page_id", "m"), "token").groupBy("wanted_id", "page_id", "n", "m").agg(F.count("*").alias("both"))
-    similar = shared.filter((F.col("both") >= 2) & (2 * F.col("both") >= F.least("n", "m"))).select("wanted_id", "page_id").join(matching, ["wanted_id", "page_id"], "left_anti")
+    similar = similar_titles(pages, wanted).join(matching, ["wanted_id", "page_id"], "left_anti")
     return matching.withColumn("how", F.lit("matching")).unionByName(similar.withColumn("how", F.lit("similar")))
