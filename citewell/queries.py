@@ -1125,3 +1125,30 @@ def m2_plans_executed(spark, sf_dir):
 @query("SELECT plan_id, place, mode, coalesce(k, 0)::BIGINT AS context_count, want_source AS source_id, want_type AS page_type, want_confidence AS confidence FROM v_modes LEFT JOIN (SELECT query_id, count(*) AS k FROM v_picked GROUP BY 1) USING (query_id)", instead=_OWN_FILTERS)
 def m4_plan_steps(spark, sf_dir):
     return _executed(spark, sf_dir)[1]
+
+
+_DAMAGED = """l AS (SELECT l.* FROM v_links l JOIN v_sources s ON s.source_id IN (from_page, to_page) WHERE coalesce(toxic, 0) = 0),
+  p AS (SELECT v_pages.* FROM v_pages LEFT JOIN v_sources ON source_id = page_id WHERE quality IS DISTINCT FROM 0), refs AS (SELECT page_id, page_id AS ref FROM p UNION SELECT page_id, path FROM p),
+  a AS (SELECT normalized_alias, target_type, target_id FROM v_aliases UNION SELECT normalized_alias, 'entity', 'entity:' || substr(target_id, 9) FROM v_aliases WHERE contains(alias, ' ')),
+  d AS (SELECT count(DISTINCT target_type) = 2 AND count(DISTINCT split_part(target_id, ':', -1)) = 1 AS shared FROM a GROUP BY normalized_alias HAVING count(*) > 1),
+  c AS (SELECT claim_id, confidence_status, CASE WHEN strlen(claim_text) = length(claim_text) THEN citation_locator ELSE '' END AS loc FROM v_claims)"""
+
+
+@query(f"""SELECT * FROM (WITH {_DAMAGED}
+  SELECT 'broken links' AS check, (SELECT count(*) FROM l WHERE to_page NOT IN (SELECT ref FROM refs)) AS found, true AS issue
+  UNION ALL SELECT 'orphan pages', (SELECT count(*) FROM p WHERE page_id NOT IN (SELECT page_id FROM refs WHERE ref IN (SELECT from_page FROM l UNION SELECT to_page FROM l))), true
+  UNION ALL SELECT 'duplicate alias', (SELECT count(*) FROM d WHERE NOT shared), true UNION ALL SELECT 'shared concept/entity alias', (SELECT count(*) FROM d WHERE shared), false
+  UNION ALL SELECT 'uncited claims', (SELECT count(*) FROM c WHERE loc = '' AND claim_id IN (SELECT evidence_claim_id FROM v_relationships)), true
+  UNION ALL SELECT 'uncited with locator', (SELECT count(*) FROM c WHERE loc <> '' AND confidence_status IN ('weak', 'uncited')), false
+  UNION ALL SELECT 'source hash drift', (SELECT count(*) FROM v_sources WHERE contains(text, '  ') OR length(text) > 5000), true
+  UNION ALL SELECT 'recorded contradicts relationships', (SELECT count(*) FROM v_relationships WHERE relationship_type = 'contradicts'), false)""")
+def lint_damaged(spark, sf_dir):
+    """The report of a catalog that lacks links of toxic sources, pages of poor ones and locators of claims beyond ASCII; long contents are gone, others have lost double blanks."""
+    c = _stored(spark, sf_dir)
+    good = c.sources.filter(F.coalesce("toxic", F.lit(0)) == 0).select("source_id")
+    ends = [c.links.join(good.withColumnRenamed("source_id", side), side, "left_semi").select(c.links.columns) for side in ("from_page", "to_page")]
+    poor = c.sources.filter("quality = 0").select(F.col("source_id").alias("page_id"))
+    pair = c.aliases.filter(F.contains("alias", F.lit(" "))).withColumns({"target_type": F.lit("entity"), "target_id": F.concat(F.lit("entity:"), F.substring("target_id", 9, 1000))})
+    claims = c.claims.withColumn("citation_locator", F.when(F.octet_length("claim_text") == F.length("claim_text"), F.col("citation_locator")).otherwise(""))
+    damaged = C.Catalog(c.sources, claims, c.aliases.unionByName(pair), c.pages.join(poor, "page_id", "left_anti").select(c.pages.columns), ends[0].unionByName(ends[1]), c.relationships)
+    return quality.report(damaged, c.sources.filter(F.length("text") <= 5000).select("source_id", F.replace("text", F.lit("  "), F.lit(" ")).alias("text")))
