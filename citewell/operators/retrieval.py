@@ -413,6 +413,24 @@ def vector(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     return ranked(scored, "score", limit, tie="chunk_id")
 
 
+def vector_stages(queries: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Queries (query_id, index_id, query_vector, error) with the stage at which each fails, null if it can be searched, and a warning.
+
+    indexes(index_id, enabled, present, error, dimension) say what is known of each index; a query of an unknown one has
+    no index.  The first stage that applies counts, in the order of a search.  A null vector is an empty one.
+    """
+    known = indexes.select("index_id", F.coalesce("enabled", F.lit(False)).alias("_enabled"), F.coalesce("present", F.lit(False)).alias("_present"), F.col("error").alias("_load"), "dimension")
+    rows = queries.join(known, "index_id", "left")
+    size = F.coalesce(F.size("query_vector"), F.lit(0))
+    stages = {
+        "disabled": ~F.col("_enabled"), "missing_index": ~F.coalesce("_present", F.lit(False)), "index_load_failed": F.col("_load").isNotNull(), "query_embedding_failed": F.col("error").isNotNull(),
+        "empty_query_vector": size <= 0, "query_dimension_mismatch": ~size.eqNullSafe(F.col("dimension")),
+    }
+    stage = F.coalesce(*[F.when(holds, name) for name, holds in stages.items()])
+    said = F.when(stage == "index_load_failed", F.col("_load")).when(stage == "query_embedding_failed", F.col("error")).when(stage == "query_dimension_mismatch", "dimensions of query and index differ")
+    return rows.select(*queries.columns, stage.alias("failure_stage"), said.alias("warning"))
+
+
 def vector_candidates(hits: DataFrame, catalog, limit: int, filters: dict | None = None) -> DataFrame:
     """Candidates of chunk hits (query_id, chunk_id, score): a claim by its own score, the claims behind a title by 0.8 of its.
 

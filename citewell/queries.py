@@ -1152,3 +1152,28 @@ def lint_damaged(spark, sf_dir):
     claims = c.claims.withColumn("citation_locator", F.when(F.octet_length("claim_text") == F.length("claim_text"), F.col("citation_locator")).otherwise(""))
     damaged = C.Catalog(c.sources, claims, c.aliases.unionByName(pair), c.pages.join(poor, "page_id", "left_anti").select(c.pages.columns), ends[0].unionByName(ends[1]), c.relationships)
     return quality.report(damaged, c.sources.filter(F.length("text") <= 5000).select("source_id", F.replace("text", F.lit("  "), F.lit(" ")).alias("text")))
+
+
+_STATES = "SELECT DISTINCT label AS index_id, label % 5 <> 3 AS enabled, label % 5 <> 4 AS present, CASE WHEN label % 5 = 2 THEN 'label ' || label || ' cannot be read' END AS error FROM embeddings"
+_VECTORS = "CASE WHEN embedding[2] < -0.15 THEN [] WHEN embedding[3] < -0.12 THEN embedding[2:] ELSE embedding END"
+
+
+@query(f"""SELECT * FROM (WITH s AS ({_STATES}), q AS (SELECT vec_id AS query_id, label, {_VECTORS} AS v, CASE WHEN embedding[1] < -0.15 THEN 'no vector of ' || vec_id END AS problem FROM embeddings),
+  f AS (SELECT q.*, s.error, CASE WHEN NOT enabled THEN 'disabled' WHEN NOT coalesce(present, false) THEN 'missing_index' WHEN s.error IS NOT NULL THEN 'index_load_failed' WHEN problem IS NOT NULL THEN 'query_embedding_failed'
+    WHEN len(v) = 0 THEN 'empty_query_vector' WHEN len(v) <> 64 THEN 'query_dimension_mismatch' END AS failure_stage FROM q LEFT JOIN s ON index_id = label),
+  n AS (SELECT query_id, least(20, count(*))::BIGINT AS k FROM f JOIN embeddings e ON failure_stage IS NULL AND query_id % 20 = 0 AND vec_id <> query_id WHERE round(list_cosine_similarity(CASE WHEN len(v) = 64 THEN v ELSE embedding END::DOUBLE[], embedding::DOUBLE[]), 6) > 0 GROUP BY 1)
+  SELECT query_id, failure_stage, CASE failure_stage WHEN 'index_load_failed' THEN error WHEN 'query_embedding_failed' THEN problem WHEN 'query_dimension_mismatch' THEN 'dimensions of query and index differ' END AS warning, coalesce(k, 0)::BIGINT AS candidates FROM f LEFT JOIN n USING (query_id))""")
+def r7_vector_stages(spark, sf_dir):
+    """How far each vector's search comes: the indexes of some labels are off, gone or broken, some vectors are missing, empty or short; every 20th id is searched."""
+    rows = _read(spark, sf_dir, "embeddings")
+    at = lambda n: F.get("embedding", F.lit(n))
+    kind = F.col("label") % 5
+    broken = F.when(kind == 2, F.concat(F.lit("label "), "label", F.lit(" cannot be read")))
+    states = rows.select("label").distinct().select(F.col("label").alias("index_id"), (kind != 3).alias("enabled"), (kind != 4).alias("present"), broken.alias("error"), F.lit(64).alias("dimension"))
+    given = F.when(at(1) < -0.15, F.array().cast("array<float>")).when(at(2) < -0.12, F.slice("embedding", 2, 64)).otherwise(F.col("embedding"))
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("index_id"), given.alias("query_vector"), F.when(at(0) < -0.15, F.concat(F.lit("no vector of "), "vec_id")).alias("error"))
+    staged = keep(retrieval.vector_stages(asked, states), "stages")
+    searched = staged.filter("failure_stage IS NULL AND query_id % 20 = 0").select("query_id", "query_vector")
+    hits = retrieval.vector(searched, rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 20)
+    found = hits.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    return staged.join(found, "query_id", "left").select("query_id", "failure_stage", "warning", F.coalesce("candidates", F.lit(0)).alias("candidates"))

@@ -48,3 +48,17 @@ def test_lineage_follows_the_round_robin(spark):
     assert [(r.claim_id, r.score, r.subquery_index, r.queries, r.indexes, r.purposes, r.reasons) for r in got] == [
         ("a", 0.9, 1, ["one", "two"], [1, 2], ["why"], ["x", "y", "z"]), ("b", 0.5, 2, ["two"], [2], [], ["r"]), ("c", 0.1, 1, ["one"], [1], ["why"], []),
     ]
+
+
+def test_each_stage_of_a_vector_search(spark):
+    states = [("off", False, True, None, 2), ("gone", True, False, "x", 2), ("broken", True, True, "unreadable", 2), ("good", True, True, None, 2), ("bare", None, None, None, None)]
+    indexes = spark.createDataFrame(states, "index_id string, enabled boolean, present boolean, error string, dimension int")
+    vector = [1.0, 0.0]
+    rows = [
+        (1, "off", None, "e", "disabled", None), (2, "unknown", vector, None, "missing_index", None), (3, "bare", vector, None, "disabled", None), (4, None, vector, None, "missing_index", None), (5, "gone", vector, "e", "missing_index", None),
+        (6, "broken", vector, "e", "index_load_failed", "unreadable"), (7, "good", None, "e", "query_embedding_failed", "e"), (8, "good", None, None, "empty_query_vector", None), (9, "good", [], None, "empty_query_vector", None),
+        (10, "good", [1.0], None, "query_dimension_mismatch", "dimensions of query and index differ"), (11, "good", vector, None, None, None),
+    ]
+    queries = spark.createDataFrame([r[:4] for r in rows], "query_id int, index_id string, query_vector array<double>, error string")
+    got = retrieval.vector_stages(queries, indexes).orderBy("query_id").collect()
+    assert [(r.query_id, r.failure_stage, r.warning) for r in got] == [(r[0], *r[4:]) for r in rows]
