@@ -551,6 +551,39 @@ def test_lm_is_a_distribution(spark, monkeypatch):
         assert abs(got[i] - total) < 1e-6 * abs(total), (i, t)
 
 
+def test_lm_of_texts_unlike_the_training_ones(spark):
+    """Held-out texts that mix what training texts keep apart, or have their words in another order, score nearly the base model's score or more."""
+    rng = random.Random(5)
+    left, right = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    copy = [rng.choice(left) for _ in range(400)]
+    other = rng.sample(copy, len(copy))
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    mixed = [(k, " ".join(rng.choice(left + right if held(k) else right if k % 2 else left) for _ in range(200))) for k in range(200)]
+    copies = [(k, " ".join(other if held(k) else copy)) for k in range(200)]
+    for rows in (mixed, copies):
+        got = [r for r in hmm_lm.score(spark, frame(spark, rows)).collect() if r.held_out]
+        assert got and all(r.score > r.base_score + math.log10(0.5) + r.n_tokens * math.log10(0.999) - 1e-6 for r in got)
+
+
+def test_lm_weights_of_rare_words(spark, monkeypatch):
+    """Rare words share their last byte's symbol by count plus one: in the base state they have the base model's probability."""
+    kept, train = [], hmm_lm.train
+    monkeypatch.setattr(hmm_lm, "train", lambda *a: kept.append(train(*a)) or kept[-1])
+    rng = random.Random(6)
+    rows = [(k, "the " * 400 + " ".join(f"r{rng.randrange(900)}" for _ in range(6))) for k in range(200)]
+    bag = collections.Counter(w for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2 for w in [*words(t), None])
+    n, v = sum(bag.values()), len(bag)
+    hmm_lm.score(spark, frame(spark, rows)).collect()
+    _, _, emit, weights = kept[0]
+    rare = {w: c for w, c in bag.items() if c * hmm_lm.FREQUENT < n}
+    assert len(rare) > 300 and max(rare.values()) > 1
+    for last in "0123456789":
+        want = sum(c + 1 for w, c in rare.items() if w.endswith(last))
+        at = hmm_lm._RARE + ord(last)
+        assert weights[at] == want and abs(emit[at, -1] - want / (n + v + 1)) < 1e-12
+    assert abs(weights.sum() - n - v) < 1e-6
+
+
 def test_lm_without_training_rows(spark):
     held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2]
     rows = [(k, t) for k, t in zip(held, ["a b", "", None], strict=False)]
