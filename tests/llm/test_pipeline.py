@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from citewell.llm import secret_ledger
+from citewell.llm import components, scratch, secret_ledger
 from tests.llm.fixtures import SCHEMA, frame, prose, texts
 
 
@@ -108,3 +108,14 @@ def test_hard_rows_and_empty_tables(spark, tmp_path):
     table(spark, path, [], "item_id long, text string", "benchmark")
     table(spark, path, [], "doc_id long, quality int, toxic int", "labels")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_component_rounds_hold_no_step_twice(spark, monkeypatch):
+    """Plans of a round stay small, whatever the round: the driver's memory goes with them."""
+    plans, write = [], scratch.write
+    monkeypatch.setattr(scratch, "write", lambda s, frame, name: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or write(s, frame, name))
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    want = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
+    assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
+    assert len(plans) > 8 and all(p.count("Exchange hashpartitioning") <= 3 for p in plans)
