@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citewell.llm import ann, blocks, chat, decontamination, hmm_lm, kernel, ngram_join, packing, queries, secret_ledger, substring_dedup, suffix_automaton, tokens, toxicity
 from tests.llm.fixtures import documents, frame, prose, texts
@@ -307,6 +308,23 @@ def test_nearest_neighbours(spark, per_list):
     assert ann.search(spark, few.limit(0)).count() == 0
 
 
+def test_queries_come_in_blocks_and_a_task_hands_on_k_of_each(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(700, 24))
+    written, write = [], ann.scratch.write
+    monkeypatch.setattr(ann.scratch, "write", lambda s, frame, name: written.append((name, write(s, frame, name))) or written[-1][1])
+    monkeypatch.setattr(ann, "QUERY_BYTES", 10 * 24 * 8, raising=False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(spark, table, per_list=5, probes=1.0).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    found = [frame for name, frame in written if name == "neighbours"]
+    assert len(found) == 8  # two scans of each of four blocks
+    for frame in found:
+        assert (frame.groupBy("query_id", F.input_file_name()).count().agg(F.max("count")).first()[0] or 0) <= 20
+    hit = sum(len({i for _, i in f} & {i for i, _ in nearest(x, range(700), (q, x[q]))}) for q, f in got.items())
+    assert sorted(got) == list(range(0, 700, 20)) and hit / (20 * len(got)) >= 0.9
+
+
 def test_nearest_of_repeats_and_odd_lengths(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 8))
