@@ -374,3 +374,26 @@ def test_two_decimals(spark):
     values = [0.125, 0.285, 0.625, 0.155, 0.375, 0.0, 1.0, 0.005, 1234.565] + [k / 400 for k in range(400)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", evaluation.two_decimals(F.col("x")).alias("y")).collect()
     assert all(r.y == f"{r.x:.2f}" for r in rows) and rows[0].y == "0.12" and rows[1].y == "0.28"
+
+
+def test_vector_search_hands_on_the_best_of_each_task(spark):
+    import numpy as np
+
+    from citewell.operators import vectors
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6))
+    x[100:400] = x[7]  # ties by id
+    odd = [(2000, []), (2001, [0.0] * 6), (2002, None), (2003, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2004, [1.0, 2.0])]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "id long, v array<double>")
+    asked = rows.filter("id % 50 = 7 OR id >= 2000").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    chunks = rows.repartition(3).select(F.col("id").cast("string").alias("chunk_id"), F.col("v").alias("vector"))
+    handed = vectors.nearest(asked, chunks, 5).groupBy("query_id").count().collect()
+    assert len(handed) == 18 and all(r["count"] <= 3 * 5 for r in handed)
+    got = {}
+    for r in retrieval.vector(asked, chunks, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    for q in range(7, 900, 50):
+        near = [(str(i), round(float(s), 6)) for i, s in enumerate(unit @ unit[q]) if i != q and round(float(s), 6) > 0]
+        assert got[q] == sorted(near, key=lambda f: (-f[1], f[0]))[:5]
