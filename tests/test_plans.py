@@ -62,3 +62,21 @@ def test_each_stage_of_a_vector_search(spark):
     queries = spark.createDataFrame([r[:4] for r in rows], "query_id int, index_id string, query_vector array<double>, error string")
     got = retrieval.vector_stages(queries, indexes).orderBy("query_id").collect()
     assert [(r.query_id, r.failure_stage, r.warning) for r in got] == [(r[0], *r[4:]) for r in rows]
+
+
+@pytest.mark.parametrize("name", ["alias_title", "exact_span"])
+def test_one_pass_finds_what_the_index_finds(spark, catalog, name, limit=4):
+    asked = spark.createDataFrame([(q, t := [f"word{q % 5}", "concept", "concept0"], t) for q in FILTERS], "query_id int, text_terms array<string>, exact_spans array<string>")
+    got, want = (sorted(map(repr, getattr(retrieval, name)(asked, catalog, limit, wanted(spark), x).collect())) for x in (None, index.build_index(catalog.claims)))
+    assert got == want and got
+
+
+def test_one_pass_hands_on_the_best_of_each_task(spark):
+    from citewell.operators import matching
+    from citewell.operators.asked import tokens
+
+    claims = spark.range(3000).selectExpr("concat('c', lpad(id, 5, '0')) AS claim_id", "concat_ws(' ', 'all', 'w' || id % 7, 'v' || id % 3, 'all') AS claim_text").repartition(3)
+    asked = spark.createDataFrame([(q, p, 1) for q in range(40) for p in ("all", f"w{q % 7}", f"w{q % 7} v{q % 3}")], "query_id int, phrase string, times int")
+    best = matching.full_text(asked, claims, tokens(claims.claim_text), 5, index.weight)
+    rows = [r["count"] for r in best.groupBy("query_id").count().collect()]
+    assert len(rows) == 40 and max(rows) <= 3 * 5  # not a row for each of the 3000 claims that hold a phrase
